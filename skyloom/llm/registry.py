@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .html_extract import op8_html
+from .language_id import op4_language
+from .licenses import op7_licenses
 from .media import op10_media
 from .mixing import OP1_SQL, op1_mixing
+from .quality_model import op9_quality
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op4_language": op4_language,
     "op5_bpe": op5_bpe,
+    "op7_licenses": op7_licenses,
+    "op8_html": op8_html,
+    "op9_quality": op9_quality,
     "op10_media": op10_media,
 }
 
