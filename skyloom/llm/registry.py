@@ -8,12 +8,14 @@ from .language_id import op4_language
 from .licenses import op7_licenses
 from .media import op10_media
 from .mixing import OP1_SQL, op1_mixing
+from .pii import op6_pii
 from .quality_model import op9_quality
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op4_language": op4_language,
     "op5_bpe": op5_bpe,
+    "op6_pii": op6_pii,
     "op7_licenses": op7_licenses,
     "op8_html": op8_html,
     "op9_quality": op9_quality,
