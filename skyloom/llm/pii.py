@@ -136,7 +136,7 @@ def _refill(value: str, digits: str) -> str:
 def _letters(value: str, key: bytes, *tweak: object) -> str:
     """Letters and digits replaced by keyed ones of the same class and case; the rest stays."""
     stream, out = _hash(key, value, *tweak), []
-    hexadecimal = len(value) >= 16 and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value)
+    hexadecimal = len(value) >= 16 and not value.isdigit() and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value)
     for i, c in enumerate(value):
         if i % 24 == 23:
             stream = _hash(key, i, value, *tweak)

@@ -10,9 +10,11 @@ from .media import op10_media
 from .mixing import OP1_SQL, op1_mixing
 from .pii import op6_pii
 from .quality_model import op9_quality
+from .quality_rules import OP3_SQL, op3_quality_rules
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_quality_rules": op3_quality_rules,
     "op4_language": op4_language,
     "op5_bpe": op5_bpe,
     "op6_pii": op6_pii,
@@ -22,4 +24,4 @@ QUERIES = {
     "op10_media": op10_media,
 }
 
-ORACLES = {"op1_mixing": OP1_SQL}
+ORACLES = {"op1_mixing": OP1_SQL, "op3_quality_rules": OP3_SQL}
