@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op5_bpe
 from .html_extract import op8_html
+from .jaccard import OP2_SQL, op2_jaccard
 from .language_id import op4_language
 from .licenses import op7_licenses
 from .media import op10_media
@@ -14,6 +15,7 @@ from .quality_rules import OP3_SQL, op3_quality_rules
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_jaccard": op2_jaccard,
     "op3_quality_rules": op3_quality_rules,
     "op4_language": op4_language,
     "op5_bpe": op5_bpe,
@@ -24,4 +26,4 @@ QUERIES = {
     "op10_media": op10_media,
 }
 
-ORACLES = {"op1_mixing": OP1_SQL, "op3_quality_rules": OP3_SQL}
+ORACLES = {"op1_mixing": OP1_SQL, "op2_jaccard": OP2_SQL, "op3_quality_rules": OP3_SQL}
