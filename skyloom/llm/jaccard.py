@@ -211,10 +211,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     rest = _linked(pairs.select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), "n_a", "n_b").distinct(), keys, docs, size, num, den)
     label = components(first.union(rest)).withColumnRenamed("id", "k")
 
-    named = sets.select("doc_id", "n_shingles", "k").join(label, "k", "left").withColumn("component", F.coalesce("component", "k"))
-    least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
-    out = cut(named.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")))
+    # names are settled among classes first; a stored table lets Spark split the rows of a class with many copies
+    of_class = keys.groupBy("k").agg(F.min("doc_id").alias("own"))
+    least = label.join(of_class, "k").groupBy("component").agg(F.min("own").alias("least"))
+    shared = label.join(small(cut(least)), "component").select("k", "least")
+    classes, second = _stored(of_class.join(shared, "k", "left").select("k", F.coalesce("least", "own").alias("least")))
+    out = cut(sets.select("doc_id", "n_shingles", "k").join(classes, "k", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")))
     _remove(spark, path)
+    _remove(spark, second)
     return out
 
 

@@ -73,8 +73,13 @@ def mixing_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """The mix itself: every document as often as it is to be taken, with the columns of ``docs``."""
-    return mixing_copies(docs, weights, cap, seed).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns) if docs.columns else docs
+    """The mix itself: every document as often as it is to be taken, with the columns of ``docs``.
+
+    A column of ``docs`` named size, source_size, target or copies is kept as it is.
+    """
+    held = F.struct(*docs.columns).alias("_held")
+    copies = mixing_copies(docs.select("doc_id", "text", "source", held), weights, cap, seed)
+    return copies.select("_held", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("_held.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
