@@ -4,8 +4,8 @@ N-grams are ordered by their 64-bit hashes.  The order is cut into fragments,
 so a set becomes one segment per fragment.  Two uses:
 
 * candidates: sets whose Jaccard is at least the threshold differ in at most d
-  n-grams, so among more than d fragments some hold equal segments; sets meet
-  on the hashes of their segments (sizes are grouped, so d is tight);
+  n-grams, so among the first d + 1 segments of each some are equal; sets meet
+  on the hashes of these (sizes are grouped, so d is tight);
 * counting: the overlaps of a candidate pair are counted fragment by fragment
   in separate rows and summed per pair, so a set never has to be in one row.
 
@@ -22,6 +22,7 @@ import math
 import uuid
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,19 +62,23 @@ class Cuts:
         return self.plans[group]
 
     def segments(self, hashes: np.ndarray) -> np.ndarray:
-        """Hashes of all segments on which this sorted set may meet a linked one.
+        """Hashes of all segments on which this sorted set may meet a linked one: in each size group, the first d + 1.
 
-        A fragment that is empty in both sets is no meeting point, unless a set
-        has so few others that a linked pair could differ in all of them.
+        Let a pair differ in at most d n-grams, and look at the first segment
+        that is equal in both.  Each fragment before it that either fills holds
+        a difference, so there are at most d of them: the segment is among the
+        first d + 1 of both.  It exists if either set fills more than d
+        fragments; sets that don't also list their empty fragments.
         """
         n = len(hashes)
         out = []
         for g in range(self.group(n), self.group(n * self.den // self.num) + 1):
-            k, differ = self.plan(g)
+            k, _ = self.plan(g)
+            differ = (n + min(self.starts[g + 1] - 1, n * self.den // self.num)) * (self.den - self.num) // (self.den + self.num)
             where = ((hashes >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
             held, first = np.unique(where, return_index=True)
-            sums = np.add.reduceat(mix(hashes + np.uint64(g + 1)), first)
-            out.append(mix(sums ^ mix(held * np.uint64(0x9E3779B97F4A7C15) + np.uint64(g))))
+            sums = np.add.reduceat(mix(hashes + np.uint64(g + 1)), first)[: differ + 1]
+            out.append(mix(sums ^ mix(held[: differ + 1] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(g))))
             if len(held) <= differ:
                 empty = np.setdiff1d(np.arange(k, dtype=np.uint64), held)
                 out.append(mix(mix(empty * np.uint64(0x9E3779B97F4A7C15) + np.uint64(g)) + np.uint64(1)))
@@ -84,33 +89,51 @@ def _signed(x: np.ndarray) -> list[int]:
     return x.view(np.int64).tolist()
 
 
+def _key(h: np.ndarray) -> int:
+    """The class of a set: 64 bits of all its n-grams."""
+    return int(_signed(mix(np.array([np.add.reduce(mix(h ^ np.uint64(0xA5A5))) + np.uint64(len(h))])))[0])
+
+
 def _sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Rows (doc_id, n_shingles, k, sketch, segments); a task lists the segments of equal sets once."""
+    """Rows (doc_id, n_shingles, k, v, s0…, segments).
+
+    ``k`` is the class of equal sets.  A task lists the segments of equal sets
+    once, with ``v``, its own short number for the class.
+    """
+    names = [f"s{i}" for i in range(SKETCH)]
 
     def make():
         shingle, cuts, seen = Shingler(size), Cuts(num, den), set()
+        number = TaskContext.get().partitionId() << 32
 
         def work(cols):
-            keys, sizes, sketches, segments = [], [], [], []
+            nonlocal number
+            out = {n: [] for n in ("n_shingles", "k", "v", "segments", *names)}
             for text in cols["text"]:
                 h = shingle(text)
-                sizes.append(len(h))
+                out["n_shingles"].append(len(h))
                 if not len(h):
-                    keys.append(None), sketches.append(None), segments.append(None)
+                    for n in ("k", "v", "segments", *names):
+                        out[n].append(None)
                     continue
                 bits = np.bincount((h & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-                sketches.append(_signed(np.packbits(bits.astype(np.uint8)).view(np.uint64)))
-                key = int(_signed(mix(np.array([np.add.reduce(mix(h ^ np.uint64(0xA5A5))) + np.uint64(len(h))])))[0])
-                keys.append(key)
+                for n, word in zip(names, _signed(np.packbits(bits.astype(np.uint8)).view(np.uint64)), strict=True):
+                    out[n].append(word)
+                key = _key(h)
+                out["k"].append(key)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                segments.append(None if key in seen else _signed(cuts.segments(h)))
+                new = key not in seen
                 seen.add(key)
-            return {"doc_id": cols["doc_id"], "n_shingles": sizes, "k": keys, "sketch": sketches, "segments": segments}
+                number += new
+                out["v"].append(number if new else None)
+                out["segments"].append(_signed(cuts.segments(h)) if new else None)
+            return {"doc_id": cols["doc_id"]} | out
 
         return work
 
-    return map_slices(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, "doc_id long, n_shingles long, k long, sketch array<long>, segments array<long>")
+    schema = f"doc_id long, n_shingles long, k long, v long, segments array<long>, {', '.join(f'{n} long' for n in names)}"
+    return map_slices(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, schema)
 
 
 def _fragments(docs: DataFrame, size: int) -> DataFrame:
@@ -126,7 +149,7 @@ def _fragments(docs: DataFrame, size: int) -> DataFrame:
                 h = shingle(text)
                 if not len(h):
                     continue
-                key = int(_signed(mix(np.array([np.add.reduce(mix(h ^ np.uint64(0xA5A5))) + np.uint64(len(h))])))[0])
+                key = _key(h)
                 held, first = np.unique(h >> shift, return_index=True)
                 for f, part in zip(held.tolist(), np.split(h, first[1:]), strict=True):
                     keys.append(key), at.append(f), parts.append(_signed(part))
@@ -137,10 +160,15 @@ def _fragments(docs: DataFrame, size: int) -> DataFrame:
     return map_slices(docs.select(F.col("text").cast("string")), make, "k long, fragment int, hashes array<long>")
 
 
-def _may_link(n1: Column, n2: Column, s1: Column, s2: Column, num: int, den: int) -> Column:
-    """Necessary for a link, from sizes and sketches: parities differ in no more places than the sets."""
-    differ = sum((F.bit_count(s1[i].bitwiseXOR(s2[i])) for i in range(SKETCH)), F.lit(0))
-    return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (differ * (den + num) <= (n1 + n2) * (den - num))
+def _differ(a: str, b: str) -> Column:
+    """The places in which two sketches differ, columns s0_a… and s0_b…; the sets differ in no fewer."""
+    return sum((F.bit_count(F.col(f"s{i}_{a}").bitwiseXOR(F.col(f"s{i}_{b}"))) for i in range(SKETCH)), F.lit(0))
+
+
+def _may_link(num: int, den: int) -> Column:
+    """Necessary for a link of a and b, from sizes and sketches."""
+    n1, n2 = F.col("n_a"), F.col("n_b")
+    return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (_differ("a", "b") * (den + num) <= (n1 + n2) * (den - num))
 
 
 def _linked(pairs: DataFrame, keys: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -148,11 +176,14 @@ def _linked(pairs: DataFrame, keys: DataFrame, docs: DataFrame, size: int, num:
     pairs = cut(pairs)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     one = small(cut(keys.join(needed, "k", "left_semi").groupBy("k").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()))
-    sets = cut(_fragments(docs.select(F.col("doc_id").cast("long"), "text").join(one, "doc_id", "left_semi"), size).dropDuplicates(["k", "fragment"]))
-    left = pairs.join(sets.select(F.col("k").alias("a"), "fragment", F.col("hashes").alias("ha")), "a")
+    sets = _fragments(docs.select(F.col("doc_id").cast("long"), "text").join(one, "doc_id", "left_semi"), size)
+    # the same exchange of the sets serves both joins
+    each = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+    left = each.join(sets.select(F.col("k").alias("a"), "fragment", F.col("hashes").alias("ha")), ["a", "fragment"])
     both = left.join(sets.select(F.col("k").alias("b"), "fragment", F.col("hashes").alias("hb")), ["b", "fragment"])
-    partial = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("ha", "hb")).alias("part"))
-    overlap = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("i"))
+    partial = both.select("a", "b", "n_a", "n_b", "fragment", F.size(F.array_intersect("ha", "hb")).alias("part"))
+    # rows that repeat an id may bring a set twice; it counts once
+    overlap = partial.groupBy("a", "b", "n_a", "n_b", "fragment").agg(F.max("part").alias("part")).groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("i"))
     return overlap.where(F.col("i") * den >= (F.col("n_a") + F.col("n_b") - F.col("i")) * num).select("a", "b")
 
 
@@ -179,36 +210,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     null id never becomes a component's name while another is there.
     """
     spark = docs.sparkSession
+    names = [f"s{i}" for i in range(SKETCH)]
     sets, path = _stored(_sets(docs, size, num, den))
     keys = sets.where("k IS NOT NULL").select("doc_id", "k")
-    info = cut(sets.where("k IS NOT NULL").groupBy("k").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("s")))
+    info = cut(sets.where("k IS NOT NULL").groupBy("k").agg(F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in names]))
+    class_of = sets.where("v IS NOT NULL").select("v", "k")
     # a group of near copies spreads over as many keys as it has segments
     by = Window.partitionBy("segment")
-    met = sets.where("segments IS NOT NULL").select(F.explode("segments").alias("segment"), "k").withColumns({"low": F.min("k").over(by), "high": F.max("k").over(by)}).where("low < high")
-    met = cut(met.distinct())
-
-    def described(pairs: DataFrame) -> DataFrame:
-        for side in "ab":
-            pairs = pairs.join(info.select(F.col("k").alias(side), F.col("n").alias(f"n_{side}"), F.col("s").alias(f"s_{side}")), side)
-        return pairs
-
-    may = _may_link(F.col("n_a"), F.col("n_b"), F.col("s_a"), F.col("s_b"), num, den)
-    differ = sum((F.bit_count(F.col("s_a")[i].bitwiseXOR(F.col("s_b")[i])) for i in range(SKETCH)), F.lit(0))
-    tries = []
-    for star in ("low", "high"):
-        near = described(met.where(F.col("k") != F.col(star)).select(F.col("k").alias("a"), F.col(star).alias("b")).distinct()).where(may)
-        tries.append(near.groupBy("a").agg(F.min_by(F.struct("b", "n_a", "n_b"), F.struct(differ, "b")).alias("x")).select("a", "x.*"))
-    order = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b")]
-    first = cut(_linked(tries[0].union(tries[1]).select(order).distinct(), keys, docs, size, num, den))
+    listed = sets.where("v IS NOT NULL").select(F.explode("segments").alias("segment"), "v")
+    met, met_path = _stored(listed.withColumns({"low": F.min("v").over(by), "high": F.max("v").over(by)}).where("low < high"))
+    may = _may_link(num, den)
+
+    # each class and the closest of the outermost ones that it meets
+    stars = met.where("v <> low").select("v", F.col("low").alias("w")).union(met.where("v <> high").select("v", F.col("high").alias("w"))).distinct()
+    pairs = stars.join(class_of.withColumnRenamed("k", "a"), "v").join(class_of.select(F.col("v").alias("w"), F.col("k").alias("b")), "w").where("a <> b").select("a", "b").distinct()
+    for side in "ab":
+        pairs = pairs.join(info.select(F.col("k").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", *names)]), side)
+    best = pairs.where(may).groupBy("a").agg(F.min_by(F.struct("b", "n_a", "n_b"), F.struct(_differ("a", "b"), "b")).alias("x")).select("a", "x.*")
+    flip = F.col("a") > F.col("b")
+    order = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(flip, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(flip, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b")]
+    first = cut(_linked(best.select(order).distinct(), keys, docs, size, num, den))
     label = cut(components(first).withColumnRenamed("id", "k"))
 
     # what is still apart: all pairs of different components that share a segment
-    labelled = met.select("segment", "k").join(label, "k", "left").withColumn("component", F.coalesce("component", "k"))
-    apart = labelled.groupBy("segment").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("segment")
-    open_ = cut(labelled.join(apart, "segment", "left_semi").join(info, "k"))
-    a, b = (open_.select("segment", *[F.col(c).alias(f"{c}_{side}") for c in ("k", "component", "n", "s")]) for side in "ab")
-    pairs = a.join(b, "segment").where((F.col("k_a") < F.col("k_b")) & (F.col("component_a") != F.col("component_b")) & may)
-    rest = _linked(pairs.select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), "n_a", "n_b").distinct(), keys, docs, size, num, den)
+    whose = class_of.join(label, "k", "left").withColumn("component", F.coalesce("component", "k"))
+    labelled = met.select("segment", "v").join(small(cut(whose)), "v").select("segment", "k", "component")
+    apart = labelled.withColumns({"x": F.min("component").over(by), "y": F.max("component").over(by)}).where("x < y").select("segment", "k", "component").distinct()
+    open_ = cut(apart.join(info, "k"))
+    a, b = (open_.select("segment", *[F.col(c).alias(f"{c}_{side}") for c in ("k", "component", "n", *names)]) for side in "ab")
+    rest_pairs = a.join(b, "segment").where((F.col("k_a") < F.col("k_b")) & (F.col("component_a") != F.col("component_b")) & may)
+    rest = _linked(rest_pairs.select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), "n_a", "n_b").distinct(), keys, docs, size, num, den)
     label = components(first.union(rest)).withColumnRenamed("id", "k")
 
     # names are settled among classes first; a stored table lets Spark split the rows of a class with many copies
@@ -217,8 +248,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     shared = label.join(small(cut(least)), "component").select("k", "least")
     classes, second = _stored(of_class.join(shared, "k", "left").select("k", F.coalesce("least", "own").alias("least")))
     out = cut(sets.select("doc_id", "n_shingles", "k").join(classes, "k", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")))
-    _remove(spark, path)
-    _remove(spark, second)
+    for p in (path, met_path, second):
+        _remove(spark, p)
     return out
 
 
