@@ -171,11 +171,11 @@ def _may_link(num: int, den: int) -> Column:
     return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (_differ("a", "b") * (den + num) <= (n1 + n2) * (den - num))
 
 
-def _linked(pairs: DataFrame, keys: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def _linked(pairs: DataFrame, classes_of: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b, n_a, n_b) that are links, by partial overlaps summed over fragments."""
     pairs = cut(pairs)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    one = small(cut(keys.join(needed, "k", "left_semi").groupBy("k").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()))
+    one = small(cut(classes_of.join(needed, "k", "left_semi").select("doc_id").distinct()))
     sets = _fragments(docs.select(F.col("doc_id").cast("long"), "text").join(one, "doc_id", "left_semi"), size)
     # the same exchange of the sets serves both joins
     each = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     spark = docs.sparkSession
     names = [f"s{i}" for i in range(SKETCH)]
     sets, path = _stored(_sets(docs, size, num, den))
-    keys = sets.where("k IS NOT NULL").select("doc_id", "k")
+    classes_of = cut(sets.where("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc_id")))
     info = cut(sets.where("k IS NOT NULL").groupBy("k").agg(F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in names]))
     class_of = sets.where("v IS NOT NULL").select("v", "k")
     # a group of near copies spreads over as many keys as it has segments
@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     best = pairs.where(may).groupBy("a").agg(F.min_by(F.struct("b", "n_a", "n_b"), F.struct(_differ("a", "b"), "b")).alias("x")).select("a", "x.*")
     flip = F.col("a") > F.col("b")
     order = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(flip, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(flip, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b")]
-    first = cut(_linked(best.select(order).distinct(), keys, docs, size, num, den))
+    first = cut(_linked(best.select(order).distinct(), classes_of, docs, size, num, den))
     label = cut(components(first).withColumnRenamed("id", "k"))
 
     # what is still apart: all pairs of different components that share a segment
@@ -239,11 +239,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     open_ = cut(apart.join(info, "k"))
     a, b = (open_.select("segment", *[F.col(c).alias(f"{c}_{side}") for c in ("k", "component", "n", *names)]) for side in "ab")
     rest_pairs = a.join(b, "segment").where((F.col("k_a") < F.col("k_b")) & (F.col("component_a") != F.col("component_b")) & may)
-    rest = _linked(rest_pairs.select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), "n_a", "n_b").distinct(), keys, docs, size, num, den)
+    rest = _linked(rest_pairs.select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), "n_a", "n_b").distinct(), classes_of, docs, size, num, den)
     label = components(first.union(rest)).withColumnRenamed("id", "k")
 
     # names are settled among classes first; a stored table lets Spark split the rows of a class with many copies
-    of_class = keys.groupBy("k").agg(F.min("doc_id").alias("own"))
+    of_class = classes_of.withColumnRenamed("doc_id", "own")
     least = label.join(of_class, "k").groupBy("component").agg(F.min("own").alias("least"))
     shared = label.join(small(cut(least)), "component").select("k", "least")
     classes, second = _stored(of_class.join(shared, "k", "left").select("k", F.coalesce("least", "own").alias("least")))
