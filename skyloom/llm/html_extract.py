@@ -28,6 +28,9 @@ PARAGRAPH = frozenset("p pre td li blockquote h1 h2 h3 h4 h5 h6 dd dt figcaption
 
 # Words in class, id and role that mark what isn't the article, and what may be.
 UNLIKELY = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus discussion footer gdpr header masthead menu modal nav navbar navigation newsletter notice overlay pagination popup promo promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split())
+UNLIKELY_STARTS = ("advert", "breadcrumb", "comment", "cookie", "navbar", "navigat", "newsletter", "sidebar")
+#: Those that also hold for an article element.
+NO_ARTICLE = frozenset("ad ads comment comments promo related reply sponsored teaser".split())
 LIKELY = frozenset("article body content entry hentry main page post story text".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</\s*([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?", re.S)
@@ -37,19 +40,27 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "points", "chars", "link_chars", "hint")
+    __slots__ = ("tag", "parent", "parts", "dropped", "by_name", "points", "chars", "link_chars", "hint")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.parts = tag, parent, []
         self.points, self.chars, self.link_chars, self.hint = 0.0, 0, 0, 0
         self.dropped = tag in DROPPED
+        self.by_name = False
+        if tag == "header":  # a page's header, not an article's
+            up = parent
+            while up is not None and up.tag not in ("article", "main", "section"):
+                up = up.parent
+            self.dropped = up is None
         if attributes:
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
             names = {w.lower() for k in ("class", "id", "role") for w in _WORD.findall(found.get(k, ""))}
-            if tag not in ("html", "body", "article", "main"):
-                self.dropped |= bool(names & UNLIKELY) or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
             self.hint = 25 * bool(names & LIKELY)
-
+            if tag in ("article", "main"):
+                self.dropped = bool(names & NO_ARTICLE)
+            elif tag not in ("html", "body") and not self.dropped:
+                self.by_name = bool(names & UNLIKELY) or any(n.startswith(UNLIKELY_STARTS) for n in names)
+                self.dropped = self.by_name or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
 
 def parse(html: str) -> Node:
     """The tree of a page.  Unclosed and stray tags are mended as browsers do: block tags end an open paragraph, end tags close what lies inside."""
@@ -99,6 +110,28 @@ def parse(html: str) -> Node:
             pass
     return root
 
+def _spare(root: Node) -> None:
+    """Takes back a drop by name where it would take the story: a frame named after its sidebar, say, that holds an article, or the heading and half of all text."""
+    if not any(isinstance(c, Node) for c in root.parts):
+        return
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.parts if isinstance(c, Node)]
+    if not any(n.by_name for n in order):
+        return
+    size: dict[int, int] = {}
+    story: dict[int, bool] = {}
+    heading: dict[int, bool] = {}
+    for node in reversed(order):
+        inside = [c for c in node.parts if isinstance(c, Node) and (c.by_name or not c.dropped)]
+        size[id(node)] = sum(len(p.strip()) for p in node.parts if isinstance(p, str)) + sum(size[id(c)] for c in inside)
+        story[id(node)] = node.tag in ("article", "main") and not node.dropped or any(story[id(c)] for c in inside)
+        heading[id(node)] = node.tag == "h1" or any(heading[id(c)] for c in inside)
+    for node in order:
+        if node.by_name and (story[id(node)] or heading[id(node)] and 2 * size[id(node)] >= size[id(root)]):
+            node.dropped = False
 
 def _inherit(node: Node, points: float) -> None:
     """Pass a paragraph's points to its ancestors: all to the parent, half to the next, a third of that by depth."""
@@ -107,7 +140,6 @@ def _inherit(node: Node, points: float) -> None:
         up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
         up, level = up.parent, level + 1
 
-
 def _measure(root: Node) -> list[Node]:
     """Sums characters bottom-up and scores paragraphs; returns all kept elements in page order."""
     order, stack = [], [(root, False)]
@@ -136,12 +168,10 @@ def _measure(root: Node) -> list[Node]:
             _inherit(node, (1 + commas + min(n / 100, 3)) * (1 - density))
     return [node for node, _ in order]
 
-
 def _score(node: Node) -> float:
     bonus = node.hint + (25 if node.tag in ("article", "main") else 5 if node.tag in ("div", "section") else 0)
     return (node.points + (bonus if node.points or node.tag in ("article", "main") else 0)) * (1 - node.link_chars / max(node.chars, 1))
 
-
 def _blocks(node: Node, out: list[str]) -> None:
     """Appends the texts of a subtree's blocks in page order."""
     open_: list[str] = []
@@ -168,12 +198,12 @@ def _blocks(node: Node, out: list[str]) -> None:
             stack += reversed(x.parts)
     flush()
 
-
 def main_text(html: str | None) -> str:
     """The article of a page as blocks joined by newlines; empty if there is none."""
     if not html:
         return ""
     root = parse(html)
+    _spare(root)
     nodes = _measure(root)
     holders = [n for n in nodes if n.tag in BLOCK and n.tag not in PARAGRAPH and n.chars]
     if not holders:
@@ -191,7 +221,6 @@ def main_text(html: str | None) -> str:
         _blocks(node, out)
     return "\n".join(out)
 
-
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Rows (page_id, url, text, n_chars) of the whole html of each page.
 
@@ -208,6 +237,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     return map_slices(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")), make, "page_id long, url string, text string, n_chars long")
 
-
 def op8_html(spark, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))

@@ -49,7 +49,8 @@ _TITLE_GENDER = {t: g for g, titles in TITLES.items() for t in titles}
 
 #: Kinds with their patterns, in order of precedence, and a cheap test that must hold for a pattern to be tried.
 PATTERNS = [
-    ("secret", re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|passwd|password|bearer)\b[\"']?\s*(?:[:=]|\bis\b)\s*[\"']?(?P<v>[A-Za-z0-9_\-+/=.]{8,}[A-Za-z0-9_\-+/=])"), ("token", "key", "secret", "passw", "bearer")),
+    ("secret", re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|passwd|password)\b[\"']?\s*(?:(?:[:=]|\bis\b)\s*(?=[^\s\"']*\d)|[:=]\s*(?=[\"']))[\"']?(?P<v>[A-Za-z0-9_\-+/=.]{7,}[A-Za-z0-9_\-+/=])"), ("token", "key", "secret", "passw")),
+    ("secret", re.compile(r"(?i)\bbearer\s+(?=[^\s]*\d)(?P<v>[A-Za-z0-9_\-+/=.]{15,}[A-Za-z0-9_\-+/=])"), ("bearer",)),
     ("secret", re.compile(r"\b(?P<v>(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|xox[abpr]-[A-Za-z0-9-]{10,})"), ("akia", "asia", "gh", "sk-", "xox")),
     ("email", re.compile(r"(?P<v>[A-Za-z0-9À-ɏ](?:[A-Za-z0-9À-ɏ._%+\-]*[A-Za-z0-9À-ɏ_%+\-])?@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24})(?![A-Za-z0-9])"), ("@",)),
     ("ipv4", re.compile(r"(?<![\d.])(?P<v>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\d]|\.\d)"), None),

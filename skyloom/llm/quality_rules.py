@@ -54,36 +54,36 @@ def judge(docs: DataFrame) -> DataFrame:
     has_word = lambda x: x.rlike(WORD)
     base = docs.drop(*added).withColumns(
         {
-            "_words": F.filter(F.split(text, SPACE), lambda w: w != ""),
-            "_lines": F.filter(F.split(text, "\n"), has_word),
+            "_qr_words": F.filter(F.split(text, SPACE), lambda w: w != ""),
+            "_qr_lines": F.filter(F.split(text, "\n"), has_word),
             "n_symbols": F.regexp_count(text, F.lit(SYMBOL)).cast("long"),
         }
     )
     base = base.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.aggregate("_words", F.lit(0).cast("long"), lambda s, w: s + F.length(w)),
-            "_hashes": F.transform("_words", lambda w: F.xxhash64(w)),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_good": F.filter("_lines", lambda x: ~bad_line(x)),
+            "n_words": F.size("_qr_words").cast("long"),
+            "word_chars": F.aggregate("_qr_words", F.lit(0).cast("long"), lambda s, w: s + F.length(w)),
+            "_qr_hashes": F.transform("_qr_words", lambda w: F.xxhash64(w)),
+            "n_dup_lines": (F.size("_qr_lines") - F.size(F.array_distinct("_qr_lines"))).cast("long"),
+            "_qr_good": F.filter("_qr_lines", lambda x: ~bad_line(x)),
         }
-    ).drop("_words", "_lines")
-    h = lambda i: F.get("_hashes", i)
+    ).drop("_qr_words", "_qr_lines")
+    h = lambda i: F.get("_qr_hashes", i)
     windows = F.transform(
-        F.slice("_hashes", 1, F.greatest(F.size("_hashes") - (WINDOW - 1), F.lit(0))),
+        F.slice("_qr_hashes", 1, F.greatest(F.size("_qr_hashes") - (WINDOW - 1), F.lit(0))),
         lambda first, i: F.xxhash64(first, *[h(i + k) for k in range(1, WINDOW)]),
     )
-    base = base.withColumn("_windows", windows).drop("_hashes")
-    twice = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    base = base.withColumn("_sorted", F.when(twice, F.array_sort(F.transform("_windows", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))).drop("_windows")
-    same = lambda x, j: F.coalesce(F.get("_sorted", j)["h"] == x["h"], F.lit(False))
-    base = base.withColumn("_starts", F.array_sort(F.transform(F.filter("_sorted", lambda x, i: ((i > 0) & same(x, F.greatest(i - 1, F.lit(0)))) | same(x, i + 1)), lambda x: x["i"]))).drop("_sorted")
-    covered = F.transform("_starts", lambda at, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_starts", i + 1) - at, F.lit(WINDOW))))
-    base = base.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0)).cast("long")).drop("_starts")
-    left = F.aggregate("_good", F.lit(0).cast("long"), lambda s, x: s + F.length(F.regexp_replace(x, SPACE, "")))
+    base = base.withColumn("_qr_windows", windows).drop("_qr_hashes")
+    twice = F.size(F.array_distinct("_qr_windows")) < F.size("_qr_windows")
+    base = base.withColumn("_qr_sorted", F.when(twice, F.array_sort(F.transform("_qr_windows", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))).drop("_qr_windows")
+    same = lambda x, j: F.coalesce(F.get("_qr_sorted", j)["h"] == x["h"], F.lit(False))
+    base = base.withColumn("_qr_starts", F.array_sort(F.transform(F.filter("_qr_sorted", lambda x, i: ((i > 0) & same(x, F.greatest(i - 1, F.lit(0)))) | same(x, i + 1)), lambda x: x["i"]))).drop("_qr_sorted")
+    covered = F.transform("_qr_starts", lambda at, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_qr_starts", i + 1) - at, F.lit(WINDOW))))
+    base = base.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0)).cast("long")).drop("_qr_starts")
+    left = F.aggregate("_qr_good", F.lit(0).cast("long"), lambda s, x: s + F.length(F.regexp_replace(x, SPACE, "")))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    judged = base.withColumns({"clean_text": F.array_join("_good", "\n"), "base_failed": failed, "_left": left})
-    judged = judged.withColumn("kept", ~F.col("base_failed") & (100 * F.col("_left") >= LEAST_LEFT * F.col("word_chars")))
+    judged = base.withColumns({"clean_text": F.array_join("_qr_good", "\n"), "base_failed": failed, "_qr_left": left})
+    judged = judged.withColumn("kept", ~F.col("base_failed") & (100 * F.col("_qr_left") >= LEAST_LEFT * F.col("word_chars")))
     return judged.select(*[c for c in docs.columns if c not in added], *added)
 
 

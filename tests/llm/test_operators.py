@@ -261,6 +261,8 @@ def test_bpe_cuts_are_never_inside_a_token():
 
 def test_pii_surrogates(spark):
     mail, card, phone, ip, key = "ann.lee42@mail7.example.com", "4111 1111 1111 1111", "+1 (017) 555-7713", "97.51.17.173", "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    prose = "The secret is understanding, a token: nothing more; the password is, well, forgotten."
+    assert pii.entities(prose) == [] and [e[3] for e in pii.entities('password is hunter2222, api_key="abcdefghij"')] == ["hunter2222", "abcdefghij"]
     texts = [f'Write {mail} or {mail.upper()}, pay {card}.', f'Call {phone}, {ip}, token = "{key}". {mail}', "No data here, only 12 words and 3.14.", None, "", "Dear Mrs. Anna Schmidt, meet Paul Weber and госпожа. Господин Иван Петров."]
     docs = frame(spark, texts).withColumnRenamed("score", "n_entities")
     out = {x.doc_id: x for x in pii.pseudonymise(docs).collect()}
@@ -357,6 +359,8 @@ def test_html_main_text(spark):
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, text int")
     out = [(x.page_id, x.text, x.n_chars) for x in html_extract.extract_pages(pages).collect()]
     assert sorted(out)[:2] == [(1, want, len(want))] * 2 and (2, "", 0) in out and (3, "", 0) in out and (4, "", 0) in out and (6, "short", 5) in out
+    framed = f'<body><header><p>{long}</p></header><div class="with-sidebar"><article><h1>A</h1><p>{long}</p></article><ul class="commentlist"><li><article class="comment"><p>{long}</p></article></ul></div></body>'
+    assert html_extract.main_text(framed) == "A\n" + " ".join(long.split())
     assert html_extract.main_text("<div>" * 20_000 + "deep " * 30)
 
 
