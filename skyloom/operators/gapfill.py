@@ -7,6 +7,7 @@ obstype).  A filled frame has (…, value, label, details).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,22 +121,19 @@ def _interpolate_spline(gaps, obs, order, max_gap, n_leading, n_trailing, max_le
     rank = F.row_number().over(Window.partitionBy(*GAP, "side").orderBy(F.when(F.col("side") == "lead", -_us()).otherwise(_us())))
     wanted = F.when(F.col("side") == "lead", F.lit(n_leading)).otherwise(F.lit(n_trailing))
     near = near.withColumn("rank", rank).where(F.col("rank") <= wanted).select(*GAP, "datetime", "value", F.col("side"))
-    rows = gaps.select(*GAP, "datetime", F.lit(None).cast("double").alias("value"), F.lit("gap").alias("side"))
-    limit = T.micros(max_gap)
-
-    def fill(pdf):
-        gap, known = pdf[pdf.side == "gap"].sort_values("datetime"), pdf[pdf.side != "gap"].sort_values("datetime")
-        us = gap.datetime.astype("int64") // 1000 if str(gap.datetime.dtype).endswith("[ns]") or "ns" in str(gap.datetime.dtype) else gap.datetime.astype("int64")
-        ks = known.datetime.astype("int64") // 1000 if "ns" in str(known.datetime.dtype) else known.datetime.astype("int64")
-        enough = (known.side == "lead").sum() >= n_leading and (known.side == "trail").sum() >= n_trailing
-        gap = gap.drop(columns="side")
-        if len(gap) and enough and us.iloc[-1] - us.iloc[0] <= limit:
-            start = ks.iloc[0]
-            gap = gap.assign(value=spline((ks - start) / 1e6, known.value, (us - start) / 1e6, order))
-        return gap
-
-    # a group is one gap and a fixed number of anchors
-    done = rows.unionByName(near).groupBy(*GAP).applyInPandas(fill, f"name string, obstype string, gap_id {dict(gaps.dtypes)['gap_id']}, datetime timestamp, value double")
+    stamps = gaps.groupBy(*GAP).agg(F.array_sort(F.collect_list(_us())).alias("at"))
+    sides = near.groupBy(*GAP).agg(F.count_if(F.col("side") == "lead").alias("nl"), F.count_if(F.col("side") == "trail").alias("nt"), F.array_sort(F.collect_list(F.struct(_us().alias("t"), F.col("value").alias("v")))).alias("known"))
+    fits = (F.col("nl") >= n_leading) & (F.col("nt") >= n_trailing) & (F.element_at("at", -1) - F.col("at")[0] <= T.micros(max_gap))
+
+    @F.pandas_udf("array<double>")
+    def through(t, v, at):
+        # a row is one gap: its stamps within max_gap, and a fixed number of anchors
+        return pd.Series([None if x is None else spline((x - x[0]) / 1e6, y, (z - x[0]) / 1e6, order) for x, y, z in zip(t, v, at, strict=True)])
+
+    both = stamps.join(sides, GAP, "left").withColumn("fits", F.coalesce(fits, F.lit(False)))
+    known = lambda c: F.when(F.col("fits"), F.transform("known", lambda x: x[c]))
+    both = both.withColumn("fill", through(known("t"), known("v"), F.when(F.col("fits"), F.col("at"))))
+    done = both.select(*GAP, F.posexplode("at").alias("i", "us"), "fill").select(*GAP, T.to_timestamp(F.col("us")).alias("datetime"), F.get("fill", F.col("i")).alias("value"))
     return _labelled(done, "interpolation", F.when(F.col("value").isNull(), "gap too long or not enough anchors").otherwise(f"interpolated by a spline of order {order}"))
 
 
