@@ -47,16 +47,19 @@ _SURNAME = rf"[{_UP}][{_LOW}]+(?:[-'’][{_UP}][{_LOW}]+)*"
 _GIVEN_GENDER = {n: g for (_, g), names in GIVEN.items() for n in names}
 _TITLE_GENDER = {t: g for g, titles in TITLES.items() for t in titles}
 
+#: What may stand between the groups of a phone number, marks that litter a text included.
+_BETWEEN = r"[ .\-#*$%&|!]{0,5}"
 #: Kinds with their patterns, in order of precedence, and a cheap test that must hold for a pattern to be tried.
 PATTERNS = [
     ("secret", re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|passwd|password)\b[\"']?\s*(?:(?:[:=]|\bis\b)\s*(?=[^\s\"']*\d)|[:=]\s*(?=[\"']))[\"']?(?P<v>[A-Za-z0-9_\-+/=.]{7,}[A-Za-z0-9_\-+/=])"), ("token", "key", "secret", "passw")),
     ("secret", re.compile(r"(?i)\bbearer\s+(?=[^\s]*\d)(?P<v>[A-Za-z0-9_\-+/=.]{15,}[A-Za-z0-9_\-+/=])"), ("bearer",)),
     ("secret", re.compile(r"\b(?P<v>(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|xox[abpr]-[A-Za-z0-9-]{10,})"), ("akia", "asia", "gh", "sk-", "xox")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9])(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])(?P<v>[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])"), None),
     ("email", re.compile(r"(?P<v>[A-Za-z0-9À-ɏ](?:[A-Za-z0-9À-ɏ._%+\-]*[A-Za-z0-9À-ɏ_%+\-])?@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24})(?![A-Za-z0-9])"), ("@",)),
     ("ipv4", re.compile(r"(?<![\d.])(?P<v>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\d]|\.\d)"), None),
     ("iban", re.compile(r"\b(?P<v>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)\b"), None),
     ("ssn", re.compile(r"(?<![\d-])(?P<v>\d{3}-\d{2}-\d{4})(?![\d-])"), None),
-    ("phone", re.compile(r"(?<![\w+])(?P<v>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[.\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\w])"), None),
+    ("phone", re.compile(r"(?<![\w+])(?P<v>\+\d{1,3}@(?:\(\d{1,4}\)@)?\d{2,4}(?:@\d{2,4}){1,4}|\(\d{3}\)@\d{3}[.\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\w])".replace("@", _BETWEEN)), None),
     ("card", re.compile(r"(?<![\d.\-])(?P<v>\d(?:[ \-]?\d){12,18})(?![\d\-]|\.\d)"), None),
     ("name", re.compile(rf"\b(?P<t>{'|'.join(_TITLE_GENDER)})\b\.? (?P<v>{_SURNAME}(?: {_SURNAME})?)"), None),
     ("name", re.compile(rf"\b(?P<v>(?:{'|'.join(_GIVEN_GENDER)}) {_SURNAME})\b"), None),

@@ -263,6 +263,8 @@ def test_pii_surrogates(spark):
     mail, card, phone, ip, key = "ann.lee42@mail7.example.com", "4111 1111 1111 1111", "+1 (017) 555-7713", "97.51.17.173", "04dbebab91ab85687d33eeaaf9ac699e1188f962"
     prose = "The secret is understanding, a token: nothing more; the password is, well, forgotten."
     assert pii.entities(prose) == [] and [e[3] for e in pii.entities('password is hunter2222, api_key="abcdefghij"')] == ["hunter2222", "abcdefghij"]
+    littered = 'token### =%%% "04dbebab91ab85687d33eeaaf9ac699e1188f962"*** +1$$$ (017)&&& 555-7713###'
+    assert [e[2] for e in pii.entities(littered)] == ["secret", "phone"]
     texts = [f'Write {mail} or {mail.upper()}, pay {card}.', f'Call {phone}, {ip}, token = "{key}". {mail}', "No data here, only 12 words and 3.14.", None, "", "Dear Mrs. Anna Schmidt, meet Paul Weber and госпожа. Господин Иван Петров."]
     docs = frame(spark, texts).withColumnRenamed("score", "n_entities")
     out = {x.doc_id: x for x in pii.pseudonymise(docs).collect()}
