@@ -76,7 +76,7 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     digits, low = bool(_DIGIT.search(text)), None
     names = not _NAMED.isdisjoint(_LETTERS.findall(text))
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    rest = text  # what earlier kinds have taken is blotted out, so that a later one ends there
     for kind, pattern, needs in PATTERNS:
         if needs is None:
             if not (names if kind == "name" else digits):
@@ -85,20 +85,20 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
             low = text.lower() if low is None else low
             if not any(n in low for n in needs):
                 continue
-        for m in pattern.finditer(text):
-            a, b = m.span("v")
-            if any(a < y and x < b for x, y in taken):
-                continue
+        here = []
+        for m in pattern.finditer(rest):
             value, label = m["v"], kind
             if kind == "iban" and not _iban_ok(value):
                 continue
-            if kind == "phone" and sum(c.isdigit() for c in value) < 7:
+            if kind == "phone" and not 7 <= sum(c.isdigit() for c in value) <= 15:
                 continue
             if kind == "name":
                 gender = _TITLE_GENDER.get(m.groupdict().get("t") or "", "") or _GIVEN_GENDER.get(value.split(" ")[0], "")
                 label = f"name-{gender}"
-            taken.append((a, b))
-            found.append((a, b, label, value))
+            here.append((*m.span("v"), label, value))
+        for x, y, *_ in here:
+            rest = f"{rest[:x]}{chr(0) * (y - x)}{rest[y:]}"
+        found += here
     return sorted(found)
 
 
