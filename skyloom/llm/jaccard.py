@@ -12,8 +12,9 @@ so a set becomes one segment per fragment.  Two uses:
 Copies are one vertex: documents with equal sets share a class.  A group of
 near copies is not expanded into its pairs: each class first tests its closest
 of the two outermost classes it meets, and only pairs that are still in
-different components are tested after that, all of them.  A parity sketch
-bounds a pair's difference from below, so hardly any false pair is counted.
+different components are tested after that, all of them.  Parity sketches, a
+narrow one inside the join and a wide one after it, bound a pair's difference
+from below, so hardly any false pair is counted.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import math
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ from .shingles import Shingler, mix
 GROUP = 1.4
 #: 64-bit words of a parity sketch, and fragments in which overlaps are counted.
 SKETCH, FRAGMENTS = 4, 8
+#: Bits of a wide sketch at most; it has about four for each n-gram in which a linked pair may differ.
+WIDE_BITS = 1 << 20
 
 
 class Cuts:
@@ -94,8 +98,27 @@ def _key(h: np.ndarray) -> int:
     return int(_signed(mix(np.array([np.add.reduce(mix(h ^ np.uint64(0xA5A5))) + np.uint64(len(h))])))[0])
 
 
+def _wide(h: np.ndarray, num: int, den: int) -> bytes:
+    """Parities of a set over a power of two of places, enough for its size."""
+    bits = min(WIDE_BITS, 1 << max(8, (8 * len(h) * (den - num) // (den + num)).bit_length()))
+    return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def wide_difference(a: bytes, b: bytes) -> int:
+    """The places in which two wide sketches differ, the larger folded to the smaller's size; the sets differ in no fewer."""
+    x, y = (int.from_bytes(v, "little") for v in (a, b))
+    n, m = 8 * len(a), 8 * len(b)
+    while n > m:
+        n //= 2
+        x = (x >> n) ^ (x & ((1 << n) - 1))
+    while m > n:
+        m //= 2
+        y = (y >> m) ^ (y & ((1 << m) - 1))
+    return (x ^ y).bit_count()
+
+
 def _sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Rows (doc_id, n_shingles, k, v, s0…, segments).
+    """Rows (doc_id, n_shingles, k, v, s0…, wide, segments).
 
     ``k`` is the class of equal sets.  A task lists the segments of equal sets
     once, with ``v``, its own short number for the class.
@@ -108,12 +131,12 @@ def _sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
         def work(cols):
             nonlocal number
-            out = {n: [] for n in ("n_shingles", "k", "v", "segments", *names)}
+            out = {n: [] for n in ("n_shingles", "k", "v", "segments", "wide", *names)}
             for text in cols["text"]:
                 h = shingle(text)
                 out["n_shingles"].append(len(h))
                 if not len(h):
-                    for n in ("k", "v", "segments", *names):
+                    for n in ("k", "v", "segments", "wide", *names):
                         out[n].append(None)
                     continue
                 bits = np.bincount((h & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
@@ -128,11 +151,12 @@ def _sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 number += new
                 out["v"].append(number if new else None)
                 out["segments"].append(_signed(cuts.segments(h)) if new else None)
+                out["wide"].append(_wide(h, num, den) if new else None)
             return {"doc_id": cols["doc_id"]} | out
 
         return work
 
-    schema = f"doc_id long, n_shingles long, k long, v long, segments array<long>, {', '.join(f'{n} long' for n in names)}"
+    schema = f"doc_id long, n_shingles long, k long, v long, segments array<long>, wide binary, {', '.join(f'{n} long' for n in names)}"
     return map_slices(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, schema)
 
 
@@ -171,6 +195,19 @@ def _may_link(num: int, den: int) -> Column:
     return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (_differ("a", "b") * (den + num) <= (n1 + n2) * (den - num))
 
 
+def _near(pairs: DataFrame, wide: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) that their wide sketches let be links, with ``far``, the least difference these show."""
+
+    @F.pandas_udf("long")
+    def far(x, y):
+        return pd.Series([wide_difference(a, b) for a, b in zip(x, y, strict=True)], dtype="int64")
+
+    for side in "ab":
+        pairs = pairs.join(wide.select(F.col("k").alias(side), F.col("wide").alias(f"w_{side}")), side)
+    measured = pairs.select("a", "b", "n_a", "n_b", far("w_a", "w_b").alias("far"))
+    return measured.where(F.col("far") * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
+
+
 def _linked(pairs: DataFrame, classes_of: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b, n_a, n_b) that are links, by partial overlaps summed over fragments."""
     pairs = cut(pairs)
@@ -214,6 +251,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     sets, path = _stored(_sets(docs, size, num, den))
     classes_of = cut(sets.where("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc_id")))
     info = cut(sets.where("k IS NOT NULL").groupBy("k").agg(F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in names]))
+    wide = sets.where("v IS NOT NULL").groupBy("k").agg(F.first("wide").alias("wide"))
     class_of = sets.where("v IS NOT NULL").select("v", "k")
     # a group of near copies spreads over as many keys as it has segments
     by = Window.partitionBy("segment")
@@ -226,7 +264,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     pairs = stars.join(class_of.withColumnRenamed("k", "a"), "v").join(class_of.select(F.col("v").alias("w"), F.col("k").alias("b")), "w").where("a <> b").select("a", "b").distinct()
     for side in "ab":
         pairs = pairs.join(info.select(F.col("k").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", *names)]), side)
-    best = pairs.where(may).groupBy("a").agg(F.min_by(F.struct("b", "n_a", "n_b"), F.struct(_differ("a", "b"), "b")).alias("x")).select("a", "x.*")
+    likely = _near(pairs.where(may).select("a", "b", "n_a", "n_b"), wide, num, den)
+    best = likely.groupBy("a").agg(F.min_by(F.struct("b", "n_a", "n_b"), F.struct("far", "b")).alias("x")).select("a", "x.*")
     flip = F.col("a") > F.col("b")
     order = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(flip, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(flip, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b")]
     first = cut(_linked(best.select(order).distinct(), classes_of, docs, size, num, den))
@@ -239,7 +278,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     open_ = cut(apart.join(info, "k"))
     a, b = (open_.select("segment", *[F.col(c).alias(f"{c}_{side}") for c in ("k", "component", "n", *names)]) for side in "ab")
     rest_pairs = a.join(b, "segment").where((F.col("k_a") < F.col("k_b")) & (F.col("component_a") != F.col("component_b")) & may)
-    rest = _linked(rest_pairs.select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), "n_a", "n_b").distinct(), classes_of, docs, size, num, den)
+    likely = _near(rest_pairs.select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), "n_a", "n_b").distinct(), wide, num, den)
+    rest = _linked(likely.drop("far"), classes_of, docs, size, num, den)
     label = components(first.union(rest)).withColumnRenamed("id", "k")
 
     # names are settled among classes first; a stored table lets Spark split the rows of a class with many copies

@@ -141,6 +141,15 @@ def test_jaccard_segments_meet():
                     assert np.intersect1d(cuts.segments(a), cuts.segments(b)).size, (num, n, cut)
 
 
+def test_jaccard_sketches_bound_the_difference():
+    r = np.random.default_rng(3)
+    for n, m in ((5, 5), (40, 44), (900, 1100), (3000, 3001)):
+        a = np.unique(r.integers(0, 2**63, n, np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], r.integers(0, 2**63, m - n // 2, np.uint64)]))
+        far = jaccard.wide_difference(jaccard._wide(a, 80, 100), jaccard._wide(b, 80, 100))
+        assert 0 < far <= len(np.setxor1d(a, b)) and jaccard.wide_difference(jaccard._wide(a, 80, 100), jaccard._wide(a, 90, 100)) == 0
+
+
 def test_jaccard_keeps_one(spark):
     texts = ["a b c d e f g", None, "q r s t u v w", "a b c d e f g", "", "A B C D E F G"]
     docs = frame(spark, texts)
