@@ -25,7 +25,7 @@ from .common import map_slices, table
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
 #: Pieces whose ids a task keeps; beyond that it starts anew.
-KEPT = 600_000
+KEPT = 250_000
 #: Outside Latin-1, or white space to one library and not to the other.
 _UNUSUAL = re.compile("[^\x00-\x1b\x20-\xff]")
 

@@ -51,6 +51,18 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dic
     return df.mapInArrow(run, out)
 
 
+def map_whole_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """Like ``map_slices`` for functions that pass other columns on: slices of Arrow batches in, batches of ``schema`` out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                yield work(batch.slice(at, SLICE_ROWS))
+
+    return df.mapInArrow(run, schema)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to spark.checkpoint.dir and read it from there, so that lost executors cost nothing already done.
 

@@ -16,10 +16,13 @@ import hmac
 import re
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructType
 
-from .common import BROADCAST_ROWS, SLICE_ROWS, cut, map_slices, table
+from .common import BROADCAST_ROWS, cut, map_slices, map_whole_rows, table
 
 KEY = b"surrogates-1"
 #: Rounds in which colliding surrogates are drawn again.
@@ -290,36 +293,35 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """
     found = cut(found_entities(docs))
     later = cut(collisions(found, key))
-    kept_columns = [c for c in docs.columns if c not in ("text", "n_entities")]
     rest = docs.drop("n_entities")
-    if later.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        known = {(r["kind"], r["value"]): r["attempt"] for r in later.toLocalIterator()}
-        sent = docs.sparkSession.sparkContext.broadcast(known)
-        extra = F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>")
+    few = later.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sent = None
+    if few:
+        sent = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["value"]): r["attempt"] for r in later.toLocalIterator()})
     else:
-        sent, known = None, None
         rest = cut(rest.withColumn("_row", F.monotonically_increasing_id()))
         mentions = rest.select("_row", F.explode(_mentions()(F.col("text").cast("string"))).alias("e")).select("_row", "e.kind", "e.value").distinct()
         listed = mentions.join(later, ["kind", "value"]).groupBy("_row").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_later"))
-        rest = rest.join(listed, "_row", "left")
-        extra = F.col("_later")
-
-    @F.pandas_udf("text string, n_entities int")
-    def rewrite(texts, lists):
-        import pandas as pd
+        rest = rest.join(listed, "_row", "left").drop("_row")
+    out = StructType([f for f in docs.schema if f.name != "n_entities"]).add("n_entities", IntegerType())
+    arrow = to_arrow_schema(out)
 
+    def make():
         kept: dict = {}
-        rows = []
-        for at in range(0, len(texts), SLICE_ROWS):
-            for t, own in zip(texts.iloc[at : at + SLICE_ROWS], lists.iloc[at : at + SLICE_ROWS], strict=True):
-                if own is None:
-                    rows.append(_replace(t, sent.value if sent else {}, key, kept))
-                else:
-                    rows.append(_replace(t, {(x["kind"], x["value"]): x["attempt"] for x in own}, key, {}))
-        return pd.DataFrame({"text": [r[0] for r in rows], "n_entities": [r[1] for r in rows]}, columns=["text", "n_entities"])
-
-    done = rest.withColumn("_new", rewrite(F.col("text").cast("string"), extra))
-    return done.select(*[F.col("_new.text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c == "text" or c in kept_columns], F.col("_new.n_entities").alias("n_entities"))
+
+        def work(batch):
+            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            texts = columns["text"].to_pylist()
+            if few:
+                rows = [_replace(t, sent.value, key, kept) for t in texts]
+            else:
+                rows = [_replace(t, {(x["kind"], x["value"]): x["attempt"] for x in own or []}, key, {}) for t, own in zip(texts, columns["_later"].to_pylist(), strict=True)]
+            columns |= {"text": pa.array([r[0] for r in rows], arrow.field("text").type), "n_entities": pa.array([r[1] for r in rows], pa.int32())}
+            return pa.RecordBatch.from_arrays([columns[f.name] for f in arrow], schema=arrow)
+
+        return work
+
+    return map_whole_rows(rest, make, out)
 
 
 @cache

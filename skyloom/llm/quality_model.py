@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_slices, table
+from .common import cut, map_slices, map_whole_rows, table
 
 #: Labelled rows that the fit takes at most: those whose ids hash lowest.  A documented bound; scoring reads everything.
 MAX_LABELLED = 20_000
@@ -174,17 +174,15 @@ def score(docs: DataFrame, model: QualityModel | None) -> DataFrame:
 def keep_good(docs: DataFrame, model: QualityModel | None, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text scores at least ``least``, with all their columns."""
 
-    @F.pandas_udf("double")
-    def scores(texts):
-        import pandas as pd
+    def make():
+        def work(batch):
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            stats = np.array([statistics(t) for t in texts], float).reshape(-1, _STATS)
+            return batch.filter(pa.array((model.score(stats) if model else np.full(len(stats), 0.5)) >= least))
 
-        out = [np.empty(0)]
-        for at in range(0, len(texts), 256):
-            stats = np.array([statistics(t) for t in texts.iloc[at : at + 256]], float).reshape(-1, _STATS)
-            out.append(model.score(stats) if model else np.full(len(stats), 0.5))
-        return pd.Series(np.concatenate(out))
+        return work
 
-    return docs.where(scores(F.col("text").cast("string")) >= least)
+    return map_whole_rows(docs, make, docs.schema)
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:
