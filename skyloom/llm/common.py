@@ -18,6 +18,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Rows that Python works on at once, so that a batch's temporary arrays stay small.
 SLICE_ROWS = 256
 
+#: Arrow batches between the JVM and Python, in rows and bytes at most; Spark's own 10,000 rows and 64 MB are held several times over in each task.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+
 #: A side with at most so many rows may be broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -31,6 +34,15 @@ def id_remainder(doc_id: int | None, modulus: int) -> int:
     return 0 if doc_id is None else zlib.crc32(str(doc_id).encode()) % modulus
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session sends batches of at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` to Python, or smaller ones if it is set so."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def map_slices(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str | StructType) -> DataFrame:
     """Run Python over slices of Arrow batches.
 
@@ -48,7 +60,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dic
                 cols = work({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, out)
+    return small_batches(df).mapInArrow(run, out)
 
 
 def map_whole_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: StructType) -> DataFrame:
@@ -60,7 +72,7 @@ def map_whole_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 yield work(batch.slice(at, SLICE_ROWS))
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def cut(df: DataFrame) -> DataFrame:

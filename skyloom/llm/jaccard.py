@@ -150,7 +150,7 @@ def _sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 seen.add(key)
                 number += new
                 out["v"].append(number if new else None)
-                out["segments"].append(_signed(cuts.segments(h)) if new else None)
+                out["segments"].append(cuts.segments(h).view(np.int64) if new else None)
                 out["wide"].append(_wide(h, num, den) if new else None)
             return {"doc_id": cols["doc_id"]} | out
 
@@ -176,7 +176,7 @@ def _fragments(docs: DataFrame, size: int) -> DataFrame:
                 key = _key(h)
                 held, first = np.unique(h >> shift, return_index=True)
                 for f, part in zip(held.tolist(), np.split(h, first[1:]), strict=True):
-                    keys.append(key), at.append(f), parts.append(_signed(part))
+                    keys.append(key), at.append(f), parts.append(part.view(np.int64))
             return {"k": keys, "fragment": at, "hashes": parts}
 
         return work
@@ -305,8 +305,6 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> D
     return known.unionByName(left.where("doc_id IS NULL"))
 
 
-
-
 def op2_jaccard(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, num=90)
 
