@@ -202,6 +202,7 @@ def _near(pairs: DataFrame, wide: DataFrame, num: int, den: int) -> DataFrame:
     def far(x, y):
         return pd.Series([wide_difference(a, b) for a, b in zip(x, y, strict=True)], dtype="int64")
 
+    far = far.asNondeterministic()  # else the filter below is pushed through and measures again, with a second Python worker in each task
     for side in "ab":
         pairs = pairs.join(wide.select(F.col("k").alias(side), F.col("wide").alias(f"w_{side}")), side)
     measured = pairs.select("a", "b", "n_a", "n_b", far("w_a", "w_b").alias("far"))
