@@ -49,9 +49,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     left = F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0))
     heavy = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0))
     # the level at which this and all later sources would share what is left
-    found = weighed.withColumn("left", left).withColumn("heavy", heavy)
+    found = weighed.withColumn("left", left).withColumn("heavy", heavy).withColumn("pos", F.row_number().over(full))
     open_ = F.col("left") * F.col("w") < F.col("most") * F.col("heavy")
-    level = found.withColumn("level", F.min(F.when(open_, F.struct((F.col("most").cast("decimal(38,12)") / F.col("w")).alias("o"), F.col("left").alias("left"), F.col("heavy").alias("heavy")))).over(everything))
+    # the first open source in that order: of tied ones, that before whose caps are taken off
+    level = found.withColumn("level", F.min(F.when(open_, F.struct("pos", "left", "heavy"))).over(everything))
     share = F.col("w") * F.col("level.left").cast("double") / F.col("level.heavy").cast("double")
     return level.select("source", "source_size", F.when(F.col("level").isNull(), F.col("most").cast("double")).otherwise(F.least(F.col("most").cast("double"), share)).alias("target"))
 

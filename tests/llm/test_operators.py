@@ -83,6 +83,14 @@ def test_mixing_awkward(spark):
     assert [(x.size, x.target, x.copies) for x in blank] == [(0, 0.0, 0)] * 3
 
 
+@pytest.mark.parametrize("sizes", [{"a": 1000, "b": 2000, "c": 3000}, {"a": 1000, "b": 2000}, {"a": 10, "b": 20, "c": 3000, "d": 1000, "e": 2000}, {"a": 0, "b": 0, "c": 0}])
+def test_mixing_targets_of_tied_sources(spark, sizes):
+    rows = [(s, n) for s, n in sizes.items()]
+    out = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(rows, "source string, size long")).collect()}
+    assert out == pytest.approx(waterfill(sizes, mixing.WEIGHTS, mixing.CAP))
+    assert sum(out.values()) == pytest.approx(sum(sizes.values()))
+
+
 # 2: Jaccard
 
 
