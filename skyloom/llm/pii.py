@@ -6,7 +6,8 @@ the entity alone, so that the same entity gets the same surrogate everywhere
 and script; names keep their gender.  Number-like kinds go through a keyed
 permutation, which cannot collide; the others are checked over the whole
 corpus: a surrogate that two entities share, or that occurs as an original, is
-drawn again (distinctness).
+drawn again until none is left (distinctness).  Where a form has too few values
+for that, late draws are longer than the original.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from pyspark.sql.types import IntegerType, StructType
 from .common import BROADCAST_ROWS, cut, map_slices, map_whole_rows, table
 
 KEY = b"surrogates-1"
-#: Rounds in which colliding surrogates are drawn again.
+#: Rounds in which colliding surrogates are drawn again in the same form; in each later one they are longer by one more character.
 ROUNDS = 20
+#: Rounds after which a form that can't be longer is given up as full, with an error: more than some 10**8 addresses or numbers would have to be in use.
+MOST_ROUNDS = 200
 
 # Frequent given names by script and gender, and titles by gender.
 GIVEN = {
@@ -163,8 +166,13 @@ def _letters(value: str, key: bytes, *tweak: object) -> str:
 
 
 def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
-    """The surrogate of an entity: same kind, same form, derived from the key; ``attempt`` counts draws after collisions."""
+    """The surrogate of an entity: same kind, same form, derived from the key; ``attempt`` counts draws after collisions.
+
+    Attempts above ``ROUNDS`` lengthen mail boxes, names, secrets, phone and
+    social security numbers, whose forms may have few values.
+    """
     digits = "".join(c for c in value if c.isdigit())
+    more = max(attempt - ROUNDS, 0)
     if kind == "card":
         body = permute(int(digits[:-1]), 10 ** (len(digits) - 1), key, kind, len(digits), attempt)
         text = str(body).zfill(len(digits) - 1)
@@ -174,9 +182,12 @@ def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
         country = re.match(r"\+(\d{1,3})", value)
         fixed = country[1] if country and not value[country.end() : country.end() + 1].isdigit() else ""
         rest = digits[len(fixed) :]
-        return _refill(value, fixed + str(permute(int(rest), 10 ** len(rest), key, kind, fixed, len(rest), attempt)).zfill(len(rest)))
+        n = len(rest) + more
+        new = fixed + str(permute(int(rest), 10**n, key, kind, fixed, len(rest), attempt)).zfill(n)
+        return _refill(value, new) + new[len(digits) :]
     if kind == "ssn":
-        return _refill(value, str(permute(int(digits), 10**9, key, kind, attempt)).zfill(9))
+        new = str(permute(int(digits), 10 ** (9 + more), key, kind, attempt)).zfill(9 + more)
+        return _refill(value, new) + new[9:]
     if kind == "ipv4":
         number = int.from_bytes(bytes(map(int, value.split("."))), "big")
         plain = 2**24 <= number < 224 * 2**24  # unicast addresses stay unicast
@@ -194,7 +205,7 @@ def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
     if kind == "email":
         local, _, domain = value.rpartition("@")
         *labels, top = domain.split(".")
-        return f"{_letters(local, key, kind, domain.lower(), attempt)}@{'.'.join(_letters(x, key, 'domain', domain.lower()) for x in labels)}.{top}"
+        return f"{_letters(local + 'x' * more, key, kind, domain.lower(), attempt)}@{'.'.join(_letters(x, key, 'domain', domain.lower()) for x in labels)}.{top}"
     if kind.startswith("name"):
         script = "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in value) else "latin"
         gender = kind[5:] or "fm"[_hash(key, "gender", value) % 2]
@@ -208,8 +219,11 @@ def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
                 syllables = _SYLLABLES[script]
                 word = "".join(syllables[h // len(syllables) ** k % len(syllables)] for k in range(3 + h // 10**9 % 2))
                 out.append(word.capitalize())
+        if more:
+            h, syllables = _hash(key, kind, "more", value, attempt), _SYLLABLES[script]
+            out[-1] += "-" + "".join(syllables[h // len(syllables) ** k % len(syllables)] for k in range(1 + more)).capitalize()
         return " ".join(out)
-    return _letters(value, key, kind, attempt)
+    return _letters(value + "x" * more, key, kind, attempt)
 
 
 def _canonical(kind: str, value: str) -> str:
@@ -236,7 +250,8 @@ def collisions(found: DataFrame, key: bytes = KEY) -> DataFrame:
     """Rows (kind, value, attempt) of the entities that need a later draw, attempt 1 or more; the others take attempt 0.
 
     In each round the least entity of those that share a surrogate keeps it;
-    the rest, and any whose surrogate occurs as an original, draw again.
+    the rest, and any whose surrogate occurs as an original, draw again, until
+    there are none.
     """
 
     def draw(df: DataFrame) -> DataFrame:
@@ -251,16 +266,16 @@ def collisions(found: DataFrame, key: bytes = KEY) -> DataFrame:
 
     originals = found.select(F.col("value").alias("made")).distinct()
     drawn = cut(draw(found.withColumn("attempt", F.lit(0))))
-    for _ in range(ROUNDS):
+    for _ in range(MOST_ROUNDS):
         first = drawn.groupBy("made").agg(F.min(F.struct("attempt", "kind", "value")).alias("first"), F.count("*").alias("n"))
         shared = drawn.join(first.where("n > 1"), "made").where(F.struct("attempt", "kind", "value") != F.col("first")).select("kind", "value", "attempt")
         real = drawn.join(originals, "made", "left_semi").select("kind", "value", "attempt")
         again = cut(shared.union(real).distinct())
         if again.isEmpty():
-            break
+            return drawn.where("attempt > 0").select("kind", "value", "attempt")
         stay = drawn.join(again.select("kind", "value"), ["kind", "value"], "left_anti")
         drawn = cut(stay.union(draw(again.withColumn("attempt", F.col("attempt") + 1))))
-    return drawn.where("attempt > 0").select("kind", "value", "attempt")
+    raise RuntimeError(f"no distinct surrogates for {again.count()} entities, such as one of kind {again.first()['kind']}")
 
 
 def _replace(text: str | None, later: dict, key: bytes, kept: dict) -> tuple[str | None, int]:
@@ -276,7 +291,10 @@ def _replace(text: str | None, later: dict, key: bytes, kept: dict) -> tuple[str
             kept[entity] = surrogate(*entity, key, later.get(entity, 0))
         made = kept[entity]
         if kind == "email":  # the mention's own letter case
-            made = "".join(c.upper() if o.isupper() else c for c, o in zip(made, value, strict=True)) if len(made) == len(value) else made
+            if len(made) == len(value):
+                made = "".join(c.upper() if o.isupper() else c for c, o in zip(made, value, strict=True))
+            elif value.isupper():
+                made = made.upper()
         out += [text[at:a], made]
         at = b
     return "".join([*out, text[at:]]), len(spans)

@@ -318,6 +318,28 @@ def test_pii_collisions_are_drawn_again(spark):
     assert len(later) > 0 and len(set(short)) >= 24
 
 
+def test_pii_collisions_are_settled_in_full_spaces(spark):
+    boxes = [f"{a}@{d}.co" for d in "bc" for a in "abcdefghijklmnopqrstuvwxyz"]
+    given = pii.GIVEN["latin", "f"]
+    marks = ["--------", "-------1", "-------2"]
+    texts = [f"mail {b} now" for b in boxes] + [f"dear Mrs {g}, hello" for g in given] + [f'password="{m}" 1' for m in marks] + [f"MAIL {boxes[0].upper()} NOW"]
+    out = {x.doc_id: x.text for x in pii.pseudonymise(frame(spark, texts)).collect()}
+    made = [out[i].split()[1] for i in range(len(boxes))] + [re.search("Mrs (.*),", out[i])[1] for i in range(len(boxes), len(boxes) + len(given))]
+    made += [re.search('"(.*)"', out[i])[1] for i in range(len(made), len(made) + len(marks))]
+    assert len(set(made)) == len(made) and not set(made) & {*boxes, *given, *marks}
+    assert out[len(texts) - 1] == f"MAIL {made[0].upper()} NOW"
+    assert all(m.split("-")[0] in given for m in made[len(boxes) : len(boxes) + len(given)])
+
+
+def test_pii_late_draws_are_longer():
+    for kind, value in (("phone", "+123 12 34"), ("ssn", "123-45-6789"), ("email", "a@b.co"), ("name-f", "Anna"), ("secret", "--------")):
+        late = [pii.surrogate(kind, value, pii.KEY, pii.ROUNDS + n) for n in range(5)]
+        assert len(late[0]) == len(value) or kind.startswith("name")
+        assert len(set(late)) == 5 and len(late[4]) > len(late[1]) > len(value)
+    late = {pii.surrogate("phone", f"+123 {i // 100:02d} {i % 100:02d}", pii.KEY, pii.ROUNDS + 2) for i in range(10_000)}
+    assert len(late) == 10_000 and all(re.fullmatch(r"\+123 \d\d \d{4}", x) for x in late)
+
+
 @pytest.mark.parametrize("size", [10, 97, 1000])
 def test_pii_permutation(size):
     assert sorted(pii.permute(i, size, b"k") for i in range(size)) == list(range(size))
