@@ -3,8 +3,8 @@
 A page becomes a tree of elements.  Each paragraph earns points for its length
 and its commas and passes them to its ancestors, discounted by distance; a
 container's points are discounted by the share of its text inside links.  The
-best container is kept with those siblings that score well beside it, menus,
-adverts, notices, forms and comments having been taken out before.
+best container is kept with all that stands beside it and isn't mostly links,
+menus, adverts, notices, forms and comments having been taken out before.
 """
 
 from __future__ import annotations
@@ -198,6 +198,37 @@ def _blocks(node: Node, out: list[str]) -> None:
             stack += reversed(x.parts)
     flush()
 
+def _linked(node: Node) -> bool:
+    """Whether at least half of a node's text is inside links."""
+    return node.chars > 0 and 2 * node.link_chars >= node.chars
+
+def _beside(best: Node) -> list[Node | str]:
+    """The parts of the parent of ``best`` but for those mostly inside links; bare text and inline elements between blocks count as one."""
+    kept: list[Node | str] = []
+    run: list[Node | str] = []
+
+    def close():
+        whole = Node("p", None)
+        for x in run:
+            if isinstance(x, str):
+                whole.chars += len(x.strip())
+            elif not x.dropped:
+                whole.chars += x.chars
+                whole.link_chars += x.link_chars
+        if not _linked(whole):
+            kept.extend(run)
+        run.clear()
+
+    for c in best.parent.parts:
+        if isinstance(c, str) or c.tag not in BLOCK:
+            run.append(c)
+            continue
+        close()
+        if c is best or c.tag == "h1" or not _linked(c):  # a headline may link to its own page
+            kept.append(c)
+    close()
+    return kept
+
 def main_text(html: str | None) -> str:
     """The article of a page as blocks joined by newlines; empty if there is none."""
     if not html:
@@ -209,16 +240,14 @@ def main_text(html: str | None) -> str:
     if not holders:
         return ""
     best = max(holders, key=_score)  # ties: the first in the page
-    top = _score(best)
-    kept = [best]
+    whole = Node("div", None)
+    whole.parts = [best]
     if best.parent is not None and best.tag not in ("article", "main"):
-        least = max(10.0, 0.2 * top)
-        kept = [c for c in best.parent.parts if isinstance(c, Node) and not c.dropped and (c is best or _score(c) >= least or (c.tag in PARAGRAPH and c.chars >= 80 and c.link_chars < 0.25 * c.chars))]
+        whole.parts = _beside(best)
     elif best.tag == "article":  # a story may be split over several articles side by side
-        kept = [c for c in best.parent.parts if isinstance(c, Node) and not c.dropped and (c is best or c.tag == "article" and _score(c) >= 0.2 * top)]
+        whole.parts = [c for c in best.parent.parts if isinstance(c, Node) and c.tag == "article" and (c is best or not _linked(c))]
     out: list[str] = []
-    for node in kept:
-        _blocks(node, out)
+    _blocks(whole, out)
     return "\n".join(out)
 
 def extract_pages(pages: DataFrame) -> DataFrame:

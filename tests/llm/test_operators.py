@@ -405,6 +405,18 @@ def test_html_main_text(spark):
     assert html_extract.main_text("<div>" * 20_000 + "deep " * 30)
 
 
+def test_html_keeps_what_stands_beside_the_container():
+    long = " ".join(["Some words of a story, told at length, so that it scores."] * 40)
+    links = "".join(f"<li><a href=x>Another story, number {i}, with a long title</a></li>" for i in range(9))
+    page = f"""<body><nav>menu</nav><div id="post"><h1><a href=self>Head</a></h1>Bare <b>text</b> with <a href=x>a link</a>.<p>By one.</p>
+    <div class="body"><p>{long}</p><p>{long}</p></div><h2>Later</h2><div><p>A short section.</p></div><p>So it ends.</p>
+    <ul>{links}</ul><a href=x>Next</a> | <a href=x>Last</a><p class="promo">Buy</p></div><footer>foot</footer>"""
+    want = ["Head", "Bare text with a link.", "By one.", long, long, "Later", "A short section.", "So it ends."]
+    assert html_extract.main_text(page).split("\n") == want
+    parts = f"<main><article><p>{long}</p></article><article><p>Short end.</p></article></main>"
+    assert html_extract.main_text(parts).split("\n")[-2:] == [long, "Short end."]
+
+
 # 9: quality classifier
 
 
