@@ -247,6 +247,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     empty set and are linked with nothing: their component is their own id.  A
     null id never becomes a component's name while another is there.
     """
+    out, _, path = _grouped(docs, size, num, den)
+    _remove(docs.sparkSession, path)
+    return out
+
+
+def _grouped(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame, str]:
+    """The rows of ``near_duplicates``, and a stored table (k, least, group) with its path: each class's component by name and by a number of its own."""
     spark = docs.sparkSession
     names = [f"s{i}" for i in range(SKETCH)]
     sets, path = _stored(_sets(docs, size, num, den))
@@ -286,24 +293,47 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     # names are settled among classes first; a stored table lets Spark split the rows of a class with many copies
     of_class = classes_of.withColumnRenamed("doc_id", "own")
     least = label.join(of_class, "k").groupBy("component").agg(F.min("own").alias("least"))
-    shared = label.join(small(cut(least)), "component").select("k", "least")
-    classes, second = _stored(of_class.join(shared, "k", "left").select("k", F.coalesce("least", "own").alias("least")))
-    out = cut(sets.select("doc_id", "n_shingles", "k").join(classes, "k", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")))
-    for p in (path, met_path, second):
+    shared = label.join(small(cut(least)), "component").select("k", "least", "component")
+    classes, second = _stored(of_class.join(shared, "k", "left").select("k", F.coalesce("least", "own").alias("least"), F.coalesce("component", "k").alias("group")))
+    out = cut(sets.select("doc_id", "n_shingles", "k").join(classes.drop("group"), "k", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")))
+    for p in (path, met_path):
         _remove(spark, p)
-    return out
+    return out, classes, second
 
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` without all but the least-id document of each group of near duplicates; rows with a null id stay."""
-    groups = near_duplicates(docs, size, num, den)
+    """``docs`` without all but the least-id document of each group of near duplicates; rows with a null id stay.
+
+    Rows that share an id are told apart by their texts: one row of each group
+    stays.  Of those without words, one of each id and text stays.
+    """
+    groups, classes, path = _grouped(docs, size, num, den)
+    repeated = cut(groups.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"))
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(small(cut(gone)), F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
-        return left
-    known = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return known.unionByName(left.where("doc_id IS NULL"))
+        _remove(docs.sparkSession, path)
+        return docs.join(small(cut(gone)), F.col("doc_id") == F.col("_gone"), "left_anti")
+    repeated = small(repeated)
+    same = F.col("doc_id") == F.col("_id")
+    left = docs.join(repeated, same, "left_anti").join(small(cut(gone)), F.col("doc_id") == F.col("_gone"), "left_anti")
+    keyed = docs.join(repeated, same, "left_semi").withColumn("_k", _class_of(size)(F.col("text").cast("string")))
+    blank = keyed.where("_k IS NULL").drop("_k").dropDuplicates(["doc_id", "text"])
+    known = keyed.where("_k IS NOT NULL").dropDuplicates(["doc_id", "_k"])
+    known = known.join(classes.select(F.col("k").alias("_k"), F.col("least").alias("_least"), F.col("group").alias("_group")), "_k").where(F.col("doc_id") == F.col("_least"))
+    out = cut(left.unionByName(blank).unionByName(known.dropDuplicates(["doc_id", "_group"]).select(*docs.columns)))
+    _remove(docs.sparkSession, path)
+    return out
+
+
+def _class_of(size: int):
+    """A function of texts: the class of each, null for those without words."""
+
+    @F.pandas_udf("long")
+    def class_of(texts):
+        sets = map(Shingler(size), texts)
+        return pd.Series([_key(h) if len(h) else None for h in sets], dtype="Int64")
+
+    return class_of.asNondeterministic()  # else each filter on it measures again
 
 
 def op2_jaccard(spark, sf_dir: str) -> DataFrame:

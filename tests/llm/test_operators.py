@@ -168,6 +168,14 @@ def test_jaccard_keeps_one(spark):
     assert got(jaccard.near_duplicates(without_id)) == sorted([(None, 2, 4), (4, 2, 4), (None, 0, None)], key=repr)
 
 
+def test_jaccard_keeps_texts_that_share_an_id(spark):
+    rows = [(1, "a b c d e f g"), (1, "q r s t u v w"), (2, "A b c d e f g"), (2, "k l m n o p q"), (3, "one"), (3, None), (3, None), (3, ""), (4, "two"), (None, "two"), (None, "two"), (5, "one"), (3, "One")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(i, t and t.lower()) for i, t in got(jaccard.keep_one(docs))]
+    want = [(1, "a b c d e f g"), (1, "q r s t u v w"), (2, "k l m n o p q"), (3, "one"), (3, None), (3, ""), (4, "two"), (None, "two"), (None, "two")]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 160)] + [(7, 7), (1, 0)]
     out = common.components(spark.createDataFrame(edges, "a long, b long"))
