@@ -213,8 +213,12 @@ def _linked(pairs: DataFrame, classes_of: DataFrame, docs: DataFrame, size: int,
     """The pairs (a, b, n_a, n_b) that are links, by partial overlaps summed over fragments."""
     pairs = cut(pairs)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    one = small(cut(classes_of.join(needed, "k", "left_semi").select("doc_id").distinct()))
-    sets = _fragments(docs.select(F.col("doc_id").cast("long"), "text").join(one, "doc_id", "left_semi"), size)
+    one = cut(classes_of.join(needed, "k", "left_semi").select("doc_id").distinct())
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    sets = _fragments(rows.join(small(one), "doc_id", "left_semi"), size)
+    if not one.where("doc_id IS NULL").isEmpty():  # classes of rows without ids only: their sets are among those of all such rows
+        nameless = _fragments(rows.where("doc_id IS NULL"), size).join(small(cut(needed)), "k", "left_semi")
+        sets = sets.unionByName(nameless).groupBy("k", "fragment").agg(F.first("hashes").alias("hashes"))
     # the same exchange of the sets serves both joins
     each = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
     left = each.join(sets.select(F.col("k").alias("a"), "fragment", F.col("hashes").alias("ha")), ["a", "fragment"])

@@ -168,6 +168,14 @@ def test_jaccard_keeps_one(spark):
     assert got(jaccard.near_duplicates(without_id)) == sorted([(None, 2, 4), (4, 2, 4), (None, 0, None)], key=repr)
 
 
+def test_jaccard_links_rows_without_ids(spark):
+    w = [f"w{i}" for i in range(60)]
+    texts = [(7, w[:50]), (None, w[2:52]), (None, w[2:52]), (9, w[4:54]), (None, w[:10][::-1])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    out = got(jaccard.near_duplicates(docs, 3, 90, 100))
+    assert out == sorted([(7, 48, 7), (None, 48, 7), (None, 48, 7), (9, 48, 7), (None, 8, None)], key=repr)
+
+
 def test_jaccard_keeps_texts_that_share_an_id(spark):
     rows = [(1, "a b c d e f g"), (1, "q r s t u v w"), (2, "A b c d e f g"), (2, "k l m n o p q"), (3, "one"), (3, None), (3, None), (3, ""), (4, "two"), (None, "two"), (None, "two"), (5, "one"), (3, "One")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
