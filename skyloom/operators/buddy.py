@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..errors import ArgumentError, MissingError
 from ..functions.values import haversine
 from ..labels import CHECKS
@@ -17,14 +18,6 @@ from .qc import without_white
 METRES_PER_DEGREE = 111_194.0
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder; only where the session has none (tests) one is set."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.checkpoint()
-
-
 def pairs(stations: DataFrame, radius_m: float, same: str | None = None, max_altitude_difference: float | None = None) -> DataFrame:
     """Ordered pairs (name, buddy, distance) of stations within ``radius_m``.
 
@@ -67,13 +60,13 @@ def groups(near: DataFrame) -> DataFrame:
     Decided in rounds: a station opens once all earlier stations whose groups
     could hold it are decided against opening, and never once one of them opens.
     """
-    lists = _saved(near.select("name", "buddy").distinct())
+    lists = cut(near.select("name", "buddy").distinct())
     # an earlier station x keeps y from opening if y is among x's buddies
     blocks = lists.where("name < buddy").select(F.col("name").alias("x"), F.col("buddy").alias("y"))
-    state = _saved(lists.select("name").distinct().withColumn("opens", F.lit(None).cast("boolean")))
+    state = cut(lists.select("name").distinct().withColumn("opens", F.lit(None).cast("boolean")))
     while True:
         seen = blocks.join(state.select(F.col("name").alias("x"), F.col("opens").alias("x_opens")), "x").groupBy(F.col("y").alias("name")).agg(F.coalesce(F.bool_or("x_opens"), F.lit(False)).alias("blocked"), F.bool_and(F.coalesce(~F.col("x_opens"), F.lit(False))).alias("free"))
-        state = _saved(state.join(seen, "name", "left").select("name", F.coalesce("opens", F.when(F.coalesce("blocked", F.lit(False)), False).when(F.coalesce("free", F.lit(True)), True)).alias("opens")))
+        state = cut(state.join(seen, "name", "left").select("name", F.coalesce("opens", F.when(F.coalesce("blocked", F.lit(False)), False).when(F.coalesce("free", F.lit(True)), True)).alias("opens")))
         if state.where("opens IS NULL").isEmpty():
             break
     refs = state.where("opens").select("name")
@@ -169,8 +162,8 @@ def buddy_check(
             found = found.join(saved_by(net, found, left, stations), [*KEY, "datetime"], "left_anti")
         if white is not None:
             found = without_white(found, white)
-        found = _saved(found.withColumn("details", F.concat("details", F.lit(f" (iteration {i}/{n_iter})"))))
-        out = found if out is None else _saved(out.unionByName(found))
+        found = cut(found.withColumn("details", F.concat("details", F.lit(f" (iteration {i}/{n_iter})"))))
+        out = found if out is None else cut(out.unionByName(found))
     label = CHECKS["buddy_check_with_safetynets" if safety_nets else "buddy_check"]
     merged = out.groupBy(*KEY, "datetime").agg(F.array_join(F.array_sort(F.collect_set("details")), " | ").alias("details"))
     return merged.join(obs, [*KEY, "datetime"]).select(*KEY, "datetime", "value", F.lit(label).alias("label"), "details")
