@@ -42,16 +42,13 @@ _SPACE = re.compile(r"\s+")
 class Node:
     __slots__ = ("tag", "parent", "parts", "dropped", "by_name", "points", "chars", "link_chars", "hint")
 
-    def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
+    def __init__(self, tag: str, parent: Node | None, attributes: str = "", in_section: bool = False):
         self.tag, self.parent, self.parts = tag, parent, []
         self.points, self.chars, self.link_chars, self.hint = 0.0, 0, 0, 0
         self.dropped = tag in DROPPED
         self.by_name = False
         if tag == "header":  # a page's header, not an article's
-            up = parent
-            while up is not None and up.tag not in ("article", "main", "section"):
-                up = up.parent
-            self.dropped = up is None
+            self.dropped = not in_section
         if attributes:
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
             names = {w.lower() for k in ("class", "id", "role") for w in _WORD.findall(found.get(k, ""))}
@@ -62,12 +59,40 @@ class Node:
                 self.by_name = bool(names & UNLIKELY) or any(n.startswith(UNLIKELY_STARTS) for n in names)
                 self.dropped = self.by_name or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
 
+
+class _Open:
+    """The open elements, with the places of each tag and of block elements among them, so that no search walks through a deep page."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.blocks = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element with one of these tags, 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, place: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.nodes) > place:
+            node = self.nodes.pop()
+            self.at[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+
 def parse(html: str) -> Node:
     """The tree of a page.  Unclosed and stray tags are mended as browsers do: block tags end an open paragraph, end tags close what lies inside."""
-    root = here = Node("html", None)
+    root = Node("html", None)
+    open_ = _Open(root)
     at, low = 0, None
     while at < len(html):
         m = _TOKEN.search(html, at)
+        here = open_.nodes[-1]
         if m is None:
             here.parts.append(html[at:])
             break
@@ -75,43 +100,34 @@ def parse(html: str) -> Node:
             here.parts.append(html[at : m.start()])
         at = m.end()
         if m[1]:  # an end tag
-            tag = m[1].lower()
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            if place := open_.last(m[1].lower()):
+                open_.close(place)
         elif m[2]:
             tag = m[2].lower()
             if tag in ("html", "body"):
                 continue
-            if tag in CLOSES_P:
-                node = here
-                while node is not root and node.tag != "p" and node.tag not in BLOCK:
-                    node = node.parent
-                if node.tag == "p":
-                    here = node.parent
-            if tag in OWN_KIND:
-                node = here
-                while node is not root and node.tag != tag and node.tag not in OWN_KIND[tag]:
-                    node = node.parent
-                if node.tag == tag and node is not root:
-                    here = node.parent
-            node = Node(tag, here, m[3])
+            if tag in CLOSES_P and open_.blocks and open_.nodes[open_.blocks[-1]].tag == "p":
+                open_.close(open_.blocks[-1])
+            if tag in OWN_KIND and (place := open_.last(tag)) > open_.last(*OWN_KIND[tag]):
+                open_.close(place)
+            here = open_.nodes[-1]
+            node = Node(tag, here, m[3], tag == "header" and bool(open_.last("article", "main", "section")))
             here.parts.append(node)
             if tag in RAW:
                 low = html.lower() if low is None else low
                 end = low.find(f"</{tag}", at)
                 at = len(html) if end < 0 else end
-                here = node
+                open_.push(node)
             elif tag not in VOID:
-                here = node
-        elif m[0].startswith("</") or m[0] == "<":
-            pass
+                open_.push(node)
     return root
 
+
 def _spare(root: Node) -> None:
-    """Takes back a drop by name where it would take the story: a frame named after its sidebar, say, that holds an article, or the heading and half of all text."""
+    """Takes back a drop by name where it would take the story: a frame named after its sidebar, say, that holds an article, or the heading and half of all text.
+
+    Where nothing would be left, it is taken back for elements whose names speak of a story too.
+    """
     if not any(isinstance(c, Node) for c in root.parts):
         return
     order, stack = [], [root]
@@ -132,16 +148,20 @@ def _spare(root: Node) -> None:
     for node in order:
         if node.by_name and (story[id(node)] or heading[id(node)] and 2 * size[id(node)] >= size[id(root)]):
             node.dropped = False
+    left: dict[int, int] = {}
+    for node in reversed(order):
+        left[id(node)] = 0 if node.dropped else sum(len(p.strip()) for p in node.parts if isinstance(p, str)) + sum(left[id(c)] for c in node.parts if isinstance(c, Node))
+    if not left[id(root)]:
+        for node in order:
+            node.dropped = node.dropped and not (node.by_name and node.hint)
 
-def _inherit(node: Node, points: float) -> None:
-    """Pass a paragraph's points to its ancestors: all to the parent, half to the next, a third of that by depth."""
-    up, level = node.parent, 0
-    while up is not None:
-        up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-        up, level = up.parent, level + 1
 
 def _measure(root: Node) -> list[Node]:
-    """Sums characters bottom-up and scores paragraphs; returns all kept elements in page order."""
+    """Sums characters bottom-up and scores paragraphs; returns all kept elements in page order.
+
+    A paragraph's points go to its parent, half of them to the next ancestor,
+    and so on, halved at each step.
+    """
     order, stack = [], [(root, False)]
     while stack:
         node, link = stack.pop()
@@ -150,7 +170,7 @@ def _measure(root: Node) -> list[Node]:
         order.append((node, link or node.tag == "a"))
         stack += [(c, link or node.tag == "a") for c in reversed(node.parts) if isinstance(c, Node)]
     own: dict[int, list] = {}
-    for node, link in reversed(order):
+    for node, link in reversed(order):  # a node's points are complete when its turn comes
         text = "".join(p for p in node.parts if isinstance(p, str))
         n, commas = len(text.strip()), text.count(",") + text.count("，") + text.count("、")
         for c in node.parts:
@@ -163,15 +183,20 @@ def _measure(root: Node) -> list[Node]:
         node.chars += mine
         node.link_chars += mine if link else 0
         own[id(node)] = [n, commas]
+        passed = node.points / 2
         if n >= 25 and (node.tag in PARAGRAPH or node.tag in BLOCK):
             density = node.link_chars / max(node.chars, 1)
-            _inherit(node, (1 + commas + min(n / 100, 3)) * (1 - density))
+            passed += (1 + commas + min(n / 100, 3)) * (1 - density)
+        if node.parent is not None:
+            node.parent.points += passed
     return [node for node, _ in order]
 
+
 def _score(node: Node) -> float:
     bonus = node.hint + (25 if node.tag in ("article", "main") else 5 if node.tag in ("div", "section") else 0)
     return (node.points + (bonus if node.points or node.tag in ("article", "main") else 0)) * (1 - node.link_chars / max(node.chars, 1))
 
+
 def _blocks(node: Node, out: list[str]) -> None:
     """Appends the texts of a subtree's blocks in page order."""
     open_: list[str] = []
@@ -198,10 +223,12 @@ def _blocks(node: Node, out: list[str]) -> None:
             stack += reversed(x.parts)
     flush()
 
+
 def _linked(node: Node) -> bool:
     """Whether at least half of a node's text is inside links."""
     return node.chars > 0 and 2 * node.link_chars >= node.chars
 
+
 def _beside(best: Node) -> list[Node | str]:
     """The parts of the parent of ``best`` but for those mostly inside links; bare text and inline elements between blocks count as one."""
     kept: list[Node | str] = []
@@ -229,6 +256,7 @@ def _beside(best: Node) -> list[Node | str]:
     close()
     return kept
 
+
 def main_text(html: str | None) -> str:
     """The article of a page as blocks joined by newlines; empty if there is none."""
     if not html:
@@ -250,6 +278,7 @@ def main_text(html: str | None) -> str:
     _blocks(whole, out)
     return "\n".join(out)
 
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Rows (page_id, url, text, n_chars) of the whole html of each page.
 
@@ -266,5 +295,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     return map_slices(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")), make, "page_id long, url string, text string, n_chars long")
 
+
 def op8_html(spark, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
