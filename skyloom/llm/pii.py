@@ -2,12 +2,15 @@
 
 Detected entities are replaced by surrogates that a secret key derives from
 the entity alone, so that the same entity gets the same surrogate everywhere
-(coreference).  Digits, letters and separators keep their places, letter case
-and script; names keep their gender.  Number-like kinds go through a keyed
-permutation, which cannot collide; the others are checked over the whole
-corpus: a surrogate that two entities share, or that occurs as an original, is
-drawn again until none is left (distinctness).  Where a form has too few values
-for that, late draws are longer than the original.
+(coreference).  A person's given and family names are entities of their own,
+so a name keeps its surrogate whatever stands before or beside it; letter case
+and, in numbers, separators don't count.  Digits, letters and separators keep
+their places, letter case and script; given names keep their gender.  Values
+of one form go through a keyed permutation of that form, which cannot collide.
+What remains is checked over the whole corpus: a surrogate that two entities
+share, or that occurs as an original, is drawn again until none is left
+(distinctness).  Where a form has too few values for that, late draws are
+longer than the original.
 """
 
 from __future__ import annotations
@@ -27,14 +30,14 @@ from .common import BROADCAST_ROWS, cut, map_slices, map_whole_rows, table
 
 KEY = b"surrogates-1"
 #: Rounds in which colliding surrogates are drawn again in the same form; in each later one they are longer by one more character.
-ROUNDS = 20
+ROUNDS = 4
 #: Rounds after which a form that can't be longer is given up as full, with an error: more than some 10**8 addresses or numbers would have to be in use.
 MOST_ROUNDS = 200
 
 # Frequent given names by script and gender, and titles by gender.
 GIVEN = {
-    ("latin", "f"): "Alice Amelia Anna Barbara Catherine Charlotte Claire Elena Elizabeth Emily Emma Hannah Isabella Jessica Julia Karen Laura Linda Lucia Margaret Maria Martina Mary Monica Nancy Olivia Patricia Rachel Rebecca Sandra Sarah Sofia Sophie Susan Teresa Victoria".split(),
-    ("latin", "m"): "Alexander Andrew Antonio Benjamin Carlos Charles Christopher Daniel David Edward Francisco George Hans Henry Jacob James John Joseph Juan Julian Klaus Lucas Manuel Mark Martin Matthew Michael Miguel Nicolas Oliver Patrick Paul Pedro Peter Philip Richard Robert Samuel Stefan Thomas William Wolfgang".split(),
+    ("latin", "f"): "Alice Amelia Ana Anna Anne Barbara Camille Carmen Catherine Charlotte Claire Elena Elizabeth Emily Emma Hannah Isabella Jessica Julia Karen Laura Linda Lucia Margaret Maria María Marie Martina Mary Monica Nancy Olivia Patricia Rachel Rebecca Sandra Sarah Sofia Sophie Susan Teresa Victoria".split(),
+    ("latin", "m"): "Alexander Andrew André Antonio Benjamin Carlos Charles Christopher Daniel David Edward Francisco François George Hans Henry Jacob James Jean John José Joseph Juan Jürgen Julian Klaus Louis Lucas Luis Manuel Mark Martin Matthew Michael Miguel Nicolas Oliver Patrick Paul Pedro Peter Philip Pierre René Richard Robert Samuel Stefan Thomas William Wolfgang".split(),
     ("cyrillic", "f"): "Анна Вера Галина Дарья Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна".split(),
     ("cyrillic", "m"): "Александр Алексей Андрей Борис Виктор Дмитрий Иван Михаил Николай Павел Сергей Юрий".split(),
 }
@@ -43,13 +46,18 @@ TITLES = {
     "m": "Mr Sir Herr Monsieur Señor Sr Господин".split(),
     "": "Dr Prof".split(),
 }
-_SYLLABLES = {
-    "latin": [a + b for a in "b d f g h k l m n p r s t v w".split() for b in "a e i o u".split()],
-    "cyrillic": [a + b for a in "б в г д з к л м н п р с т".split() for b in "а е и о у".split()],
-}
+#: Words after which two capitalised words or more are a person's name, whatever they are.
+_CONTEXT = ["my name is", "my name's", "full name:", "name:", "signed by", "contact person:", "attn:", "mein name ist", "ich heiße", "je m'appelle", "mon nom est", "me llamo", "mi nombre es", "nombre:", "nom:"]
+_CALLED = ["call", "phone", "tel", "telephone", "fax", "mobile", "cell", "dial", "telefon", "téléphone", "teléfono", "llame al", "appelez le"]
+#: Letters that replace one another, by script and sound: a letter's class keeps the sound of a word.
+_CLASSES = ["bcdfghjklmnpqrstvwxz", "aeiouy", "àáâãäåèéêëìíîïòóôõöøùúûüæ", "çñðþ", "бвгджзклмнпрстфхцчшщ", "аеёиоуыэюя"]
+#: Country codes of two digits; 1 and 7 have one, all others three.
+_COUNTRIES = {*"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 
 _UP, _LOW = "A-ZÀ-ÖØ-ÞА-ЯЁ", "a-zß-öø-ÿа-яё"
 _SURNAME = rf"[{_UP}][{_LOW}]+(?:[-'’][{_UP}][{_LOW}]+)*"
+_CAPITALS = rf"[{_UP}]{{2,}}(?:[-'’][{_UP}]{{2,}})*"
+_GAP = "[ \\t]{1,3}"
 _GIVEN_GENDER = {n: g for (_, g), names in GIVEN.items() for n in names}
 _TITLE_GENDER = {t: g for g, titles in TITLES.items() for t in titles}
 
@@ -67,21 +75,41 @@ PATTERNS = [
     ("ssn", re.compile(r"(?<![\d-])(?P<v>\d{3}-\d{2}-\d{4})(?![\d-])"), None),
     ("phone", re.compile(r"(?<![\w+])(?P<v>\+\d{1,3}@(?:\(\d{1,4}\)@)?\d{2,4}(?:@\d{2,4}){1,4}|\(\d{3}\)@\d{3}[.\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\w])".replace("@", _BETWEEN)), None),
     ("card", re.compile(r"(?<![\d.\-])(?P<v>\d(?:[ \-]?\d){12,18})(?![\d\-]|\.\d)"), None),
-    ("name", re.compile(rf"\b(?P<t>{'|'.join(_TITLE_GENDER)})\b\.? (?P<v>{_SURNAME}(?: {_SURNAME})?)"), None),
-    ("name", re.compile(rf"\b(?P<v>(?:{'|'.join(_GIVEN_GENDER)}) {_SURNAME})\b"), None),
+    ("phone", re.compile(r"(?<![\w+.\-])(?P<v>0\d{1,4}[ \-]\d{3,4}[ \-]?\d{3,4})(?![\w\-]|\.\d)"), None),
+    ("phone", re.compile(rf"(?i)\b(?:{'|'.join(_CALLED)})\b[.:]?\s*(?:(?:me|us|at|on|is|no|number|nummer|numéro|número|under|au)\b[.:]?\s*){{0,3}}(?P<v>\(?\d(?:[ .\-()]{{0,2}}\d){{6,13}})(?![\w\-]|\.\d)"), None),
+    ("name", re.compile(rf"\b(?P<t>{'|'.join(_TITLE_GENDER)})\b\.?{_GAP}(?P<v>(?:{_SURNAME}|{_CAPITALS})(?:{_GAP}(?:{_SURNAME}|{_CAPITALS}))?)"), None),
+    ("name", re.compile(rf"\b(?P<v>(?:{'|'.join(_GIVEN_GENDER)}){_GAP}{_SURNAME})\b"), None),
+    ("name", re.compile(rf"\b(?P<v>(?:{'|'.join(n.upper() for n in _GIVEN_GENDER)}){_GAP}{_CAPITALS})\b"), None),
+    ("name", re.compile(rf"\b(?i:{'|'.join(_CONTEXT)})\s*(?P<v>{_SURNAME}(?:{_GAP}{_SURNAME}){{1,2}})"), ("name", "nom", "signed by", "contact person", "attn", "heiße", "je m", "llamo")),
 ]
 _DIGIT = re.compile(r"\d")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_NAMED = {*_TITLE_GENDER, *_GIVEN_GENDER}
+_NAMED = {*_TITLE_GENDER, *_GIVEN_GENDER, *(n.upper() for n in _GIVEN_GENDER)}
+_PART = re.compile(rf"{_SURNAME}|{_CAPITALS}")
+_LONE = re.compile(rf"(?<![\w'’-])(?:{_SURNAME}|{_CAPITALS})(?![\w-]|['’][{_UP}])")
+
+
+def _name_parts(value: str, start: int) -> list[tuple[int, int, str, str]]:
+    """The given and family names of a full name, each an entity: kinds given-f, given-m and name."""
+    out = []
+    for m in _PART.finditer(value):
+        gender = _GIVEN_GENDER.get(m[0].title())
+        out.append((start + m.start(), start + m.end(), f"given-{gender}" if gender else "name", m[0]))
+    return out
 
 
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
-    """Non-overlapping (start, end, kind, value) of a whole text in order; names carry their gender in the kind, as in ``name-f``."""
+    """Non-overlapping (start, end, kind, value) of a whole text in order; a name gives an entity for each of its parts.
+
+    A family name that a full name or a title has shown stands for the person
+    in the rest of the text too, alone as well.
+    """
     if not text:
         return []
     digits, low = bool(_DIGIT.search(text)), None
     names = not _NAMED.isdisjoint(_LETTERS.findall(text))
     found: list[tuple[int, int, str, str]] = []
+    family: set[str] = set()
     rest = text  # what earlier kinds have taken is blotted out, so that a later one ends there
     for kind, pattern, needs in PATTERNS:
         if needs is None:
@@ -93,18 +121,22 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
                 continue
         here = []
         for m in pattern.finditer(rest):
-            value, label = m["v"], kind
+            value = m["v"]
             if kind == "iban" and not _iban_ok(value):
                 continue
             if kind == "phone" and not 7 <= sum(c.isdigit() for c in value) <= 15:
                 continue
             if kind == "name":
-                gender = _TITLE_GENDER.get(m.groupdict().get("t") or "", "") or _GIVEN_GENDER.get(value.split(" ")[0], "")
-                label = f"name-{gender}"
-            here.append((*m.span("v"), label, value))
+                parts = _name_parts(value, m.start("v"))
+                family.update(p[3].title() for p in parts if p[2] == "name")
+                here += parts
+            else:
+                here.append((*m.span("v"), kind, value))
         for x, y, *_ in here:
             rest = f"{rest[:x]}{chr(0) * (y - x)}{rest[y:]}"
         found += here
+    if family:
+        found += [(*m.span(), "name", m[0]) for m in _LONE.finditer(rest) if m[0].title() in family]
     return sorted(found)
 
 
@@ -140,54 +172,63 @@ def _iban_ok(value: str) -> bool:
 def _refill(value: str, digits: str) -> str:
     """``value`` with its digits replaced one by one."""
     it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in value)
-
-
-def _letters(value: str, key: bytes, *tweak: object) -> str:
-    """Letters and digits replaced by keyed ones of the same class and case; the rest stays."""
-    stream, out = _hash(key, value, *tweak), []
-    hexadecimal = len(value) >= 16 and not value.isdigit() and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value)
-    for i, c in enumerate(value):
-        if i % 24 == 23:
-            stream = _hash(key, i, value, *tweak)
-        if hexadecimal:
-            stream, r = divmod(stream, 16)
-            out.append("0123456789abcdef"[r] if value == value.lower() else "0123456789ABCDEF"[r])
-        elif c.isdigit():
-            stream, r = divmod(stream, 10)
-            out.append(str(r))
-        elif c.isalpha():
-            alphabet = "абвгдежзиклмнопрстуфхцчшэюя" if "Ѐ" <= c <= "ӿ" else "abcdefghijklmnopqrstuvwxyz"
-            stream, r = divmod(stream, len(alphabet))
-            out.append(alphabet[r].upper() if c.isupper() else alphabet[r])
-        else:
-            out.append(c)
-    return "".join(out)
+    return "".join(next(it) if c in "0123456789" else c for c in value)
 
 
-def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
-    """The surrogate of an entity: same kind, same form, derived from the key; ``attempt`` counts draws after collisions.
+def _classes(names: bool) -> dict[str, str]:
+    """The letters that may replace a letter: those of its sound in names, all of its script elsewhere."""
+    groups = _CLASSES if names else ["abcdefghijklmnopqrstuvwxyz", *_CLASSES[2:4], _CLASSES[4] + _CLASSES[5]]
+    return {c: g for g in groups for c in g}
 
-    Attempts above ``ROUNDS`` lengthen mail boxes, names, secrets, phone and
-    social security numbers, whose forms may have few values.
-    """
+
+_SOUNDS, _SCRIPTS = _classes(True), _classes(False)
+_HEX = re.compile(r"(?=.*[a-f])(?=.*\d)[0-9a-f]{16,}|(?=.*[A-F])(?=.*\d)[0-9A-F]{16,}")
+
+
+def _letters(value: str, key: bytes, *tweak: object, names: bool = False) -> str:
+    """Letters and digits replaced by others of their class and case by a keyed permutation of all values of this form; the rest stays."""
+    classes = _SOUNDS if names else _SCRIPTS
+    if _HEX.fullmatch(value):
+        digits = "0123456789abcdef" if value == value.lower() else "0123456789ABCDEF"
+        form, choice = ["hex"] * len(value), [digits] * len(value)
+    else:
+        choice = ["0123456789" if c in "0123456789" else classes.get(c) or (classes[c.lower()].upper() if c.lower() in classes and len(classes[c.lower()].upper()) == len(classes[c.lower()]) else c) for c in value]
+        form = [x[0] if len(x) > 1 else x for x in choice]
+    number, size = 0, 1
+    for c, x in zip(value, choice, strict=True):
+        number, size = number * len(x) + x.index(c), size * len(x)
+    if size == 1:
+        return value
+    number, out = permute(number, size, key, "".join(form), *tweak), []
+    for x in reversed(choice):
+        number, r = divmod(number, len(x))
+        out.append(x[r])
+    return "".join(reversed(out))
+
+
+def _country(value: str) -> str:
+    """The country code of a canonical number that has one."""
+    if not value.startswith("+"):
+        return ""
+    return value[1 : 2 if value[1] in "17" else 3 if value[1:3] in _COUNTRIES else 4]
+
+
+def _draw(kind: str, value: str, key: bytes, attempt: int) -> str:
+    """The surrogate of a canonical value, canonical too."""
     digits = "".join(c for c in value if c.isdigit())
     more = max(attempt - ROUNDS, 0)
     if kind == "card":
         body = permute(int(digits[:-1]), 10 ** (len(digits) - 1), key, kind, len(digits), attempt)
         text = str(body).zfill(len(digits) - 1)
         # a valid number stays valid, an invalid one as far from valid as before
-        return _refill(value, text + str((_luhn(text) + int(digits[-1]) - _luhn(digits[:-1])) % 10))
+        return text + str((_luhn(text) + int(digits[-1]) - _luhn(digits[:-1])) % 10)
     if kind == "phone":
-        country = re.match(r"\+(\d{1,3})", value)
-        fixed = country[1] if country and not value[country.end() : country.end() + 1].isdigit() else ""
+        fixed = _country(value)
         rest = digits[len(fixed) :]
         n = len(rest) + more
-        new = fixed + str(permute(int(rest), 10**n, key, kind, fixed, len(rest), attempt)).zfill(n)
-        return _refill(value, new) + new[len(digits) :]
+        return ("+" if value.startswith("+") else "") + fixed + (str(permute(int(rest), 10**n, key, kind, fixed, len(rest), attempt)).zfill(n) if rest else "")
     if kind == "ssn":
-        new = str(permute(int(digits), 10 ** (9 + more), key, kind, attempt)).zfill(9 + more)
-        return _refill(value, new) + new[9:]
+        return str(permute(int(digits), 10 ** (9 + more), key, kind, attempt)).zfill(9 + more)
     if kind == "ipv4":
         number = int.from_bytes(bytes(map(int, value.split("."))), "big")
         plain = 2**24 <= number < 224 * 2**24  # unicast addresses stay unicast
@@ -197,42 +238,67 @@ def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
             out = permute(out, 2**32, key, kind, plain, attempt)
         return ".".join(map(str, out.to_bytes(4, "big")))
     if kind == "iban":
-        flat = value.replace(" ", "")
-        body = _letters(flat[4:], key, kind, attempt)
-        check = 98 - int("".join(str(int(c, 36)) for c in body + flat[:2] + "00")) % 97
-        it = iter(f"{flat[:2]}{check:02d}{body}")
-        return "".join(c if c == " " else next(it) for c in value)
+        body = _letters(value[4:], key, kind, value[:2], attempt)
+        check = 98 - int("".join(str(int(c, 36)) for c in body + value[:2] + "00")) % 97
+        return f"{value[:2]}{check:02d}{body}"
     if kind == "email":
         local, _, domain = value.rpartition("@")
         *labels, top = domain.split(".")
-        return f"{_letters(local + 'x' * more, key, kind, domain.lower(), attempt)}@{'.'.join(_letters(x, key, 'domain', domain.lower()) for x in labels)}.{top}"
-    if kind.startswith("name"):
+        return f"{_letters(local + 'x' * more, key, kind, domain, more, attempt)}@{'.'.join(_letters(x, key, 'domain') for x in labels)}.{top}"
+    if kind.startswith("given"):
         script = "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in value) else "latin"
-        gender = kind[5:] or "fm"[_hash(key, "gender", value) % 2]
-        out = []
-        for i, part in enumerate(value.split(" ")):
-            h = _hash(key, kind, i, part, value if attempt else "", attempt)
-            if i == 0 and part in _GIVEN_GENDER:
-                names = GIVEN[script, gender]
-                out.append(names[h % len(names)])
-            else:
-                syllables = _SYLLABLES[script]
-                word = "".join(syllables[h // len(syllables) ** k % len(syllables)] for k in range(3 + h // 10**9 % 2))
-                out.append(word.capitalize())
-        if more:
-            h, syllables = _hash(key, kind, "more", value, attempt), _SYLLABLES[script]
-            out[-1] += "-" + "".join(syllables[h // len(syllables) ** k % len(syllables)] for k in range(1 + more)).capitalize()
-        return " ".join(out)
-    return _letters(value + "x" * more, key, kind, attempt)
+        names = GIVEN[script, kind[6:]]
+        out = names[permute(names.index(value), len(names), key, kind, script, attempt)]
+        return out + ("-" + _letters("ба" * more if script == "cyrillic" else "ba" * more, key, kind, value, attempt, names=True).capitalize() if more else "")
+    if kind == "name":
+        low = _letters(value.lower() + ("ба" if re.search("[а-яё]", value.lower()) else "ba") * more, key, kind, more, attempt, names=True)
+        return "".join(c.upper() if i < len(value) and value[i].isupper() else c for i, c in enumerate(low))
+    return _letters(value + "x" * more, key, kind, more, attempt)
 
 
 def _canonical(kind: str, value: str) -> str:
-    """What makes two mentions the same entity: letter case of mail addresses and separators of numbers don't count."""
+    """What makes two mentions the same entity: letter case of mail addresses and names, and separators of numbers, don't count."""
     if kind == "email":
         return value.lower()
+    if kind in ("card", "ssn", "phone"):
+        return ("+" if value.startswith("+") else "") + "".join(c for c in value if c in "0123456789")
+    if kind == "iban":
+        return value.replace(" ", "")
+    if kind == "name" or kind.startswith("given"):
+        return value.title() if value.isupper() else value
     return value
 
 
+def _written(kind: str, value: str, made: str) -> str:
+    """The canonical surrogate ``made`` in the spelling of the mention ``value``."""
+    if kind in ("card", "ssn", "phone"):
+        new = made.lstrip("+")
+        return _refill(value, new) + new[sum(c in "0123456789" for c in value) :]
+    if kind == "iban":
+        it = iter(made)
+        return "".join(c if c == " " else next(it) for c in value)
+    if kind == "email" and len(made) == len(value):
+        return "".join(c.upper() if o.isupper() else c for c, o in zip(made, value, strict=True))
+    if kind in ("email", "name") or kind.startswith("given"):
+        return made.upper() if value.isupper() else made
+    return made
+
+
+def surrogate(kind: str, value: str, key: bytes = KEY, attempt: int = 0) -> str:
+    """The surrogate of an entity: same kind, same form and spelling, derived from the key; ``attempt`` counts draws after collisions.
+
+    Attempts above ``ROUNDS`` lengthen mail boxes, names, secrets, phone and
+    social security numbers, whose forms may have few values.  The parts of a
+    full name (kinds name-f, name-m, name-) are replaced one by one.
+    """
+    if kind.startswith("name-"):
+        out = value
+        for x, y, part, word in reversed(_name_parts(value, 0)):
+            out = out[:x] + surrogate(part, word, key, attempt) + out[y:]
+        return out
+    return _written(kind, value, _draw(kind, _canonical(kind, value), key, attempt))
+
+
 def found_entities(docs: DataFrame) -> DataFrame:
     """Distinct (kind, value) of all texts, reduced inside each task before the shuffle."""
 
@@ -288,13 +354,8 @@ def _replace(text: str | None, later: dict, key: bytes, kept: dict) -> tuple[str
         if entity not in kept:
             if len(kept) > 100_000:
                 kept.clear()
-            kept[entity] = surrogate(*entity, key, later.get(entity, 0))
-        made = kept[entity]
-        if kind == "email":  # the mention's own letter case
-            if len(made) == len(value):
-                made = "".join(c.upper() if o.isupper() else c for c, o in zip(made, value, strict=True))
-            elif value.isupper():
-                made = made.upper()
+            kept[entity] = _draw(*entity, key, later.get(entity, 0))
+        made = _written(kind, value, kept[entity])
         out += [text[at:a], made]
         at = b
     return "".join([*out, text[at:]]), len(spans)
