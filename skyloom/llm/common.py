@@ -6,11 +6,13 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..checkpoints import cut
+
 #: Fixed values of the contracts: a word, and white space inside a text.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -24,6 +26,9 @@ BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 #: A side with at most so many rows may be broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
 
+#: Words of 64 bits of a Bloom filter, which is broadcast as so many rows at most (some 50 MB).
+BLOOM_WORDS = 1 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -75,20 +80,62 @@ def map_whole_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
     return small_batches(df).mapInArrow(run, schema)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to spark.checkpoint.dir and read it from there, so that lost executors cost nothing already done.
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Hint a broadcast if ``df`` has at most ``rows`` (``BROADCAST_ROWS``) narrow rows; otherwise leave the join to shuffle both sides."""
+    rows = BROADCAST_ROWS if rows is None else rows
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def _marks(column: str) -> tuple[Column, Column]:
+    """Where an id stands in a Bloom filter of ``BLOOM_WORDS`` words: its word, and two bits of it."""
+    h = F.xxhash64(F.col(column).cast("long"))
+    bit = lambda shift: F.call_function("shiftleft", F.lit(1).cast("long"), (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(63))).cast("int"))
+    return F.pmod(h, F.lit(BLOOM_WORDS)), bit(50).bitwiseOR(bit(56))
+
 
-    The folder is the session's own; only where none is set (tests) one is made.
+def _flagged(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``df`` with ``_hit``: whether ``column`` may be among ``ids`` (one column); false only for those that are not.
+
+    The filter is a broadcast table of at most ``BLOOM_WORDS`` rows however
+    many ids there are; more ids let more others through.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.checkpoint(eager=True)
+    (name,) = ids.columns
+    word, bits = _marks(name)
+    words = ids.select(word.alias("_word"), bits.alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    at, own = _marks(column)
+    return df.join(F.broadcast(words), at == F.col("_word"), "left").withColumn("_hit", F.coalesce(F.col(column).isNotNull() & (F.col("_bits").bitwiseAND(own) == own), F.lit(False))).drop("_word", "_bits")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if ``df`` has at most ``rows`` narrow rows; otherwise leave the join to shuffle both sides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def may_hold(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is among ``ids`` (one column, distinct), and perhaps a few others; no row of ``df`` is shuffled."""
+    (name,) = ids.columns
+    known = small(ids)
+    if known is not ids:
+        return df.join(known.withColumnRenamed(name, "_id"), F.col(column) == F.col("_id"), "left_semi")
+    return _flagged(df, column, ids).where("_hit").drop("_hit")
+
+
+def without(df: DataFrame, column: str, gone: DataFrame, every: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is null or not among ``gone`` (one column, distinct).
+
+    ``every`` has all values of the column.  Beyond a broadcast, a Bloom filter
+    lets most rows pass; ids that it holds by mistake are sought among
+    ``every`` and broadcast.  Only if those are too many, the rows it holds are
+    shuffled; the others never are.
+    """
+    (name,) = gone.columns
+    gone = gone.withColumnRenamed(name, "_gone")
+    known, same = small(gone), F.col(column) == F.col("_gone")
+    if known is not gone:
+        return df.join(known, same, "left_anti")
+    (own,) = every.columns
+    mistaken = cut(_flagged(every.withColumnRenamed(own, "_kept"), "_kept", gone).where("_hit").select("_kept").distinct().join(gone, F.col("_kept") == F.col("_gone"), "left_anti"))
+    flagged = _flagged(df, column, gone)
+    few = small(mistaken)
+    if few is not mistaken:
+        stays = flagged.join(few.withColumn("_stays", F.lit(True)), F.col(column) == F.col("_kept"), "left")
+        return stays.where(~F.col("_hit") | F.coalesce("_stays", F.lit(False))).select(df.columns)
+    return flagged.where("NOT _hit").select(df.columns).unionByName(flagged.where("_hit").select(df.columns).join(gone, same, "left_anti"))
 
 
 def components(edges: DataFrame) -> DataFrame:

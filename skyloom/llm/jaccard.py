@@ -1,20 +1,26 @@
 """Exact Jaccard links between documents' n-gram sets, by vertical partitioning.
 
-N-grams are ordered by their 64-bit hashes.  The order is cut into fragments,
-so a set becomes one segment per fragment.  Two uses:
+N-grams have a global order: rare ones before frequent ones, then by their
+64-bit hashes.  The order is cut into fragments, so a set becomes one segment
+per fragment.  Two uses:
 
 * candidates: sets whose Jaccard is at least the threshold differ in at most d
   n-grams, so among the first d + 1 segments of each some are equal; sets meet
-  on the hashes of these (sizes are grouped, so d is tight);
+  on the hashes of these (sizes are grouped, so d is tight).  Passages that
+  many documents share stand in the last fragments, so sets that have enough
+  else don't meet on them;
 * counting: the overlaps of a candidate pair are counted fragment by fragment
   in separate rows and summed per pair, so a set never has to be in one row.
 
+Which n-grams count as frequent is estimated from a share of the documents.
+Any choice gives the same links; a good one makes fewer false candidates.
+
 Copies are one vertex: documents with equal sets share a class.  A group of
-near copies is not expanded into its pairs: each class first tests its closest
-of the two outermost classes it meets, and only pairs that are still in
-different components are tested after that, all of them.  Parity sketches, a
-narrow one inside the join and a wide one after it, bound a pair's difference
-from below, so hardly any false pair is counted.
+near copies is not expanded into its pairs: in rounds, each class tests the
+closest of the two outermost classes of other components that it meets, until
+a round links nothing.  Only pairs that are still in different components are
+tested after that, all of them.  Parity sketches inside the joins bound a
+pair's difference from below, so hardly any false pair leaves them.
 """
 
 from __future__ import annotations
@@ -28,22 +34,26 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, map_slices, small, table
+from ..checkpoints import folder
+from .common import components, cut, map_slices, may_hold, small, table, without
 from .shingles import Shingler, mix
 
 #: Ratio of the sizes at the two ends of a size group.
 GROUP = 1.4
-#: 64-bit words of a parity sketch, and fragments in which overlaps are counted.
-SKETCH, FRAGMENTS = 4, 8
-#: Bits of a wide sketch at most; it has about four for each n-gram in which a linked pair may differ.
-WIDE_BITS = 1 << 20
+#: Fragments in which overlaps are counted, and bits of a sketch at most; it has about four for each n-gram in which a linked pair may differ.
+FRAGMENTS, SKETCH_BITS = 8, 2048
+#: N-grams are frequent if at least ``FREQUENT`` documents of one in ``SHARE`` have them; at most ``MOST_FREQUENT`` are, the most frequent ones.
+SHARE, FREQUENT, MOST_FREQUENT = 16, 4, 1_000_000
+#: One long numbers a class and one of its size groups, of which it has fewer than so many.
+GROUPS = 16
 
 
 class Cuts:
-    """How sets of a size are cut, for links of num/den or more."""
+    """How sets of a size are cut, for links of num/den or more; ``frequent`` n-grams (sorted hashes) stand last."""
 
-    def __init__(self, num: int, den: int):
+    def __init__(self, num: int, den: int, frequent: np.ndarray | None = None):
         self.num, self.den = num, den
+        self.frequent = frequent if frequent is not None else np.empty(0, np.uint64)
         self.starts = [1]
         self.plans: dict[int, tuple[int, int]] = {}
 
@@ -52,6 +62,10 @@ class Cuts:
             self.starts.append(max(self.starts[-1] + 1, int(self.starts[-1] * GROUP)))
         return int(np.searchsorted(self.starts, n, "right")) - 1
 
+    def groups(self, n: int) -> range:
+        """The size groups in which a set of n n-grams may meet another: its own, and those of larger sets."""
+        return range(self.group(n), self.group(n * self.den // self.num) + 1)
+
     def plan(self, group: int) -> tuple[int, int]:
         """(fragments, largest difference of a linked pair) of a size group; enough fragments that hardly any set leaves too many of them empty."""
         if group not in self.plans:
@@ -65,9 +79,10 @@ class Cuts:
             self.plans[group] = k, differ
         return self.plans[group]
 
-    def segments(self, hashes: np.ndarray) -> np.ndarray:
-        """Hashes of all segments on which this sorted set may meet a linked one: in each size group, the first d + 1.
+    def segments(self, hashes: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each size group of this sorted set: hashes of the segments on which it may meet a linked one, the first d + 1, those of rare n-grams and the others.
 
+        Rare n-grams fill the fragments 0 to k - 1, frequent ones k to 2k - 1.
         Let a pair differ in at most d n-grams, and look at the first segment
         that is equal in both.  Each fragment before it that either fills holds
         a difference, so there are at most d of them: the segment is among the
@@ -75,18 +90,38 @@ class Cuts:
         fragments; sets that don't also list their empty fragments.
         """
         n = len(hashes)
-        out = []
-        for g in range(self.group(n), self.group(n * self.den // self.num) + 1):
+        if len(self.frequent):
+            at = np.searchsorted(self.frequent, hashes)
+            late = self.frequent[np.minimum(at, len(self.frequent) - 1)] == hashes
+        else:
+            late = np.zeros(n, bool)
+        hashes = np.concatenate([hashes[~late], hashes[late]])
+        last = np.arange(n) >= n - late.sum()
+        rare, others = [], []
+        for g in self.groups(n):
             k, _ = self.plan(g)
             differ = (n + min(self.starts[g + 1] - 1, n * self.den // self.num)) * (self.den - self.num) // (self.den + self.num)
-            where = ((hashes >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
+            where = (((hashes >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)) + np.uint64(k) * last
             held, first = np.unique(where, return_index=True)
             sums = np.add.reduceat(mix(hashes + np.uint64(g + 1)), first)[: differ + 1]
-            out.append(mix(sums ^ mix(held[: differ + 1] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(g))))
+            listed = mix(sums ^ mix(held[: differ + 1] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(g)))
+            early = int(np.searchsorted(held[: differ + 1], k))
+            rare.append(listed[:early])
+            rest = [listed[early:]]
             if len(held) <= differ:
-                empty = np.setdiff1d(np.arange(k, dtype=np.uint64), held)
-                out.append(mix(mix(empty * np.uint64(0x9E3779B97F4A7C15) + np.uint64(g)) + np.uint64(1)))
-        return np.concatenate(out)
+                empty = np.setdiff1d(np.arange(2 * k, dtype=np.uint64), held)
+                rest.append(mix(mix(empty * np.uint64(0x9E3779B97F4A7C15) + np.uint64(g)) + np.uint64(1)))
+            others.append(np.concatenate(rest))
+        return rare, others
+
+    def sketches(self, hashes: np.ndarray) -> list[np.ndarray]:
+        """For each size group of this set: its parities over places, whose number the group alone gives."""
+        out = []
+        for g in self.groups(len(hashes)):
+            bits = min(SKETCH_BITS, 1 << max(6, (4 * self.plan(g)[1]).bit_length()))
+            odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+            out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+        return out
 
 
 def _signed(x: np.ndarray) -> list[int]:
@@ -98,65 +133,56 @@ def _key(h: np.ndarray) -> int:
     return int(_signed(mix(np.array([np.add.reduce(mix(h ^ np.uint64(0xA5A5))) + np.uint64(len(h))])))[0])
 
 
-def _wide(h: np.ndarray, num: int, den: int) -> bytes:
-    """Parities of a set over a power of two of places, enough for its size."""
-    bits = min(WIDE_BITS, 1 << max(8, (8 * len(h) * (den - num) // (den + num)).bit_length()))
-    return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+def frequent_grams(docs: DataFrame, size: int, share: int, least: int, most: int) -> np.ndarray:
+    """Sorted hashes of the n-grams that at least ``least`` documents of one in ``share`` (by the hash of the text) have; the ``most`` of the highest counts if there are more."""
 
+    def make():
+        shingle = Shingler(size)
+        return lambda cols: {"gram": np.concatenate([np.empty(0, np.uint64), *map(shingle, cols["text"])]).view(np.int64)}
 
-def wide_difference(a: bytes, b: bytes) -> int:
-    """The places in which two wide sketches differ, the larger folded to the smaller's size; the sets differ in no fewer."""
-    x, y = (int.from_bytes(v, "little") for v in (a, b))
-    n, m = 8 * len(a), 8 * len(b)
-    while n > m:
-        n //= 2
-        x = (x >> n) ^ (x & ((1 << n) - 1))
-    while m > n:
-        m //= 2
-        y = (y >> m) ^ (y & ((1 << m) - 1))
-    return (x ^ y).bit_count()
+    chosen = docs.select(F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+    counted = map_slices(chosen, make, "gram long").groupBy("gram").count().where(F.col("count") >= least)
+    top = counted.orderBy(F.desc("count"), "gram").limit(most).select("gram").toArrow().column(0)
+    return np.sort(top.to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Rows (doc_id, n_shingles, k, v, s0…, wide, segments).
+def _sets(docs: DataFrame, size: int, num: int, den: int, frequent) -> DataFrame:
+    """Rows (doc_id, n_shingles, k, v, rare, others, sketches).
 
     ``k`` is the class of equal sets.  A task lists the segments of equal sets
     once, with ``v``, its own short number for the class.
     """
-    names = [f"s{i}" for i in range(SKETCH)]
 
     def make():
-        shingle, cuts, seen = Shingler(size), Cuts(num, den), set()
+        shingle, cuts, seen = Shingler(size), Cuts(num, den, frequent.value), set()
         number = TaskContext.get().partitionId() << 32
 
         def work(cols):
             nonlocal number
-            out = {n: [] for n in ("n_shingles", "k", "v", "segments", "wide", *names)}
+            once = ("v", "rare", "others", "sketches")
+            out = {n: [] for n in ("n_shingles", "k", *once)}
             for text in cols["text"]:
                 h = shingle(text)
                 out["n_shingles"].append(len(h))
-                if not len(h):
-                    for n in ("k", "v", "segments", "wide", *names):
+                key = _key(h) if len(h) else None
+                out["k"].append(key)
+                if key is None or key in seen:
+                    for n in once:
                         out[n].append(None)
                     continue
-                bits = np.bincount((h & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-                for n, word in zip(names, _signed(np.packbits(bits.astype(np.uint8)).view(np.uint64)), strict=True):
-                    out[n].append(word)
-                key = _key(h)
-                out["k"].append(key)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                new = key not in seen
                 seen.add(key)
-                number += new
-                out["v"].append(number if new else None)
-                out["segments"].append(cuts.segments(h).view(np.int64) if new else None)
-                out["wide"].append(_wide(h, num, den) if new else None)
+                number += 1
+                rare, others = cuts.segments(h)
+                row = (number, [x.view(np.int64) for x in rare], [x.view(np.int64) for x in others], cuts.sketches(h))
+                for n, value in zip(once, row, strict=True):
+                    out[n].append(value)
             return {"doc_id": cols["doc_id"]} | out
 
         return work
 
-    schema = f"doc_id long, n_shingles long, k long, v long, segments array<long>, wide binary, {', '.join(f'{n} long' for n in names)}"
+    schema = "doc_id long, n_shingles long, k long, v long, rare array<array<long>>, others array<array<long>>, sketches array<array<long>>"
     return map_slices(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, schema)
 
 
@@ -184,40 +210,28 @@ def _fragments(docs: DataFrame, size: int) -> DataFrame:
     return map_slices(docs.select(F.col("text").cast("string")), make, "k long, fragment int, hashes array<long>")
 
 
-def _differ(a: str, b: str) -> Column:
-    """The places in which two sketches differ, columns s0_a… and s0_b…; the sets differ in no fewer."""
-    return sum((F.bit_count(F.col(f"s{i}_{a}").bitwiseXOR(F.col(f"s{i}_{b}"))) for i in range(SKETCH)), F.lit(0))
+def _far() -> Column:
+    """The places in which the sketches ``s_a`` and ``s_b`` differ; the sets differ in no fewer."""
+    return F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
 
 
-def _may_link(num: int, den: int) -> Column:
+def _may_link(num: int, den: int, far: Column) -> Column:
     """Necessary for a link of a and b, from sizes and sketches."""
     n1, n2 = F.col("n_a"), F.col("n_b")
-    return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (_differ("a", "b") * (den + num) <= (n1 + n2) * (den - num))
-
+    return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (far * (den + num) <= (n1 + n2) * (den - num))
 
-def _near(pairs: DataFrame, wide: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) that their wide sketches let be links, with ``far``, the least difference these show."""
 
-    @F.pandas_udf("long")
-    def far(x, y):
-        return pd.Series([wide_difference(a, b) for a, b in zip(x, y, strict=True)], dtype="int64")
+def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Those of the stored pairs (a, b, n_a, n_b) of classes that are links, by partial overlaps summed over fragments.
 
-    far = far.asNondeterministic()  # else the filter below is pushed through and measures again, with a second Python worker in each task
-    for side in "ab":
-        pairs = pairs.join(wide.select(F.col("k").alias(side), F.col("wide").alias(f"w_{side}")), side)
-    measured = pairs.select("a", "b", "n_a", "n_b", far("w_a", "w_b").alias("far"))
-    return measured.where(F.col("far") * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
-
-
-def _linked(pairs: DataFrame, classes_of: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) that are links, by partial overlaps summed over fragments."""
-    pairs = cut(pairs)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    one = cut(classes_of.join(needed, "k", "left_semi").select("doc_id").distinct())
+    Texts are read again for the classes at hand only; sets move, texts don't.
+    """
+    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct())
+    one = cut(classes.join(needed, "k", "left_semi").select("doc_id").distinct())
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    sets = _fragments(rows.join(small(one), "doc_id", "left_semi"), size)
+    sets = _fragments(may_hold(rows, "doc_id", one.where("doc_id IS NOT NULL")), size)
     if not one.where("doc_id IS NULL").isEmpty():  # classes of rows without ids only: their sets are among those of all such rows
-        nameless = _fragments(rows.where("doc_id IS NULL"), size).join(small(cut(needed)), "k", "left_semi")
+        nameless = _fragments(rows.where("doc_id IS NULL"), size).join(small(needed), "k", "left_semi")
         sets = sets.unionByName(nameless).groupBy("k", "fragment").agg(F.first("hashes").alias("hashes"))
     # the same exchange of the sets serves both joins
     each = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
@@ -229,104 +243,158 @@ def _linked(pairs: DataFrame, classes_of: DataFrame, docs: DataFrame, size: int,
     return overlap.where(F.col("i") * den >= (F.col("n_a") + F.col("n_b") - F.col("i")) * num).select("a", "b")
 
 
-def _stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` as a table in the shared checkpoint folder, so that later steps read only the columns they need."""
+def _stored(df: DataFrame, paths: list[str]) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder, so that later steps read only the columns they need; ``paths`` gets its path."""
     spark = df.sparkSession
-    cut(spark.range(0))  # sets the folder where none is set
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/sets-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path), path
+    paths.append(f"{folder(spark)}/sets-{uuid.uuid4().hex}")
+    df.write.parquet(paths[-1])
+    return spark.read.parquet(paths[-1])
 
 
-def _remove(spark, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def _remove(spark, paths: list[str]) -> None:
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, share: int = SHARE, least: int = FREQUENT) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) of (doc_id, text): components of links with Jaccard num/den or more.
 
     Every row counts as a document of its own; rows that repeat an id are
     linked only by their texts.  Texts without words, and null texts, have an
     empty set and are linked with nothing: their component is their own id.  A
     null id never becomes a component's name while another is there.
+
+    ``share`` and ``least`` say which n-grams count as frequent; they change
+    the candidates, never the links.
     """
-    out, _, path = _grouped(docs, size, num, den)
-    _remove(docs.sparkSession, path)
-    return out
-
-
-def _grouped(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame, str]:
-    """The rows of ``near_duplicates``, and a stored table (k, least, group) with its path: each class's component by name and by a number of its own."""
-    spark = docs.sparkSession
-    names = [f"s{i}" for i in range(SKETCH)]
-    sets, path = _stored(_sets(docs, size, num, den))
-    classes_of = cut(sets.where("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc_id")))
-    info = cut(sets.where("k IS NOT NULL").groupBy("k").agg(F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in names]))
-    wide = sets.where("v IS NOT NULL").groupBy("k").agg(F.first("wide").alias("wide"))
-    class_of = sets.where("v IS NOT NULL").select("v", "k")
-    # a group of near copies spreads over as many keys as it has segments
-    by = Window.partitionBy("segment")
-    listed = sets.where("v IS NOT NULL").select(F.explode("segments").alias("segment"), "v")
-    met, met_path = _stored(listed.withColumns({"low": F.min("v").over(by), "high": F.max("v").over(by)}).where("low < high"))
-    may = _may_link(num, den)
-
-    # each class and the closest of the outermost ones that it meets
-    stars = met.where("v <> low").select("v", F.col("low").alias("w")).union(met.where("v <> high").select("v", F.col("high").alias("w"))).distinct()
-    pairs = stars.join(class_of.withColumnRenamed("k", "a"), "v").join(class_of.select(F.col("v").alias("w"), F.col("k").alias("b")), "w").where("a <> b").select("a", "b").distinct()
-    for side in "ab":
-        pairs = pairs.join(info.select(F.col("k").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", *names)]), side)
-    likely = _near(pairs.where(may).select("a", "b", "n_a", "n_b"), wide, num, den)
-    best = likely.groupBy("a").agg(F.min_by(F.struct("b", "n_a", "n_b"), F.struct("far", "b")).alias("x")).select("a", "x.*")
-    flip = F.col("a") > F.col("b")
-    order = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(flip, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(flip, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b")]
-    first = cut(_linked(best.select(order).distinct(), classes_of, docs, size, num, den))
-    label = cut(components(first).withColumnRenamed("id", "k"))
-
-    # what is still apart: all pairs of different components that share a segment
-    whose = class_of.join(label, "k", "left").withColumn("component", F.coalesce("component", "k"))
-    labelled = met.select("segment", "v").join(small(cut(whose)), "v").select("segment", "k", "component")
-    apart = labelled.withColumns({"x": F.min("component").over(by), "y": F.max("component").over(by)}).where("x < y").select("segment", "k", "component").distinct()
-    open_ = cut(apart.join(info, "k"))
-    a, b = (open_.select("segment", *[F.col(c).alias(f"{c}_{side}") for c in ("k", "component", "n", *names)]) for side in "ab")
-    rest_pairs = a.join(b, "segment").where((F.col("k_a") < F.col("k_b")) & (F.col("component_a") != F.col("component_b")) & may)
-    likely = _near(rest_pairs.select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), "n_a", "n_b").distinct(), wide, num, den)
-    rest = _linked(likely.drop("far"), classes_of, docs, size, num, den)
-    label = components(first.union(rest)).withColumnRenamed("id", "k")
+    paths: list[str] = []
+    try:
+        return _grouped(docs, size, num, den, share, least, paths)[0]
+    finally:
+        _remove(docs.sparkSession, paths)
 
-    # names are settled among classes first; a stored table lets Spark split the rows of a class with many copies
-    of_class = classes_of.withColumnRenamed("doc_id", "own")
-    least = label.join(of_class, "k").groupBy("component").agg(F.min("own").alias("least"))
-    shared = label.join(small(cut(least)), "component").select("k", "least", "component")
-    classes, second = _stored(of_class.join(shared, "k", "left").select("k", F.coalesce("least", "own").alias("least"), F.coalesce("component", "k").alias("group")))
-    out = cut(sets.select("doc_id", "n_shingles", "k").join(classes.drop("group"), "k", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")))
-    for p in (path, met_path):
-        _remove(spark, p)
-    return out, classes, second
 
+def _met(sets: DataFrame, classes: DataFrame, paths: list[str]) -> DataFrame:
+    """Rows (segment, o): classes that share a segment with another, by ``o``, their number and size group; of segments with equal classes one stays.
 
-def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    Segments of rare n-grams are in few classes each, so they are gathered.
+    Others may be in any share of all classes: they are counted before a
+    shuffle, and Spark may split their rows in the join.
+    """
+    owner = F.col("v") * GROUPS + F.col("j")
+
+    def listed(column: str) -> DataFrame:
+        lists = sets.where("v IS NOT NULL").select("v", F.posexplode(column).alias("j", "list"))
+        return lists.select(F.explode("list").alias("segment"), owner.alias("o"))
+
+    by = Window.partitionBy("segment")
+    frequent = listed("others")
+    shared = frequent.groupBy("segment").agg(F.min("o").alias("x"), F.max("o").alias("y")).where("x < y").select("segment")
+    gathered = listed("rare").withColumns({"x": F.min("o").over(by), "y": F.max("o").over(by)}).where("x < y").select("segment", "o")
+    met = gathered.withColumn("rare", F.lit(True)).unionByName(frequent.join(shared, "segment", "left_semi").withColumn("rare", F.lit(False)))
+    own = _stored(met.join(classes.select("v"), F.shiftright("o", int(math.log2(GROUPS))) == F.col("v"), "left_semi"), paths)
+    mark = F.xxhash64("o").cast("decimal(38,0)")
+    rare = own.where("rare").select("segment", "o").withColumns({"size": F.count("*").over(by), "mark": F.sum(mark).over(by)}).where("size > 1")
+    chosen = rare.groupBy("size", "mark").agg(F.min("segment").alias("segment")).select("segment")
+    return rare.select("segment", "o").join(chosen, "segment", "left_semi").unionByName(own.where("NOT rare").select("segment", "o"))
+
+
+def _grouped(docs: DataFrame, size: int, num: int, den: int, share: int, least: int, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``near_duplicates``, and a stored table (k, least, group): each class's component by name and by a number of its own."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_grams(docs, size, share, least, MOST_FREQUENT))
+    sets = _stored(_sets(docs, size, num, den, frequent), paths)
+    classes = cut(sets.where("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("v").alias("v"), F.first("n_shingles").alias("n")))
+    sketched = sets.where("v IS NOT NULL").select("v", "sketches").join(classes.select("v", "k", "n"), "v")
+    sketches = _stored(sketched.select("v", "k", "n", F.posexplode("sketches").alias("j", "s")).select((F.col("v") * GROUPS + F.col("j")).alias("o"), "k", "n", "s"), paths)
+    met = _stored(_met(sets, classes, paths), paths)
+    number = F.shiftright("o", int(math.log2(GROUPS)))
+    vertices = classes.select("v", "k")
+
+    def labelled(links: DataFrame | None) -> DataFrame:
+        """Rows (segment, o, k, c, x, y) of segments in which components still meet; c is the row's own, x and y the outermost (component, o)."""
+        owned = met.withColumn("v", number).join(vertices, "v").drop("v")
+        label = owned.withColumn("c", F.col("k")) if links is None else owned.join(small(cut(components(links).withColumnRenamed("id", "k"))), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
+        label = cut(label)
+        ends = label.groupBy("segment").agg(F.min(F.struct("c", "o")).alias("x"), F.max(F.struct("c", "o")).alias("y")).where("x.c < y.c")
+        return label.join(ends, "segment")
+
+    def sides(pairs: DataFrame) -> DataFrame:
+        """Pairs (o_a, o_b) with sizes, sketches and keys of both."""
+        for side in "ab":
+            pairs = pairs.join(sketches.select(F.col("o").alias(f"o_{side}"), F.col("k").alias(side), F.col("n").alias(f"n_{side}"), F.col("s").alias(f"s_{side}")), f"o_{side}")
+        return pairs
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        flip = F.col("a") > F.col("b")
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(flip, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(flip, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b")).distinct()
+
+    links, tested = None, None
+    while True:
+        rows = labelled(links)
+        stars = rows.where("c <> x.c").select(F.col("o").alias("o_a"), F.col("x.o").alias("o_b")).union(rows.where("c <> y.c").select(F.col("o").alias("o_a"), F.col("y.o").alias("o_b"))).distinct()
+        likely = sides(stars).withColumn("far", _far()).where(_may_link(num, den, F.col("far")))
+        best = ordered(likely.groupBy("a").agg(F.min_by(F.struct("b", "n_a", "n_b"), F.struct("far", "b")).alias("z")).select("a", "z.*"))
+        best = cut(best if tested is None else best.join(tested, ["a", "b"], "left_anti"))
+        if best.isEmpty():
+            break
+        found = cut(_linked(best, classes, docs, size, num, den))
+        tested = best.select("a", "b") if tested is None else tested.union(best.select("a", "b"))
+        links = found if links is None else links.union(found)
+        if found.isEmpty():
+            break
+
+    # what is still apart: all pairs of different components that share a segment; the largest component's rows meet the others' only
+    open_ = cut(rows.select("segment", "o", "c"))
+    largest = open_.groupBy("segment", "c").count().groupBy("segment").agg(F.max_by("c", F.struct("count", "c")).alias("most"))
+    carried = open_.join(sketches, "o")
+    a = carried.join(largest, "segment").where("c <> most").select("segment", "most", F.col("o").alias("o_a"), F.col("c").alias("c_a"), F.col("k").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"))
+    b = carried.select("segment", F.col("o").alias("o_b"), F.col("c").alias("c_b"), F.col("k").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"))
+    once = (F.col("c_b") == F.col("most")) | (F.col("o_a") < F.col("o_b"))
+    apart = a.join(b, "segment").where((F.col("c_a") != F.col("c_b")) & once & _may_link(num, den, _far()))
+    rest = cut(ordered(apart))
+    rest = rest if tested is None else cut(rest.join(tested, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        found = cut(_linked(rest, classes, docs, size, num, den))
+        links = found if links is None else links.union(found)
+    frequent.destroy()
+
+    # names are settled among classes first; a stored table lets Spark split the rows of a class with many copies
+    of_class = classes.select("k", F.col("doc_id").alias("own"))
+    if links is None:
+        named = of_class.select("k", F.col("own").alias("least"), F.col("k").alias("group"))
+    else:
+        label = cut(components(links).withColumnRenamed("id", "k"))
+        lowest = label.join(of_class, "k").groupBy("component").agg(F.min("own").alias("least"))
+        shared = label.join(small(cut(lowest)), "component").select("k", "least", "component")
+        named = of_class.join(shared, "k", "left").select("k", F.coalesce("least", "own").alias("least"), F.coalesce("component", "k").alias("group"))
+    named = _stored(named, paths)
+    out = cut(sets.select("doc_id", "n_shingles", "k").join(named.drop("group"), "k", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")))
+    return out, named
+
+
+def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, share: int = SHARE, least: int = FREQUENT) -> DataFrame:
     """``docs`` without all but the least-id document of each group of near duplicates; rows with a null id stay.
 
     Rows that share an id are told apart by their texts: one row of each group
     stays.  Of those without words, one of each id and text stays.
     """
-    groups, classes, path = _grouped(docs, size, num, den)
-    repeated = cut(groups.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"))
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    if repeated.isEmpty():
-        _remove(docs.sparkSession, path)
-        return docs.join(small(cut(gone)), F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = small(repeated)
-    same = F.col("doc_id") == F.col("_id")
-    left = docs.join(repeated, same, "left_anti").join(small(cut(gone)), F.col("doc_id") == F.col("_gone"), "left_anti")
-    keyed = docs.join(repeated, same, "left_semi").withColumn("_k", _class_of(size)(F.col("text").cast("string")))
-    blank = keyed.where("_k IS NULL").drop("_k").dropDuplicates(["doc_id", "text"])
-    known = keyed.where("_k IS NOT NULL").dropDuplicates(["doc_id", "_k"])
-    known = known.join(classes.select(F.col("k").alias("_k"), F.col("least").alias("_least"), F.col("group").alias("_group")), "_k").where(F.col("doc_id") == F.col("_least"))
-    out = cut(left.unionByName(blank).unionByName(known.dropDuplicates(["doc_id", "_group"]).select(*docs.columns)))
-    _remove(docs.sparkSession, path)
-    return out
+    paths: list[str] = []
+    try:
+        groups, classes = _grouped(docs, size, num, den, share, least, paths)
+        every = groups.where("doc_id IS NOT NULL").select("doc_id")
+        repeated = cut(every.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"))
+        gone = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
+        if repeated.isEmpty():
+            return without(docs, "doc_id", gone, every)
+        left = without(docs, "doc_id", cut(gone.union(repeated).distinct()), every)
+        keyed = may_hold(docs, "doc_id", repeated).join(small(repeated), F.col("doc_id") == F.col("_id"), "left_semi").withColumn("_k", _class_of(size)(F.col("text").cast("string")))
+        blank = keyed.where("_k IS NULL").drop("_k").dropDuplicates(["doc_id", "text"])
+        known = keyed.where("_k IS NOT NULL").dropDuplicates(["doc_id", "_k"])
+        known = known.join(classes.select(F.col("k").alias("_k"), F.col("least").alias("_least"), F.col("group").alias("_group")), "_k").where(F.col("doc_id") == F.col("_least"))
+        return cut(left.unionByName(blank).unionByName(known.dropDuplicates(["doc_id", "_group"]).select(*docs.columns)))
+    finally:
+        _remove(docs.sparkSession, paths)
 
 
 def _class_of(size: int):

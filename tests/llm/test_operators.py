@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from skyloom.llm import bpe, common, html_extract, jaccard, language_id, licenses, media, mixing, pii, quality_model, quality_rules
@@ -130,32 +132,66 @@ def variants(r, n):
 @pytest.mark.parametrize("seed, size, num", [(1, 3, 90), (2, 5, 80), (3, 1, 50)])
 def test_jaccard_is_exact(spark, seed, size, num):
     texts = [*variants(random.Random(seed), 140), *AWKWARD]
-    out = jaccard.near_duplicates(frame(spark, texts), size, num, 100)
-    assert got(out) == components_by_hand(texts, size, num, 100)
+    want = components_by_hand(texts, size, num, 100)
+    assert got(jaccard.near_duplicates(frame(spark, texts), size, num, 100)) == want
+    assert got(jaccard.near_duplicates(frame(spark, texts), size, num, 100, share=1, least=3)) == want
+
+
+def test_jaccard_without_broadcasts(spark, monkeypatch):
+    """Beyond the size of a broadcast the rows are the same, and no text is shuffled."""
+    texts = [*variants(random.Random(9), 120), *AWKWARD]
+    docs = frame(spark, texts)
+    few, first = got(jaccard.keep_one(docs)), got(jaccard.near_duplicates(docs))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    kept = jaccard.keep_one(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert got(kept) == few and got(jaccard.near_duplicates(docs)) == first
+    assert "LeftAnti" not in plan and not re.search(r"Exchange hashpartitioning|Exchange rangepartitioning", plan.split("BroadcastExchange")[0])
+
+
+def test_bloom_filters_are_exact_in_the_end(spark, monkeypatch):
+    """A filter of very few words holds many ids by mistake; these stay all the same."""
+    docs = spark.range(2000).select(F.when(F.col("id") % 50 == 3, None).otherwise(F.col("id")).alias("doc_id"), F.lit("t").alias("text"))
+    gone = spark.range(0, 2000, 7).withColumnRenamed("id", "g")
+    want = {i for i in range(2000) if i % 7 and i % 50 != 3}
+    monkeypatch.setattr(common, "BLOOM_WORDS", 64)
+    every = docs.select("doc_id").where("doc_id IS NOT NULL")
+    for rows in (0, 1000, 5000):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+        left = [r.doc_id for r in common.without(docs, "doc_id", gone, every).collect()]
+        assert left.count(None) == 40 and set(left) - {None} == want and len(left) == len(want) + 40
+        held = {r.doc_id for r in common.may_hold(docs, "doc_id", gone).collect()}
+        assert {i for i in range(0, 2000, 7) if i % 50 != 3} <= held and None not in held
 
 
 def test_jaccard_segments_meet():
     """Any two sets that link share a segment: tried on random sets at the very edge."""
     r = np.random.default_rng(5)
-    for num in (80, 90):
-        cuts = jaccard.Cuts(num, 100)
+    for num, frequent in ((80, 0), (90, 0), (80, 3), (90, 2), (80, 1)):
         for n in [*range(1, 60), 200, 900]:
             a = np.unique(r.integers(0, 2**63, n, np.uint64))
+            cuts = jaccard.Cuts(num, 100, np.sort(a[::frequent]) if frequent else None)
+            listed = lambda h: np.concatenate([*cuts.segments(h)[0], *cuts.segments(h)[1]])  # noqa: B023, E731
             most = (100 - num) * 2 * n // (100 + num)
             for cut in {0, most // 2, most}:
                 b = np.unique(np.concatenate([a[cut // 2 :], r.integers(0, 2**63, cut - cut // 2, np.uint64)]))
                 same = len(np.intersect1d(a, b))
                 if len(b) and 100 * same >= num * (len(a) + len(b) - same):
-                    assert np.intersect1d(cuts.segments(a), cuts.segments(b)).size, (num, n, cut)
+                    assert np.intersect1d(listed(a), listed(b)).size, (num, n, cut)
 
 
 def test_jaccard_sketches_bound_the_difference():
     r = np.random.default_rng(3)
-    for n, m in ((5, 5), (40, 44), (900, 1100), (3000, 3001)):
+    cuts = jaccard.Cuts(80, 100)
+    for n, m in ((5, 5), (40, 44), (900, 1000), (3000, 3001)):
         a = np.unique(r.integers(0, 2**63, n, np.uint64))
         b = np.unique(np.concatenate([a[: n // 2], r.integers(0, 2**63, m - n // 2, np.uint64)]))
-        far = jaccard.wide_difference(jaccard._wide(a, 80, 100), jaccard._wide(b, 80, 100))
-        assert 0 < far <= len(np.setxor1d(a, b)) and jaccard.wide_difference(jaccard._wide(a, 80, 100), jaccard._wide(a, 90, 100)) == 0
+        mine, other = ({g: s for g, s in zip(cuts.groups(len(x)), cuts.sketches(x), strict=True)} for x in (a, b))
+        shared = mine.keys() & other.keys()
+        assert shared
+        for g in shared:
+            far = sum(int(x).bit_count() for x in (mine[g] ^ other[g]).view(np.uint64))
+            assert 0 < far <= len(np.setxor1d(a, b))
 
 
 def test_jaccard_keeps_one(spark):
@@ -325,13 +361,64 @@ def test_pii_keeps_entities_apart(spark):
 
 
 def test_pii_collisions_are_drawn_again(spark):
-    names = [("name-f", f"Anna {s}") for s in ("Aaa", "Bbb")] + [("email", f"{a}@b.co") for a in "abcdefghijklmnopqrstuvwxyz"]
+    names = [("name-f", f"Anna {s}") for s in ("Aaa", "Bbb")] + [("email", f"{a}@{d}.co") for d in "abcdefghijklmnopqrstuvwxyz" for a in "abcdefghijklmnopqrstuvwxyz"]
     found = spark.createDataFrame(names, "kind string, value string")
     later = {(r.kind, r.value): r.attempt for r in pii.collisions(found).collect()}
     made = [pii.surrogate(k, v, pii.KEY, later.get((k, v), 0)) for k, v in names if k != "email"]
     assert len(set(made)) == len(made)
     short = [pii.surrogate(k, v, pii.KEY, later.get((k, v), 0)) for k, v in names if k == "email"]
-    assert len(later) > 0 and len(set(short)) >= 24
+    assert len(later) > 0 and len(set(short)) == 26 * 26 and not {k for _, k in names} & {*short, *made}
+
+
+def test_pii_people_keep_one_surrogate():
+    text = "Mrs. Anna Schmidt met Dr. Schmidt and John  Smith. ANNA SCHMIDT, Schmidt, Ms Wei Zhang. My name is Wei Zhang; Zhang left. José García. Smithers, Schmidtke."
+    out, n = pii._replace(text, {}, pii.KEY, {})
+    x = re.fullmatch(r"Mrs\. (\w+) (\w+) met Dr\. (\w+) and (\w+)  (\w+)\. (\w+) (\w+), (\w+), Ms (\w+) (\w+)\. My name is (\w+) (\w+); (\w+) left\. (\w+) (\w+)\. Smithers, Schmidtke\.", out).groups()
+    assert x[1] == x[2] == x[7] and x[5:7] == (x[0].upper(), x[1].upper()) and x[8:10] == x[10:12] and x[9] == x[12] and n == 15
+    assert x[0] in pii.GIVEN["latin", "f"] and x[3] in pii.GIVEN["latin", "m"] and x[13] in pii.GIVEN["latin", "m"]
+    assert not {"Anna", "Schmidt", "John", "Smith", "Wei", "Zhang", "José", "García"} & set(x)
+
+
+def test_pii_spellings_of_one_number():
+    cards = ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"]
+    out = [pii.surrogate("card", c) for c in cards]
+    assert len({pii._canonical("card", x) for x in out}) == 1 and [re.sub(r"\d", "0", x) for x in out] == [re.sub(r"\d", "0", c) for c in cards]
+    phones = ["+44 20 7946 0958", "+44 (20) 7946-0958", "+442079460958"]
+    out = [pii.surrogate("phone", c) for c in phones]
+    assert len({pii._canonical("phone", x) for x in out}) == 1 and all(x.startswith("+44") for x in out)
+    assert [e[3] for e in pii.entities("office 020 7946 0958, call me on 555-0123; years 1990-2005, 300-4000 units")] == ["020 7946 0958", "555-0123"]
+
+
+@pytest.mark.parametrize("kind, values", [("email", [f"{a}{b}@c.de" for a in "abcdefghijklmnopqrstuvwxyz" for b in "0123456789"]), ("name", [a + b for a in "ABCDEFGH" for b in "aeiouy"]), ("phone", [f"+44 {i:03d}" for i in range(1000)]), ("given-f", pii.GIVEN["latin", "f"])])
+def test_pii_forms_are_permuted(kind, values):
+    """Values of one form have surrogates of that form, all different."""
+    made = [pii.surrogate(kind, v) for v in values]
+    assert len(set(made)) == len(values) and {len(m) for m in made} == {len(v) for v in values} or kind == "given-f"
+    assert len(set(made)) == len(values)
+
+
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_pii_against_plain_replacement(spark, monkeypatch, rows):
+    """Texts are what replacing span by span with the corpus' own draws gives; with more draws than are broadcast too."""
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", rows)
+    r = random.Random(8)
+    people = ["Mrs Anna", "Dr. Ab", "Dr. Eb", "Frau Ob", "Paul Ib", "a@b.co", "B@b.co", "c@b.co", "x y", "token: 'abcd1234'", "+1 22 33 44", "10.0.0.1"]
+    texts = [" ".join(f"{r.choice(people)}," for _ in range(r.randint(1, 6))) for _ in range(60)] + [*AWKWARD, "mail a@b.co " * 5000] + [f"Mrs {g} Ab" for g in pii.GIVEN["latin", "f"]]
+    docs = frame(spark, [*texts, *texts[:10]])
+    draws = {(x.kind, x.value): x.attempt for x in pii.collisions(pii.found_entities(docs)).collect()}
+    assert draws
+    mapped = {}
+    for x in pii.pseudonymise(docs).collect():
+        t = ([*texts, *texts[:10]])[x.doc_id]
+        want, at, spans = "", 0, pii.entities(t)
+        for a, b, kind, value in spans:
+            made = pii.surrogate(kind, value, pii.KEY, draws.get((kind, pii._canonical(kind, value)), 0))
+            want, at = want + t[at:a] + made, b
+            mapped.setdefault((kind, pii._canonical(kind, value)), set()).add(pii._canonical(kind, made))
+        assert x.text == (None if t is None else want + t[at:]) and x.n_entities == len(spans)
+    assert all(len(m) == 1 for m in mapped.values())
+    made = [m for v in mapped.values() for m in v]
+    assert len(set(made)) == len(made) and not set(made) & {v for _, v in mapped}
 
 
 def test_pii_collisions_are_settled_in_full_spaces(spark):
@@ -433,6 +520,50 @@ def test_html_keeps_what_stands_beside_the_container():
     assert html_extract.main_text(parts).split("\n")[-2:] == [long, "Short end."]
 
 
+def test_html_keeps_the_whole_of_the_container():
+    long = " ".join(["Some words of a story, told at length, so that it scores."] * 5)
+    body = f"<p>{long}</p><p>{long}</p>"
+    pages = {
+        f"<div id=wrap><h1>Title</h1><div class=body>{body}</div></div>": ["Title", long, long],
+        f"<div><h1>T</h1><p>By A. Author</p><div>{body}</div><p>Short end.</p></div>": ["T", "By A. Author", long, long, "Short end."],
+        f"<div><section>{body}</section><section><h2>Two</h2><p>Short.</p></section></div>": [long, long, "Two", "Short."],
+        f'<div class="story-share"><p>{long}</p></div>': [long],
+        f'<div class="comments"><p>{long}</p></div>': [""],
+    }
+    for page, want in pages.items():
+        assert html_extract.main_text(page).split("\n") == want
+
+
+@pytest.mark.parametrize("page", ["<div>text words here, and more of them, so that it scores" * 20_000, "<p><td>" + "<span>" * 20_000 + "<div></div>" * 20_000, "<div>" * 50_000 + "</b>" * 50_000, "<li><ul>" + "<div>" * 20_000 + "<li></li>" * 20_000, "<header>" * 20_000 + "x" * 40, "word " * 500_000])
+def test_html_time_is_linear_in_depth_and_width(page):
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 15
+
+
+def test_html_of_known_articles():
+    """Random pages whose article is known by construction."""
+    r = random.Random(6)
+    words = lambda n: " ".join(r.choice("river stone light after before, under while often, small gold".split()) for _ in range(n))
+    for _ in range(60):
+        blocks, parts = [], []
+        for _ in range(r.randint(3, 9)):
+            kind, text = r.choice(["p", "p", "p", "h2", "blockquote", "li"]), words(r.randint(4, 60))
+            blocks.append(text)
+            if kind == "p" and r.random() < 0.4:
+                cut = r.randint(1, 3)
+                text = " ".join(text.split()[:cut]) + r.choice([" <b>", " <i>", '\n<span class="x">']) + " ".join(text.split()[cut:]) + r.choice(["</b>", "</i>", "</span>", ""])
+            parts.append(f"<ul><li>{text}</ul>" if kind == "li" else f"<{kind}>{text}" + r.choice(["", f"</{kind}>"] if kind == "p" else [f"</{kind}>"]))
+        blocks.append(words(80)), parts.append(f"<p>{blocks[-1]}</p>")
+        frame_ = r.choice(["article", "main", "div class=content", "div", "section id=story"])
+        story = f"<{frame_}><h1>Head &amp; more</h1>{''.join(parts)}</{frame_.split()[0]}>"
+        around = [f"<nav><ul><li><a href=/>{words(5)}</a></ul></nav>", f'<div class="sidebar"><p>{words(50)}</p></div>', f"<footer><p>{words(30)}</p></footer>", f"<form>{words(9)}</form>", f"<script>var a = '<p>{words(40)}</p>'</script>", f'<div id="comments"><p>{words(40)}</p></div>', f"<!-- <p>{words(40)}</p> -->", f'<aside>{words(40)}</aside>']
+        r.shuffle(around)
+        cut = r.randint(0, len(around))
+        page = f"<html><body>{''.join(around[:cut])}{story}{''.join(around[cut:])}</body></html>"
+        assert html_extract.main_text(page).split("\n") == ["Head & more", *(" ".join(b.split()) for b in blocks)], page
+
+
 # 9: quality classifier
 
 
