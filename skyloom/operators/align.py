@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import ArgumentError
 from ..functions import time as T
+from ..labels import GAP
 
 KEY = ["name", "obstype"]
 #: Span of the pieces into which a series is cut where only near rows matter, so that a long series is not one task.
@@ -29,18 +31,25 @@ def likely_frequency(obs: DataFrame, method: str = "median", tolerance: str = "2
     return out.withColumn("freq_us", T.simplify(F.col("freq_us"), tol, zero_protected=True)) if tol >= T.SECOND else out
 
 
-def grid_of(obs: DataFrame, freq: str | Column, origin_tolerance: str = "5min") -> DataFrame:
+def grid_of(obs: DataFrame, freq: str | Column, origin_tolerance: str = "5min", origin: str | None = None, closing: str | None = None) -> DataFrame:
     """The grid of each series: its first stamp rounded, and the last grid stamp not after its last one.
 
-    ``freq`` is a span, or a column of microseconds in ``obs``.
+    ``freq`` is a span, or a column of microseconds in ``obs``.  ``origin`` and
+    ``closing`` (UTC stamps) are taken as they are; a closing that no whole
+    number of steps reaches from the origin raises.
     """
     freq_us = F.lit(T.micros(freq)) if isinstance(freq, str) else F.first(freq)
     ts = T.to_micros(F.col("datetime"))
     ends = obs.groupBy(*KEY).agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"), freq_us.cast("long").alias("freq_us"))
-    origin = T.simplify(F.col("lo"), T.micros(origin_tolerance))
-    ends = ends.withColumn("origin_us", origin)
-    steps = ((F.col("hi") - F.col("origin_us")) / F.col("freq_us")).cast("long")
-    return ends.select(*KEY, T.to_timestamp(F.col("origin_us")).alias("origin"), T.to_timestamp(F.col("origin_us") + steps * F.col("freq_us")).alias("closing"), "freq_us")
+    fixed = lambda x: T.to_micros(F.lit(x).cast("timestamp"))
+    ends = ends.withColumn("origin_us", fixed(origin) if origin else T.simplify(F.col("lo"), T.micros(origin_tolerance)))
+    if closing:
+        if not ends.where(F.pmod(fixed(closing) - F.col("origin_us"), F.col("freq_us")) != 0).isEmpty():
+            raise ArgumentError(f"no whole number of steps leads to the closing {closing}")
+        last = fixed(closing)
+    else:
+        last = F.col("origin_us") + ((F.col("hi") - F.col("origin_us")) / F.col("freq_us")).cast("long") * F.col("freq_us")
+    return ends.select(*KEY, T.to_timestamp(F.col("origin_us")).alias("origin"), T.to_timestamp(last).alias("closing"), "freq_us")
 
 
 def grid_rows(grid: DataFrame) -> DataFrame:
@@ -76,29 +85,50 @@ def nearest(targets: DataFrame, raw: DataFrame, tolerance: str, later_wins: bool
     return both.select(*KEY, "datetime", F.col("x.datetime").alias("raw_datetime"), *[F.col(f"x.{c}").alias(c) for c in columns])
 
 
-def regularise(obs: DataFrame, freq: str, timestamp_tolerance: str = "4min", origin_tolerance: str = "5min") -> DataFrame:
+def regularise(obs: DataFrame, freq: str | Column, timestamp_tolerance: str = "4min", origin_tolerance: str = "5min", origin: str | None = None, closing: str | None = None) -> DataFrame:
     """Series on their grids: (name, obstype, datetime, raw_datetime, value, status).
 
-    ``status`` is ``ok``, ``gap`` (no raw row near enough) or ``outlier`` (a raw row without value).
+    ``status`` is ``ok``, ``gap`` (no raw row near enough) or ``outlier`` (a raw
+    row without value).  Rows that have a ``status`` already carry it over, and
+    a ``label`` too.
     """
-    grid = grid_of(obs, freq, origin_tolerance)
-    out = nearest(grid_rows(grid), obs, timestamp_tolerance)
-    return out.withColumn("status", F.when(F.col("raw_datetime").isNull(), "gap").when(F.col("value").isNull(), "outlier").otherwise("ok"))
-
-
-def resample(obs: DataFrame, freq: str, shift_tolerance: str = "4min", origin_tolerance: str = "4min") -> DataFrame:
-    """Existing series (nulls included: they may be nearest) onto a new frequency; earlier fills are lost."""
-    return regularise(obs, freq, shift_tolerance, origin_tolerance)
+    carried = tuple(c for c in ("status", "label") if c in obs.columns)
+    grid = grid_of(obs, freq, origin_tolerance, origin, closing)
+    out = nearest(grid_rows(grid), obs, timestamp_tolerance, columns=("value", *carried))
+    if "status" in carried:
+        status = F.coalesce("status", F.lit("gap"))
+    else:
+        status = F.when(F.col("raw_datetime").isNull(), "gap").when(F.col("value").isNull(), "outlier").otherwise("ok")
+    out = out.withColumn("status", status)
+    return out.withColumn("label", F.coalesce("label", F.lit(GAP))) if "label" in carried else out
+
+
+def resample(obs: DataFrame, freq: str, shift_tolerance: str = "4min", origin_tolerance: str = "4min", origin: str | None = None) -> DataFrame:
+    """Existing series (nulls included: they may be nearest) onto a new frequency; earlier fills are lost.
+
+    What a row was stays with it: a stamp that takes over a gap's row is a gap,
+    one that takes over an outlier's is one, with its label.
+    """
+    return regularise(obs, freq, shift_tolerance, origin_tolerance, origin)
 
 
-def synchronise(obs: DataFrame, timestamp_tolerance: str = "2min", freq_tolerance: str = "1min") -> DataFrame:
+def synchronise(obs: DataFrame, timestamp_tolerance: str = "2min", freq_tolerance: str = "1min", fixed_origin: str | None = None) -> DataFrame:
     """Every series onto a rounded frequency of its own, so that stamps of different stations meet."""
     freq = likely_frequency(obs, "median", freq_tolerance)
     with_freq = obs.join(freq, KEY)
-    out = nearest(grid_rows(grid_of(with_freq, F.col("freq_us"))), obs, timestamp_tolerance)
+    out = nearest(grid_rows(grid_of(with_freq, F.col("freq_us"), origin=fixed_origin)), obs, timestamp_tolerance)
     return out.join(freq, KEY)
 
 
+def regular_frequency(obs: DataFrame) -> DataFrame:
+    """Rows (name, obstype, freq_us): the step of each series; raises where steps differ.  Series of one stamp have none."""
+    steps = obs.select(*KEY, T.to_micros(F.col("datetime")).alias("ts")).withColumn("step", F.col("ts") - F.lag("ts").over(series())).where("step IS NOT NULL")
+    found = steps.groupBy(*KEY).agg(F.min("step").alias("freq_us"), F.max("step").alias("most"))
+    if not found.where("freq_us <> most").isEmpty():
+        raise ArgumentError("a series has no regular stamps; align it first")
+    return found.select(*KEY, "freq_us")
+
+
 def islands(missing: DataFrame) -> DataFrame:
     """Gaps-and-islands over (name, obstype, datetime, freq_us): adds ``gap_id`` (its number in the series, from 1) and ``gapstart``."""
     frame = missing.withColumn("ts", T.to_micros(F.col("datetime")))

@@ -98,14 +98,15 @@ def cycle_columns(cycle: DataFrame, groups: list[str], color_by: str = "name") -
 
 
 def minus_reference(records: DataFrame, obstype: str, reference: str) -> DataFrame:
-    """Records less the reference station's at the same stamp; null where it has none."""
+    """Records less the reference station's at the same stamp; null where it has none.  MissingError if the station has no records."""
+    one_series(records, reference)
     ref = records.where(F.col("name") == reference).select("datetime", F.col(obstype).alias("_ref"))
     return records.join(ref, "datetime", "left").withColumn(obstype, F.col(obstype) - F.col("_ref")).drop("_ref")
 
 
 def diurnal_cycle_against(records: DataFrame, obstype: str, reference: str, color_by: str = "name", stations: DataFrame | None = None) -> DataFrame:
-    """The diurnal cycle of differences from a reference station."""
-    return diurnal_cycle(minus_reference(records, obstype, reference).where(F.col(obstype).isNotNull()), obstype, color_by, stations)
+    """The diurnal cycle of differences from a reference station; groups without any difference are there with a null."""
+    return diurnal_cycle(minus_reference(records, obstype, reference), obstype, color_by, stations)
 
 
 def label_counts(labelled: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -29,16 +28,16 @@ def pairs(stations: DataFrame, radius_m: float, same: str | None = None, max_alt
         raise MissingError("a station has no coordinates")
     if max_altitude_difference is not None and not stations.where("altitude IS NULL").isEmpty():
         raise MissingError("a station has no altitude")
-    most = stations.agg(F.max(F.abs("lat"))).first()[0] or 0.0
     height = radius_m / METRES_PER_DEGREE * 1.001
-    width = min(360.0, height / max(math.cos(math.radians(min(89.9, most + height))), 1e-3))
-    wrap = max(1, math.ceil(360.0 / width))
     columns = ["name", "lat", "lon", "altitude", *([same] if same else [])]
-    base = stations.select(*columns).withColumns({"cy": F.floor(F.col("lat") / height), "cx": F.floor((F.col("lon") + 180) / width)})
-    a = base.withColumn("cy", F.explode(F.array(*[F.col("cy") + d for d in (-1, 0, 1)])))
-    # around the date line the last, narrower column has two neighbours more
-    a = a.withColumn("cx", F.explode(F.array_distinct(F.transform(F.array(*[F.lit(d) for d in (-2, -1, 0, 1, 2)]), lambda d: F.pmod(F.col("cx") + d, F.lit(wrap))))))
-    b = base.select(*[F.col(c).alias(f"b_{c}") for c in columns], "cy", F.pmod("cx", F.lit(wrap)).alias("cx"))
+    # each row of cells has its own width in degrees: the radius' where the row is nearest a pole; around a pole there is one cell
+    pole = F.greatest(F.abs(F.col("cy") * height), F.abs((F.col("cy") + 1) * height)) + height
+    cells = F.when(pole < 89.9, F.greatest(F.lit(1), F.floor(F.lit(360.0) / (F.lit(height) / F.cos(F.radians(pole)))))).otherwise(1).cast("long")
+    base = stations.select(*columns).withColumn("cy", F.floor(F.col("lat") / height))
+    column = F.floor((F.col("lon") + 180) / (F.lit(360.0) / cells))
+    a = base.withColumn("cy", F.explode(F.array(*[F.col("cy") + d for d in (-1, 0, 1)])))  # a station's place in its own and in the next rows' cells
+    a = a.withColumn("cx", F.explode(F.array_distinct(F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: F.pmod(column + d, cells)))))
+    b = base.select(*[F.col(c).alias(f"b_{c}") for c in columns], "cy", F.pmod(column, cells).alias("cx"))
     near = a.join(b, ["cy", "cx"]).where("name <> b_name")
     if same:
         near = near.where(F.col(same) == F.col(f"b_{same}"))
@@ -93,7 +92,9 @@ def group_outliers(obs: DataFrame, members: DataFrame, z_threshold: float, min_s
     scored = rows.join(stats, by).withColumn("chi", F.abs(F.col("value") - F.col("mean")) / F.col("sd")).where(F.col("chi") > z_threshold)
     # every member over the threshold is here, so the largest of these is the group's largest
     worst = scored.groupBy(*by).agg(F.min_by(F.struct("name", "value", "chi", "mean", "sd", "n"), F.struct((-F.col("chi")).alias("c"), "name")).alias("x")).select(*by, "x.*")
-    details = F.format_string("outlier in buddy group of %s: chi=%.2f, mean=%.2f, std=%.2f, n=%d", "group_id", "chi", "mean", "sd", "n")
+    # rounded first to what sums in any order agree on
+    two = [F.round(F.round(c, 6), 2) for c in ("chi", "mean", "sd")]
+    details = F.format_string("outlier in buddy group of %s: chi=%.2f, mean=%.2f, std=%.2f, n=%d", F.col("group_id"), *two, F.col("n"))
     return worst.select(*KEY, "datetime", "value", "group_id", "chi", details.alias("details"))
 
 
@@ -109,11 +110,16 @@ class SafetyNet:
     max_altitude_difference: float | None = None
 
 
-def saved_by(net: SafetyNet, found: DataFrame, obs: DataFrame, stations: DataFrame) -> DataFrame:
-    """The flagged rows (name, obstype, datetime) that a safety net clears."""
+def net_pairs(net: SafetyNet, stations: DataFrame) -> DataFrame:
+    """The pairs of stations of a safety net."""
     if net.category not in stations.columns:
         raise MissingError(f"no station column {net.category!r}")
-    near = with_enough(pairs(stations, net.radius_m, net.category, net.max_altitude_difference), net.min_sample_size)
+    return with_enough(pairs(stations, net.radius_m, net.category, net.max_altitude_difference), net.min_sample_size)
+
+
+def saved_by(net: SafetyNet, found: DataFrame, obs: DataFrame, stations: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """The flagged rows (name, obstype, datetime) that a safety net clears; ``near`` are its pairs, if they are known."""
+    near = net_pairs(net, stations) if near is None else near
     asked = found.select(*KEY, "datetime", "value").distinct().join(near.select("name", "buddy"), "name")
     others = obs.where("value IS NOT NULL").select(F.col("name").alias("buddy"), "obstype", "datetime", F.col("value").alias("v"))
     met = asked.join(others, ["buddy", "obstype", "datetime"])
@@ -153,13 +159,15 @@ def buddy_check(
     else:
         values = obs
     near = with_enough(pairs(stations, radius_m, None, max_altitude_difference), min_sample_size)
-    members = groups(near)
+    members = cut(groups(near))
+    nets = [(net, cut(net_pairs(net, stations))) for net in safety_nets or []]
+    values = cut(values) if n_iter > 1 else values
     out = None
     for i in range(1, n_iter + 1):
         left = values if out is None else values.join(out.select(*KEY, "datetime").distinct(), [*KEY, "datetime"], "left_anti")
         found = group_outliers(left, members, z_threshold, min_sample_size, min_std)
-        for net in safety_nets or []:
-            found = found.join(saved_by(net, found, left, stations), [*KEY, "datetime"], "left_anti")
+        for net, own in nets:
+            found = found.join(saved_by(net, found, left, stations, own), [*KEY, "datetime"], "left_anti")
         if white is not None:
             found = without_white(found, white)
         found = cut(found.withColumn("details", F.concat("details", F.lit(f" (iteration {i}/{n_iter})"))))

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..errors import AmbiguousError, ArgumentError
 from ..functions import time as T
 from ..functions.values import clip
@@ -49,25 +50,73 @@ def anchors(gaps: DataFrame, obs: DataFrame) -> DataFrame:
     return out.select(*GAP, "datetime", "ts", "place", *[F.col(f"x{i}.{c}").alias(f"{c}{i}") for i in (0, 1) for c in "vt"], "n0", "n1")
 
 
+#: Orders of the piecewise polynomials that run through all anchors.
+SPLINES = {"quadratic": 2, "cubic": 3, "cubicspline": 3, "polynomial": None, "spline": None}
+#: Methods that look at the nearest record on each side only.
+PAIRWISE = ("time", "linear", "slinear", "nearest", "zero")
+
+
+def nearest_records(gaps: DataFrame, obs: DataFrame, n_leading: int, n_trailing: int, max_lead: str | None = None, max_trail: str | None = None) -> DataFrame:
+    """The last valid records before each gap and the first after it, however far: (…, gap_id, side, datetime, value).
+
+    With ``max_lead`` or ``max_trail``, those of them that are not farther from
+    the gap (inclusive).  Records are numbered in their series, so gaps meet
+    them by number, not by time.
+    """
+    spans = _spans(gaps)
+    valid = obs.where("value IS NOT NULL").select(*KEY, "datetime", "value", _us().alias("ts"))
+    marks = spans.select(*GAP, F.explode(F.array(F.struct(F.lit("lead").alias("side"), (F.col("gap_lo") - 1).alias("ts")), F.struct(F.lit("trail").alias("side"), F.col("gap_hi").alias("ts")))).alias("m")).select(*GAP, "m.*")
+    numbered = valid.withColumn("number", F.row_number().over(Window.partitionBy(*KEY).orderBy("ts")).cast("long"))
+    counted = numbered.select(*KEY, "ts", "number").unionByName(marks, allowMissingColumns=True)
+    order = Window.partitionBy(*KEY).orderBy("ts", F.col("number").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = counted.withColumn("seen", F.coalesce(F.max("number").over(order), F.lit(0).cast("long"))).where("side IS NOT NULL")
+    lead = F.col("side") == "lead"
+    wanted = F.when(lead, F.sequence(F.col("seen") - (n_leading - 1), F.col("seen"))).otherwise(F.sequence(F.col("seen") + 1, F.col("seen") + n_trailing))
+    found = seen.select(*GAP, "side", F.explode(wanted).alias("number")).join(numbered, [*KEY, "number"]).join(spans.select(*GAP, "gap_lo", "gap_hi"), GAP)
+    if max_lead:
+        found = found.where(~lead | (F.col("gap_lo") - F.col("ts") <= T.micros(max_lead)))
+    if max_trail:
+        found = found.where(lead | (F.col("ts") - F.col("gap_hi") <= T.micros(max_trail)))
+    return found.select(*GAP, "side", "datetime", "value")
+
+
+def _anchored(gaps: DataFrame, obs: DataFrame, n_leading: int, n_trailing: int, max_lead: str | None, max_trail: str | None) -> DataFrame:
+    """The gaps that have as many anchors as asked for on both sides."""
+    sides = nearest_records(gaps, obs, n_leading, n_trailing, max_lead, max_trail).groupBy(*GAP).agg(F.count_if(F.col("side") == "lead").alias("nl"), F.count_if(F.col("side") == "trail").alias("nt"))
+    return sides.where((F.col("nl") >= n_leading) & (F.col("nt") >= n_trailing)).select(*GAP)
+
+
 def interpolate(
     gaps: DataFrame, obs: DataFrame, method: str = "time", max_gap: str = "3h", n_leading: int = 1, n_trailing: int = 1, max_lead: str | None = None, max_trail: str | None = None, order: int = 3
 ) -> DataFrame:
     """Interpolate inside gaps, between valid records only (neither outliers nor earlier fills).
 
-    ``time`` follows the clock, ``linear`` the rows; ``cubicspline``,
-    ``polynomial`` and ``spline`` (with ``order``) run through all anchors.  A
-    gap longer than ``max_gap``, or without enough near anchors, fails.
+    ``time`` and ``slinear`` follow the clock, ``linear`` the rows; ``nearest``
+    takes the nearer record (the earlier of two), ``zero`` the one before;
+    ``quadratic``, ``cubic``, ``cubicspline``, ``polynomial`` and ``spline``
+    (the last two of ``order``) run through all anchors.  A gap longer than
+    ``max_gap`` fails, and one without as many anchors as asked for, each
+    within ``max_lead`` or ``max_trail`` of the gap.
     """
-    if method not in ("time", "linear"):
-        return _interpolate_spline(gaps, obs, 3 if method == "cubicspline" else order, max_gap, n_leading, n_trailing, max_lead, max_trail)
+    if n_leading < 1 or n_trailing < 1:
+        raise ArgumentError("at least one anchor on each side")
+    if method in SPLINES:
+        return _interpolate_spline(gaps, obs, SPLINES[method] or order, max_gap, n_leading, n_trailing, max_lead, max_trail, method == "cubicspline")
+    if method not in PAIRWISE:
+        raise ArgumentError(f"no interpolation method {method!r}; there are {', '.join((*PAIRWISE, *SPLINES))}")
     df = anchors(gaps, obs).join(_spans(gaps), GAP)
-    share = (F.col("ts") - F.col("t0")) / (F.col("t1") - F.col("t0")) if method == "time" else F.col("place") / (F.col("gap_n") + 1)
+    down, up = F.col("ts") - F.col("t0"), F.col("t1") - F.col("ts")
+    share = {"linear": F.col("place") / (F.col("gap_n") + 1), "nearest": F.when(up < down, 1.0).otherwise(0.0), "zero": F.lit(0.0)}.get(method, down / (down + up))
     size_ok = F.col("gap_hi") - F.col("gap_lo") <= T.micros(max_gap)
-    anchored = (F.col("n0") >= n_leading) & (F.col("n1") >= n_trailing)
-    if max_lead:
-        anchored &= F.col("gap_lo") - F.col("t0") <= T.micros(max_lead)
-    if max_trail:
-        anchored &= F.col("t1") - F.col("gap_hi") <= T.micros(max_trail)
+    if n_leading == 1 and n_trailing == 1:
+        anchored = (F.col("n0") >= 1) & (F.col("n1") >= 1)
+        if max_lead:
+            anchored &= F.col("gap_lo") - F.col("t0") <= T.micros(max_lead)
+        if max_trail:
+            anchored &= F.col("t1") - F.col("gap_hi") <= T.micros(max_trail)
+    else:  # the farthest anchor asked for must be near enough too
+        df = df.join(_anchored(gaps, obs, n_leading, n_trailing, max_lead, max_trail).withColumn("anchored", F.lit(True)), GAP, "left")
+        anchored = F.coalesce("anchored", F.lit(False))
     df = df.withColumn("value", F.when(size_ok & anchored, F.col("v0") + (F.col("v1") - F.col("v0")) * share))
     return _labelled(df, "interpolation", F.when(~size_ok, "gap too long").when(~F.coalesce(anchored, F.lit(False)), "not enough anchors").otherwise(f"interpolated by {method}"))
 
@@ -115,15 +164,13 @@ def period(gaps: DataFrame, obs: DataFrame, lead: str, trail: str) -> DataFrame:
     return windows.join(rows, [*KEY, "day"]).where("ts BETWEEN lo AND hi").select(*GAP, "side", "datetime", "value")
 
 
-def _interpolate_spline(gaps, obs, order, max_gap, n_leading, n_trailing, max_lead, max_trail) -> DataFrame:
-    # without a limit, anchors are sought as far as they could be used: n records each way
-    near = period(gaps, obs, max_lead or "30d", max_trail or "30d")
-    rank = F.row_number().over(Window.partitionBy(*GAP, "side").orderBy(F.when(F.col("side") == "lead", -_us()).otherwise(_us())))
-    wanted = F.when(F.col("side") == "lead", F.lit(n_leading)).otherwise(F.lit(n_trailing))
-    near = near.withColumn("rank", rank).where(F.col("rank") <= wanted).select(*GAP, "datetime", "value", F.col("side"))
+def _interpolate_spline(gaps, obs, order, max_gap, n_leading, n_trailing, max_lead, max_trail, lower: bool) -> DataFrame:
+    near = nearest_records(gaps, obs, n_leading, n_trailing, max_lead, max_trail)
     stamps = gaps.groupBy(*GAP).agg(F.array_sort(F.collect_list(_us())).alias("at"))
     sides = near.groupBy(*GAP).agg(F.count_if(F.col("side") == "lead").alias("nl"), F.count_if(F.col("side") == "trail").alias("nt"), F.array_sort(F.collect_list(F.struct(_us().alias("t"), F.col("value").alias("v")))).alias("known"))
-    fits = (F.col("nl") >= n_leading) & (F.col("nt") >= n_trailing) & (F.element_at("at", -1) - F.col("at")[0] <= T.micros(max_gap))
+    # fewer points than the order needs lower it for cubicspline, and fail else
+    enough = n_leading + n_trailing > order or lower
+    fits = F.lit(enough) & (F.col("nl") >= n_leading) & (F.col("nt") >= n_trailing) & (F.element_at("at", -1) - F.col("at")[0] <= T.micros(max_gap))
 
     @F.pandas_udf("array<double>")
     def through(t, v, at):
@@ -134,7 +181,7 @@ def _interpolate_spline(gaps, obs, order, max_gap, n_leading, n_trailing, max_le
     known = lambda c: F.when(F.col("fits"), F.transform("known", lambda x: x[c]))
     both = both.withColumn("fill", through(known("t"), known("v"), F.when(F.col("fits"), F.col("at"))))
     done = both.select(*GAP, F.posexplode("at").alias("i", "us"), "fill").select(*GAP, T.to_timestamp(F.col("us")).alias("datetime"), F.get("fill", F.col("i")).alias("value"))
-    return _labelled(done, "interpolation", F.when(F.col("value").isNull(), "gap too long or not enough anchors").otherwise(f"interpolated by a spline of order {order}"))
+    return _labelled(done, "interpolation", F.when(F.col("value").isNull(), "gap too long or not enough anchors" if enough else "too few anchors for the order").otherwise(f"interpolated by a spline of order {order}"))
 
 
 def at_stamps(model: DataFrame, targets: DataFrame) -> DataFrame:
@@ -165,9 +212,14 @@ def fill_raw(gaps: DataFrame, model: DataFrame, max_gap: str = "12h", low: float
     return _labelled(df, "raw", F.when(~fits, "gap too long").when(F.col("value").isNull(), "no model value").otherwise("model value"))
 
 
-def _biases(gaps: DataFrame, obs: DataFrame, model: DataFrame, lead: str, trail: str, extra: list[Column]) -> DataFrame:
-    near = at_stamps(model, period(gaps, obs, lead, trail)).where("model_value IS NOT NULL")
-    return near.select(*GAP, "side", (F.col("model_value") - F.col("value")).alias("bias"), *extra)
+def _biases(near: DataFrame, model: DataFrame, extra: list[Column]) -> DataFrame:
+    """Deviations of the model from the records near gaps."""
+    return at_stamps(model, near).where("model_value IS NOT NULL").select(*GAP, "side", (F.col("model_value") - F.col("value")).alias("bias"), *extra)
+
+
+def _enough(near: DataFrame, min_lead: int, min_trail: int) -> DataFrame:
+    """The gaps with as many records near them on both sides."""
+    return near.groupBy(*GAP).agg(F.count_if(F.col("side") == "lead").alias("nl"), F.count_if(F.col("side") == "trail").alias("nt")).where((F.col("nl") >= min_lead) & (F.col("nt") >= min_trail)).select(*GAP)
 
 
 def _clock() -> list[Column]:
@@ -190,21 +242,21 @@ def _fill(gaps: DataFrame, model: DataFrame, method: str, bias: DataFrame, keys:
 
 def fill_debiased(gaps: DataFrame, obs: DataFrame, model: DataFrame, max_gap: str = "12h", lead: str = "24h", trail: str = "24h", min_lead: int = 60, min_trail: int = 60, low: float | None = None, high: float | None = None) -> DataFrame:
     """Model minus its mean deviation from the records before and after the gap."""
-    near = period(gaps, obs, lead, trail).groupBy(*GAP).agg(F.count_if(F.col("side") == "lead").alias("nl"), F.count_if(F.col("side") == "trail").alias("nt")).where((F.col("nl") >= min_lead) & (F.col("nt") >= min_trail)).select(*GAP)
-    bias = _biases(gaps, obs, model, lead, trail, []).groupBy(*GAP).agg(F.avg("bias").alias("bias")).join(near, GAP, "left_semi").join(_covered(gaps, model, lead, trail), GAP, "left_semi")
+    near = cut(period(gaps, obs, lead, trail))
+    bias = _biases(near, model, []).groupBy(*GAP).agg(F.avg("bias").alias("bias")).join(_enough(near, min_lead, min_trail), GAP, "left_semi").join(_covered(gaps, model, lead, trail), GAP, "left_semi")
     return _fill(gaps, model, "debiased", bias, GAP, max_gap, clip(F.col("model_value") - F.col("bias"), low, high))
 
 
 def fill_diurnal(gaps: DataFrame, obs: DataFrame, model: DataFrame, max_gap: str = "12h", lead: str = "24h", trail: str = "24h", min_sample: int = 6, low: float | None = None, high: float | None = None) -> DataFrame:
     """Model minus its mean deviation at the same time of day around the gap."""
-    near = period(gaps, obs, lead, trail).groupBy(*GAP).agg(F.count_if(F.col("side") == "lead").alias("nl"), F.count_if(F.col("side") == "trail").alias("nt")).where((F.col("nl") >= min_sample) & (F.col("nt") >= min_sample)).select(*GAP)
-    bias = _biases(gaps, obs, model, lead, trail, _clock()).groupBy(*GAP, "h", "m", "s").agg(F.avg("bias").alias("bias"), F.count("*").alias("n")).where(F.col("n") >= min_sample).drop("n").join(near, GAP, "left_semi").join(_covered(gaps, model, lead, trail), GAP, "left_semi")
+    near = cut(period(gaps, obs, lead, trail))
+    bias = _biases(near, model, _clock()).groupBy(*GAP, "h", "m", "s").agg(F.avg("bias").alias("bias"), F.count("*").alias("n")).where(F.col("n") >= min_sample).drop("n").join(_enough(near, min_sample, min_sample), GAP, "left_semi").join(_covered(gaps, model, lead, trail), GAP, "left_semi")
     return _fill(gaps, model, "diurnal_debiased", bias, [*GAP, "h", "m", "s"], max_gap, clip(F.col("model_value") - F.col("bias"), low, high))
 
 
 def fill_weighted_diurnal(gaps: DataFrame, obs: DataFrame, model: DataFrame, max_gap: str = "12h", lead: str = "24h", trail: str = "24h", min_lead: int = 2, min_trail: int = 2, low: float | None = None, high: float | None = None) -> DataFrame:
     """Like ``fill_diurnal`` with a bias of each side, the nearer side weighing more; a gap of one stamp has no weights and fails."""
-    deviations = _biases(gaps, obs, model, lead, trail, _clock())
+    deviations = _biases(period(gaps, obs, lead, trail), model, _clock())
     by = deviations.groupBy(*GAP, "h", "m", "s").agg(*[f(F.when(F.col("side") == s, F.col("bias"))).alias(f"{n}_{s}") for s in ("lead", "trail") for n, f in (("bias", F.avg), ("n", F.count))])
     bias = by.where((F.col("n_lead") >= min_lead) & (F.col("n_trail") >= min_trail)).join(_covered(gaps, model, lead, trail), GAP, "left_semi")
     weight = 1 - (_us() - F.col("gap_lo")) / F.nullif(F.col("gap_hi") - F.col("gap_lo"), F.lit(0))

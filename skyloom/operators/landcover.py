@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Local climate zones by number, 1 first.
@@ -42,11 +42,11 @@ def lcz(stations: DataFrame, raster: DataFrame, sea_is_water: bool = True) -> Da
 def fractions(pixels: DataFrame, groups: dict[str, list[int]] | None = None) -> DataFrame:
     """Shares of classes around stations, of (name, radius, class): rows (name, radius, class, fraction).
 
-    With ``groups``, classes are summed into them; every group is there, 0 where it has no pixel.
+    With ``groups``, classes are summed into them.  Every class (or group) is
+    there, 0 where it has no pixel; classes unknown to the map are left out.
     """
-    if groups is None:
-        counted = pixels.where("class IS NOT NULL").groupBy("name", "radius", "class").agg(F.count("*").alias("n"))
-        return counted.select("name", "radius", "class", (F.col("n") / F.sum("n").over(Window.partitionBy("name", "radius"))).alias("fraction"))
-    sums = pixels.where("class IS NOT NULL").groupBy("name", "radius").agg(F.count("*").alias("n"), *[F.count_if(F.col("class").isin(c)).alias(g) for g, c in groups.items()])
-    rows = F.explode(F.array(*[F.struct(F.lit(g).alias("class"), (F.col(g) / F.col("n")).alias("fraction")) for g in groups]))
+    groups = groups if groups is not None else {c: [c] for c in LANDCOVER}
+    known = pixels.where(F.col("class").isin([c for cs in groups.values() for c in cs]))
+    sums = known.groupBy("name", "radius").agg(F.count("*").alias("n"), *[F.count_if(F.col("class").isin(c)).alias(f"_{g}") for g, c in groups.items()])
+    rows = F.explode(F.array(*[F.struct(F.lit(g).alias("class"), (F.col(f"_{g}") / F.col("n")).alias("fraction")) for g in groups]))
     return sums.select("name", "radius", rows.alias("r")).select("name", "radius", "r.*")

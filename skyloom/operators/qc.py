@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..errors import ArgumentError
 from ..functions import time as T
-from ..labels import CHECKS, LABELS, OK
-from .align import KEY, PIECE_US, series
+from ..labels import CHECKS, GAP, LABELS, OK
+from .align import KEY, PIECE_US, regular_frequency, series
 
 Check = Callable[[Column], Column]
 
@@ -82,9 +82,9 @@ def window_variation(window: str = "1h", min_records: int = 3, max_increase_per_
     return check
 
 
-def window_fits(window: str, min_records: int, freq: str) -> bool:
-    """Whether a window can hold enough records at all; if not, the check finds nothing."""
-    return T.micros(window) / T.micros(freq) >= min_records
+def window_fits(window: str, min_records: int, freq: str | Column):
+    """Whether a window can hold enough records at all; if not, the check finds nothing.  ``freq`` is a span or a column of microseconds."""
+    return T.micros(window) / (T.micros(freq) if isinstance(freq, str) else freq) >= min_records
 
 
 def flagged(obs: DataFrame, check: Check, name: str = "flag") -> DataFrame:
@@ -98,8 +98,16 @@ def outliers(obs: DataFrame, check: Check, check_name: str) -> DataFrame:
     return flagged(obs, check).where("flag").select(*KEY, "datetime", "value", F.lit(CHECKS[check_name]).alias("label"))
 
 
-def windowed_outliers(obs: DataFrame, make: Callable[..., Check], check_name: str, window: str, **options) -> DataFrame:
-    """A centred-window check over series cut into pieces of time: rows near a border are in both pieces, and count in their own."""
+def windowed_outliers(obs: DataFrame, make: Callable[..., Check], check_name: str, window: str, regular: bool = True, **options) -> DataFrame:
+    """A centred-window check over series cut into pieces of time: rows near a border are in both pieces, and count in their own.
+
+    Series must have regular stamps, else it raises; those whose step is too
+    wide for ``min_records`` in a window are left alone.  ``regular=False``
+    takes any stamps and tests every series.
+    """
+    if regular:
+        steps = regular_frequency(obs)
+        obs = obs.join(steps.where(~window_fits(window, options["min_records"], F.col("freq_us"))).select(*KEY), KEY, "left_anti")
     half = T.micros(window) // 2
     us = T.to_micros(F.col("datetime"))
     piece = lambda x: F.floor(x / F.lit(PIECE_US))
@@ -117,6 +125,11 @@ def without_duplicates(raw: DataFrame, order: str) -> DataFrame:
     return raw.groupBy(*KEY, "datetime").agg(F.when(F.count("*") == 1, F.min_by("value", order)).alias("value"))
 
 
+def invalid_rows(raw: DataFrame) -> DataFrame:
+    """Stamps (name, obstype, datetime) with one row that has no number; repeated stamps are outliers instead."""
+    return raw.groupBy(*KEY, "datetime").agg(F.count("*").alias("n"), F.count("value").alias("v")).where("n = 1 AND v = 0").select(*KEY, "datetime")
+
+
 def chain(obs: DataFrame, checks: list[tuple[str, Check]]) -> DataFrame:
     """All checks in order: (name, obstype, datetime, raw_value, value, label); ``value`` is null where a check flagged it."""
     df = obs.withColumn("ts", T.to_micros(F.col("datetime"))).withColumn("_v", F.col("value")).withColumn("label", F.when(F.col("value").isNull(), F.lit(None)).otherwise(F.lit(OK)))
@@ -126,14 +139,30 @@ def chain(obs: DataFrame, checks: list[tuple[str, Check]]) -> DataFrame:
     return df.select(*KEY, "datetime", F.col("value").alias("raw_value"), F.col("_v").alias("value"), "label")
 
 
-def statistics(labelled: DataFrame, order: list[str]) -> DataFrame:
-    """For each check in order: rows in all, rows it saw (not rejected before it) and rows it flagged."""
-    total = labelled.agg(F.count("*").alias("n_all"), F.count_if(F.col("label") == OK).alias("n_ok"), F.count_if(F.col("label").isNull()).alias("n_gap"), *[F.count_if(F.col("label") == CHECKS[c]).alias(c) for c in order])
+def statistics(labelled: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
+    """For each check in order: rows in all, rows it saw (not rejected before it) and rows it flagged; for each group ``by``, if named."""
+    by = by or []
+    total = labelled.groupBy(*by).agg(F.count("*").alias("n_all"), F.count_if(F.col("label") == OK).alias("n_ok"), F.count_if(F.col("label").isNull() | (F.col("label") == GAP)).alias("n_gap"), *[F.count_if(F.col("label") == CHECKS[c]).alias(c) for c in order])
     rows, rejected = [], F.col("n_gap")
     for i, c in enumerate(order):
         rows.append(F.struct(F.lit(i).alias("seq"), F.lit(c).alias("qc_check"), F.col("n_all").alias("n_all"), (F.col("n_all") - rejected).alias("n_checked"), F.col(c).alias("n_labeled")))
         rejected = rejected + F.col(c)
-    return total.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return total.select(*by, F.explode(F.array(*rows)).alias("r")).select(*by, "r.*")
+
+
+def station_statistics(labelled: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
+    """Rows (name, qc_check, n_all, n_checked, n_labeled) for each station: good rows, gaps and each check in order, by label.
+
+    ``n_checked`` is null for good rows and gaps, which no check gives.  With
+    ``by=[]`` the counts are summed over stations.
+    """
+    by = ["name"] if by is None else by
+    nothing = F.lit(None).cast("long")
+    counts = labelled.groupBy(*by).agg(F.count("*").alias("n_all"), F.count_if(F.col("label") == OK).alias("n_ok"), F.count_if(F.col("label").isNull() | (F.col("label") == GAP)).alias("n_gap"))
+    plain = F.array(*[F.struct(F.lit(label).alias("qc_check"), F.col("n_all"), nothing.alias("n_checked"), F.col(c).alias("n_labeled")) for label, c in ((OK, "n_ok"), (GAP, "n_gap"))])
+    labels = F.create_map(*[F.lit(x) for c in order for x in (c, CHECKS[c])])
+    checked = statistics(labelled, order, by).select(*by, F.element_at(labels, F.col("qc_check")).alias("qc_check"), "n_all", "n_checked", "n_labeled")
+    return counts.select(*by, F.explode(plain).alias("r")).select(*by, "r.*").unionByName(checked)
 
 
 def effectiveness(stats: DataFrame) -> DataFrame:

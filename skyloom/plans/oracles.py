@@ -2,10 +2,47 @@
 
 from __future__ import annotations
 
-from ..functions.time import ROUND_TO
-from ..functions.units import UNITS
-from ..labels import CHECKS, FAILED, FILLS, NUMBERS
-from ..operators.landcover import LANDCOVER, LANDCOVER_GROUPS, LCZ
+# Fixed values, written out here and not taken from the code under test.
+ROUND_TO = (86400, 3600, 1800, 600, 300, 60, 30)
+CHECKS = {
+    "duplicated_timestamp": "duplicated timestamp outlier",
+    "gross_value": "gross value outlier",
+    "persistence": "persistence outlier",
+    "repetitions": "repetitions outlier",
+    "step": "in step outlier group",
+    "window_variation": "in window variation outlier group",
+}
+FILLS = {
+    "interpolation": "interpolation",
+    "raw": "raw modeldata fill",
+    "debiased": "debiased modeldata fill",
+    "diurnal_debiased": "diurnal debiased modeldata fill",
+    "weighted_diurnal_debiased": "Weighted diurnal debiased modeldata fill",
+}
+FAILED = {
+    "interpolation": "failed interpolation",
+    "raw": "failed raw modeldata fill",
+    "debiased": "failed debiased modeldata fill",
+    "diurnal_debiased": "failed diurnal debiased modeldata fill",
+    "weighted_diurnal_debiased": "failed Weighted diurnal debiased modeldata fill",
+}
+NUMBERS = {
+    "ok": 0,
+    "gross value outlier": 3,
+    "persistence outlier": 4,
+    "repetitions outlier": 5,
+    "in step outlier group": 6,
+    "in window variation outlier group": 7,
+}
+LANDCOVER = [10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 100]
+LANDCOVER_GROUPS = {"water": [70, 80, 90, 95], "pervious": [10, 20, 30, 40, 60, 100], "impervious": [50]}
+# Local climate zones, 1 first.
+LCZ = [
+    "Compact highrise", "Compact midrise", "Compact lowrise", "Open highrise", "Open midrise", "Open lowrise",
+    "Lightweight lowrise", "Large lowrise", "Sparsely built", "Heavy industry", "Dense Trees (LCZ A)",
+    "Scattered Trees (LCZ B)", "Bush, scrub (LCZ C)", "Low plants (LCZ D)", "Bare rock or paved (LCZ E)",
+    "Bare soil or sand (LCZ F)", "Water (LCZ G)",
+]
 
 H = 3_600_000_000
 _NUM = "::DOUBLE"
@@ -37,9 +74,10 @@ STATIONS = "stations AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS name, 50 +
 
 def nearest(target: str, raw: str, out: str, tolerance: int, later: bool = False) -> str:
     """CTEs of the nearest as-of join of (name, us) targets with (name, us, value) rows."""
+    less = "<=" if later else "<"
     return f"""{out}_b AS (SELECT g.name, g.us, o.us AS b_us, o.value AS b_value FROM {target} g ASOF LEFT JOIN {raw} o ON g.name = o.name AND g.us >= o.us),
 {out}_a AS (SELECT g.name, g.us, o.us AS a_us, o.value AS a_value FROM {target} g ASOF LEFT JOIN {raw} o ON g.name = o.name AND g.us <= o.us),
-{out}_x AS (SELECT b.name, b.us, CASE WHEN b_us IS NULL OR a_us - b.us < b.us - b_us THEN a_us ELSE b_us END AS r_us, CASE WHEN b_us IS NULL OR a_us - b.us < b.us - b_us THEN a_value ELSE b_value END AS r_value
+{out}_x AS (SELECT b.name, b.us, CASE WHEN b_us IS NULL OR a_us - b.us {less} b.us - b_us THEN a_us ELSE b_us END AS r_us, CASE WHEN b_us IS NULL OR a_us - b.us {less} b.us - b_us THEN a_value ELSE b_value END AS r_value
   FROM {out}_b b JOIN {out}_a a ON a.name = b.name AND a.us = b.us),
 {out} AS (SELECT name, us, CASE WHEN abs(r_us - us) <= {tolerance} THEN r_us END AS raw_us, CASE WHEN abs(r_us - us) <= {tolerance} THEN r_value END AS value FROM {out}_x)"""
 
@@ -179,15 +217,77 @@ SEASON = "CASE WHEN {d} > 336 OR {d} <= 61 THEN 'winter' WHEN {d} <= 153 THEN 's
 PIXELS = f"pixels AS (SELECT CAST(l_suppkey % 50 AS VARCHAR) AS name, 100 AS radius, ([{', '.join(map(str, LANDCOVER))}])[(l_partkey % 11 + 1)::INT] AS class FROM lineitem)"
 
 
-def _unit(v: str, a: str, b: str) -> str:
-    (_, s1, o1), (_, s2, o2) = UNITS[a], UNITS[b]
-    return f"round(({v} * {num(s1)} + {num(o1)} - {num(o2)}) / {num(s2)}, 6)"
-
-
 _CYCLE = f"cycle AS (SELECT category, hour(datetime)::INT AS hour, minute(datetime)::INT AS minute, second(datetime)::INT AS second, AVG(view) AS value FROM wide JOIN stations USING (name) GROUP BY ALL)"
 _FAKE = "make_timestamp(1990, 1, 1, hour, minute, second)"
 _PAIRS = "SELECT a.name, b.name AS buddy, round({h}, 3) AS distance FROM stations a JOIN stations b ON a.name <> b.name WHERE {h} <= {r}"
 
+
+
+def _shares(source: str) -> str:
+    every = f"(SELECT DISTINCT name, radius FROM {source}), (SELECT unnest([{', '.join(map(str, LANDCOVER))}]) AS class)"
+    return f"SELECT e.name, e.radius, e.class, round(COUNT(p.class) / SUM(COUNT(p.class)) OVER (PARTITION BY e.name), 6) AS fraction FROM (SELECT * FROM {every}) e LEFT JOIN {source} p ON p.name = e.name AND p.class = e.class GROUP BY e.name, e.radius, e.class"
+
+
+#: Valid records near gaps by their number in the series.
+RECORDS = """numbered AS (SELECT name, us, value, ROW_NUMBER() OVER (PARTITION BY name ORDER BY us) AS i FROM good),
+ends AS (SELECT s.*, (SELECT COUNT(*) FROM good g WHERE g.name = s.name AND g.us < s.lo) AS before FROM spans s),
+by_number AS (SELECT e.name, e.gap_id, e.lo, e.hi, CASE WHEN n.i <= e.before THEN 'lead' ELSE 'trail' END AS side, n.us, n.value FROM ends e JOIN numbered n ON n.name = e.name AND n.i BETWEEN e.before - {lead} + 1 AND e.before + {trail})"""
+RAW = f"""raw AS (SELECT CAST(user_id AS VARCHAR) AS name, epoch_us(ts) - epoch_us(ts) % {H} AS us, CASE WHEN event_type <> 'error' THEN value END AS value, event_id FROM events)"""
+LAGRANGE = " + ".join("y{0} * ({1})".format(i, " * ".join(f"(x - x{j}) / (x{i} - x{j})" for j in range(1, 5) if j != i)) for i in range(1, 5))
+
+
+def _ingested(out: str, source: str, freq: str | None, tolerance: int, origin: str | None = None) -> str:
+    """CTEs of the whole import of (name, us, value, event_id)."""
+    step = simplified("f", 120_000_000, True) if freq is None else freq
+    start = f"epoch_us(TIMESTAMP '{origin}')" if origin else simplified("lo", 300_000_000)
+    return f"""{out}_k AS (SELECT name, us, CASE WHEN COUNT(*) = 1 THEN arg_min(value, event_id) END AS value, CASE WHEN COUNT(*) > 1 THEN FIRST(value ORDER BY event_id) END AS outlier_value, CASE WHEN COUNT(*) > 1 THEN 'duplicated timestamp outlier' ELSE 'ok' END AS label FROM {source} GROUP BY name, us HAVING COUNT(*) > 1 OR COUNT(value) = 1),
+{out}_s AS (SELECT name, us - LAG(us) OVER (PARTITION BY name ORDER BY us) AS st FROM {out}_k),
+{out}_m AS (SELECT name, trunc(median(st))::BIGINT AS f FROM {out}_s WHERE st > 0 GROUP BY name),
+{out}_f AS (SELECT name, ({step})::BIGINT AS freq FROM {'(SELECT DISTINCT name, 0 AS f FROM ' + out + '_k)' if freq else out + '_m'}),
+{out}_o AS (SELECT name, freq, hi, ({start})::BIGINT AS origin FROM (SELECT name, MIN(us) AS lo, MAX(us) AS hi FROM {out}_k GROUP BY name) JOIN {out}_f USING (name)),
+{out}_g AS (SELECT name, freq, unnest(generate_series(origin, origin + trunc((hi - origin) / freq)::BIGINT * freq, freq)) AS us FROM {out}_o),
+{nearest(out + "_g", out + "_k", out + "_n", tolerance)},
+{out} AS (SELECT n.name, n.us, n.raw_us, n.value, k.outlier_value, COALESCE(k.label, 'gap') AS label, f.freq FROM {out}_n n JOIN {out}_f f ON f.name = n.name LEFT JOIN {out}_k k ON k.name = n.name AND k.us = n.raw_us)"""
+
+
+_INGESTED = f"SELECT name, 'value' AS obstype, {ts('us')} AS datetime, {ts('raw_us')} AS raw_timestamp, value, outlier_value, label, freq AS freq_us FROM "
+_HALVES = "left_raw AS (SELECT * FROM raw WHERE us BETWEEN epoch_us(TIMESTAMP '2024-01-01') AND epoch_us(TIMESTAMP '2024-01-15')), right_raw AS (SELECT name, us, value * 2 AS value, event_id FROM raw WHERE us BETWEEN epoch_us(TIMESTAMP '2024-01-10') AND epoch_us(TIMESTAMP '2024-02-10'))"
+_MERGED = "merged AS (SELECT name, us, arg_min(value, side) AS value, 0 AS event_id FROM (SELECT name, COALESCE(raw_us, us) AS us, COALESCE(value, outlier_value) AS value, 0 AS side FROM part_a UNION ALL SELECT name, COALESCE(raw_us, us), COALESCE(value, outlier_value), 1 FROM part_b) WHERE value IS NOT NULL GROUP BY name, us)"
+
+
+def _station_stats(by: str) -> str:
+    """SQL of good rows, gaps and checks, of each group."""
+    key = f"{by}, " if by else ""
+    group = f" GROUP BY {by}" if by else ""
+    parts = [f"SELECT {key}'{label}' AS qc_check, COUNT(*) AS n_all, NULL::BIGINT AS n_checked, COUNT(*) FILTER ({test}) AS n_labeled FROM c5{group}" for label, test in (("ok", "label = 'ok'"), ("gap", "label IS NULL"))]
+    rejected = "COUNT(*) FILTER (label IS NULL)"
+    for c in ORDER:
+        n = f"COUNT(*) FILTER (label = '{CHECKS[c]}')"
+        parts.append(f"SELECT {key}'{CHECKS[c]}', COUNT(*), COUNT(*) - ({rejected}), {n} FROM c5{group}")
+        rejected += f" + {n}"
+    return "\nUNION ALL ".join(parts)
+
+
+def _iteration(i: int, net: str, saved: str = "", white: str = "FALSE") -> str:
+    """CTEs of one iteration of the buddy check over ``net``: found{i}, and left{i}, what it leaves."""
+    cleared = f" AND (name, us) NOT IN (SELECT (name, us) FROM saved{i})" if saved else ""
+    return f"""stat{i} AS (SELECT group_id, us, AVG(value) AS mean, CASE WHEN stddev_samp(value) < 1 THEN 1.0 ELSE stddev_samp(value) END AS sd, COUNT(value) AS n FROM {net} JOIN members USING (name) GROUP BY group_id, us HAVING COUNT(value) >= 4),
+worst{i} AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY group_id, us ORDER BY chi DESC, name) AS r FROM (SELECT group_id, us, name, value, mean, sd, n, abs(value - mean) / sd AS chi FROM {net} JOIN members USING (name) JOIN stat{i} USING (group_id, us)) WHERE chi > 1.8) WHERE r = 1),
+{saved.format(i=i, net=net)}found{i} AS (SELECT name, us, format('outlier in buddy group of {{}}: chi={{}}, mean={{}}, std={{}}, n={{}} (iteration {i}/2)', group_id, {', '.join(f'CAST(round(CAST(round({c}, 6) AS DECIMAL(18, 6)), 2) AS VARCHAR)' for c in ('chi', 'mean', 'sd'))}, n) AS details FROM worst{i} WHERE NOT {white}{cleared}),
+left{i} AS (SELECT * FROM {net} WHERE (name, us) NOT IN (SELECT (name, us) FROM found{i}))"""
+
+
+_SAME = f"same AS (SELECT * FROM (SELECT a.name, b.name AS buddy, COUNT(*) OVER (PARTITION BY a.name) AS k FROM stations a JOIN stations b ON a.name <> b.name AND a.category = b.category WHERE {HAVERSINE} <= 20000) WHERE k >= 3)"
+_SAVED = """asked{i} AS (SELECT DISTINCT name, us, value FROM worst{i} WHERE name IN (SELECT name FROM same)),
+sample{i} AS (SELECT a.name, a.us, a.value, n.value AS v FROM asked{i} a JOIN same s ON s.name = a.name JOIN {net} n ON n.name = s.buddy AND n.us = a.us UNION ALL SELECT name, us, value, value FROM asked{i}),
+saved{i} AS (SELECT name, us FROM sample{i} GROUP BY name, us, value HAVING COUNT(*) >= 3 AND abs(value - AVG(v)) / CASE WHEN stddev_samp(v) < 1 THEN 1.0 ELSE stddev_samp(v) END <= 1.5),
+"""
+
+
+def _checked(label: str) -> str:
+    return f"SELECT f.name, 'value' AS obstype, {ts('f.us')} AS datetime, net.value, '{label}' AS label, f.details FROM (SELECT name, us, string_agg(details, ' | ' ORDER BY details) AS details FROM (SELECT * FROM found1 UNION SELECT * FROM found2) GROUP BY name, us) f JOIN net ON net.name = f.name AND net.us = f.us"
+
+
 ORACLES = {
     "gross_value": flags("gross_value", "value < 1 OR value > 39"),
     "duplicated_timestamp": with_(then=f"SELECT CAST(user_id AS VARCHAR) AS name, 'value' AS obstype, {ts(f'epoch_us(ts) - epoch_us(ts) % {6 * H}')} AS datetime, arg_min(value, event_id) AS value, '{CHECKS['duplicated_timestamp']}' AS label FROM events GROUP BY ALL HAVING COUNT(*) > 1").removeprefix("WITH \n"),
@@ -207,6 +307,7 @@ ORACLES = {
     "simplify_time": with_("e AS (SELECT event_id, epoch_us(ts) AS us FROM events)", then=f"SELECT event_id, {simplified('us', 300_000_000)} AS simple_us FROM e"),
     "regularise_asof": with_(OBS, ALIGNED, then=f"SELECT name, 'value' AS obstype, {ts('us')} AS datetime, {ts('raw_us')} AS raw_datetime, value, status FROM aligned"),
     "resample": with_(OBS, ALIGNED, grid("aligned", "grid2", str(12 * H), 240_000_000), nearest("grid2", "aligned", "near2", H), then=f"SELECT name, 'value' AS obstype, {ts('us')} AS datetime, {ts('raw_us')} AS raw_datetime, value, CASE WHEN raw_us IS NULL THEN 'gap' WHEN value IS NULL THEN 'outlier' ELSE 'ok' END AS status FROM near2"),
+    "resample_labelled": with_(OBS, ALIGNED, grid("aligned", "grid2", str(12 * H), 240_000_000), nearest("grid2", "aligned", "near2", 6 * H), then=f"SELECT n.name, 'value' AS obstype, {ts('n.us')} AS datetime, {ts('n.raw_us')} AS raw_datetime, n.value, COALESCE(a.status, 'gap') AS status FROM near2 n LEFT JOIN aligned a ON a.name = n.name AND a.us = n.raw_us"),
     "synchronise": with_(OBS, "steps AS (SELECT name, us - LAG(us) OVER (PARTITION BY name ORDER BY us) AS st FROM obs)", "med AS (SELECT name, trunc(median(st))::BIGINT AS f FROM steps WHERE st > 0 GROUP BY name)", f"fr AS (SELECT name, {simplified('f', 60_000_000, True)} AS freq_us FROM med)", "of AS (SELECT obs.*, freq_us FROM obs JOIN fr USING (name))", grid("of", "grid2", "MIN(freq_us)", 300_000_000), nearest("grid2", "obs", "near2", H // 2), then=f"SELECT name, 'value' AS obstype, {ts('us')} AS datetime, {ts('raw_us')} AS raw_datetime, value, freq_us FROM near2 JOIN fr USING (name)"),
     "gap_islands": with_(OBS, ALIGNED, GAPS, then=f"SELECT name, 'value' AS obstype, {ts('us')} AS datetime, gap_id, {ts('MIN(us) OVER (PARTITION BY name, gap_id)')} AS gapstart FROM gaps"),
     "gap_overview": with_(OBS, ALIGNED, GAPS, then=f"SELECT name, 'value' AS obstype, {ts('lo')} AS gapstart, {ts('hi')} AS gapend, (hi - lo) // 1000000 AS gapsize_s, n AS n_records, 'gap' AS label, 'unidetail gap: no details' AS details FROM spans"),
@@ -243,14 +344,14 @@ ORACLES = {
     "aggregate_category": with_(WIDE, STATIONS, then="SELECT category, hour(datetime)::INT AS hour, round(median(view), 6) AS view FROM wide JOIN stations USING (name) GROUP BY 1, 2"),
     "diurnal_cycle": with_(WIDE, STATIONS, _CYCLE, then=f"SELECT category, hour, minute, second, round(value, 6) AS value, {_FAKE} AS fake_datetime FROM cycle"),
     "diurnal_cycle_wide": with_(WIDE, STATIONS, _CYCLE, then=f"SELECT {_FAKE} AS fake_datetime, {', '.join(f'round(MAX(value) FILTER (category = {i}), 6) AS c{i}' for i in range(5))} FROM cycle GROUP BY ALL"),
-    "diurnal_vs_reference": with_(WIDE, STATIONS, then="SELECT category, hour(w.datetime)::INT AS hour, minute(w.datetime)::INT AS minute, second(w.datetime)::INT AS second, round(AVG(w.view - r.view), 6) AS value FROM wide w JOIN wide r ON r.name = '1' AND r.datetime = w.datetime JOIN stations ON stations.name = w.name WHERE w.view - r.view IS NOT NULL GROUP BY ALL"),
+    "diurnal_vs_reference": with_(WIDE, STATIONS, then="SELECT category, hour(w.datetime)::INT AS hour, minute(w.datetime)::INT AS minute, second(w.datetime)::INT AS second, round(AVG(w.view - r.view), 6) AS value FROM wide w LEFT JOIN wide r ON r.name = '1' AND r.datetime = w.datetime JOIN stations ON stations.name = w.name GROUP BY ALL"),
     "period_bounds": with_(OBS, then="SELECT name, MIN(datetime) AS start, MAX(datetime) AS \"end\" FROM obs GROUP BY name"),
     "kinds_present": "SELECT DISTINCT event_type AS obstype FROM events",
     "station_extent": with_(STATIONS, then="SELECT round(MIN(lat) - (MAX(lat) - MIN(lat)) * 0.05::DOUBLE, 6) AS lat_min, round(MAX(lat) + (MAX(lat) - MIN(lat)) * 0.05::DOUBLE, 6) AS lat_max, round(MIN(lon) - (MAX(lon) - MIN(lon)) * 0.05::DOUBLE, 6) AS lon_min, round(MAX(lon) + (MAX(lon) - MIN(lon)) * 0.05::DOUBLE, 6) AS lon_max FROM stations"),
     "hide_labels": with_(*CHAIN, then=f"SELECT name, obstype, datetime, CASE WHEN label NOT IN ('{CHECKS['step']}', '{CHECKS['gross_value']}') THEN raw_value END AS value, label FROM c5"),
     "filter_modeldata": "WITH m AS (SELECT CAST(user_id AS VARCHAR) AS name, event_type AS obstype, 'm' || (user_id % 3) AS modelname, 'b' || (event_id % 2) AS modelvariable, ts AS datetime, value FROM events WHERE event_type = 'click' AND event_id % 2 = 1) SELECT * FROM m WHERE modelname = (SELECT MIN(modelname) FROM m)",
     "wide_to_long": "SELECT l_orderkey, l_linenumber, name, amount FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem) UNPIVOT INCLUDE NULLS (amount FOR name IN (l_quantity, l_discount, l_tax))",
-    "unit_convert": f"SELECT p_partkey, {_unit('p_retailprice', 'kelvin', 'degree_Celsius')} AS kelvin, {_unit('p_retailprice', 'degree_Fahrenheit', 'degree_Celsius')} AS fahrenheit, {_unit('p_retailprice', 'pascal', 'hectopascal')} AS hpa, {_unit('p_retailprice', 'kilometer/hour', 'meter/second')} AS ms, {_unit('p_retailprice', 'meter/second', 'knot')} AS knots FROM part",
+    "unit_convert": "SELECT p_partkey, round(v - 273.15::DOUBLE, 6) AS kelvin, round((v - 32) * 5::DOUBLE / 9, 6) AS fahrenheit, round(v / 100, 6) AS hpa, round(v / 3.6::DOUBLE, 6) AS ms, round(v * 3600 / 1852::DOUBLE, 6) AS knots FROM (SELECT p_partkey, p_retailprice AS v FROM part)",
     "vector_wind": "SELECT l_orderkey, l_linenumber, round(sqrt(u * u + v * v), 6) AS speed, CASE WHEN u <> 0 OR v <> 0 THEN round(CASE WHEN atan2(u, v) < 0 THEN degrees(atan2(u, v)) + 360 ELSE degrees(atan2(u, v)) END, 6) END AS direction FROM (SELECT l_orderkey, l_linenumber, l_quantity - 25 AS u, floor(l_extendedprice / 1000) - 25 AS v FROM lineitem)",
     "numeric_cast_comma": "SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal::DECIMAL(12, 2)::DOUBLE END AS value FROM customer",
     "combine_first": "SELECT COALESCE(a.c_custkey, b.c_custkey) AS c_custkey, COALESCE(a.v, b.v) AS value FROM (SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal END AS v FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT c_custkey, -c_acctbal AS v FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 4 = 0) b ON a.c_custkey = b.c_custkey",
@@ -258,8 +359,37 @@ ORACLES = {
     "dedupe_metadata": "SELECT o_custkey, MIN(o_orderkey) AS o_orderkey, arg_min(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY o_custkey",
     "rename_stations": with_(STATIONS, then="SELECT CASE WHEN name = '1' THEN 'first' ELSE name END AS name, category FROM stations"),
     "upsert_series": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE s_acctbal END AS s_acctbal FROM supplier",
-    "landcover_fractions": with_(PIXELS, then="SELECT name, radius, class, round(COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY name), 6) AS fraction FROM pixels GROUP BY name, radius, class"),
+    "landcover_fractions": with_(PIXELS, then=_shares("pixels")),
+    "landcover_absent": with_(PIXELS, "changed AS (SELECT name, radius, CASE WHEN class > 80 THEN 10 ELSE class END AS class FROM pixels WHERE class <> 20)", then=_shares("changed")),
     "landcover_groups": with_(PIXELS, then="\nUNION ALL ".join(f"SELECT name, radius, '{g}' AS class, round(COUNT(*) FILTER (class IN ({', '.join(map(str, c))})) / COUNT(*), 6) AS fraction FROM pixels GROUP BY name, radius" for g, c in LANDCOVER_GROUPS.items())),
     "lcz_points": with_(STATIONS, then=f"SELECT name, CASE WHEN category <> 3 THEN ([{', '.join(repr(x) for x in LCZ)}])[(altitude::INT % 17) + 1] ELSE '{LCZ[16]}' END AS lcz FROM stations"),
     "stacked_labels": with_(*CHAIN, then="SELECT name, obstype, datetime, 'obs' AS kind, raw_value AS value FROM c5 UNION ALL SELECT name, obstype, datetime, 'label', (MAP {" + ", ".join(f"'{k}': {v}" for k, v in NUMBERS.items()) + "})[label]::DOUBLE FROM c5"),
+    "stations_without_high_kind": "SELECT CAST(user_id AS VARCHAR) AS name FROM events WHERE value > 150 GROUP BY user_id HAVING COUNT(*) FILTER (event_type = 'signup') = 0",
+    "interpolate_anchored": with_(OBS, ALIGNED, GAPS, ANCHORED, RECORDS.format(lead=2, trail=3), f"enough AS (SELECT name, gap_id FROM by_number WHERE CASE WHEN side = 'lead' THEN lo - us <= {24 * H} ELSE us - hi <= {48 * H} END GROUP BY name, gap_id HAVING COUNT(*) FILTER (side = 'lead') >= 2 AND COUNT(*) FILTER (side = 'trail') >= 3)", "found AS (SELECT b.*, e.name IS NOT NULL AS fits FROM both_sides b LEFT JOIN enough e ON e.name = b.name AND e.gap_id = b.gap_id)", then=filled("interpolation", f"CASE WHEN hi - lo <= {24 * H} AND fits THEN v0 + (v1 - v0) * ((us - t0)::DOUBLE / (t1 - t0)) END", f"CASE WHEN hi - lo > {24 * H} THEN 'gap too long' WHEN NOT fits THEN 'not enough anchors' ELSE 'interpolated by time' END") + " FROM found"),
+    "interpolate_nearest": _interpolated("CASE WHEN t1 - us < us - t0 THEN 1 ELSE 0 END", "nearest"),
+    "interpolate_spline": with_(OBS, ALIGNED, GAPS, RECORDS.format(lead=2, trail=2), f"used AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY name, gap_id ORDER BY us) AS k FROM by_number WHERE CASE WHEN side = 'lead' THEN lo - us ELSE us - hi END <= {72 * H})", "four AS (SELECT name, gap_id, " + ", ".join(f"MAX((us - lo) / 1e6::DOUBLE) FILTER (k = {i}) AS x{i}, MAX(value) FILTER (k = {i}) AS y{i}" for i in range(1, 5)) + " FROM used GROUP BY name, gap_id HAVING COUNT(*) = 4)", "placed AS (SELECT g.name, g.gap_id, g.us, s.lo, s.hi, (g.us - s.lo) / 1e6::DOUBLE AS x, f.* EXCLUDE (name, gap_id) FROM gaps g JOIN spans s ON s.name = g.name AND s.gap_id = g.gap_id LEFT JOIN four f ON f.name = g.name AND f.gap_id = g.gap_id)", then=filled("interpolation", f"CASE WHEN hi - lo <= {24 * H} THEN {LAGRANGE} + 1e-9::DOUBLE END", f"CASE WHEN hi - lo <= {24 * H} AND x4 IS NOT NULL THEN 'interpolated by a spline of order 3' ELSE 'gap too long or not enough anchors' END") + " FROM placed"),
+    "leading_period_records": with_(OBS, ALIGNED, GAPS, RECORDS.format(lead=3, trail=2), then=f"SELECT name, 'value' AS obstype, gap_id, side, {ts('us')} AS datetime, value FROM by_number WHERE side = 'trail' OR lo - us <= {36 * H}"),
+    "qc_stats_station": with_(*CHAIN, then=_station_stats("name")),
+    "qc_stats_total": with_(*CHAIN, then=_station_stats("")),
+    "window_guard": with_(OBS, ALIGNED, "fine AS (SELECT name, us, floor(value / 20) AS value FROM aligned)", f"w AS ({centred('fine', 24 * H)})", then=f"SELECT name, 'value' AS obstype, {ts('us')} AS datetime, value, 'persistence outlier' AS label FROM w WHERE value IS NOT NULL AND n >= 3 AND lo = hi"),
+    "align_forced": with_(OBS, f"grid AS (SELECT name, us FROM (SELECT DISTINCT name FROM obs), (SELECT unnest(generate_series(epoch_us(TIMESTAMP '2024-01-03'), epoch_us(TIMESTAMP '2024-01-13 12:00:00'), {12 * H})) AS us))", nearest("grid", "obs", "near", 6 * H), then=f"SELECT name, 'value' AS obstype, {ts('us')} AS datetime, {ts('raw_us')} AS raw_datetime, value, CASE WHEN raw_us IS NULL THEN 'gap' WHEN value IS NULL THEN 'outlier' ELSE 'ok' END AS status FROM near"),
+    "synchronise_fixed": with_(OBS, ALIGNED, f"grid2 AS (SELECT name, unnest(generate_series(o, o + trunc((hi - o) / {6 * H})::BIGINT * {6 * H}, {6 * H})) AS us FROM (SELECT name, MAX(us) AS hi, epoch_us(TIMESTAMP '2024-01-02') AS o FROM aligned GROUP BY name HAVING COUNT(*) > 1))", nearest("grid2", "aligned", "near2", H), then=f"SELECT name, 'value' AS obstype, {ts('us')} AS datetime, {ts('raw_us')} AS raw_datetime, value, {6 * H}::BIGINT AS freq_us FROM near2"),
+    "synchronise_stations": with_(OBS, f"own AS (SELECT name, {simplified('lo', 2 * H)} AS origin, hi FROM (SELECT name, MIN(us) AS lo, MAX(us) AS hi FROM obs GROUP BY name))", f"common AS (SELECT MIN(origin) AS o, MAX(origin + trunc((hi - origin) / {12 * H})::BIGINT * {12 * H}) AS c FROM own)", f"stamps AS (SELECT name, us FROM (SELECT DISTINCT name FROM obs), (SELECT unnest(generate_series(o, c, {12 * H})) AS us FROM common))", nearest("stamps", "obs", "near", 2 * H, True), then=f"SELECT name, 'value' AS obstype, {ts('us')} AS datetime, value FROM near WHERE value IS NOT NULL"),
+    "ingest_labels": with_(RAW, _ingested("done", "raw", None, 2 * H), then=_INGESTED + "done"),
+    "ingest_forced": with_(RAW, _ingested("done", "raw", str(6 * H), 3 * H, "2024-01-02"), then=_INGESTED + "done"),
+    "series_merge": with_(RAW, _HALVES, _ingested("part_a", "left_raw", str(6 * H), 3 * H), _ingested("part_b", "right_raw", str(6 * H), 3 * H), _MERGED, _ingested("done", "merged", str(12 * H), 6 * H), then=_INGESTED + "done"),
+    "import_long_csv": "WITH r AS (SELECT 's' || user_id AS name, date_trunc('second', ts) AS datetime, CASE WHEN event_type <> 'error' THEN (round(value, 3) - 32) * 5::DOUBLE / 9 END AS value FROM events), k AS (SELECT name FROM r GROUP BY name HAVING COUNT(*) >= 3 AND COUNT(value) > 0) SELECT name, 'temp' AS obstype, datetime, round(CASE WHEN COUNT(*) = 1 THEN MAX(value) END, 6) AS value FROM r WHERE name IN (SELECT name FROM k) GROUP BY name, datetime HAVING COUNT(*) > 1 OR COUNT(value) = 1",
+    "import_wide_csv": "SELECT name, 'pressure' AS obstype, make_timestamp(o_orderkey * 60000000) AS datetime, round(v, 6) AS value FROM (SELECT 'st a' AS name, o_orderkey, o_totalprice AS v FROM orders UNION ALL SELECT 'st-b', o_orderkey, o_custkey FROM orders)",
+    "import_json": "SELECT n_name, n_regionkey::BIGINT AS n_regionkey FROM nation",
+    "import_metadata": "SELECT s_name AS name, (s_suppkey % 90)::DOUBLE AS lat, (s_suppkey % 180) + 0.5::DOUBLE AS lon, CAST(s_nationkey AS VARCHAR) AS nation FROM supplier",
+    "saved_dataset": with_(OBS, STATIONS, then="SELECT obs.name, datetime, value, category FROM obs JOIN stations USING (name)"),
+    "model_export": "WITH e AS (SELECT CAST(o_custkey AS VARCHAR) AS name, make_timestamp(o_orderkey * 60000000) AS datetime, o_totalprice / 1000 + 200 AS t, o_orderkey % 7 - 3 AS u, o_orderkey % 5 - 2 AS v FROM orders) SELECT name, obstype, 'm' AS modelname, modelvariable, datetime, round(value, 6) AS value FROM (SELECT name, 'temp' AS obstype, 't2m' AS modelvariable, datetime, t - 273.15::DOUBLE AS value FROM e UNION ALL SELECT name, 'wind_speed', 'u+v', datetime, sqrt(u * u + v * v) FROM e UNION ALL SELECT name, 'wind_direction', 'u+v', datetime, CASE WHEN u <> 0 OR v <> 0 THEN CASE WHEN atan2(u, v) < 0 THEN degrees(atan2(u, v)) + 360 ELSE degrees(atan2(u, v)) END END FROM e)",
+    "invalid_rows": with_(RAW, then=f"SELECT name, 'value' AS obstype, {ts('us')} AS datetime FROM raw GROUP BY name, us HAVING COUNT(*) = 1 AND COUNT(value) = 0"),
+    "single_station": with_(OBS, then="SELECT name, obstype, datetime, value FROM obs WHERE name = '7'"),
+    "union_of_frames": "SELECT n_name AS name, n_regionkey, NULL::INT AS r_regionkey FROM nation UNION ALL SELECT r_name, NULL, r_regionkey FROM region",
+    "shared_keys": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
+    "only_left_keys": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)",
+    "update_dimension": with_(STATIONS, then="SELECT name, CASE WHEN altitude > 100 THEN altitude * 2 ELSE altitude END AS altitude FROM stations"),
+    "buddy_check": with_(OBS, STATIONS, GROUPS.replace("<= 10000)", "<= 10000 AND abs(a.altitude - b.altitude) <= 200)"), NETWORK, "net0 AS (SELECT name, us, value - (altitude - (SELECT MIN(altitude) FROM stations)) * -0.0065::DOUBLE AS value FROM net JOIN stations USING (name))", _iteration(1, "net0"), _iteration(2, "left1"), then=_checked("buddy check outlier"), recursive=True),
+    "buddy_check_safetynets": with_(OBS, STATIONS, GROUPS, NETWORK, _SAME, _iteration(1, "net", _SAVED, "name IN (SELECT name FROM stations WHERE category = 4)"), _iteration(2, "left1", _SAVED, "name IN (SELECT name FROM stations WHERE category = 4)"), then=_checked("buddy check (with safetynets) outlier"), recursive=True),
 }

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut, folder
 from ..functions import time as T
 from ..functions import units
 from ..functions import values as V
 from ..labels import CHECKS, OK
-from ..operators import align, analysis, buddy, gapfill, landcover, merge, qc
+from ..operators import align, analysis, buddy, gapfill, ingest, landcover, merge, qc
 from ..operators.align import KEY
+from ..sources import readers, sinks
+from ..sources.template import Template
 
 SIX_HOURS = 6 * 3600 * T.SECOND
 NETS = [buddy.SafetyNet("category", 20_000, 1.5, 3)]
@@ -42,14 +47,16 @@ def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Gaps with their ids, valid rows on the grid, and a model: the network's mean of every six hours."""
-    a = aligned(spark, sf_dir)
+    a = cut(aligned(spark, sf_dir))
     gaps = align.islands(a.where("status = 'gap'").select(*KEY, "datetime", F.lit(SIX_HOURS).alias("freq_us"))).select(*KEY, "gap_id", "datetime")
     obs = a.where("status = 'ok'").select(*KEY, "datetime", "value")
     us = T.to_micros(F.col("datetime"))
-    network = observations(spark, sf_dir).groupBy((us - F.pmod(us, F.lit(SIX_HOURS))).alias("us")).agg(F.avg("value").alias("value"))
+    network = cut(observations(spark, sf_dir).groupBy((us - F.pmod(us, F.lit(SIX_HOURS))).alias("us")).agg(F.avg("value").alias("value")))
     # one row for each six hours: as many as the period has, whatever the number of stations
+    lo, hi = network.agg(F.min("us"), F.max("us")).first()
+    slots = F.explode(F.sequence(F.lit(lo), F.lit(hi), F.lit(SIX_HOURS))) if lo is not None else F.lit(None).cast("long")
     names = observations(spark, sf_dir).select(*KEY).distinct()
-    model = names.join(network).select(*KEY, T.to_timestamp(F.col("us")).alias("datetime"), "value")
+    model = names.select(*KEY, slots.alias("us")).join(network, "us").select(*KEY, T.to_timestamp(F.col("us")).alias("datetime"), "value")
     return gaps, obs, model
 
 
@@ -69,7 +76,7 @@ def duplicated_timestamp(spark, sf_dir):
 
 
 def persistence(spark, sf_dir):
-    return qc.windowed_outliers(coarse(spark, sf_dir), qc.persistence, "persistence", "48h", min_records=5)
+    return qc.windowed_outliers(coarse(spark, sf_dir), qc.persistence, "persistence", "48h", regular=False, min_records=5)
 
 
 def repetitions(spark, sf_dir):
@@ -81,7 +88,7 @@ def step(spark, sf_dir):
 
 
 def window_variation(spark, sf_dir):
-    return qc.windowed_outliers(observations(spark, sf_dir), qc.window_variation, "window_variation", "24h", min_records=3, max_increase_per_second=0.0006, max_decrease_per_second=-0.0007)
+    return qc.windowed_outliers(observations(spark, sf_dir), qc.window_variation, "window_variation", "24h", regular=False, min_records=3, max_increase_per_second=0.0006, max_decrease_per_second=-0.0007)
 
 
 CHAIN = ["gross_value", "persistence", "repetitions", "step", "window_variation"]
@@ -168,7 +175,8 @@ def interpolate_linear(spark, sf_dir):
 
 def interpolate_spline(spark, sf_dir):
     gaps, obs, _ = _parts(spark, sf_dir)
-    return _rounded(gapfill.interpolate(gaps, obs, "cubicspline", "24h", n_leading=2, n_trailing=2, max_lead="3d", max_trail="3d"))
+    out = gapfill.interpolate(gaps, obs, "cubicspline", "24h", n_leading=2, n_trailing=2, max_lead="3d", max_trail="3d")
+    return _rounded(out.withColumn("value", F.col("value") + 1e-9))  # many values end in a 5 at the seventh digit
 
 
 def fill_raw_model(spark, sf_dir):
@@ -303,6 +311,11 @@ def stations_without_kind(spark, sf_dir):
     return analysis.having(e, "signup", has=False).select("name").distinct()
 
 
+def stations_without_high_kind(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("value > 150").select(F.col("user_id").cast("string").alias("name"), F.col("event_type").alias("obstype"))
+    return analysis.having(e, "signup", has=False).select("name").distinct()
+
+
 def aggregate_hour(spark, sf_dir):
     return _rounded(analysis.aggregate(_wide(spark, sf_dir), "click", ["season", "hour"]), "click")
 
@@ -349,10 +362,8 @@ def filter_modeldata(spark, sf_dir):
 
 
 def wide_to_long(spark, sf_dir):
-    from ..sources.readers import wide_to_long as unpivot
-
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
-    return unpivot(li, ["l_orderkey", "l_linenumber"], "amount")
+    return readers.wide_to_long(li, ["l_orderkey", "l_linenumber"], "amount")
 
 
 def unit_convert(spark, sf_dir):
@@ -424,9 +435,159 @@ def lcz_points(spark, sf_dir):
 
 
 def stacked_labels(spark, sf_dir):
-    from ..sources.sinks import stacked
+    return sinks.stacked(chained(spark, sf_dir).select(*KEY, "datetime", F.col("raw_value").alias("value"), "label"))
+
+
+def interpolate_anchored(spark, sf_dir):
+    gaps, obs, _ = _parts(spark, sf_dir)
+    return _rounded(gapfill.interpolate(gaps, obs, "time", "24h", n_leading=2, n_trailing=3, max_lead="24h", max_trail="48h"))
+
+
+def interpolate_nearest(spark, sf_dir):
+    gaps, obs, _ = _parts(spark, sf_dir)
+    return _rounded(gapfill.interpolate(gaps, obs, "nearest", "24h"))
+
+
+def leading_period_records(spark, sf_dir):
+    gaps, obs, _ = _parts(spark, sf_dir)
+    return gapfill.nearest_records(gaps, obs, 3, 2, "36h", None)
+
+
+def qc_stats_station(spark, sf_dir):
+    return qc.station_statistics(chained(spark, sf_dir), CHAIN)
+
+
+def qc_stats_total(spark, sf_dir):
+    return qc.station_statistics(chained(spark, sf_dir), CHAIN, [])
+
+
+def window_guard(spark, sf_dir):
+    """Regular series of two steps: in windows of a day only the six-hourly ones can hold three values."""
+    fine = aligned(spark, sf_dir).select(*KEY, "datetime", F.floor(F.col("value") / 20).cast("double").alias("value"))
+    coarse_ = fine.where(F.pmod(T.to_micros(F.col("datetime")), F.lit(4 * SIX_HOURS)) == 0).withColumn("obstype", F.lit("daily"))
+    return qc.windowed_outliers(fine.unionByName(coarse_), qc.persistence, "persistence", "24h", min_records=3)
+
+
+def resample_labelled(spark, sf_dir):
+    return align.resample(aligned(spark, sf_dir).select(*KEY, "datetime", "value", "status"), "12h", "6h")
+
+
+def align_forced(spark, sf_dir):
+    return align.regularise(observations(spark, sf_dir), "12h", "6h", origin="2024-01-03 00:00:00", closing="2024-01-13 12:00:00")
+
+
+def synchronise_fixed(spark, sf_dir):
+    return align.synchronise(aligned(spark, sf_dir).select(*KEY, "datetime", "value"), "1h", fixed_origin="2024-01-02 00:00:00")
+
+
+def synchronise_stations(spark, sf_dir):
+    return buddy.synchronised(observations(spark, sf_dir), "2h", "12h")
+
+
+def _raw_rows(spark, sf_dir) -> DataFrame:
+    """Events by the hour, so that stamps repeat; errors have no number."""
+    e = table(spark, sf_dir, "events")
+    us = T.to_micros(F.col("ts").cast("timestamp"))
+    return e.select(F.col("user_id").cast("string").alias("name"), F.lit("value").alias("obstype"), T.to_timestamp(us - F.pmod(us, F.lit(3600 * T.SECOND))).alias("datetime"), F.when(F.col("event_type") != "error", F.col("value")).alias("value"), "event_id")
+
+
+def ingest_labels(spark, sf_dir):
+    return ingest.ingest(_raw_rows(spark, sf_dir), "event_id", timestamp_tolerance="2h")
+
+
+def ingest_forced(spark, sf_dir):
+    return ingest.ingest(_raw_rows(spark, sf_dir), "event_id", "6h", timestamp_tolerance="3h", origin="2024-01-02 00:00:00")
+
+
+def series_merge(spark, sf_dir):
+    """Two datasets that share stations and a period, merged and aligned anew."""
+    raw = _raw_rows(spark, sf_dir)
+    half = lambda low, high, factor: ingest.ingest(raw.where(F.col("datetime").between(F.lit(low).cast("timestamp"), F.lit(high).cast("timestamp"))).withColumn("value", F.col("value") * factor), "event_id", "6h", timestamp_tolerance="3h")
+    return ingest.merge_series(half("2024-01-01 00:00:00", "2024-01-15 00:00:00", 1.0), half("2024-01-10 00:00:00", "2024-02-10 00:00:00", 2.0), freq="12h", timestamp_tolerance="6h")
+
+
+def _written(spark) -> str:
+    """A new folder that the driver and all executors see."""
+    return f"{folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+def import_long_csv(spark, sf_dir):
+    """Events written as a CSV file of local times and read by a template: repeated stamps and texts that are no number leave no value."""
+    e = table(spark, sf_dir, "events")
+    local = F.from_utc_timestamp(F.col("ts").cast("timestamp"), "Asia/Tokyo")
+    text = F.when(F.col("event_type") == "error", F.lit("n/a")).otherwise(F.round("value", 3).cast("string"))
+    path = _written(spark) + ".csv"
+    e.select(F.concat(F.lit("s"), "user_id").alias("station"), F.date_format(local, "yyyy-MM-dd").alias("day"), F.date_format(local, "HH:mm:ss").alias("clock"), text.alias("t")).write.csv(path, header=True)
+    template = Template.build(name_column="station", timezone="Asia/Tokyo", date_column="day", date_format="%Y-%m-%d", time_column="clock", time_format="%H:%M:%S", obstypes={"temp": ("t", "degF", None)})
+    return _rounded(readers.import_data(spark, template, path)["obs"])
+
+
+def import_wide_csv(spark, sf_dir):
+    li = table(spark, sf_dir, "orders")
+    path = _written(spark) + ".csv"
+    li.select(F.date_format(F.timestamp_seconds(F.col("o_orderkey") * 60), "yyyyMMdd HH:mm:ss").alias("when"), F.col("o_totalprice").cast("string").alias("st a"), F.col("o_custkey").cast("string").alias("st-b")).write.csv(path, header=True, sep=";")
+    template = Template.build(structure="wide", datetime_column="when", datetime_format="%Y%m%d %H:%M:%S", obstypes={"pressure": (None, "hPa", None)})
+    return _rounded(readers.observations(readers.read(spark, path), template).select(*KEY, "datetime", "value"))
+
+
+def import_json(spark, sf_dir):
+    path = _written(spark) + ".json"
+    table(spark, sf_dir, "nation").select("n_name", "n_regionkey").write.json(path)
+    return readers.read(spark, path)
+
+
+def import_metadata(spark, sf_dir):
+    path = _written(spark) + ".csv"
+    table(spark, sf_dir, "supplier").select(F.col("s_name").alias("station"), (F.col("s_suppkey") % 90).cast("string").alias("north"), F.concat((F.col("s_suppkey") % 180).cast("string"), F.lit(",5")).alias("east"), F.col("s_nationkey").cast("string").alias("nation")).write.csv(path, header=True, sep=";")
+    t = Template.build(structure="single_station", datetime_column="x", meta_name_column="station", meta_lat_column="north", meta_lon_column="east", meta_extra=("nation",))
+    return readers.stations(readers.read(spark, path), t).select("name", "lat", "lon", F.col("extra")["nation"].alias("nation"))
+
+
+def saved_dataset(spark, sf_dir):
+    """Tables saved with a manifest and loaded again."""
+    path = _written(spark)
+    sinks.save({"obs": observations(spark, sf_dir), "stations": stations(spark, sf_dir)}, path)
+    back = sinks.load(spark, path)
+    return back["obs"].join(back["stations"], "name").select("name", "datetime", "value", "category")
+
+
+def model_export(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    export = o.select(F.col("o_custkey").cast("string").alias("name"), F.date_format(F.timestamp_seconds(F.col("o_orderkey") * 60), "yyyyMMddHHmmss").alias("datetime"), (F.col("o_totalprice") / 1000 + 200).alias("t2m"), (F.col("o_orderkey") % 7 - 3).alias("u"), (F.col("o_orderkey") % 5 - 2).alias("v"))
+    return _rounded(readers.model_series(export, "m", {"temp": ("t2m", "kelvin"), "pressure": ("absent", "Pa")}, ("u", "v")))
+
+
+def invalid_rows(spark, sf_dir):
+    """Stamps whose only row has no number: no records, and gaps once aligned."""
+    return qc.invalid_rows(_raw_rows(spark, sf_dir))
+
+
+def single_station(spark, sf_dir):
+    return analysis.one_series(observations(spark, sf_dir), "7", "value")
+
+
+def union_of_frames(spark, sf_dir):
+    return merge.union_all(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), "n_regionkey"), table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), "r_regionkey"))
+
+
+def shared_keys(spark, sf_dir):
+    return merge.shared(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+def only_left_keys(spark, sf_dir):
+    return merge.only_left(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+def update_dimension(spark, sf_dir):
+    s = stations(spark, sf_dir).select("name", "altitude")
+    new = s.where("altitude > 100").select("name", (F.col("altitude") * 2).alias("altitude"))
+    return merge.update_dimension(s, new, "altitude")
+
 
-    return stacked(chained(spark, sf_dir).select(*KEY, "datetime", F.col("raw_value").alias("value"), "label"))
+def landcover_absent(spark, sf_dir):
+    """Fractions of a region where three classes have no pixel at all, and one class is unknown."""
+    p = _pixels(spark, sf_dir).withColumn("class", F.when(F.col("class") == 20, F.lit(7)).when(F.col("class") > 80, F.lit(10)).otherwise(F.col("class")))
+    return _rounded(landcover.fractions(p), "fraction")
 
 
 QUERIES = {
@@ -441,5 +602,9 @@ QUERIES = {
         aggregate_category, diurnal_cycle, diurnal_cycle_wide, diurnal_vs_reference, period_bounds, kinds_present, station_extent,
         hide_labels, filter_modeldata, wide_to_long, unit_convert, vector_wind, numeric_cast_comma, combine_first, dataset_merge,
         dedupe_metadata, rename_stations, upsert_series, landcover_fractions, landcover_groups, lcz_points, stacked_labels,
+        stations_without_high_kind, interpolate_anchored, interpolate_nearest, leading_period_records, qc_stats_station, qc_stats_total,
+        window_guard, resample_labelled, align_forced, synchronise_fixed, synchronise_stations, ingest_labels, ingest_forced, series_merge,
+        import_long_csv, import_wide_csv, import_json, import_metadata, saved_dataset, model_export, invalid_rows, single_station,
+        union_of_frames, shared_keys, only_left_keys, update_dimension, landcover_absent,
     )
 }

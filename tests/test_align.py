@@ -1,9 +1,11 @@
+import pytest
 from helpers import START, at, minutes, series
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skyloom.operators import align
+from skyloom.errors import ArgumentError
+from skyloom.operators import align, ingest
 
 
 def targets(spark, stamps):
@@ -67,3 +69,30 @@ def test_synchronise_and_resample(spark):
 def test_empty(spark):
     obs = series(spark, [(0, 1)]).limit(0)
     assert align.regularise(obs, "10min").count() == 0 and align.likely_frequency(obs).count() == 0
+
+
+def test_forced_ends(spark):
+    obs = series(spark, [(3, 1), (13, 2), (33, 4)])
+    out = align.regularise(obs, "10min", "4min", origin=str(at(-10)), closing=str(at(40)))
+    assert minutes(out) == [-10, 0, 10, 20, 30, 40] and [r.status for r in out.orderBy("datetime").collect()] == ["gap", "ok", "ok", "gap", "ok", "gap"]
+    with pytest.raises(ArgumentError):
+        align.grid_of(obs, "10min", origin=str(at(0)), closing=str(at(45)))
+
+
+def test_resample_keeps_gaps_and_outliers(spark):
+    rows = [(0, 1.0, "ok", "ok"), (10, None, "gap", "gap"), (20, None, "gap", "gap"), (30, 4.0, "ok", "ok"), (40, None, "outlier", "gross value outlier"), (50, 6.0, "ok", "ok")]
+    obs = spark.createDataFrame([("a", "temp", at(m), v, s, x) for m, v, s, x in rows], "name string, obstype string, datetime timestamp, value double, status string, label string")
+    out = [(r.value, r.status, r.label) for r in align.resample(obs, "20min", "2min").orderBy("datetime").collect()]
+    assert out == [(1, "ok", "ok"), (None, "gap", "gap"), (None, "outlier", "gross value outlier")]
+
+
+def test_ingest(spark):
+    rows = [(1, 5.0), (10, 6.0), (10, 7.0), (21, None), (30, 9.0), (41, 1.0), (50, 2.0), (60, 3.0)]
+    raw = spark.createDataFrame([("a", "temp", at(m), v, i) for i, (m, v) in enumerate(rows)] + [("b", "temp", at(0), 1.0, 9)], "name string, obstype string, datetime timestamp, value double, file_order long")
+    out = ingest.ingest(raw).orderBy("datetime").collect()
+    assert [(r.value, r.outlier_value, r.label) for r in out] == [(5, None, "ok"), (None, 6, "duplicated timestamp outlier"), (None, None, "gap"), (9, None, "ok"), (1, None, "ok"), (2, None, "ok"), (3, None, "ok")]
+    assert {r.name for r in out} == {"a"} and out[0].raw_timestamp == at(1) and out[2].raw_timestamp is None
+    later = spark.createDataFrame([("a", "temp", at(m), v, i) for i, (m, v) in enumerate([(50, 7.0), (60, 8.0), (70, 9.0)])], raw.schema)
+    both = ingest.merge_series(ingest.ingest(raw), ingest.ingest(later)).orderBy("datetime").collect()
+    assert [(r.value, r.label) for r in both] == [(5, "ok"), (6, "ok"), (None, "gap"), (9, "ok"), (1, "ok"), (2, "ok"), (3, "ok"), (9, "ok")]
+    assert ingest.ingest(raw.limit(0)).count() == 0

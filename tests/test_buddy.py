@@ -84,3 +84,23 @@ def test_synchronised(spark):
     obs = spark.createDataFrame(rows, "name string, obstype string, datetime timestamp, value double")
     out = buddy.synchronised(obs)
     assert {r.datetime.minute for r in out.collect()} == {0, 10, 20} and out.count() == 6
+
+
+def test_pairs_by_hand_near_the_poles(spark):
+    """Each row of cells has its own width: one station near a pole doesn't widen the others' cells, and no pair is lost."""
+    import math
+    import random
+
+    r = random.Random(1)
+    places = [(r.choice([89.9, 80.0, 0.0, -60.0, -89.95]) + r.uniform(-0.04, 0.04), r.choice([-180, -179.9, 0, 90, 179.9]) + r.uniform(-0.06, 0.06)) for _ in range(150)]
+    places = [(a, (b + 180) % 360 - 180) for a, b in places]
+    frame = spark.createDataFrame([(f"s{i}", a, b, 0.0) for i, (a, b) in enumerate(places)], "name string, lat double, lon double, altitude double")
+
+    def distance(p, q):
+        (a, b), (c, d) = (tuple(map(math.radians, x)) for x in (p, q))
+        return 2 * 6371000 * math.asin(math.sqrt(min(1, math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    for radius in (2_000, 9_000):
+        want = {(f"s{i}", f"s{j}") for i, p in enumerate(places) for j, q in enumerate(places) if i != j and distance(p, q) <= radius}
+        got = [(x.name, x.buddy) for x in buddy.pairs(frame, radius).collect()]
+        assert set(got) == want and len(got) == len(want) > 50

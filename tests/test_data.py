@@ -133,6 +133,8 @@ def test_analysis(spark):
     assert [tuple(r) for r in analysis.aggregate(wide, "temp", ["kind"], "max", where).collect()] == [("x", 47)]
     cycle = {(r.name, r.hour): r.value for r in analysis.diurnal_cycle(wide, "temp").collect()}
     assert cycle["a", 1] == 13 and cycle["b", 1] == 2
+    with pytest.raises(MissingError):
+        analysis.diurnal_cycle_against(wide, "temp", "absent")
     against = {(r.name, r.hour): r.value for r in analysis.diurnal_cycle_against(wide, "temp", "b").collect()}
     assert against["a", 3] == -3 and against["b", 3] == 0
     for bad in (lambda: analysis.aggregate(wide, "temp", ["kind"], "no"), lambda: analysis.subset_stations(obs, ["a"]), lambda: analysis.diurnal_cycle(wide, "temp", "hour")):
@@ -151,7 +153,7 @@ def test_analysis(spark):
 
 def test_landcover(spark):
     pixels = spark.createDataFrame([("a", 100, c) for c in (10, 10, 50, 80)] + [("a", 100, None)], "name string, radius int, class int")
-    assert {r["class"]: r.fraction for r in landcover.fractions(pixels).collect()} == {10: 0.5, 50: 0.25, 80: 0.25}
+    assert {r["class"]: r.fraction for r in landcover.fractions(pixels).collect()} == {c: 0.0 for c in landcover.LANDCOVER} | {10: 0.5, 50: 0.25, 80: 0.25}
     assert {r["class"]: r.fraction for r in landcover.fractions(pixels, landcover.LANDCOVER_GROUPS).collect()} == {"water": 0.25, "pervious": 0.5, "impervious": 0.25}
     where = spark.createDataFrame([("a",), ("b",)], "name string")
     raster = spark.createDataFrame([("a", 6)], "name string, value int")

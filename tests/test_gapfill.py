@@ -3,7 +3,7 @@ import pytest
 from helpers import at, series
 from pyspark.sql import functions as F
 
-from skyloom.errors import AmbiguousError
+from skyloom.errors import AmbiguousError, ArgumentError
 from skyloom.operators import gapfill
 
 
@@ -78,3 +78,35 @@ def test_status_and_flush(spark):
     out = gapfill.fill_raw(gaps(spark, {1: [30], 2: [50, 90], 3: [100]}), model)
     assert sorted((r.gap_id, r.status, r.can_be_filled) for r in gapfill.fill_status(out).collect()) == [(1, "successful gapfill", False), (2, "partially successful gapfill", True), (3, "failed gapfill", True)]
     assert {r.status for r in gapfill.fill_status(gapfill.flush(out)).collect()} == {"unfilled gap"}
+
+
+def test_every_anchor_must_be_near(spark):
+    obs = series(spark, [(0, 1), (170, 5), (180, 10), (240, 12), (400, 3)])
+    g = gaps(spark, {1: [200, 220]})
+    ask = lambda **kw: [v for v, _ in filled(gapfill.interpolate(g, obs, "time", "1h", **kw))]
+    assert ask(n_leading=2, max_lead="30min") == [pytest.approx(10 + 2 / 3), pytest.approx(10 + 4 / 3)]
+    assert ask(n_leading=2, max_lead="29min") == [None, None] and ask(n_leading=3, max_lead="2h") == [None, None]
+    assert ask(n_leading=4) == [None, None] and ask(n_leading=3)[0] is not None
+    assert ask(n_trailing=2, max_trail="179min") == [None, None] and ask(n_trailing=2, max_trail="3h")[0] is not None
+
+
+def test_records_near_a_gap_however_far(spark):
+    day = 1440
+    obs = series(spark, [(-40 * day, 1), (-39 * day, 2), (5, None), (90 * day, 4), (91 * day, 6)])
+    g = gaps(spark, {1: [10, 20], 2: [89 * day]})
+    got = sorted((r.gap_id, r.side, r.value) for r in gapfill.nearest_records(g, obs, 2, 1).collect())
+    assert got == [(1, "lead", 1), (1, "lead", 2), (1, "trail", 4), (2, "lead", 1), (2, "lead", 2), (2, "trail", 4)]
+    assert [v for v, _ in filled(gapfill.interpolate(gaps(spark, {1: [10, 20]}), obs, "cubicspline", "1h", n_leading=2, n_trailing=2))] == [pytest.approx(v, abs=2) for v in (3, 3)]
+    assert gapfill.nearest_records(g.limit(0), obs, 2, 1).count() == 0
+
+
+def test_interpolation_methods(spark):
+    obs = series(spark, [(0, 0), (10, 8), (50, 16), (60, 2)])
+    g = gaps(spark, {1: [20, 30, 40]})
+    ask = lambda method, **kw: [v for v, _ in filled(gapfill.interpolate(g, obs, method, "1h", **kw))]
+    assert ask("nearest") == [8, 8, 16] and ask("zero") == [8, 8, 8] and ask("slinear") == [10, 12, 14]
+    assert ask("quadratic", n_leading=2, n_trailing=1)[0] is not None
+    assert ask("polynomial", order=3) == [None] * 3 and ask("cubicspline") == [pytest.approx(v) for v in (10, 12, 14)]
+    for method in ("no-such-method", "Time", ""):
+        with pytest.raises(ArgumentError):
+            gapfill.interpolate(g, obs, method)

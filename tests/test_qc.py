@@ -52,7 +52,7 @@ def test_windows_over_pieces_are_the_same(spark):
     r = random.Random(9)
     rows = [(m, r.choice([1, 1, 1, 2])) for m in sorted(r.sample(range(0, 200_000, 60), 500))]
     df = series(spark, rows)
-    cut = qc.windowed_outliers(df, qc.persistence, "persistence", "40h", min_records=4)
+    cut = qc.windowed_outliers(df, qc.persistence, "persistence", "40h", regular=False, min_records=4)
     assert minutes(cut) == found(df, qc.persistence("40h", 4)) and minutes(cut)
 
 
@@ -104,3 +104,28 @@ def test_view_precedence(spark):
     ok, bad, gap = label(series(spark, [(0, 1), (1, 2), (2, 3)]), "ok"), label(series(spark, [(1, 2), (2, 3)]), "bad"), label(series(spark, [(2, None)]), "gap")
     assert [r.label for r in qc.long_view(ok, bad, gap).orderBy("datetime").collect()] == ["ok", "bad", "gap"]
     assert qc.window_fits("1h", 6, "10min") and not qc.window_fits("1h", 7, "10min")
+
+
+def test_window_guard(spark):
+    """A series whose step is too wide for the window isn't tested; irregular stamps raise."""
+    fine = series(spark, [(m, 1) for m in range(0, 60, 10)])
+    wide = series(spark, [(m, 1) for m in range(0, 360, 60)], "b")
+    out = qc.windowed_outliers(fine.union(wide), qc.persistence, "persistence", "120min", min_records=3)
+    assert {r.name for r in out.collect()} == {"a"} and out.count() == 6
+    both = qc.windowed_outliers(fine.union(wide), qc.persistence, "persistence", "120min", regular=False, min_records=3)
+    assert {r.name for r in both.collect()} == {"a", "b"}
+    with pytest.raises(ArgumentError):
+        qc.windowed_outliers(fine.union(series(spark, [(0, 1), (7, 1), (30, 1)], "c")), qc.persistence, "persistence", "1h", min_records=3)
+    assert qc.windowed_outliers(fine.limit(0), qc.persistence, "persistence", "1h", min_records=3).count() == 0
+
+
+def test_station_statistics(spark):
+    rows = series(spark, [(0, 1), (1, 100), (2, 1), (3, 1), (4, None)]).union(series(spark, [(0, 5), (1, None)], "b"))
+    out = qc.chain(rows, [("gross_value", qc.gross_value(0, 50)), ("repetitions", qc.repetitions(2))])
+    got = {(r.name, r.qc_check): (r.n_all, r.n_checked, r.n_labeled) for r in qc.station_statistics(out, ["gross_value", "repetitions"]).collect()}
+    assert got == {
+        ("a", "ok"): (5, None, 0), ("a", "gap"): (5, None, 1), ("a", "gross value outlier"): (5, 4, 1), ("a", "repetitions outlier"): (5, 3, 3),
+        ("b", "ok"): (2, None, 1), ("b", "gap"): (2, None, 1), ("b", "gross value outlier"): (2, 1, 0), ("b", "repetitions outlier"): (2, 1, 0),
+    }
+    assert {r.qc_check: r.n_labeled for r in qc.station_statistics(out, ["gross_value"], []).collect()} == {"ok": 1, "gap": 2, "gross value outlier": 1}
+    assert [r.datetime for r in qc.invalid_rows(rows.union(series(spark, [(4, None), (9, None)]))).orderBy("datetime", "name").collect()] == [at(1), at(9)]
