@@ -26,6 +26,9 @@ BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 #: A side with at most so many rows may be broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
 
+#: Narrow rows of a stored table in a partition.
+PARTITION_ROWS = 100_000
+
 #: Words of 64 bits of a Bloom filter, which is broadcast as so many rows at most (some 50 MB).
 BLOOM_WORDS = 1 << 20
 
@@ -138,6 +141,11 @@ def without(df: DataFrame, column: str, gone: DataFrame, every: DataFrame) -> Da
     return flagged.where("NOT _hit").select(df.columns).unionByName(flagged.where("_hit").select(df.columns).join(gone, same, "left_anti"))
 
 
+def few(df: DataFrame) -> DataFrame:
+    """A stored ``df`` in no more partitions than its narrow rows need, so that small tables cost few tasks and files."""
+    return df.coalesce(1 + df.count() // PARTITION_ROWS)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (a long, b long): rows (id, component), the smallest id of each.
 
@@ -146,17 +154,20 @@ def components(edges: DataFrame) -> DataFrame:
     pre-aggregated before each shuffle, and no vertex's neighbours are gathered.
     Ids without edges don't appear; loops and repeated edges are ignored.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = few(cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()))
     mark = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
+        hint = F.broadcast if mark is not None and mark[0] <= BROADCAST_ROWS else lambda df: df
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(hint(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(down, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        now = cut(hung.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
+        hung = large.join(hint(down), "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        stars = hung.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
+        now = cut(stars if mark is None else stars.coalesce(1 + mark[0] // PARTITION_ROWS))
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
         mark = seen
+        now = now.coalesce(1 + mark[0] // PARTITION_ROWS)
     return now.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import folder
-from .common import components, cut, map_slices, may_hold, small, table, without
+from .common import components, cut, few, map_slices, may_hold, small, table, without
 from .shingles import Shingler, mix
 
 #: Ratio of the sizes at the two ends of a size group.
@@ -226,8 +226,8 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, nu
 
     Texts are read again for the classes at hand only; sets move, texts don't.
     """
-    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct())
-    one = cut(classes.join(needed, "k", "left_semi").select("doc_id").distinct())
+    needed = few(cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()))
+    one = few(cut(classes.join(small(needed), "k", "left_semi").select("doc_id").distinct()))
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     sets = _fragments(may_hold(rows, "doc_id", one.where("doc_id IS NOT NULL")), size)
     if not one.where("doc_id IS NULL").isEmpty():  # classes of rows without ids only: their sets are among those of all such rows
@@ -309,15 +309,21 @@ def _grouped(docs: DataFrame, size: int, num: int, den: int, share: int, least:
     sketches = _stored(sketched.select("v", "k", "n", F.posexplode("sketches").alias("j", "s")).select((F.col("v") * GROUPS + F.col("j")).alias("o"), "k", "n", "s"), paths)
     met = _stored(_met(sets, classes, paths), paths)
     number = F.shiftright("o", int(math.log2(GROUPS)))
-    vertices = classes.select("v", "k")
+    component = classes.select("k", "v", F.col("k").alias("c"))
 
-    def labelled(links: DataFrame | None) -> DataFrame:
-        """Rows (segment, o, k, c, x, y) of segments in which components still meet; c is the row's own, x and y the outermost (component, o)."""
-        owned = met.withColumn("v", number).join(vertices, "v").drop("v")
-        label = owned.withColumn("c", F.col("k")) if links is None else owned.join(small(cut(components(links).withColumnRenamed("id", "k"))), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
-        label = cut(label)
-        ends = label.groupBy("segment").agg(F.min(F.struct("c", "o")).alias("x"), F.max(F.struct("c", "o")).alias("y")).where("x.c < y.c")
-        return label.join(ends, "segment")
+    def joined(found: DataFrame) -> DataFrame:
+        """The components once the links (a, b) of classes are in: those of the links between components so far."""
+        ends = found
+        for side in "ab":
+            ends = ends.join(component.select(F.col("k").alias(side), F.col("c").alias(f"c_{side}")), side)
+        label = components(ends.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct())
+        return cut(component.join(small(label.withColumnRenamed("id", "c").withColumnRenamed("component", "to")), "c", "left").select("k", "v", F.coalesce("to", "c").alias("c")))
+
+    def labelled(met: DataFrame) -> DataFrame:
+        """Rows (segment, o, c, x, y) of those segments in which components still meet; c is the row's own, x and y the outermost (component, o)."""
+        owned = cut(met.select("segment", "o", number.alias("v")).join(component.select("v", "c"), "v").select("segment", "o", "c"))
+        ends = owned.groupBy("segment").agg(F.min(F.struct("c", "o")).alias("x"), F.max(F.struct("c", "o")).alias("y")).where("x.c < y.c")
+        return owned.join(ends, "segment")
 
     def sides(pairs: DataFrame) -> DataFrame:
         """Pairs (o_a, o_b) with sizes, sketches and keys of both."""
@@ -329,20 +335,20 @@ def _grouped(docs: DataFrame, size: int, num: int, den: int, share: int, least:
         flip = F.col("a") > F.col("b")
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(flip, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(flip, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b")).distinct()
 
-    links, tested = None, None
+    tested = None
     while True:
-        rows = labelled(links)
+        met = rows = labelled(met)  # a segment within one component stays so
         stars = rows.where("c <> x.c").select(F.col("o").alias("o_a"), F.col("x.o").alias("o_b")).union(rows.where("c <> y.c").select(F.col("o").alias("o_a"), F.col("y.o").alias("o_b"))).distinct()
         likely = sides(stars).withColumn("far", _far()).where(_may_link(num, den, F.col("far")))
         best = ordered(likely.groupBy("a").agg(F.min_by(F.struct("b", "n_a", "n_b"), F.struct("far", "b")).alias("z")).select("a", "z.*"))
-        best = cut(best if tested is None else best.join(tested, ["a", "b"], "left_anti"))
+        best = few(cut(best if tested is None else best.join(tested, ["a", "b"], "left_anti")))
         if best.isEmpty():
             break
-        found = cut(_linked(best, classes, docs, size, num, den))
+        found = few(cut(_linked(best, classes, docs, size, num, den)))
         tested = best.select("a", "b") if tested is None else tested.union(best.select("a", "b"))
-        links = found if links is None else links.union(found)
         if found.isEmpty():
             break
+        component = joined(found)
 
     # what is still apart: all pairs of different components that share a segment; the largest component's rows meet the others' only
     open_ = cut(rows.select("segment", "o", "c"))
@@ -352,23 +358,17 @@ def _grouped(docs: DataFrame, size: int, num: int, den: int, share: int, least:
     b = carried.select("segment", F.col("o").alias("o_b"), F.col("c").alias("c_b"), F.col("k").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"))
     once = (F.col("c_b") == F.col("most")) | (F.col("o_a") < F.col("o_b"))
     apart = a.join(b, "segment").where((F.col("c_a") != F.col("c_b")) & once & _may_link(num, den, _far()))
-    rest = cut(ordered(apart))
-    rest = rest if tested is None else cut(rest.join(tested, ["a", "b"], "left_anti"))
+    rest = ordered(apart)
+    rest = few(cut(rest if tested is None else rest.join(tested, ["a", "b"], "left_anti")))
     if not rest.isEmpty():
-        found = cut(_linked(rest, classes, docs, size, num, den))
-        links = found if links is None else links.union(found)
+        found = few(cut(_linked(rest, classes, docs, size, num, den)))
+        component = component if found.isEmpty() else joined(found)
     frequent.destroy()
 
     # names are settled among classes first; a stored table lets Spark split the rows of a class with many copies
-    of_class = classes.select("k", F.col("doc_id").alias("own"))
-    if links is None:
-        named = of_class.select("k", F.col("own").alias("least"), F.col("k").alias("group"))
-    else:
-        label = cut(components(links).withColumnRenamed("id", "k"))
-        lowest = label.join(of_class, "k").groupBy("component").agg(F.min("own").alias("least"))
-        shared = label.join(small(cut(lowest)), "component").select("k", "least", "component")
-        named = of_class.join(shared, "k", "left").select("k", F.coalesce("least", "own").alias("least"), F.coalesce("component", "k").alias("group"))
-    named = _stored(named, paths)
+    owned = component.select("k", "c").join(classes.select("k", F.col("doc_id").alias("own")), "k")
+    names = owned.groupBy("c").agg(F.min("own").alias("least"))
+    named = _stored(owned.join(names, "c").select("k", "least", F.col("c").alias("group")), paths)
     out = cut(sets.select("doc_id", "n_shingles", "k").join(named.drop("group"), "k", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")))
     return out, named
 
