@@ -16,9 +16,9 @@ Which n-grams count as frequent is estimated from a share of the documents.
 Any choice gives the same links; a good one makes fewer false candidates.
 
 Copies are one vertex: documents with equal sets share a class.  A group of
-near copies is not expanded into its pairs: in rounds, each class tests the
-closest of the two outermost classes of other components that it meets, until
-a round links nothing.  Only pairs that are still in different components are
+near copies is not expanded into its pairs: in rounds, each class is tested
+with the outermost classes of other components in its segments, two in each,
+until a round links nothing.  Only pairs that are still in different components are
 tested after that, all of them.  Parity sketches inside the joins bound a
 pair's difference from below, so hardly any false pair leaves them.
 """
@@ -210,14 +210,10 @@ def _fragments(docs: DataFrame, size: int) -> DataFrame:
     return map_slices(docs.select(F.col("text").cast("string")), make, "k long, fragment int, hashes array<long>")
 
 
-def _far() -> Column:
-    """The places in which the sketches ``s_a`` and ``s_b`` differ; the sets differ in no fewer."""
-    return F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-
-
-def _may_link(num: int, den: int, far: Column) -> Column:
-    """Necessary for a link of a and b, from sizes and sketches."""
+def _may_link(num: int, den: int) -> Column:
+    """Necessary for a link of a and b: sizes that are near enough, and sketches that differ in few places; the sets differ in no fewer."""
     n1, n2 = F.col("n_a"), F.col("n_b")
+    far = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (far * (den + num) <= (n1 + n2) * (den - num))
 
 
@@ -339,13 +335,12 @@ def _grouped(docs: DataFrame, size: int, num: int, den: int, share: int, least:
     while True:
         met = rows = labelled(met)  # a segment within one component stays so
         stars = rows.where("c <> x.c").select(F.col("o").alias("o_a"), F.col("x.o").alias("o_b")).union(rows.where("c <> y.c").select(F.col("o").alias("o_a"), F.col("y.o").alias("o_b"))).distinct()
-        likely = sides(stars).withColumn("far", _far()).where(_may_link(num, den, F.col("far")))
-        best = ordered(likely.groupBy("a").agg(F.min_by(F.struct("b", "n_a", "n_b"), F.struct("far", "b")).alias("z")).select("a", "z.*"))
-        best = few(cut(best if tested is None else best.join(tested, ["a", "b"], "left_anti")))
-        if best.isEmpty():
+        likely = ordered(sides(stars).where(_may_link(num, den)))
+        likely = few(cut(likely if tested is None else likely.join(tested, ["a", "b"], "left_anti")))
+        if likely.isEmpty():
             break
-        found = few(cut(_linked(best, classes, docs, size, num, den)))
-        tested = best.select("a", "b") if tested is None else tested.union(best.select("a", "b"))
+        found = few(cut(_linked(likely, classes, docs, size, num, den)))
+        tested = likely.select("a", "b") if tested is None else tested.union(likely.select("a", "b"))
         if found.isEmpty():
             break
         component = joined(found)
@@ -357,7 +352,7 @@ def _grouped(docs: DataFrame, size: int, num: int, den: int, share: int, least:
     a = carried.join(largest, "segment").where("c <> most").select("segment", "most", F.col("o").alias("o_a"), F.col("c").alias("c_a"), F.col("k").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"))
     b = carried.select("segment", F.col("o").alias("o_b"), F.col("c").alias("c_b"), F.col("k").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"))
     once = (F.col("c_b") == F.col("most")) | (F.col("o_a") < F.col("o_b"))
-    apart = a.join(b, "segment").where((F.col("c_a") != F.col("c_b")) & once & _may_link(num, den, _far()))
+    apart = a.join(b, "segment").where((F.col("c_a") != F.col("c_b")) & once & _may_link(num, den))
     rest = ordered(apart)
     rest = few(cut(rest if tested is None else rest.join(tested, ["a", "b"], "left_anti")))
     if not rest.isEmpty():
