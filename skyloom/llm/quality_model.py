@@ -77,7 +77,7 @@ class QualityModel:
     def map(self, stats: np.ndarray) -> np.ndarray:
         z = np.clip((stats - self.mean) / self.scale, -8, 8)
         waves = np.cos(z @ self.directions + self.phases) * np.sqrt(2 / len(self.phases))
-        return np.hstack([waves, z, np.ones((len(z), 1))])
+        return np.hstack([waves, np.ones((len(z), 1))])
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
         return self.map(stats) @ self.weights
@@ -108,7 +108,7 @@ def _stats_frame(docs: DataFrame) -> DataFrame:
 
 def _summed(rows: DataFrame, model: QualityModel) -> tuple[np.ndarray, np.ndarray]:
     """X'X and X'y over (stats, label), one addend for each of a fixed number of partitions."""
-    width = len(model.phases) + len(model.mean) + 1
+    width = len(model.phases) + 1
 
     def add(batches):
         gram, right = np.zeros((width, width)), np.zeros(width)
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED, seed:
     mean, scale = np.array([r["m"] for r in moments]), np.maximum([r["s"] for r in moments], 1e-3)
     random = np.random.default_rng(seed)
     directions = random.normal(0, np.sqrt(1 / len(mean)), (len(mean), FEATURES))
-    start = QualityModel(mean, scale, directions, random.uniform(0, 2 * np.pi, FEATURES), np.zeros(FEATURES + len(mean) + 1), np.array([0.0]), np.array([0.5]))
+    start = QualityModel(mean, scale, directions, random.uniform(0, 2 * np.pi, FEATURES), np.zeros(FEATURES + 1), np.array([0.0]), np.array([0.5]))
     gram, right = _summed(rows, start)
     penalty = np.full(len(right), RIDGE)
     penalty[-1] = 1e-6
