@@ -34,6 +34,12 @@ TEMPLATES = [
     ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("lgpl-3.0", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl-2.1", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("agpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
 ]
 #: Words of a match that counts, words that a chain may skip, and share of a template that a chain must cover.
@@ -123,21 +129,22 @@ class Scanner:
         self.automaton = Automaton(coded)
         self.phrases = [(label, [self.number[w] for w in p]) for label, p in zip(BASE.values(), phrases, strict=True)]
 
-    def chains(self, matches: list[tuple[int, int, int]]) -> dict[str, float]:
-        """Best covered share of a template for each label, over chains of matches in order in text and template."""
-        best: dict[str, float] = {}
-        open_: dict[int, tuple[int, int, int]] = {}  # template: text end, template end, words covered
+    def chains(self, matches: list[tuple[int, int, int]]) -> dict[str, tuple[float, int, int]]:
+        """For each label the best covered share of a template and its span in the text, over chains of matches in order in text and template."""
+        best: dict[str, tuple[float, int, int]] = {}
+        open_: dict[int, tuple[int, int, int, int]] = {}  # template: text end, template end, words covered, text start
         for end, size, state in matches:
             for t, at in self.automaton.ends[state].items():
-                text_end, template_end, covered = open_.get(t, (-(10**9), 0, 0))
+                text_end, template_end, covered, start = open_.get(t, (-(10**9), 0, 0, 0))
                 begin = at - size
                 if end - size - text_end > MAX_GAP or at <= template_end or end <= text_end:
-                    open_[t] = (end, at, size)
+                    open_[t] = (end, at, size, end - size)
                 else:
                     overlap = max(0, template_end - begin, text_end - (end - size))
-                    open_[t] = (end, at, covered + max(0, size - overlap))
+                    open_[t] = (end, at, covered + max(0, size - overlap), start)
                 label, share = TEMPLATES[t][0], min(1.0, open_[t][2] / self.sizes[t])
-                best[label] = max(best.get(label, 0.0), share)
+                if share > best.get(label, (0.0, 0, 0))[0]:
+                    best[label] = (share, open_[t][3], end)
         return best
 
     def __call__(self, text: str | None) -> tuple:
@@ -158,10 +165,11 @@ class Scanner:
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             if b - a >= MIN_MATCH:
                 matches += self.automaton.matches(ids[a:b].tolist(), a)
-        covered = {k: v for k, v in self.chains(matches).items() if v >= COVERED}
-        score = 1.0 if base else max(covered.values(), default=0.0)
+        covered = {k: v for k, v in self.chains(matches).items() if v[0] >= COVERED}
+        score = 1.0 if base else max((v[0] for v in covered.values()), default=0.0)
+        spans = ",".join(f"{k}:{a}-{b}" for k, (_, a, b) in sorted(covered.items()))
         where = np.concatenate(places) if places else None
-        return len(found), 0 if where is None else len(where), None if where is None else int(where.min()), None if where is None else int(where.max()), ",".join(sorted(base)), ",".join(sorted(base | covered.keys())), score
+        return len(found), 0 if where is None else len(where), None if where is None else int(where.min()), None if where is None else int(where.max()), ",".join(sorted(base)), ",".join(sorted(base | covered.keys())), score, spans
 
 
 @cache
@@ -169,11 +177,11 @@ def scanner() -> Scanner:
     return Scanner()
 
 
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """One row for each document: base phrases, and the labels of covered templates.
+    """One row for each document: base phrases, and the labels of covered templates with their ``spans`` (label:first-end in words, end excluded).
 
     Null and empty texts have no words and no labels (empty strings, score 0);
     repeated rows give repeated rows; other columns aren't read.
@@ -184,7 +192,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
         def work(cols):
             rows = [scan(t) for t in cols["text"]]
-            names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+            names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
             return {"doc_id": cols["doc_id"]} | {n: [r[i] for r in rows] for i, n in enumerate(names)}
 
         return work
