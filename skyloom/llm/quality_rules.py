@@ -20,8 +20,16 @@ WINDOW, LEAST_WORDS = 5, 10
 #: A document must keep this share of its text's characters in words (in per cent).
 LEAST_LEFT = 60
 
-# Phrases of page furniture that mark a short line as boilerplate.
-BOILERPLATE = "(?i)(accept (all )?cookies|use of cookies|cookie policy|privacy policy|terms (of use|of service|and conditions)|enable javascript|all rights reserved|click here|read more|sign (in|up)|log ?in|subscribe (now|to)|share (this|on)|follow us|back to top|powered by|skip to (main )?content)"
+# Phrases of page furniture in English, French, German and Spanish that mark a short line as boilerplate; a dot stands for an accented letter.
+PHRASES = [
+    "accept (all )?cookies", "use of cookies", "cookie policy", "privacy policy", "terms (of use|of service|and conditions)", "enable javascript",
+    "all rights reserved", "click here", "read more", "sign (in|up)", "log ?in", "subscribe (now|to)", "share (this|on)", "follow us",
+    "back to top", "powered by", "skip to (main )?content",
+    "accepter les cookies", "politique de confidentialit", "mentions l.gales", "tous droits r.serv", "cliquez ici", "lire la suite", "partager sur",
+    "cookies akzeptieren", "datenschutzerkl", "impressum", "alle rechte vorbehalten", "hier klicken", "mehr lesen", "weiterlesen", "teilen auf",
+    "aceptar (todas las )?cookies", "pol.tica de (cookies|privacidad)", "aviso legal", "todos los derechos reservados", "haga clic", "leer m.s", "compartir en",
+]
+BOILERPLATE = f"(?i)({'|'.join(PHRASES)})"
 NAVIGATION = r"[|»›>•·]"
 SYMBOL = "[#*$%&|<>]"
 END = r"[.!?:;…。！？][\"'”’»)\]]*[\x20\x09-\x0D]*$"
@@ -38,8 +46,8 @@ def bad_line(line: Column) -> Column:
         (F.lit(20) * symbols > chars)
         | ((marks >= 3) & (5 * marks > n))
         | ((separators >= 2) & (5 * separators > n))
-        | ((n <= 20) & line.rlike(BOILERPLATE))
         | ((n < 3) & ~line.rlike(END))
+        | ((n <= 20) & line.rlike(BOILERPLATE))
     )
 
 
