@@ -40,7 +40,13 @@ class ForcedCutEncoder:
         data = json.loads(self.whole.to_str())
         model = data["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.specials = tuple(t["content"] for t in data["added_tokens"])
+        added = data["added_tokens"]
+        # under a key with a space, which no other piece has
+        self.specials = {" " + t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        # found in the raw text before anything else, the first and longest ones
+        self.special = re.compile("(" + "|".join(re.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"]))) + ")") if added else None
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+            raise ValueError("the vocabulary's special tokens must be found as they stand")
         self.inside = self._inside(model["vocab"])
         # the model alone, without normaliser, word pattern and special tokens
         self.vocab = model["vocab"]
@@ -75,6 +81,8 @@ class ForcedCutEncoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Puts the ids of new white-space-free pieces into the table, all of a slice at once."""
+        if not pieces:
+            return
         starts = np.cumsum([0, *(len(p) + 1 for p in pieces)])
         found = self.whole.pre_tokenizer.pre_tokenize_str(" ".join(pieces))
         owner = np.searchsorted(starts, [span[0] for _, span in found], "right") - 1
@@ -91,10 +99,10 @@ class ForcedCutEncoder:
             got[at] += of_word[word]
         self.words.update(zip(pieces, got.values(), strict=True))
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """The normalised text's white-space-free pieces; None if it holds a special token's string."""
-        if any(s in text for s in self.specials):  # special tokens are found in the raw text before anything else
-            return None
+    def _pieces(self, text: str) -> list[str]:
+        """The normalised text's white-space-free pieces, and special tokens behind a space."""
+        if self.special and self.special.search(text):
+            return [p for i, part in enumerate(self.special.split(text)) for p in ([" " + part] if i % 2 else self._pieces(part))]
         if self.plain_latin and not _UNUSUAL.search(text):  # the file's normaliser, for characters below 256
             return text.lower().split()
         return [p for p in self.whole.normalizer.normalize_str(text).split(" ") if p]
@@ -102,15 +110,16 @@ class ForcedCutEncoder:
     def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         clean = [self._pieces(text or "") for text in texts]
-        seen = {p for pieces in clean if pieces for p in pieces}
+        seen = {p for pieces in clean for p in pieces}
         new = [p for p in seen if p not in self.words]
         if len(self.words) + len(new) > KEPT:
             self.words.clear()
             new = list(seen)
         if new:
-            self._learn(new)
+            self.words.update({p: self.specials[p] for p in new if p in self.specials})
+            self._learn([p for p in new if p not in self.specials])
         words = self.words
-        return [np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if pieces is None else b"".join([words[p] for p in pieces]) for text, pieces in zip(texts, clean, strict=True)]
+        return [b"".join([words[p] for p in pieces]) for pieces in clean]
 
     def encode_all(self, texts: list[str | None]) -> list[list[int]]:
         return [np.frombuffer(x, "<u4").tolist() for x in self.encode_bytes(texts)]

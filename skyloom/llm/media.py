@@ -63,6 +63,8 @@ def _bmp(data: bytes) -> np.ndarray:
     start, size, width, height, _, bits, packed = struct.unpack_from("<10xIIiiHHI", data)
     if packed not in (0, 3) or bits not in (8, 24, 32):
         raise ValueError("BMP kind not handled")
+    if packed == 3 and (bits != 32 or struct.unpack_from("<III", data, 54) != (0xFF0000, 0xFF00, 0xFF)):
+        raise ValueError("BMP masks not handled")
     stride, rows = (width * bits + 31) // 32 * 4, abs(height)
     lines = np.frombuffer(data, np.uint8, stride * rows, start).reshape(rows, stride)
     lines = lines if height < 0 else lines[::-1]

@@ -263,6 +263,13 @@ def test_quality_rules_lines(spark):
     assert quality_rules.judge(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_quality_rules_boilerplate_in_four_languages(spark):
+    lines = ["Accepter les cookies", "Tous droits réservés", "Lire la suite", "Alle Rechte vorbehalten", "Datenschutzerklärung und Impressum", "Weiterlesen", "Aceptar todas las cookies", "Política de privacidad", "Leer más", "Read more", "Accept all cookies"]
+    prose = ["Il a fermé la porte sans dire un mot.", "Sie ging langsam durch den alten Garten.", "La casa estaba vacía desde hacía años.", "He walked along the river for an hour."]
+    docs = spark.createDataFrame([(0, "\n".join([*lines, *prose]))], "doc_id long, text string")
+    assert quality_rules.judge(docs).first().clean_text.split("\n") == prose
+
+
 # 4: language
 
 
@@ -487,6 +494,17 @@ def test_license_templates_with_changes():
     assert scan("x y z " + " ".join(words) + " and so on")[5] == "apache-2.0"
     assert scan("Released under the MIT License.")[5] == "mit"
     assert scan(" ".join(words[:15]))[5] == ""
+    assert scan("x y z " + " ".join(words) + " and so on")[7] == f"apache-2.0:3-{3 + len(words)}"
+
+
+def test_license_full_notices_are_told_apart():
+    """Every template is found in a text of its own with its span, and none of the others that are no part of it."""
+    scan = licenses.scanner()
+    for label, text in licenses.TEMPLATES:
+        found = scan(f"{'filler ' * 5}{text} {'end ' * 5}")
+        assert f"{label}:5-{5 + len(text.split())}" in found[7].split(","), label
+    lesser = next(t for label, t in licenses.TEMPLATES if label == "lgpl-3.0")
+    assert scan(lesser)[7].split(",")[-1].startswith("lgpl-3.0:0-")
 
 
 # 8: pages
