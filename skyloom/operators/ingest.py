@@ -9,6 +9,7 @@ from ..errors import ArgumentError
 from ..labels import CHECKS, GAP, OK
 from . import align
 from .align import KEY
+from .merge import merge_sites, upsert
 
 
 def ingest(
@@ -56,3 +57,15 @@ def merge_series(left: DataFrame, right: DataFrame, **options) -> DataFrame:
     # a grid stamp may have taken a record that its neighbour took too
     one = first.groupBy(*KEY, "datetime").agg(F.min_by("value", "side").alias("value")).withColumn("side", F.lit(0))
     return ingest(one, "side", **options)
+
+
+def merge_datasets(left: dict[str, DataFrame], right: dict[str, DataFrame], **options) -> dict[str, DataFrame]:
+    """Two datasets as one: ``series`` (see ``merge_series``, which takes ``options``), ``stations`` and ``model`` rows, the left's where both have a series.
+
+    Raises where a station has two places.
+    """
+    out = {"series": merge_series(left["series"], right["series"], **options), "stations": merge_sites(left["stations"], right["stations"])}
+    models = [d["model"] for d in (left, right) if "model" in d]
+    if models:
+        out["model"] = models[0] if len(models) == 1 else upsert(models[1], models[0], [*KEY, "modelname", "modelvariable"], force=True)
+    return out

@@ -176,16 +176,27 @@ def outliers_to_gaps(labelled: DataFrame) -> DataFrame:
     return labelled.select(*KEY, "datetime", F.when(~out, F.col("value")).alias("value"), F.when(out, F.lit(LABELS[11])).otherwise(F.lit(OK)).alias("label"))
 
 
+def white_list(white: DataFrame) -> DataFrame:
+    """A white list that is checked: some of the columns name, obstype and datetime (a time stamp) and no other, each row once."""
+    types = dict(white.dtypes)
+    if not types or set(types) - {*KEY, "datetime"}:
+        raise ArgumentError("a white list has the columns name, obstype and datetime or some of them, and no other")
+    if "datetime" in types and not types["datetime"].startswith("timestamp"):
+        raise ArgumentError("a white list's datetime must be a time stamp")
+    return white.distinct()
+
+
 def without_white(found: DataFrame, white: DataFrame) -> DataFrame:
     """Flags without those that a white list names.
 
     The list has any of the columns name, obstype and datetime; a column that
-    isn't there matches everything.
+    isn't there matches everything.  Stamps without zone count as the session's.
     """
-    levels = [c for c in (*KEY, "datetime") if c in white.columns]
-    if not levels:
-        raise ArgumentError("a white list needs name, obstype or datetime")
-    return found.join(white.select(*levels).distinct(), levels, "left_anti")
+    white = white_list(white)
+    levels = white.columns
+    if "datetime" in levels:
+        white = white.withColumn("datetime", F.col("datetime").cast("timestamp"))
+    return found.join(white, levels, "left_anti")
 
 
 def long_view(ok: DataFrame, outlier_rows: DataFrame, gap_rows: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from ..errors import ArgumentError, TemplateError
 from ..functions import units
 from ..functions import values as V
 from ..operators.align import KEY
+from ..operators.ingest import ingest
+from ..operators.merge import upsert
 from ..operators.qc import duplicated_timestamps, without_duplicates
 from .template import RESERVED, Template
 
@@ -148,9 +150,31 @@ def import_data(spark: SparkSession, template: Template, data_path: str, metadat
     clean = without_duplicates(rows, "file_order")
     invalid = rows.where("value IS NULL").select(*KEY, "datetime").join(repeated.select(*KEY, "datetime"), [*KEY, "datetime"], "left_anti")
     obs = clean.join(invalid.distinct(), [*KEY, "datetime"], "left_anti")
+    return {"obs": obs, "outliers": repeated, "stations": _known(rows, meta)}
+
+
+def import_dataset(spark: SparkSession, template: Template, data_path: str, metadata_path: str | None = None, **options) -> dict[str, DataFrame]:
+    """A file to labelled series on their grids, in one plan: ``series`` (see ``ingest``, which takes ``options``) and ``stations``."""
+    rows = observations(read(spark, data_path), template)
+    meta = stations(read(spark, metadata_path), template) if metadata_path else None
+    if meta is not None and template.structure == "single_station":
+        rows = single_name(rows, meta)
+    rows = usable(rows)
+    return {"series": ingest(rows, "file_order", **options), "stations": _known(rows, meta)}
+
+
+def _known(rows: DataFrame, meta: DataFrame | None) -> DataFrame:
+    """The stations that have records, with what the metadata says of them."""
     names = rows.select("name").distinct()
-    known = names.join(meta, "name", "left") if meta is not None else names.select("name", *[F.lit(None).cast("double").alias(c) for c in ("lat", "lon", "altitude")], F.lit(None).cast("map<string,string>").alias("extra"))
-    return {"obs": obs, "outliers": repeated, "stations": known}
+    if meta is not None:
+        return names.join(meta, "name", "left")
+    return names.select("name", *[F.lit(None).cast("double").alias(c) for c in ("lat", "lon", "altitude")], F.lit(None).cast("map<string,string>").alias("extra"))
+
+
+def add_model(stations: DataFrame, model: DataFrame, present: DataFrame | None = None, force: bool = False) -> DataFrame:
+    """Model rows of the known stations, added to those that are ``present``; a series that is there already raises, or is replaced with ``force``."""
+    new = model.join(stations.select("name").distinct(), "name", "left_semi")
+    return new if present is None else upsert(present, new, [*KEY, "modelname", "modelvariable"], force)
 
 
 def model_series(df: DataFrame, modelname: str, bands: dict[str, tuple[str, str]], vector: tuple[str, str] | None = None) -> DataFrame:

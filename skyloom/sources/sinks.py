@@ -47,3 +47,13 @@ def stacked(obs: DataFrame, model: DataFrame | None = None) -> DataFrame:
     rows = F.explode(F.array(F.struct(F.lit("obs").alias("kind"), F.col("value").alias("value")), F.struct(F.lit("label").alias("kind"), number.alias("value"))))
     out = obs.select("name", "obstype", "datetime", rows.alias("x")).select("name", "obstype", "datetime", "x.*")
     return out if model is None else out.unionByName(model.select("name", "obstype", "datetime", F.lit("model").alias("kind"), "value"))
+
+
+def stacked_attributes(spark: SparkSession, checks: dict[str, dict[str, dict]], fills: dict[str, dict[str, dict]] | None = None) -> DataFrame:
+    """The settings that go with a stacked export: rows (obstype, kind, applied, setting, value) of checks and fills by kind of observation."""
+    rows = []
+    for kind, settings in (("QC", checks), ("GF", fills or {})):
+        for obstype, applied in settings.items():
+            for name, values in applied.items():
+                rows += [(obstype, kind, name, k, str(v)) for k, v in values.items()] or [(obstype, kind, name, None, None)]
+    return spark.createDataFrame(rows, "obstype string, kind string, applied string, setting string, value string")

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from zoneinfo import available_timezones
 
+from pyspark.sql import SparkSession
+
 from ..errors import TemplateError
 from ..functions.units import is_known
 
@@ -93,5 +95,13 @@ class Template:
     def read(cls, path: str) -> Template:
         return cls.from_dict(json.loads(Path(path).read_text(encoding="utf-8")))
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Template:
+        """A template file from any store that Spark reads."""
+        rows = spark.read.text(path, wholetext=True).limit(2).collect()
+        if len(rows) != 1:
+            raise TemplateError(f"no single template file at {path}")
+        return cls.from_dict(json.loads(rows[0][0]))
+
     def write(self, path: str) -> None:
         Path(path).write_text(json.dumps(self.to_dict(), indent=2, ensure_ascii=False), encoding="utf-8")

@@ -8,7 +8,7 @@ from helpers import at, series
 from pyspark.sql import functions as F
 
 from skyloom.errors import AmbiguousError, ArgumentError, MissingError, TemplateError
-from skyloom.operators import analysis, landcover, merge
+from skyloom.operators import analysis, ingest, landcover, merge
 from skyloom.sources import readers, sinks
 from skyloom.sources.template import Template
 
@@ -158,3 +158,40 @@ def test_landcover(spark):
     where = spark.createDataFrame([("a",), ("b",)], "name string")
     raster = spark.createDataFrame([("a", 6)], "name string, value int")
     assert {r.name: r.lcz for r in landcover.lcz(where, raster).collect()} == {"a": "Open lowrise", "b": "Water (LCZ G)"}
+
+
+def test_import_of_a_dataset_in_one_plan(spark, tmp_path):
+    rows = "".join(f"a,2024-06-01 12:{m:02d}:00,{v}\n" for m, v in ((0, 1), (10, 2), (10, 3), (20, "bad"), (30, 4), (41, 5), (50, 6)))
+    (tmp_path / "d.csv").write_text("station,when,t\n" + rows)
+    (tmp_path / "m.csv").write_text("station,lat,lon\na,50.5,4.1\nz,1,1\n")
+    t = Template.build(name_column="station", datetime_column="when", datetime_format="%Y-%m-%d %H:%M:%S", obstypes={"temp": ("t", "degC", None)}, meta_name_column="station", meta_lat_column="lat", meta_lon_column="lon")
+    t.write(str(tmp_path / "t.json"))
+    assert Template.load(spark, str(tmp_path / "t.json")) == t
+    out = readers.import_dataset(spark, t, str(tmp_path / "d.csv"), str(tmp_path / "m.csv"))
+    assert [r.label for r in out["series"].orderBy("datetime").collect()] == ["ok", "duplicated timestamp outlier", "gap", "ok", "ok", "ok"]
+    assert [(r.name, r.lat) for r in out["stations"].collect()] == [("a", 50.5)]
+    model = spark.createDataFrame([("a", "temp", "m", "t2m", 1.0), ("z", "temp", "m", "t2m", 2.0)], "name string, obstype string, modelname string, modelvariable string, value double")
+    known = readers.add_model(out["stations"], model)
+    assert [r.name for r in known.collect()] == ["a"]
+    with pytest.raises(ArgumentError):
+        readers.add_model(out["stations"], model, known)
+    assert [r.value for r in readers.add_model(out["stations"], model.withColumn("value", F.lit(9.0)), known, force=True).collect()] == [9.0]
+    both = ingest.merge_datasets(out | {"model": known}, out | {"model": known})
+    assert [r.label for r in both["series"].orderBy("datetime").collect()] == ["ok", "ok", "gap", "ok", "ok", "ok"]
+    assert both["stations"].count() == 1 and both["model"].count() == 1
+
+
+def test_white_lists_are_checked(spark):
+    from skyloom.operators import qc
+
+    flags = qc.outliers(series(spark, [(0, 99), (1, 99)]), qc.gross_value(), "gross_value")
+    for bad in ("name string, extra int", "datetime string", "station string"):
+        with pytest.raises(ArgumentError):
+            qc.without_white(flags, spark.createDataFrame([], bad))
+    assert qc.without_white(flags, spark.createDataFrame([], "name string")).count() == 2
+    assert qc.without_white(flags, spark.createDataFrame([(at(0),)], "datetime timestamp").withColumn("datetime", F.col("datetime").cast("timestamp_ntz"))).count() == 1
+
+
+def test_attributes_of_an_export(spark):
+    out = sinks.stacked_attributes(spark, {"temp": {"gross_value": {"lower": -15, "upper": 39}, "repetitions": {}}}, {"temp": {"interpolation": {"method": "time"}}})
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([("temp", "QC", "gross_value", "lower", "-15"), ("temp", "QC", "gross_value", "upper", "39"), ("temp", "QC", "repetitions", None, None), ("temp", "GF", "interpolation", "method", "time")], key=repr)
