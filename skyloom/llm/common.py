@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -37,11 +37,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_remainder(doc_id: int | None, modulus: int) -> int:
-    """crc32 of the id's decimal text, modulo ``modulus``; a null id counts as remainder 0."""
-    return 0 if doc_id is None else zlib.crc32(str(doc_id).encode()) % modulus
-
-
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``; from now on its session sends batches of at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` to Python, or smaller ones if it is set so."""
     conf = df.sparkSession.conf
@@ -141,6 +136,12 @@ def without(df: DataFrame, column: str, gone: DataFrame, every: DataFrame) -> Da
     return flagged.where("NOT _hit").select(df.columns).unionByName(flagged.where("_hit").select(df.columns).join(gone, same, "left_anti"))
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are done: it does once the driver has collected the objects that stand for them, which a long loop can't wait for."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def few(df: DataFrame) -> DataFrame:
     """A stored ``df`` in no more partitions than its narrow rows need, so that small tables cost few tasks and files."""
     return df.coalesce(1 + df.count() // PARTITION_ROWS)
