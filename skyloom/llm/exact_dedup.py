@@ -143,8 +143,9 @@ def _classes(records: DataFrame, table_bytes: int, level_bits: int) -> DataFrame
     """Rows (key, class, sha) of stored (key, h, size, content): equal contents have the same class, the key of one of them.
 
     Each round melts the buckets that fit and splits the others; rounds end, as
-    a bucket either shrinks with more bits or has one hash, and then its records are dealt
-    by chance into tables that fit, of which one record for each content is left.
+    a bucket either shrinks with more bits or has one hash, and then its records
+    are dealt by chance into tables of some eight records or more, of which one
+    record for each content is left.
     """
     done, links, bits = [], [], None
     todo, n, size = records, *records.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -154,7 +155,8 @@ def _classes(records: DataFrame, table_bytes: int, level_bits: int) -> DataFrame
         partitions = min(need, PARTITIONS_AT_MOST)
         bucket = _bucket(bits).alias("bucket")
         sizes = todo.groupBy(bucket).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), (F.min("h") == F.max("h")).alias("one"))
-        parts = F.greatest(F.ceil(F.col("bytes") / table_bytes), F.ceil(F.col("n") / TABLE_RECORDS))
+        # records of one hash are mostly copies, which a table holds once: eight or more of them meet in each
+        parts = F.least(F.greatest(F.ceil(F.col("bytes") / table_bytes), F.ceil(F.col("n") / TABLE_RECORDS)), F.when(F.col("one"), F.ceil(F.col("n") / 8)).otherwise(F.col("n")))
         large = cut(sizes.select("bucket", "one", parts.alias("parts")).where("parts > 1"))
         if large.isEmpty():
             done.append(_melted(todo.withColumn("bucket", _bucket(bits)), partitions).select("key", F.col("upper").alias("class"), "sha"))
@@ -214,7 +216,7 @@ def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     numbered = cut(docs.withColumn(place, F.monotonically_increasing_id()))
     rows = numbered.select(F.col(place).alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").cast("binary").alias("text"))
     kept = _groups(rows, TABLE_BYTES, SCAN_BYTES, LEVEL_BITS).where("kept").select(F.col("row").alias(place))
-    return numbered.join(kept, place, "left_semi")
+    return numbered.join(kept, place, "left_semi").select(docs.columns)
 
 
 def op11_exact_dedup(spark, sf_dir: str) -> DataFrame:
