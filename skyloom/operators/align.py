@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ArgumentError
 from ..functions import time as T
+from . import scan
 from ..labels import GAP
 
 KEY = ["name", "obstype"]
@@ -22,12 +23,30 @@ def series() -> Window:
     return Window.partitionBy(*KEY).orderBy("ts")
 
 
+def step_counts(obs: DataFrame) -> DataFrame:
+    """How often each step between neighbouring stamps occurs in a series: (name, obstype, step, n).
+
+    Steps are taken in pieces of time and counted before they meet, so that a
+    series is reduced to its different steps, of which a measured one has few.
+    """
+    stamps = obs.where("datetime IS NOT NULL").select(*KEY, "datetime", F.lit(0.0).alias("value"))
+    return scan.previous(stamps, KEY).where("before IS NOT NULL").select(*KEY, (F.col("ts") - F.col("before.t")).alias("step")).groupBy(*KEY, "step").agg(F.count("*").alias("n"))
+
+
 def likely_frequency(obs: DataFrame, method: str = "median", tolerance: str = "2min") -> DataFrame:
     """Rows (name, obstype, freq_us): the median (or least) positive step of each series, rounded; series of one stamp have none."""
-    steps = obs.select(*KEY, T.to_micros(F.col("datetime")).alias("ts")).withColumn("step", F.col("ts") - F.lag("ts").over(series())).where("step > 0")
-    raw = (F.median("step") if method == "median" else F.min("step")).cast("long")
+    counts = step_counts(obs).where("step > 0")
+    if method == "median":
+        w = Window.partitionBy(*KEY)
+        up_to = F.sum("n").over(w.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+        ranked = counts.withColumn("_to", up_to).withColumn("_all", F.sum("n").over(w))
+        # the middle step, or the mean of the two in the middle
+        middle = lambda place: F.min(F.when(F.col("_to") >= place, F.col("step")))
+        raw = ((middle(F.floor((F.col("_all") + 1) / 2)) + middle(F.floor(F.col("_all") / 2) + 1)) / 2).cast("long")
+        out = ranked.groupBy(*KEY).agg(raw.alias("freq_us"))
+    else:
+        out = counts.groupBy(*KEY).agg(F.min("step").alias("freq_us"))
     tol = T.micros(tolerance)
-    out = steps.groupBy(*KEY).agg(raw.alias("freq_us"))
     return out.withColumn("freq_us", T.simplify(F.col("freq_us"), tol, zero_protected=True)) if tol >= T.SECOND else out
 
 
@@ -122,8 +141,7 @@ def synchronise(obs: DataFrame, timestamp_tolerance: str = "2min", freq_toleranc
 
 def regular_frequency(obs: DataFrame) -> DataFrame:
     """Rows (name, obstype, freq_us): the step of each series; raises where steps differ.  Series of one stamp have none."""
-    steps = obs.select(*KEY, T.to_micros(F.col("datetime")).alias("ts")).withColumn("step", F.col("ts") - F.lag("ts").over(series())).where("step IS NOT NULL")
-    found = steps.groupBy(*KEY).agg(F.min("step").alias("freq_us"), F.max("step").alias("most"))
+    found = step_counts(obs).groupBy(*KEY).agg(F.min("step").alias("freq_us"), F.max("step").alias("most"))
     if not found.where("freq_us <> most").isEmpty():
         raise ArgumentError("a series has no regular stamps; align it first")
     return found.select(*KEY, "freq_us")
@@ -131,10 +149,7 @@ def regular_frequency(obs: DataFrame) -> DataFrame:
 
 def islands(missing: DataFrame) -> DataFrame:
     """Gaps-and-islands over (name, obstype, datetime, freq_us): adds ``gap_id`` (its number in the series, from 1) and ``gapstart``."""
-    frame = missing.withColumn("ts", T.to_micros(F.col("datetime")))
-    new = F.coalesce((F.col("ts") - F.lag("ts").over(series()) != F.col("freq_us")).cast("int"), F.lit(1))
-    frame = frame.withColumn("_new", new).withColumn("gap_id", F.sum("_new").over(series()))
-    return frame.withColumn("gapstart", F.min("datetime").over(Window.partitionBy(*KEY, "gap_id"))).drop("_new", "ts")
+    return scan.islands(missing, KEY)
 
 
 def gap_overview(gaps: DataFrame) -> DataFrame:

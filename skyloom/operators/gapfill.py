@@ -16,6 +16,7 @@ from ..errors import AmbiguousError, ArgumentError
 from ..functions import time as T
 from ..functions.values import clip
 from ..labels import FAILED, FILLS
+from . import scan
 from .align import KEY
 
 GAP = [*KEY, "gap_id"]
@@ -35,19 +36,13 @@ def _labelled(df: DataFrame, method: str, details: Column) -> DataFrame:
     return df.select(*GAP, "datetime", "value", label.alias("label"), details.alias("details"))
 
 
-def anchors(gaps: DataFrame, obs: DataFrame) -> DataFrame:
-    """Gap rows with the valid record before (v0, t0, n0 of them in all) and after (v1, t1, n1) and their place in the gap."""
-    rows = gaps.select(*GAP, "datetime", F.lit(None).cast("double").alias("value"), F.lit(1).alias("is_gap"))
-    both = rows.unionByName(obs.where("value IS NOT NULL").select(*KEY, F.lit(None).cast(dict(gaps.dtypes)["gap_id"]).alias("gap_id"), "datetime", "value", F.lit(0).alias("is_gap"))).withColumn("ts", _us())
-    by = Window.partitionBy(*KEY)
-    before = by.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    after = by.orderBy(F.col("ts").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    valid = F.when(F.col("value").isNotNull(), F.struct(F.col("value").alias("v"), F.col("ts").alias("t")))
-    for i, w in ((0, before), (1, after)):
-        both = both.withColumn(f"x{i}", F.last(valid, ignorenulls=True).over(w)).withColumn(f"n{i}", F.count("value").over(w))
-    place = F.row_number().over(Window.partitionBy(*GAP).orderBy("ts"))
-    out = both.where("is_gap = 1").withColumn("place", place)
-    return out.select(*GAP, "datetime", "ts", "place", *[F.col(f"x{i}.{c}").alias(f"{c}{i}") for i in (0, 1) for c in "vt"], "n0", "n1")
+def anchors(gaps: DataFrame, obs: DataFrame, place: bool = False, piece_us: int | None = None) -> DataFrame:
+    """Gap rows with the valid record before (v0, t0) and after (v1, t1), and with ``place`` their place in the gap."""
+    rows = gaps.select(*GAP, "datetime")
+    rows = scan.numbered(rows, GAP, "place", piece_us) if place else rows
+    found = scan.neighbours(rows, obs.select(*KEY, "datetime", "value"), KEY, piece_us)
+    sides = (("before", 0), ("after", 1))
+    return found.select(*rows.columns, "ts", *[F.col(f"{side}.{c}").alias(f"{c}{i}") for side, i in sides for c in "vt"])
 
 
 #: Orders of the piecewise polynomials that run through all anchors.
@@ -66,10 +61,12 @@ def nearest_records(gaps: DataFrame, obs: DataFrame, n_leading: int, n_trailing:
     spans = _spans(gaps)
     valid = obs.where("value IS NOT NULL").select(*KEY, "datetime", "value", _us().alias("ts"))
     marks = spans.select(*GAP, F.explode(F.array(F.struct(F.lit("lead").alias("side"), (F.col("gap_lo") - 1).alias("ts")), F.struct(F.lit("trail").alias("side"), F.col("gap_hi").alias("ts")))).alias("m")).select(*GAP, "m.*")
-    numbered = valid.withColumn("number", F.row_number().over(Window.partitionBy(*KEY).orderBy("ts")).cast("long"))
-    counted = numbered.select(*KEY, "ts", "number").unionByName(marks, allowMissingColumns=True)
-    order = Window.partitionBy(*KEY).orderBy("ts", F.col("number").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = counted.withColumn("seen", F.coalesce(F.max("number").over(order), F.lit(0).cast("long"))).where("side IS NOT NULL")
+    numbered = scan.numbered(valid, KEY, "number").withColumn("ts", _us())
+    # how many records lie up to each mark: those of earlier pieces, and of its own
+    both = scan.in_pieces(numbered.select(*KEY, "datetime", "number").unionByName(marks.withColumn("datetime", T.to_timestamp(F.col("ts"))).drop("ts"), allowMissingColumns=True))
+    own = F.max("number").over(scan.rows_of(KEY).orderBy("ts", F.col("number").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    carried = scan.with_carry(both.withColumn("_own", own), KEY, {"_last": F.max("number")}, {"_before": F.max("_last").over(scan.earlier(KEY))})
+    seen = carried.where("side IS NOT NULL").withColumn("seen", F.coalesce("_own", "_before", F.lit(0).cast("long"))).select(*GAP, "side", "seen")
     lead = F.col("side") == "lead"
     wanted = F.when(lead, F.sequence(F.col("seen") - (n_leading - 1), F.col("seen"))).otherwise(F.sequence(F.col("seen") + 1, F.col("seen") + n_trailing))
     found = seen.select(*GAP, "side", F.explode(wanted).alias("number")).join(numbered, [*KEY, "number"]).join(spans.select(*GAP, "gap_lo", "gap_hi"), GAP)
@@ -104,12 +101,12 @@ def interpolate(
         return _interpolate_spline(gaps, obs, SPLINES[method] or order, max_gap, n_leading, n_trailing, max_lead, max_trail, method == "cubicspline")
     if method not in PAIRWISE:
         raise ArgumentError(f"no interpolation method {method!r}; there are {', '.join((*PAIRWISE, *SPLINES))}")
-    df = anchors(gaps, obs).join(_spans(gaps), GAP)
+    df = anchors(gaps, obs, method == "linear").join(_spans(gaps), GAP)
     down, up = F.col("ts") - F.col("t0"), F.col("t1") - F.col("ts")
     share = {"linear": F.col("place") / (F.col("gap_n") + 1), "nearest": F.when(up < down, 1.0).otherwise(0.0), "zero": F.lit(0.0)}.get(method, down / (down + up))
     size_ok = F.col("gap_hi") - F.col("gap_lo") <= T.micros(max_gap)
     if n_leading == 1 and n_trailing == 1:
-        anchored = (F.col("n0") >= 1) & (F.col("n1") >= 1)
+        anchored = F.col("t0").isNotNull() & F.col("t1").isNotNull()
         if max_lead:
             anchored &= F.col("gap_lo") - F.col("t0") <= T.micros(max_lead)
         if max_trail:
@@ -186,15 +183,10 @@ def _interpolate_spline(gaps, obs, order, max_gap, n_leading, n_trailing, max_le
 
 def at_stamps(model: DataFrame, targets: DataFrame) -> DataFrame:
     """``targets`` with ``model_value``: the model series in linear time between its records, null outside."""
-    rows = targets.withColumn("_m", F.lit(None).cast("double")).withColumn("_target", F.lit(1))
-    both = rows.unionByName(model.select(*KEY, "datetime", F.col("value").cast("double").alias("_m"), F.lit(0).alias("_target")), allowMissingColumns=True).withColumn("_ts", _us())
-    by = Window.partitionBy(*KEY)
-    known = F.when(F.col("_m").isNotNull(), F.struct(F.col("_m").alias("v"), F.col("_ts").alias("t")))
-    both = both.withColumn("_b", F.last(known, ignorenulls=True).over(by.orderBy("_ts", "_target").rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_a", F.last(known, ignorenulls=True).over(by.orderBy(F.col("_ts").desc(), "_target").rowsBetween(Window.unboundedPreceding, 0)))
-    between = F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * ((F.col("_ts") - F.col("_b.t")) / (F.col("_a.t") - F.col("_b.t")))
-    value = F.when(F.col("_a.t") == F.col("_b.t"), F.col("_b.v")).otherwise(between)
-    return both.where("_target = 1").withColumn("model_value", value).select(*targets.columns, "model_value")
+    both = scan.neighbours(targets, model.select(*KEY, "datetime", "value"), KEY)
+    b, a = F.col("before"), F.col("after")
+    value = F.when(a["t"] == b["t"], b["v"]).otherwise(b["v"] + (a["v"] - b["v"]) * ((F.col("ts") - b["t"]) / (a["t"] - b["t"])))
+    return both.withColumn("model_value", value).select(*targets.columns, "model_value")
 
 
 def require_single_model(model: DataFrame) -> None:

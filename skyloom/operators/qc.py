@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..errors import ArgumentError
 from ..functions import time as T
 from ..labels import CHECKS, GAP, LABELS, OK
+from . import scan
 from .align import KEY, PIECE_US, regular_frequency, series
 
 Check = Callable[[Column], Column]
@@ -51,10 +52,14 @@ def repetitions(max_n: int = 5) -> Check:
     return flag
 
 
+def _rates(increase: float, decrease: float) -> None:
+    if increase < 0 or decrease > 0:
+        raise ArgumentError("the increase must not be negative, the decrease not positive")
+
+
 def step(max_increase_per_second: float = 8 / 3600, max_decrease_per_second: float = -10 / 3600) -> Check:
     """Values that rise or fall too fast since the one before (strict); the first never."""
-    if max_increase_per_second < 0 or max_decrease_per_second > 0:
-        raise ArgumentError("the increase must not be negative, the decrease not positive")
+    _rates(max_increase_per_second, max_decrease_per_second)
     w = series().rowsBetween(Window.unboundedPreceding, -1)
 
     def check(v: Column) -> Column:
@@ -98,6 +103,20 @@ def outliers(obs: DataFrame, check: Check, check_name: str) -> DataFrame:
     return flagged(obs, check).where("flag").select(*KEY, "datetime", "value", F.lit(CHECKS[check_name]).alias("label"))
 
 
+def repetition_outliers(obs: DataFrame, max_n: int = 5, piece_us: int | None = None) -> DataFrame:
+    """What ``repetitions`` flags, found in pieces of time whose border runs are joined: no task holds a series."""
+    return scan.run_lengths(obs.select(*KEY, "datetime", "value"), KEY, piece_us).where(F.col("run_length") > max_n).select(*KEY, "datetime", "value", F.lit(CHECKS["repetitions"]).alias("label"))
+
+
+def step_outliers(obs: DataFrame, max_increase_per_second: float = 8 / 3600, max_decrease_per_second: float = -10 / 3600, piece_us: int | None = None) -> DataFrame:
+    """What ``step`` flags, found in pieces of time that carry their last value on: no task holds a series."""
+    _rates(max_increase_per_second, max_decrease_per_second)
+    rows = scan.previous(obs.select(*KEY, "datetime", "value"), KEY, piece_us)
+    seconds, change = (F.col("ts") - F.col("before.t")) / T.SECOND, F.col("value") - F.col("before.v")
+    fast = (change > F.lit(max_increase_per_second) * seconds) | (change < F.lit(max_decrease_per_second) * seconds)
+    return rows.where(fast).select(*KEY, "datetime", "value", F.lit(CHECKS["step"]).alias("label"))
+
+
 def windowed_outliers(obs: DataFrame, make: Callable[..., Check], check_name: str, window: str, regular: bool = True, **options) -> DataFrame:
     """A centred-window check over series cut into pieces of time: rows near a border are in both pieces, and count in their own.
 

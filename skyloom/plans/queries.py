@@ -80,11 +80,11 @@ def persistence(spark, sf_dir):
 
 
 def repetitions(spark, sf_dir):
-    return qc.outliers(coarse(spark, sf_dir), qc.repetitions(3), "repetitions")
+    return qc.repetition_outliers(coarse(spark, sf_dir), 3)
 
 
 def step(spark, sf_dir):
-    return qc.outliers(observations(spark, sf_dir), qc.step(8 / 3600, -10 / 3600), "step")
+    return qc.step_outliers(observations(spark, sf_dir), 8 / 3600, -10 / 3600)
 
 
 def window_variation(spark, sf_dir):
