@@ -46,7 +46,9 @@ def anchors(gaps: DataFrame, obs: DataFrame, place: bool = False, piece_us: int
 
 
 #: Orders of the piecewise polynomials that run through all anchors.
-SPLINES = {"quadratic": 2, "cubic": 3, "cubicspline": 3, "polynomial": None, "spline": None}
+SPLINES = {"quadratic": 2, "cubic": 3, "cubicspline": 3, "polynomial": None}
+#: Methods with slopes from the anchors near the gap, and those with one polynomial through all anchors.
+LOCAL, WHOLE = ("pchip", "akima"), ("krogh", "barycentric")
 #: Methods that look at the nearest record on each side only.
 PAIRWISE = ("time", "linear", "slinear", "nearest", "zero")
 
@@ -84,23 +86,27 @@ def _anchored(gaps: DataFrame, obs: DataFrame, n_leading: int, n_trailing: int,
 
 
 def interpolate(
-    gaps: DataFrame, obs: DataFrame, method: str = "time", max_gap: str = "3h", n_leading: int = 1, n_trailing: int = 1, max_lead: str | None = None, max_trail: str | None = None, order: int = 3
+    gaps: DataFrame, obs: DataFrame, method: str = "time", max_gap: str = "3h", n_leading: int = 1, n_trailing: int = 1, max_lead: str | None = None, max_trail: str | None = None, order: int = 3, smoothing: float | None = None
 ) -> DataFrame:
     """Interpolate inside gaps, between valid records only (neither outliers nor earlier fills).
 
     ``time`` and ``slinear`` follow the clock, ``linear`` the rows; ``nearest``
     takes the nearer record (the earlier of two), ``zero`` the one before;
-    ``quadratic``, ``cubic``, ``cubicspline``, ``polynomial`` and ``spline``
-    (the last two of ``order``) run through all anchors.  A gap longer than
-    ``max_gap`` fails, and one without as many anchors as asked for, each
-    within ``max_lead`` or ``max_trail`` of the gap.
+    ``quadratic``, ``cubic``, ``cubicspline`` and ``polynomial`` (of ``order``)
+    are splines through all anchors, ``krogh`` and ``barycentric`` one
+    polynomial through them; ``pchip`` keeps the anchors' rise and fall,
+    ``akima`` follows the slopes nearby; ``spline`` (of ``order``) smooths: its
+    squared residuals sum up to ``smoothing`` at most, the number of anchors
+    unless it is given.  A gap longer than ``max_gap`` fails, and one without as
+    many anchors as asked for, each within ``max_lead`` or ``max_trail`` of the
+    gap.
     """
     if n_leading < 1 or n_trailing < 1:
         raise ArgumentError("at least one anchor on each side")
-    if method in SPLINES:
-        return _interpolate_spline(gaps, obs, SPLINES[method] or order, max_gap, n_leading, n_trailing, max_lead, max_trail, method == "cubicspline")
+    if method in (*SPLINES, *LOCAL, *WHOLE, "spline"):
+        return _interpolate_anchors(gaps, obs, method, SPLINES.get(method) or order, max_gap, n_leading, n_trailing, max_lead, max_trail, smoothing)
     if method not in PAIRWISE:
-        raise ArgumentError(f"no interpolation method {method!r}; there are {', '.join((*PAIRWISE, *SPLINES))}")
+        raise ArgumentError(f"no interpolation method {method!r}; there are {', '.join((*PAIRWISE, *SPLINES, *LOCAL, *WHOLE, 'spline'))}")
     df = anchors(gaps, obs, method == "linear").join(_spans(gaps), GAP)
     down, up = F.col("ts") - F.col("t0"), F.col("t1") - F.col("ts")
     share = {"linear": F.col("place") / (F.col("gap_n") + 1), "nearest": F.when(up < down, 1.0).otherwise(0.0), "zero": F.lit(0.0)}.get(method, down / (down + up))
@@ -161,24 +167,131 @@ def period(gaps: DataFrame, obs: DataFrame, lead: str, trail: str) -> DataFrame:
     return windows.join(rows, [*KEY, "day"]).where("ts BETWEEN lo AND hi").select(*GAP, "side", "datetime", "value")
 
 
-def _interpolate_spline(gaps, obs, order, max_gap, n_leading, n_trailing, max_lead, max_trail, lower: bool) -> DataFrame:
+def _jumps(knots, order: int):
+    """The jumps of the highest derivative at the inner knots, as rows of weights of the basis functions."""
+    import numpy as np
+
+    n = len(knots) - order - 1
+    weights, t = np.eye(n), np.asarray(knots, float)
+    for k in range(order, 0, -1):
+        t = t[1:-1]
+        width = t[k : k + len(weights) - 1] - t[: len(weights) - 1]
+        weights = k * np.diff(weights, axis=0) / width[:, None]
+    return np.diff(weights, axis=0)
+
+
+def smoothing_spline(x, y, at, order: int = 3, smoothing: float | None = None):
+    """A spline that is as smooth as it can be with squared residuals of at most ``smoothing`` (the number of points if None), at ``at``.
+
+    Where one polynomial of ``order`` is near enough it is that polynomial.
+    Else knots are put, one after another, among the points of the part that
+    fits worst, until a least-squares spline is near enough; of the splines
+    with these knots the one is taken whose highest derivative jumps least
+    while its residuals sum up to ``smoothing``.
+    """
+    import numpy as np
+
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    limit = float(len(x) if smoothing is None else smoothing)
+    first, last, scale = x[0], x[-1], (x[-1] - x[0]) or 1.0
+    x, at = (x - first) / scale, (np.asarray(at, float) - first) / scale
+    inner: list[float] = []
+    while True:
+        knots = np.array([0.0] * (order + 1) + inner + [1.0] * (order + 1))
+        b = _basis(x, knots, order)
+        c = np.linalg.lstsq(b, y, rcond=None)[0]
+        residual = (b @ c - y) ** 2
+        if residual.sum() <= limit or len(inner) >= len(x) - order - 1:
+            break
+        # the part with the largest residuals that still has a point inside for a knot
+        edges, parts = np.array([0.0, *inner, 1.0]), []
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            within = np.flatnonzero((x > lo) & (x < hi))
+            if len(within):
+                parts.append((residual[(x >= lo) & (x <= hi)].sum(), x[within[len(within) // 2]]))
+        if not parts:
+            break
+        inner = sorted([*inner, max(parts)[1]])
+    if len(inner) >= len(x) - order - 1 and residual.sum() > limit:
+        return spline(x, y, at, order)  # nothing but a spline through all points is near enough
+    if inner:
+        d = _jumps(knots, order)
+        d = d / (np.abs(d).max() or 1.0)
+        fit = lambda p: np.linalg.lstsq(np.vstack([b, d / np.sqrt(p)]), np.concatenate([y, np.zeros(len(d))]), rcond=None)[0]
+        low, high = -40.0, 40.0  # powers of e: from one polynomial nearly to the least-squares spline
+        for _ in range(80):
+            middle = (low + high) / 2
+            low, high = (low, middle) if ((b @ fit(np.exp(middle)) - y) ** 2).sum() <= limit else (middle, high)
+        c = fit(np.exp(high))
+    return _basis(np.clip(at, 0.0, 1.0), knots, order) @ c
+
+
+def _slope(h: list[Column], d: list[Column], i: int, method: str) -> Column:
+    """The slope at point i, from the widths ``h`` and slopes ``d`` of the parts between points."""
+    if len(d) == 1:
+        return d[0]
+    if method == "akima":
+        # two more slopes on each side, on a parabola
+        m = [2 * (2 * d[0] - d[1]) - d[0], 2 * d[0] - d[1], *d, 2 * d[-1] - d[-2], 2 * (2 * d[-1] - d[-2]) - d[-1]]
+        far, near, right, beyond = m[i : i + 4]
+        left, after = F.abs(beyond - right), F.abs(near - far)
+        return F.when(left + after > 1e-9 * F.greatest(F.abs(far), F.abs(beyond), F.lit(1e-300)), (left * near + after * right) / (left + after)).otherwise((near + right) / 2)
+    if 0 < i < len(d):
+        a, b = 2 * h[i] + h[i - 1], h[i] + 2 * h[i - 1]
+        return F.when(d[i - 1] * d[i] > 0, (a + b) / (a / d[i - 1] + b / d[i])).otherwise(F.lit(0.0))
+    h0, h1, d0, d1 = (h[0], h[1], d[0], d[1]) if i == 0 else (h[-1], h[-2], d[-1], d[-2])
+    end = ((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1)
+    return F.when(F.signum(end) != F.signum(d0), 0.0).when((F.signum(d0) != F.signum(d1)) & (F.abs(end) > 3 * F.abs(d0)), 3 * d0).otherwise(end)
+
+
+def _between(method: str, x: Column, t: list[Column], v: list[Column], i: int) -> Column:
+    """The value at ``x`` between points i and i + 1 of (t, v), as native expressions."""
+    if method in WHOLE:
+        terms = []
+        for j in range(len(t)):
+            term = v[j]
+            for k in range(len(t)):
+                term = term * ((x - t[k]) / (t[j] - t[k])) if k != j else term
+            terms.append(term)
+        return sum(terms[1:], terms[0])
+    h = [b - a for a, b in zip(t, t[1:], strict=False)]
+    d = [(b - a) / w for a, b, w in zip(v, v[1:], h, strict=False)]
+    s0, s1 = _slope(h, d, i, method), _slope(h, d, i + 1, method)
+    u = (x - t[i]) / h[i]
+    return v[i] * ((1 + 2 * u) * (1 - u) * (1 - u)) + h[i] * s0 * (u * (1 - u) * (1 - u)) + v[i + 1] * (u * u * (3 - 2 * u)) + h[i] * s1 * (u * u * (u - 1))
+
+
+def _interpolate_anchors(gaps, obs, method, order, max_gap, n_leading, n_trailing, max_lead, max_trail, smoothing) -> DataFrame:
+    """Interpolation by all anchors of a gap; a gap is one row until its stamps are written."""
     near = nearest_records(gaps, obs, n_leading, n_trailing, max_lead, max_trail)
-    stamps = gaps.groupBy(*GAP).agg(F.array_sort(F.collect_list(_us())).alias("at"))
-    sides = near.groupBy(*GAP).agg(F.count_if(F.col("side") == "lead").alias("nl"), F.count_if(F.col("side") == "trail").alias("nt"), F.array_sort(F.collect_list(F.struct(_us().alias("t"), F.col("value").alias("v")))).alias("known"))
+    spans = _spans(gaps).select(*GAP, "gap_lo", "gap_hi")
+    sides = near.groupBy(*GAP).agg(F.count_if(F.col("side") == "lead").alias("nl"), F.count_if(F.col("side") == "trail").alias("nt"), F.array_sort(F.collect_list(F.struct(_us().alias("t"), F.col("value").cast("double").alias("v")))).alias("known"))
     # fewer points than the order needs lower it for cubicspline, and fail else
-    enough = n_leading + n_trailing > order or lower
-    fits = F.lit(enough) & (F.col("nl") >= n_leading) & (F.col("nt") >= n_trailing) & (F.element_at("at", -1) - F.col("at")[0] <= T.micros(max_gap))
-
-    @F.pandas_udf("array<double>")
-    def through(t, v, at):
-        # a row is one gap: its stamps within max_gap, and a fixed number of anchors
-        return pd.Series([None if x is None else spline((x - x[0]) / 1e6, y, (z - x[0]) / 1e6, order) for x, y, z in zip(t, v, at, strict=True)])
-
-    both = stamps.join(sides, GAP, "left").withColumn("fits", F.coalesce(fits, F.lit(False)))
-    known = lambda c: F.when(F.col("fits"), F.transform("known", lambda x: x[c]))
-    both = both.withColumn("fill", through(known("t"), known("v"), F.when(F.col("fits"), F.col("at"))))
-    done = both.select(*GAP, F.posexplode("at").alias("i", "us"), "fill").select(*GAP, T.to_timestamp(F.col("us")).alias("datetime"), F.get("fill", F.col("i")).alias("value"))
-    return _labelled(done, "interpolation", F.when(F.col("value").isNull(), "gap too long or not enough anchors" if enough else "too few anchors for the order").otherwise(f"interpolated by a spline of order {order}"))
+    native = method in (*LOCAL, *WHOLE)
+    enough = native or n_leading + n_trailing > order or method == "cubicspline"
+    fits = F.lit(enough) & (F.col("nl") >= n_leading) & (F.col("nt") >= n_trailing) & (F.col("gap_hi") - F.col("gap_lo") <= T.micros(max_gap))
+    known = spans.join(sides, GAP, "left").select(*GAP, F.when(fits, F.col("known")).alias("known"))
+    if native:
+        rows = gaps.select(*GAP, "datetime").join(known, GAP)
+        seconds = lambda us: (us - F.col("known")[0]["t"]) / T.SECOND
+        points = range(n_leading + n_trailing)
+        done = rows.withColumn("value", F.when(F.col("known").isNotNull(), _between(method, seconds(_us()), [seconds(F.col("known")[i]["t"]) for i in points], [F.col("known")[i]["v"] for i in points], n_leading - 1)))
+    else:
+
+        @F.pandas_udf("array<double>")
+        def through(t, v, at):
+            # a row is one gap: its stamps within max_gap, and a fixed number of anchors
+            curve = (lambda *a: smoothing_spline(*a, order, smoothing)) if method == "spline" else (lambda *a: spline(*a, order))
+            return pd.Series([None if x is None else curve((x - x[0]) / 1e6, y, (z - x[0]) / 1e6) for x, y, z in zip(t, v, at, strict=True)])
+
+        # stamps are gathered of gaps that fit, which max_gap bounds
+        fitting = gaps.select(*GAP, "datetime").join(known.where("known IS NOT NULL"), GAP)
+        lists = fitting.groupBy(*GAP).agg(F.array_sort(F.collect_list(_us())).alias("at"), F.first("known").alias("known"))
+        part = lambda c: F.transform("known", lambda x: x[c])
+        filled = lists.withColumn("fill", through(part("t"), part("v"), "at")).select(*GAP, F.explode(F.arrays_zip("at", "fill")).alias("x")).select(*GAP, T.to_timestamp(F.col("x.at")).alias("datetime"), F.col("x.fill").alias("value"))
+        done = gaps.select(*GAP, "datetime").join(filled, [*GAP, "datetime"], "left")
+    text = f"interpolated by {method}" + (f" of order {order}" if method in ("spline", "polynomial") else "")
+    return _labelled(done, "interpolation", F.when(F.col("value").isNull(), "gap too long or not enough anchors" if enough else "too few anchors for the order").otherwise(text))
 
 
 def at_stamps(model: DataFrame, targets: DataFrame) -> DataFrame:

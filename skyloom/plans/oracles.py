@@ -236,6 +236,27 @@ RAW = f"""raw AS (SELECT CAST(user_id AS VARCHAR) AS name, epoch_us(ts) - epoch_
 LAGRANGE = " + ".join("y{0} * ({1})".format(i, " * ".join(f"(x - x{j}) / (x{i} - x{j})" for j in range(1, 5) if j != i)) for i in range(1, 5))
 
 
+def _by_anchors(value: str, method: str, *more: str) -> str:
+    """A curve through (or near) two anchors on each side, not farther than three days; ``more`` are CTEs after ``placed``, the last one with the rows."""
+    used = f"used AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY name, gap_id ORDER BY us) AS k FROM by_number WHERE CASE WHEN side = 'lead' THEN lo - us ELSE us - hi END <= {72 * H})"
+    four = "four AS (SELECT name, gap_id, " + ", ".join(f"MAX((us - lo) / 1e6::DOUBLE) FILTER (k = {i}) AS x{i}, MAX(value) FILTER (k = {i}) AS y{i}" for i in range(1, 5)) + " FROM used GROUP BY name, gap_id HAVING COUNT(*) = 4)"
+    placed = "placed AS (SELECT g.name, g.gap_id, g.us, s.lo, s.hi, (g.us - s.lo) / 1e6::DOUBLE AS x, f.* EXCLUDE (name, gap_id) FROM gaps g JOIN spans s ON s.name = g.name AND s.gap_id = g.gap_id LEFT JOIN four f ON f.name = g.name AND f.gap_id = g.gap_id)"
+    source = more[-1].split(" AS ", 1)[0] if more else "placed"
+    details = f"CASE WHEN hi - lo <= {24 * H} AND x4 IS NOT NULL THEN 'interpolated by {method}' ELSE 'gap too long or not enough anchors' END"
+    return with_(OBS, ALIGNED, GAPS, RECORDS.format(lead=2, trail=2), used, four, placed, *more, then=filled("interpolation", f"CASE WHEN hi - lo <= {24 * H} THEN {value} + 1e-9::DOUBLE END", details) + f" FROM {source}")
+
+
+# four points: widths and slopes between them, then slopes at the second and third, then Hermite's cubic
+_PARTS4 = "parts AS (SELECT *, x2 - x1 AS h1, x3 - x2 AS h2, x4 - x3 AS h3, (y2 - y1) / (x2 - x1) AS d1, (y3 - y2) / (x3 - x2) AS d2, (y4 - y3) / (x4 - x3) AS d3 FROM placed)"
+_HERMITE = "(y2 + (x - x2) * s2 + power(x - x2, 2) * (3 * d2 - 2 * s2 - s3) / h2 + power(x - x2, 3) * (s2 + s3 - 2 * d2) / (h2 * h2))"
+_HARMONIC = "CASE WHEN {a} * {b} > 0 THEN 3 * ({g} + {h}) / ((2 * {h} + {g}) / {a} + ({h} + 2 * {g}) / {b}) ELSE 0 END"
+_PCHIP = f"slopes AS (SELECT *, {_HARMONIC.format(a='d1', b='d2', g='h1', h='h2')} AS s2, {_HARMONIC.format(a='d2', b='d3', g='h2', h='h3')} AS s3 FROM parts)"
+# before the first slope lies 2 d1 - d2, behind the last 2 d3 - d2
+_AKIMA = "slopes AS (SELECT *, CASE WHEN abs(d3 - d2) + abs(d1 - (2 * d1 - d2)) > 0 THEN (abs(d3 - d2) * d1 + abs(d2 - d1) * d2) / (abs(d3 - d2) + abs(d2 - d1)) ELSE (d1 + d2) / 2 END AS s2, CASE WHEN abs(d3 - d2) + abs(d2 - d1) > 0 THEN (abs(d3 - d2) * d2 + abs(d2 - d1) * d3) / (abs(d3 - d2) + abs(d2 - d1)) ELSE (d2 + d3) / 2 END AS s3 FROM parts)"
+_LINE = "line AS (SELECT *, (x1 + x2 + x3 + x4) / 4 AS mx, (y1 + y2 + y3 + y4) / 4 AS my FROM placed)"
+_LEAST_SQUARES = "(my + (x - mx) * (" + " + ".join(f"(x{i} - mx) * (y{i} - my)" for i in range(1, 5)) + ") / (" + " + ".join(f"power(x{i} - mx, 2)" for i in range(1, 5)) + "))"
+
+
 def _ingested(out: str, source: str, freq: str | None, tolerance: int, origin: str | None = None) -> str:
     """CTEs of the whole import of (name, us, value, event_id)."""
     step = simplified("f", 120_000_000, True) if freq is None else freq
@@ -367,7 +388,11 @@ ORACLES = {
     "stations_without_high_kind": "SELECT CAST(user_id AS VARCHAR) AS name FROM events WHERE value > 150 GROUP BY user_id HAVING COUNT(*) FILTER (event_type = 'signup') = 0",
     "interpolate_anchored": with_(OBS, ALIGNED, GAPS, ANCHORED, RECORDS.format(lead=2, trail=3), f"enough AS (SELECT name, gap_id FROM by_number WHERE CASE WHEN side = 'lead' THEN lo - us <= {24 * H} ELSE us - hi <= {48 * H} END GROUP BY name, gap_id HAVING COUNT(*) FILTER (side = 'lead') >= 2 AND COUNT(*) FILTER (side = 'trail') >= 3)", "found AS (SELECT b.*, e.name IS NOT NULL AS fits FROM both_sides b LEFT JOIN enough e ON e.name = b.name AND e.gap_id = b.gap_id)", then=filled("interpolation", f"CASE WHEN hi - lo <= {24 * H} AND fits THEN v0 + (v1 - v0) * ((us - t0)::DOUBLE / (t1 - t0)) END", f"CASE WHEN hi - lo > {24 * H} THEN 'gap too long' WHEN NOT fits THEN 'not enough anchors' ELSE 'interpolated by time' END") + " FROM found"),
     "interpolate_nearest": _interpolated("CASE WHEN t1 - us < us - t0 THEN 1 ELSE 0 END", "nearest"),
-    "interpolate_spline": with_(OBS, ALIGNED, GAPS, RECORDS.format(lead=2, trail=2), f"used AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY name, gap_id ORDER BY us) AS k FROM by_number WHERE CASE WHEN side = 'lead' THEN lo - us ELSE us - hi END <= {72 * H})", "four AS (SELECT name, gap_id, " + ", ".join(f"MAX((us - lo) / 1e6::DOUBLE) FILTER (k = {i}) AS x{i}, MAX(value) FILTER (k = {i}) AS y{i}" for i in range(1, 5)) + " FROM used GROUP BY name, gap_id HAVING COUNT(*) = 4)", "placed AS (SELECT g.name, g.gap_id, g.us, s.lo, s.hi, (g.us - s.lo) / 1e6::DOUBLE AS x, f.* EXCLUDE (name, gap_id) FROM gaps g JOIN spans s ON s.name = g.name AND s.gap_id = g.gap_id LEFT JOIN four f ON f.name = g.name AND f.gap_id = g.gap_id)", then=filled("interpolation", f"CASE WHEN hi - lo <= {24 * H} THEN {LAGRANGE} + 1e-9::DOUBLE END", f"CASE WHEN hi - lo <= {24 * H} AND x4 IS NOT NULL THEN 'interpolated by a spline of order 3' ELSE 'gap too long or not enough anchors' END") + " FROM placed"),
+    "interpolate_spline": _by_anchors(LAGRANGE, "cubicspline"),
+    "interpolate_pchip": _by_anchors(_HERMITE, "pchip", _PARTS4, _PCHIP),
+    "interpolate_akima": _by_anchors(_HERMITE, "akima", _PARTS4, _AKIMA),
+    "interpolate_krogh": _by_anchors(LAGRANGE, "krogh"),
+    "interpolate_smoothing": _by_anchors(_LEAST_SQUARES, "spline of order 1", _LINE),
     "leading_period_records": with_(OBS, ALIGNED, GAPS, RECORDS.format(lead=3, trail=2), then=f"SELECT name, 'value' AS obstype, gap_id, side, {ts('us')} AS datetime, value FROM by_number WHERE side = 'trail' OR lo - us <= {36 * H}"),
     "qc_stats_station": with_(*CHAIN, then=_station_stats("name")),
     "qc_stats_total": with_(*CHAIN, then=_station_stats("")),

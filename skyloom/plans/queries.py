@@ -45,11 +45,16 @@ def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.regularise(observations(spark, sf_dir), "6h", "3h")
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Gaps with their ids, valid rows on the grid, and a model: the network's mean of every six hours."""
+def _gaps_and_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Gaps with their ids, and valid rows on the grid."""
     a = cut(aligned(spark, sf_dir))
     gaps = align.islands(a.where("status = 'gap'").select(*KEY, "datetime", F.lit(SIX_HOURS).alias("freq_us"))).select(*KEY, "gap_id", "datetime")
-    obs = a.where("status = 'ok'").select(*KEY, "datetime", "value")
+    return gaps, a.where("status = 'ok'").select(*KEY, "datetime", "value")
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Gaps, records, and a model: the network's mean of every six hours."""
+    gaps, obs = _gaps_and_records(spark, sf_dir)
     us = T.to_micros(F.col("datetime"))
     network = cut(observations(spark, sf_dir).groupBy((us - F.pmod(us, F.lit(SIX_HOURS))).alias("us")).agg(F.avg("value").alias("value")))
     # one row for each six hours: as many as the period has, whatever the number of stations
@@ -159,26 +164,49 @@ def gap_islands(spark, sf_dir):
 
 
 def gap_overview(spark, sf_dir):
-    gaps, *_ = _parts(spark, sf_dir)
+    gaps, _ = _gaps_and_records(spark, sf_dir)
     return align.gap_overview(gaps.select("*", F.lit("gap").alias("label"), F.lit("no details").alias("details")))
 
 
 def interpolate_time(spark, sf_dir):
-    gaps, obs, _ = _parts(spark, sf_dir)
+    gaps, obs = _gaps_and_records(spark, sf_dir)
     return _rounded(gapfill.interpolate(gaps, obs, "time", "24h"))
 
 
 def interpolate_linear(spark, sf_dir):
-    gaps, obs, _ = _parts(spark, sf_dir)
+    gaps, obs = _gaps_and_records(spark, sf_dir)
     return _rounded(gapfill.interpolate(gaps, obs, "linear", "24h", max_lead="6h"))
 
 
 def interpolate_spline(spark, sf_dir):
-    gaps, obs, _ = _parts(spark, sf_dir)
+    gaps, obs = _gaps_and_records(spark, sf_dir)
     out = gapfill.interpolate(gaps, obs, "cubicspline", "24h", n_leading=2, n_trailing=2, max_lead="3d", max_trail="3d")
     return _rounded(out.withColumn("value", F.col("value") + 1e-9))  # many values end in a 5 at the seventh digit
 
 
+def _by_anchors(spark, sf_dir, method: str, **options) -> DataFrame:
+    gaps, obs = _gaps_and_records(spark, sf_dir)
+    out = gapfill.interpolate(gaps, obs, method, "24h", n_leading=2, n_trailing=2, max_lead="3d", max_trail="3d", **options)
+    return _rounded(out.withColumn("value", F.col("value") + 1e-9))
+
+
+def interpolate_pchip(spark, sf_dir):
+    return _by_anchors(spark, sf_dir, "pchip")
+
+
+def interpolate_akima(spark, sf_dir):
+    return _by_anchors(spark, sf_dir, "akima")
+
+
+def interpolate_krogh(spark, sf_dir):
+    return _by_anchors(spark, sf_dir, "krogh")
+
+
+def interpolate_smoothing(spark, sf_dir):
+    """Order 1 with so much room that the straight line of least squares is smooth enough."""
+    return _by_anchors(spark, sf_dir, "spline", order=1, smoothing=1e9)
+
+
 def fill_raw_model(spark, sf_dir):
     gaps, _, model = _parts(spark, sf_dir)
     return _rounded(gapfill.fill_with_model("raw", gaps, None, model, low=5.0, high=30.0))
@@ -205,7 +233,7 @@ def fill_status(spark, sf_dir):
 
 
 def leading_trailing_period(spark, sf_dir):
-    gaps, obs, _ = _parts(spark, sf_dir)
+    gaps, obs = _gaps_and_records(spark, sf_dir)
     return gapfill.period(gaps, obs, "24h", "24h")
 
 
@@ -439,17 +467,17 @@ def stacked_labels(spark, sf_dir):
 
 
 def interpolate_anchored(spark, sf_dir):
-    gaps, obs, _ = _parts(spark, sf_dir)
+    gaps, obs = _gaps_and_records(spark, sf_dir)
     return _rounded(gapfill.interpolate(gaps, obs, "time", "24h", n_leading=2, n_trailing=3, max_lead="24h", max_trail="48h"))
 
 
 def interpolate_nearest(spark, sf_dir):
-    gaps, obs, _ = _parts(spark, sf_dir)
+    gaps, obs = _gaps_and_records(spark, sf_dir)
     return _rounded(gapfill.interpolate(gaps, obs, "nearest", "24h"))
 
 
 def leading_period_records(spark, sf_dir):
-    gaps, obs, _ = _parts(spark, sf_dir)
+    gaps, obs = _gaps_and_records(spark, sf_dir)
     return gapfill.nearest_records(gaps, obs, 3, 2, "36h", None)
 
 
@@ -605,6 +633,7 @@ QUERIES = {
         stations_without_high_kind, interpolate_anchored, interpolate_nearest, leading_period_records, qc_stats_station, qc_stats_total,
         window_guard, resample_labelled, align_forced, synchronise_fixed, synchronise_stations, ingest_labels, ingest_forced, series_merge,
         import_long_csv, import_wide_csv, import_json, import_metadata, saved_dataset, model_export, invalid_rows, single_station,
-        union_of_frames, shared_keys, only_left_keys, update_dimension, landcover_absent,
+        union_of_frames, shared_keys, only_left_keys, update_dimension, landcover_absent, interpolate_pchip, interpolate_akima,
+        interpolate_krogh, interpolate_smoothing,
     )
 }
