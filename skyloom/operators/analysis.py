@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import AmbiguousError, ArgumentError, MissingError
+from ..functions.conditions import condition
 from ..functions.time import derivatives
 
 AGGREGATES = {"mean": F.avg, "min": F.min, "max": F.max, "median": F.median, "std": F.stddev_samp, "count": F.count, "sum": F.sum}
@@ -20,23 +19,13 @@ def wide(obs: DataFrame, obstypes: list[str]) -> DataFrame:
     return out.withColumns(derivatives(F.col("datetime")))
 
 
-def condition(text: str) -> Column:
-    """A data-frame style condition (``a >= 3 & season == "autumn" | ~ok``) as a SQL one: quoted parts stay as they are."""
-    parts = re.split(r"(\"[^\"]*\"|'[^']*')", text)
-    for i in range(0, len(parts), 2):
-        for old, new in (("==", "="), ("&&?", " AND "), (r"\|\|?", " OR "), ("~", " NOT "), (r"\bnot in\b", " NOT IN ")):
-            parts[i] = re.sub(old, new, parts[i])
-        parts[i] = parts[i].replace("[", "(").replace("]", ")")
-    return F.expr("".join(parts))
-
-
 def filter_records(records: DataFrame, text: str) -> DataFrame:
-    return records.where(condition(text))
+    return records.where(condition(text, records))
 
 
 def filter_metadata(records: DataFrame, stations: DataFrame, text: str) -> DataFrame:
     """Records of the stations that meet the condition."""
-    return records.join(stations.where(condition(text)).select("name"), "name", "left_semi")
+    return records.join(stations.where(condition(text, stations)).select("name"), "name", "left_semi")
 
 
 def subset_period(records: DataFrame, start, end) -> DataFrame:

@@ -11,11 +11,10 @@ from ..checkpoints import cut
 from ..errors import ArgumentError, MissingError
 from ..functions.values import haversine
 from ..labels import CHECKS
+from . import places
 from .align import KEY
 from .qc import without_white
 
-METRES_PER_DEGREE = 111_194.0
-
 
 def pairs(stations: DataFrame, radius_m: float, same: str | None = None, max_altitude_difference: float | None = None) -> DataFrame:
     """Ordered pairs (name, buddy, distance) of stations within ``radius_m``.
@@ -28,16 +27,10 @@ def pairs(stations: DataFrame, radius_m: float, same: str | None = None, max_alt
         raise MissingError("a station has no coordinates")
     if max_altitude_difference is not None and not stations.where("altitude IS NULL").isEmpty():
         raise MissingError("a station has no altitude")
-    height = radius_m / METRES_PER_DEGREE * 1.001
     columns = ["name", "lat", "lon", "altitude", *([same] if same else [])]
-    # each row of cells has its own width in degrees: the radius' where the row is nearest a pole; around a pole there is one cell
-    pole = F.greatest(F.abs(F.col("cy") * height), F.abs((F.col("cy") + 1) * height)) + height
-    cells = F.when(pole < 89.9, F.greatest(F.lit(1), F.floor(F.lit(360.0) / (F.lit(height) / F.cos(F.radians(pole)))))).otherwise(1).cast("long")
-    base = stations.select(*columns).withColumn("cy", F.floor(F.col("lat") / height))
-    column = F.floor((F.col("lon") + 180) / (F.lit(360.0) / cells))
-    a = base.withColumn("cy", F.explode(F.array(*[F.col("cy") + d for d in (-1, 0, 1)])))  # a station's place in its own and in the next rows' cells
-    a = a.withColumn("cx", F.explode(F.array_distinct(F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: F.pmod(column + d, cells)))))
-    b = base.select(*[F.col(c).alias(f"b_{c}") for c in columns], "cy", F.pmod(column, cells).alias("cx"))
+    base = stations.select(*columns)
+    a = places.in_near_cells(base, radius_m)
+    b = places.in_cell(base, radius_m).select(*[F.col(c).alias(f"b_{c}") for c in columns], "cy", "cx")
     near = a.join(b, ["cy", "cx"]).where("name <> b_name")
     if same:
         near = near.where(F.col(same) == F.col(f"b_{same}"))

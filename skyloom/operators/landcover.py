@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import ArgumentError
+from ..functions.values import haversine
+from . import places
+
 # Local climate zones by number, 1 first.
 LCZ = [
     "Compact highrise", "Compact midrise", "Compact lowrise", "Open highrise", "Open midrise", "Open lowrise",
@@ -39,14 +43,55 @@ def lcz(stations: DataFrame, raster: DataFrame, sea_is_water: bool = True) -> Da
     return found.withColumn("lcz", F.coalesce("lcz", F.lit(LCZ[16]))) if sea_is_water else found
 
 
-def fractions(pixels: DataFrame, groups: dict[str, list[int]] | None = None) -> DataFrame:
-    """Shares of classes around stations, of (name, radius, class): rows (name, radius, class, fraction).
+def class_counts(pixels: DataFrame) -> DataFrame:
+    """Pixels of (name, radius, class) counted: (name, radius, class, n); masked ones (null) are none."""
+    return pixels.where(F.col("class").isNotNull()).groupBy("name", "radius", "class").agg(F.count("*").alias("n"))
+
+
+def buffer_counts(stations: DataFrame, pixels: DataFrame, radii: list[float]) -> DataFrame:
+    """Pixels of (lat, lon, class) within each of ``radii`` metres of the stations, counted: (name, radius, class, n).
 
-    With ``groups``, classes are summed into them.  Every class (or group) is
-    there, 0 where it has no pixel; classes unknown to the map are left out.
+    A pixel meets the stations around it by cells of a grid, once for all
+    radii: it is counted in the ring between two of them, and rings are summed
+    up outwards.  Stations without coordinates have no rows.
     """
-    groups = groups if groups is not None else {c: [c] for c in LANDCOVER}
-    known = pixels.where(F.col("class").isin([c for cs in groups.values() for c in cs]))
-    sums = known.groupBy("name", "radius").agg(F.count("*").alias("n"), *[F.count_if(F.col("class").isin(c)).alias(f"_{g}") for g, c in groups.items()])
-    rows = F.explode(F.array(*[F.struct(F.lit(g).alias("class"), (F.col(f"_{g}") / F.col("n")).alias("fraction")) for g in groups]))
+    rings = sorted(set(radii))
+    if not rings or rings[0] <= 0:
+        raise ArgumentError("radii must be positive")
+    near = places.in_near_cells(with_coordinates(stations).select("name", F.col("lat").cast("double"), F.col("lon").cast("double")), rings[-1]).withColumnsRenamed({"lat": "s_lat", "lon": "s_lon"})
+    known = pixels.where("class IS NOT NULL").select(F.col("lat").cast("double"), F.col("lon").cast("double"), "class")
+    both = places.in_cell(known, rings[-1]).join(near, ["cy", "cx"]).withColumn("d", haversine(F.col("s_lat"), F.col("s_lon"), F.col("lat"), F.col("lon")))
+    ring = F.lit(None).cast("int")
+    for i in reversed(range(len(rings))):
+        ring = F.when(F.col("d") <= rings[i], i).otherwise(ring)
+    counts = both.withColumn("ring", ring).where("ring IS NOT NULL").groupBy("name", "ring", "class").agg(F.count("*").alias("n"))
+    outwards = counts.select("name", "class", "n", F.explode(F.sequence("ring", F.lit(len(rings) - 1))).alias("i"))
+    return outwards.groupBy("name", F.get(F.array(*map(F.lit, rings)), F.col("i")).alias("radius"), "class").agg(F.sum("n").alias("n"))
+
+
+def shares(counts: DataFrame, groups: dict[str, list[int]] | None = None) -> DataFrame:
+    """Shares (name, radius, class, fraction) of counted classes, of all pixels of a station and radius.
+
+    Every class of the map is there, 0 where it has no pixel, and so is an
+    unknown class where it has one.  With ``groups`` classes are summed into
+    them; what no group names is left out, but counts in the whole.
+    """
+    n = F.sum("n")
+    if groups is None:
+        rows = counts.groupBy("name", "radius").agg(n.alias("all"), F.map_from_entries(F.collect_list(F.struct(F.col("class").cast("int").alias("class"), "n"))).alias("of"))
+        classes = F.array_union(F.array(*map(F.lit, LANDCOVER)), F.map_keys("of"))
+        out = rows.select("name", "radius", "all", "of", F.explode(classes).alias("class"))
+        return out.select("name", "radius", "class", (F.coalesce(F.col("of")[F.col("class")], F.lit(0)) / F.col("all")).alias("fraction"))
+    sums = counts.groupBy("name", "radius").agg(n.alias("all"), *[F.sum(F.when(F.col("class").isin(c), F.col("n")).otherwise(0)).alias(f"_{g}") for g, c in groups.items()])
+    rows = F.explode(F.array(*[F.struct(F.lit(g).alias("class"), (F.col(f"_{g}") / F.col("all")).alias("fraction")) for g in groups]))
     return sums.select("name", "radius", rows.alias("r")).select("name", "radius", "r.*")
+
+
+def fractions(pixels: DataFrame, groups: dict[str, list[int]] | None = None) -> DataFrame:
+    """Shares of classes around stations, of pixels (name, radius, class) that say which station they belong to."""
+    return shares(class_counts(pixels), groups)
+
+
+def buffer_fractions(stations: DataFrame, pixels: DataFrame, radii: list[float], groups: dict[str, list[int]] | None = None) -> DataFrame:
+    """Shares of classes within each of ``radii`` metres of the stations, of pixels (lat, lon, class)."""
+    return shares(buffer_counts(stations, pixels, radii), groups)

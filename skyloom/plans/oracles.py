@@ -224,8 +224,9 @@ _PAIRS = "SELECT a.name, b.name AS buddy, round({h}, 3) AS distance FROM station
 
 
 def _shares(source: str) -> str:
-    every = f"(SELECT DISTINCT name, radius FROM {source}), (SELECT unnest([{', '.join(map(str, LANDCOVER))}]) AS class)"
-    return f"SELECT e.name, e.radius, e.class, round(COUNT(p.class) / SUM(COUNT(p.class)) OVER (PARTITION BY e.name), 6) AS fraction FROM (SELECT * FROM {every}) e LEFT JOIN {source} p ON p.name = e.name AND p.class = e.class GROUP BY e.name, e.radius, e.class"
+    known = f"SELECT p.name, p.radius, c.class FROM {source} p, (SELECT unnest([{', '.join(map(str, LANDCOVER))}]) AS class) c"
+    every = f"(SELECT name, radius, class FROM {source} UNION {known})"
+    return f"SELECT e.name, e.radius, e.class, round(COUNT(p.class) / SUM(COUNT(p.class)) OVER (PARTITION BY e.name, e.radius), 6) AS fraction FROM {every} e LEFT JOIN {source} p ON p.name = e.name AND p.radius = e.radius AND p.class = e.class GROUP BY e.name, e.radius, e.class"
 
 
 #: Valid records near gaps by their number in the series.
@@ -357,6 +358,8 @@ ORACLES = {
     "time_derivatives": f"SELECT event_id, year(ts)::INT AS year, month(ts)::INT AS month, hour(ts)::INT AS hour, minute(ts)::INT AS minute, second(ts)::INT AS second, dayofyear(ts)::INT AS day_of_year, {SEASON.format(d='dayofyear(ts)')} AS season FROM events",
     "order_seasons": f"SELECT {SEASON.format(d='dayofyear(o_orderdate)')} AS season, COUNT(*) AS n, round(AVG(o_totalprice), 4) AS mean_price FROM orders GROUP BY 1",
     "filter_records": with_(WIDE, then="SELECT name, datetime, round(click, 6) AS click FROM wide WHERE click >= 3 AND hour(datetime) <> 0"),
+    "filter_expression": "SELECT event_id, event_type, value FROM events WHERE value > 5 AND value <= 25 AND event_type IN ('click', 'error') AND NOT floor(user_id / 2) = 3 AND user_id % 7 <> 2 OR value * value > 10000 AND event_type <> 'view' AND event_id >= 101",
+    "unit_compound": "SELECT p_partkey, round(v * 24 / 25.4::DOUBLE, 6) AS rain, round(v / 10, 6) AS energy, round(v * 33.86388640341::DOUBLE, 6) AS mercury, round(v / 1000, 6) AS density, round(v * 3.6::DOUBLE, 6) AS work, round(v * 100, 6) AS area, round(v * 86.4::DOUBLE, 6) AS flux FROM (SELECT p_partkey, p_retailprice AS v FROM part)",
     "filter_metadata": with_(OBS, STATIONS, then="SELECT name, obstype, datetime, value FROM obs WHERE name IN (SELECT name FROM stations WHERE altitude > 100 AND category = 2 OR lat < 50.1::DOUBLE)"),
     "subset_period": with_(OBS, then="SELECT name, obstype, datetime, value FROM obs WHERE datetime BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-06 12:00:00'"),
     "subset_stations": with_(OBS, then="SELECT name, obstype, datetime, value FROM obs WHERE name IN ('1', '2', '17')"),
@@ -381,7 +384,15 @@ ORACLES = {
     "rename_stations": with_(STATIONS, then="SELECT CASE WHEN name = '1' THEN 'first' ELSE name END AS name, category FROM stations"),
     "upsert_series": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE s_acctbal END AS s_acctbal FROM supplier",
     "landcover_fractions": with_(PIXELS, then=_shares("pixels")),
-    "landcover_absent": with_(PIXELS, "changed AS (SELECT name, radius, CASE WHEN class > 80 THEN 10 ELSE class END AS class FROM pixels WHERE class <> 20)", then=_shares("changed")),
+    "landcover_absent": with_(PIXELS, "changed AS (SELECT name, radius, CASE WHEN class = 20 THEN 7 WHEN class > 80 THEN 10 ELSE class END AS class FROM pixels)", then=_shares("changed")),
+    "landcover_partial": with_(PIXELS, then="SELECT name, radius, 'water' AS class, round(COUNT(*) FILTER (class = 80) / COUNT(*), 6) AS fraction FROM pixels GROUP BY name, radius UNION ALL SELECT name, radius, 'built', round(COUNT(*) FILTER (class = 50) / COUNT(*), 6) FROM pixels GROUP BY name, radius"),
+    "landcover_buffers": with_(
+        STATIONS,
+        f"raster AS (SELECT 50 + ((l_partkey * 37 + l_linenumber) % 1000) * 0.001::DOUBLE AS lat, 4 + ((l_orderkey * 11 + l_suppkey) % 600) * 0.0001::DOUBLE AS lon, ([{', '.join(map(str, LANDCOVER))}, 7])[(l_partkey % 12 + 1)::INT] AS class FROM lineitem)",
+        f"distances AS (SELECT a.name, b.class, {HAVERSINE} AS d FROM stations a JOIN raster b ON b.lat BETWEEN a.lat - 0.05 AND a.lat + 0.05)",
+        "pixels AS (SELECT name, radius, class FROM distances, (SELECT unnest([400, 1000, 2500])::DOUBLE AS radius) WHERE d <= radius)",
+        then=_shares("pixels"),
+    ),
     "landcover_groups": with_(PIXELS, then="\nUNION ALL ".join(f"SELECT name, radius, '{g}' AS class, round(COUNT(*) FILTER (class IN ({', '.join(map(str, c))})) / COUNT(*), 6) AS fraction FROM pixels GROUP BY name, radius" for g, c in LANDCOVER_GROUPS.items())),
     "lcz_points": with_(STATIONS, then=f"SELECT name, CASE WHEN category <> 3 THEN ([{', '.join(repr(x) for x in LCZ)}])[(altitude::INT % 17) + 1] ELSE '{LCZ[16]}' END AS lcz FROM stations"),
     "stacked_labels": with_(*CHAIN, then="SELECT name, obstype, datetime, 'obs' AS kind, raw_value AS value FROM c5 UNION ALL SELECT name, obstype, datetime, 'label', (MAP {" + ", ".join(f"'{k}': {v}" for k, v in NUMBERS.items()) + "})[label]::DOUBLE FROM c5"),

@@ -456,6 +456,32 @@ def landcover_groups(spark, sf_dir):
     return _rounded(landcover.fractions(_pixels(spark, sf_dir), landcover.LANDCOVER_GROUPS), "fraction")
 
 
+def landcover_partial(spark, sf_dir):
+    """Groups that don't name every class: shares are of all pixels."""
+    return _rounded(landcover.fractions(_pixels(spark, sf_dir), {"water": [80], "built": [50, 7]}), "fraction")
+
+
+def landcover_buffers(spark, sf_dir):
+    """Pixels of a raster around stations, in three radii at once."""
+    classes = F.array(*[F.lit(c) for c in landcover.LANDCOVER], F.lit(7))
+    pixels = table(spark, sf_dir, "lineitem").select((F.lit(50.0) + F.pmod(F.col("l_partkey") * 37 + F.col("l_linenumber"), F.lit(1000)) * 0.001).alias("lat"), (F.lit(4.0) + F.pmod(F.col("l_orderkey") * 11 + F.col("l_suppkey"), F.lit(600)) * 0.0001).alias("lon"), F.get(classes, (F.col("l_partkey") % 12).cast("int")).alias("class"))
+    return _rounded(landcover.buffer_fractions(stations(spark, sf_dir), pixels, [1000.0, 2500.0, 400.0]), "fraction")
+
+
+def filter_expression(spark, sf_dir):
+    """Chained comparisons, arithmetic, membership and precedence."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
+    text = '5 < value <= 25 & event_type in ["click", "error", "say \\"hi\\""] & ~(user_id // 2 == 3) & user_id % 7 != 2 | value ** 2 > 10000 and not event_type == "view" & `event_id` - 1 >= 2 * 50'
+    return analysis.filter_records(e, text).select("event_id", "event_type", "value")
+
+
+def unit_compound(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    v = F.col("p_retailprice")
+    pairs = {"rain": ("mm/h", "inch/day"), "energy": ("kJ/m**2", "J/cm^2"), "mercury": ("inHg", "hPa"), "density": ("kg*m**-3", "g/cm³"), "work": ("kW*hour", "megajoule"), "area": ("km²", "hectare"), "flux": ("W m-2", "kJ/m2/day")}
+    return p.select("p_partkey", *[F.round(units.convert(v, a, b), 6).alias(n) for n, (a, b) in pairs.items()])
+
+
 def lcz_points(spark, sf_dir):
     s = stations(spark, sf_dir)
     raster = s.where("category <> 3").select("name", (F.col("altitude") % 17 + 1).cast("int").alias("value"))
@@ -634,6 +660,6 @@ QUERIES = {
         window_guard, resample_labelled, align_forced, synchronise_fixed, synchronise_stations, ingest_labels, ingest_forced, series_merge,
         import_long_csv, import_wide_csv, import_json, import_metadata, saved_dataset, model_export, invalid_rows, single_station,
         union_of_frames, shared_keys, only_left_keys, update_dimension, landcover_absent, interpolate_pchip, interpolate_akima,
-        interpolate_krogh, interpolate_smoothing,
+        interpolate_krogh, interpolate_smoothing, landcover_partial, landcover_buffers, filter_expression, unit_compound,
     )
 }
