@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,9 +58,46 @@ def having(records: DataFrame, obstype: str, has: bool = True) -> DataFrame:
     return records.join(names, "name", "left_semi" if has else "left_anti")
 
 
-def aggregate(records: DataFrame, obstype: str, by: list[str], method: str = "mean", stations: DataFrame | None = None) -> DataFrame:
-    """An aggregate of one kind's column over groups of metadata columns and parts of time; rows with a null group are dropped."""
-    if method not in AGGREGATES:
+#: Functions that have a native aggregate, by their name.
+NATIVE = {"mean": F.avg, "nanmean": F.avg, "average": F.avg, "amin": F.min, "min": F.min, "nanmin": F.min, "amax": F.max, "max": F.max, "nanmax": F.max, "median": F.median, "nanmedian": F.median}
+#: Values of a group that a function of the user's own gets at once, at most.
+GROUP_ROWS = 5_000_000
+
+
+def _grouped(df: DataFrame, obstype: str, by: list[str], method: str | float | Callable, group_rows: int) -> DataFrame:
+    """The aggregate of each group: a named one, a percentile (0 to 1, exact), or a function of the group's values as a pandas Series."""
+    groups = df.groupBy(*by)
+    if isinstance(method, float):
+        if not 0 <= method <= 1:
+            raise ArgumentError("a percentile lies between 0 and 1")
+        return groups.agg(F.percentile(obstype, method).alias(obstype))
+    if isinstance(method, str):
+        return groups.agg(AGGREGATES[method](obstype).alias(obstype))
+    if not callable(method):
+        raise ArgumentError("an aggregate is a name, a percentile or a function")
+    native = NATIVE.get(getattr(method, "__name__", "")) if getattr(method, "__module__", "").split(".")[0] == "numpy" else None
+    if native is not None:
+        return groups.agg(native(obstype).alias(obstype))
+    if not groups.agg(F.count(obstype).alias("n")).where(F.col("n") > group_rows).isEmpty():
+        raise ArgumentError(f"a group has more than {group_rows} values; name an aggregate, a percentile or finer groups")
+
+    @F.pandas_udf("double")
+    def own(values: pd.Series) -> float:
+        result = method(values.dropna())
+        return None if result is None else float(result)
+
+    return groups.agg(own(F.col(obstype).cast("double")).alias(obstype))
+
+
+def aggregate(records: DataFrame, obstype: str, by: list[str], method: str | float | Callable = "mean", stations: DataFrame | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """An aggregate of one kind's column over groups of metadata columns and parts of time; rows with a null group are dropped.
+
+    ``method`` is a name, a percentile as a number from 0 to 1, or a function of
+    a group's values (missing ones left out) that gives a number.  Numpy's means,
+    medians and extremes are taken natively; other functions get a whole group,
+    so a group of more than ``group_rows`` values raises.
+    """
+    if isinstance(method, str) and method not in AGGREGATES:
         raise ArgumentError(f"no aggregate {method!r}; there are {', '.join(AGGREGATES)}")
     df = records
     needed = [c for c in by if c not in records.columns]
@@ -65,7 +105,7 @@ def aggregate(records: DataFrame, obstype: str, by: list[str], method: str = "me
         if stations is None or any(c not in stations.columns for c in needed):
             raise MissingError(f"unknown group columns: {needed}")
         df = df.join(stations.select("name", *needed), "name", "left")
-    return df.dropna(subset=by).groupBy(*by).agg(AGGREGATES[method](obstype).alias(obstype))
+    return _grouped(df.dropna(subset=by), obstype, by, method, group_rows)
 
 
 def diurnal_cycle(records: DataFrame, obstype: str, color_by: str = "name", stations: DataFrame | None = None) -> DataFrame:

@@ -366,6 +366,18 @@ ORACLES = {
     "stations_without_kind": "SELECT CAST(user_id AS VARCHAR) AS name FROM events GROUP BY user_id HAVING COUNT(*) FILTER (event_type = 'signup') = 0",
     "aggregate_hour": with_(WIDE, then=f"SELECT {SEASON.format(d='dayofyear(datetime)')} AS season, hour(datetime)::INT AS hour, round(AVG(click), 6) AS click FROM wide GROUP BY 1, 2"),
     "aggregate_category": with_(WIDE, STATIONS, then="SELECT category, hour(datetime)::INT AS hour, round(median(view), 6) AS view FROM wide JOIN stations USING (name) GROUP BY 1, 2"),
+    "aggregate_callable": with_(WIDE, STATIONS, then="SELECT category, hour(datetime)::INT AS hour, round(CASE WHEN COUNT(view) > 2 THEN (SUM(view) - MIN(view) - MAX(view)) / (COUNT(view) - 2) END, 6) AS view FROM wide JOIN stations USING (name) GROUP BY 1, 2"),
+    "aggregate_percentile": with_(WIDE, STATIONS, then=f"SELECT category, {SEASON.format(d='dayofyear(datetime)')} AS season, round(quantile_cont(view, 0.9), 6) AS view FROM wide JOIN stations USING (name) GROUP BY 1, 2"),
+    "import_files_in_order": """WITH r AS (SELECT 's' || (user_id % 20) AS name, make_timestamp((1704067200 + (event_id % 500) * 600) * 1000000) AS datetime, round(value, 3) AS value, event_id FROM events WHERE event_id < 3000)
+SELECT name, 'temp' AS obstype, datetime, round(arg_min(value, event_id), 6) AS value, 'duplicated timestamp outlier' AS label FROM r WHERE name IN (SELECT name FROM r GROUP BY name HAVING COUNT(*) >= 3) GROUP BY name, datetime HAVING COUNT(*) > 1""",
+    "rejected_rows": """SELECT CASE WHEN o_orderkey % 30 = 0 THEN 'no stamp' ELSE 'no name' END AS reason, '{' || CASE WHEN o_orderkey % 70 <> 0 THEN '"station":"s' || o_custkey || '",' ELSE '' END || '"when":"' || CASE WHEN o_orderkey % 30 = 0 THEN '31/02' ELSE '2024-01-01 00:00:00' END || '","t":"' || o_orderkey || '"}' AS text
+FROM orders WHERE o_orderkey % 10 = 0 AND (o_orderkey % 30 = 0 OR o_orderkey % 70 = 0)""",
+    "model_grid": with_(
+        STATIONS,
+        "cells AS (SELECT make_timestamp((1704067200 + (l_orderkey % 240) * 3600) * 1000000) AS datetime, l_partkey % 11 AS i, l_suppkey % 3 AS j, CASE WHEN l_linenumber % 2 = 0 THEN 't2m' ELSE 'sp' END AS band, l_quantity + 250 AS v FROM lineitem)",
+        "found AS (SELECT * FROM cells c JOIN stations s ON round((s.lat - 50) * 10) = c.i AND round((s.lon - 4) * 10) = c.j WHERE datetime >= TIMESTAMP '2024-01-02' AND datetime < TIMESTAMP '2024-01-04 01:00:00')",
+        then="\nUNION ALL ".join(f"SELECT name, '{kind}' AS obstype, 'm' AS modelname, band AS modelvariable, datetime, round({value}, 6) AS value FROM found WHERE band = '{band}'" for kind, band, value in (("temp", "t2m", "v - 273.15::DOUBLE"), ("pressure", "sp", "v * 10"), ("pressure_at_sea_level", "sp", "v * 33.86388640341::DOUBLE"))),
+    ),
     "diurnal_cycle": with_(WIDE, STATIONS, _CYCLE, then=f"SELECT category, hour, minute, second, round(value, 6) AS value, {_FAKE} AS fake_datetime FROM cycle"),
     "diurnal_cycle_wide": with_(WIDE, STATIONS, _CYCLE, then=f"SELECT {_FAKE} AS fake_datetime, {', '.join(f'round(MAX(value) FILTER (category = {i}), 6) AS c{i}' for i in range(5))} FROM cycle GROUP BY ALL"),
     "diurnal_vs_reference": with_(WIDE, STATIONS, then="SELECT category, hour(w.datetime)::INT AS hour, minute(w.datetime)::INT AS minute, second(w.datetime)::INT AS second, round(AVG(w.view - r.view), 6) AS value FROM wide w LEFT JOIN wide r ON r.name = '1' AND r.datetime = w.datetime JOIN stations ON stations.name = w.name GROUP BY ALL"),

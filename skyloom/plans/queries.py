@@ -611,6 +611,42 @@ def model_export(spark, sf_dir):
     return _rounded(readers.model_series(export, "m", {"temp": ("t2m", "kelvin"), "pressure": ("absent", "Pa")}, ("u", "v")))
 
 
+def aggregate_callable(spark, sf_dir):
+    """A function of the user's own: the mean without the least and the greatest value."""
+    trimmed = lambda v: (v.sum() - v.min() - v.max()) / (len(v) - 2) if len(v) > 2 else None
+    return _rounded(analysis.aggregate(_wide(spark, sf_dir), "view", ["category", "hour"], trimmed, stations(spark, sf_dir)), "view")
+
+
+def aggregate_percentile(spark, sf_dir):
+    return _rounded(analysis.aggregate(_wide(spark, sf_dir), "view", ["category", "season"], 0.9, stations(spark, sf_dir)), "view")
+
+
+def import_files_in_order(spark, sf_dir):
+    """Two files with other columns and the same stamps, the larger one second: a repeated stamp keeps the value of the first file."""
+    e = table(spark, sf_dir, "events").where("event_id < 3000").select(F.concat(F.lit("s"), F.col("user_id") % 20).alias("station"), F.date_format(F.timestamp_seconds(F.lit(1704067200) + (F.col("event_id") % 500) * 600), "yyyy-MM-dd HH:mm:ss").alias("when"), F.round("value", 3).alias("t"), "event_id")
+    path = _written(spark)
+    e.where("event_id < 900").orderBy("event_id").select("station", "when", "t").coalesce(1).write.csv(f"{path}/a.csv", header=True)
+    e.where("event_id >= 900").orderBy("event_id").select(F.lit("a longer line " * 5).alias("remark"), "when", "t", "station").coalesce(1).write.csv(f"{path}/b.csv", header=True, sep=";")
+    template = Template.build(name_column="station", datetime_column="when", datetime_format="%Y-%m-%d %H:%M:%S", obstypes={"temp": ("t", "degC", None)})
+    return _rounded(readers.import_data(spark, template, f"{path}/*.csv")["outliers"])
+
+
+def rejected_rows(spark, sf_dir):
+    """Rows of a file whose stamp fits no format, or that name no station, with their text."""
+    path = _written(spark) + ".csv"
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    o.select(F.when(F.col("o_orderkey") % 70 != 0, F.concat(F.lit("s"), "o_custkey")).alias("station"), F.when(F.col("o_orderkey") % 30 == 0, F.lit("31/02")).otherwise(F.lit("2024-01-01 00:00:00")).alias("when"), F.col("o_orderkey").cast("string").alias("t")).write.csv(path, header=True)
+    template = Template.build(name_column="station", datetime_column="when", datetime_format="%Y-%m-%d %H:%M:%S", obstypes={"temp": ("t", "degC", None)})
+    return readers.rejected(readers.read(spark, path), template).select("reason", "text")
+
+
+def model_grid(spark, sf_dir):
+    """A raster of cells sampled at stations."""
+    li = table(spark, sf_dir, "lineitem")
+    grid = li.select(F.timestamp_seconds(F.lit(1704067200) + (F.col("l_orderkey") % 240) * 3600).alias("time"), (F.lit(50.0) + (F.col("l_partkey") % 11) * 0.1).alias("lat"), (F.lit(4.0) + (F.col("l_suppkey") % 3) * 0.1).alias("lon"), F.when(F.col("l_linenumber") % 2 == 0, "t2m").otherwise("sp").alias("band"), (F.col("l_quantity") + 250).alias("value"))
+    return _rounded(readers.sample_model(grid, readers.Raster(50.0, 4.0, 0.1, 0.1), stations(spark, sf_dir), "m", {"temp": ("t2m", "K"), "pressure": ("sp", "kPa"), "pressure_at_sea_level": ("sp", "inHg")}, "2024-01-02 00:00:00", "2024-01-04 00:00:00"))
+
+
 def invalid_rows(spark, sf_dir):
     """Stamps whose only row has no number: no records, and gaps once aligned."""
     return qc.invalid_rows(_raw_rows(spark, sf_dir))
@@ -661,5 +697,6 @@ QUERIES = {
         import_long_csv, import_wide_csv, import_json, import_metadata, saved_dataset, model_export, invalid_rows, single_station,
         union_of_frames, shared_keys, only_left_keys, update_dimension, landcover_absent, interpolate_pchip, interpolate_akima,
         interpolate_krogh, interpolate_smoothing, landcover_partial, landcover_buffers, filter_expression, unit_compound,
+        aggregate_callable, aggregate_percentile, import_files_in_order, rejected_rows, model_grid,
     )
 }

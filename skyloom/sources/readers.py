@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ArgumentError, TemplateError
+from ..functions import time as T
 from ..functions import units
 from ..functions import values as V
 from ..operators.align import KEY
@@ -35,15 +39,61 @@ def pattern(fmt: str) -> str:
 
 
 def csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """A CSV file with a header, all columns text; without ``sep`` the first separator that gives several columns is taken."""
-    if sep is None:
-        head = spark.read.text(path).limit(1).collect()
-        if not head:
-            raise ArgumentError(f"{path} is empty")
-        sep = next((s for s in SEPARATORS if s in head[0][0]), None)
-        if sep is None:
+    """A CSV file with a header, or several, all columns text.
+
+    Without ``sep`` the first separator that gives several columns is taken.
+    Files with other columns are read by their own header and meet by name;
+    what one of them lacks is null.
+    """
+    lines = spark.read.text(path)
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    if len(lines.inputFiles()) == 1:
+        heads = lines.limit(1).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("head"))
+    else:  # every file's first line
+        heads = lines.select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value").where("place.file_block_start = 0").groupBy("file").agg(F.min_by("value", "place").alias("head"))
+    # one row for each header; its files are those that Spark's own listing holds
+    kinds = heads.groupBy("head").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy(F.col("files")[0]).collect()
+    if not kinds:
+        raise ArgumentError(f"{path} is empty")
+    out = None
+    for head, files in kinds:
+        own = sep or next((s for s in SEPARATORS if s in head), None)
+        if own is None:
             raise ArgumentError(f"no separator found in the header of {path}")
-    return spark.read.csv(path, header=True, sep=sep, multiLine=False)
+        part = spark.read.csv(path if len(kinds) == 1 else files, header=True, sep=own, multiLine=False)
+        if len(kinds) > 1:
+            part = part.withColumn(FILE_ORDER, file_order(part))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+#: Where a row stands in its file, kept where files are put together.
+FILE_ORDER = "_file_order"
+
+
+def file_order(df: DataFrame) -> Column:
+    """The place of a row in the files that ``df`` reads: by path, then by place in the file.
+
+    Spark packs files into tasks by their size, so the number of a row alone
+    doesn't follow the files.  A frame that reads no files keeps its own order.
+    """
+    if FILE_ORDER in df.columns:
+        return F.col(FILE_ORDER)
+    number = F.monotonically_increasing_id()
+    try:
+        df.select("_metadata.file_path").schema  # noqa: B018
+    except AnalysisException:
+        return F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), number.alias("number"))
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), number.alias("number"))
+
+
+def rejected(df: DataFrame, t: Template) -> DataFrame:
+    """Rows that can't be used, (file, reason, text): those without a stamp that fits the format, or without a name."""
+    own = [c for c in df.columns if c != FILE_ORDER]
+    nameless = F.col(f"`{t.name_column}`").isNull() if t.structure == "long" else F.lit(False)
+    reason = F.when(datetimes(df, t).isNull(), "no stamp").when(nameless, "no name")
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in own]))
+    return df.withColumn("_reason", reason).where("_reason IS NOT NULL").select(file_order(df)["file"].alias("file"), F.col("_reason").alias("reason"), text.alias("text"))
 
 
 READERS = {".csv": csv, ".parquet": lambda spark, path: spark.read.parquet(path), ".json": lambda spark, path: spark.read.json(path)}
@@ -89,8 +139,9 @@ def observations(df: DataFrame, t: Template) -> DataFrame:
     missing = [c for c in t.columns() if c not in df.columns]
     if missing:
         raise TemplateError(f"columns that the file lacks: {missing}")
+    df = df.withColumn("file_order", file_order(df)).drop(FILE_ORDER)
     df = _set_aside_reserved(df, t.columns() if t.structure != "wide" else df.columns)
-    df = df.withColumn("_stamp", datetimes(df, t)).withColumn("file_order", F.monotonically_increasing_id())
+    df = df.withColumn("_stamp", datetimes(df, t))
     if t.structure == "wide":
         (kind, _), skip = next(iter(t.obstypes.items())), {t.datetime_column, t.date_column, t.time_column, "_stamp", "file_order"}
         stations = [c for c in df.columns if c not in skip]
@@ -112,7 +163,8 @@ def observations(df: DataFrame, t: Template) -> DataFrame:
 def stations(df: DataFrame, t: Template) -> DataFrame:
     """Metadata rows as (name, lat, lon, altitude, extra map): the first row of each name in file order."""
     mapped = [t.meta_name_column, t.meta_lat_column, t.meta_lon_column, t.meta_altitude_column, *t.meta_extra]
-    df = _set_aside_reserved(df, mapped).withColumn("_order", F.monotonically_increasing_id())
+    df = df.withColumn("_order", file_order(df)).drop(FILE_ORDER)
+    df = _set_aside_reserved(df, mapped)
     number = lambda c: V.number(F.col(f"`{c}`")) if c else F.lit(None).cast("double")
     name = F.col(f"`{t.meta_name_column}`").cast("string") if t.meta_name_column else F.lit(t.single_name)
     extra = F.create_map(*[x for c in t.meta_extra if c in df.columns for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]).cast("map<string,string>")
@@ -137,11 +189,12 @@ def usable(obs: DataFrame, min_records: int = 3) -> DataFrame:
 
 
 def import_data(spark: SparkSession, template: Template, data_path: str, metadata_path: str | None = None) -> dict[str, DataFrame]:
-    """Read, map and check a dataset: ``obs`` (one row a stamp), ``outliers`` (repeated stamps) and ``stations``.
+    """Read, map and check a dataset: ``obs`` (one row a stamp), ``outliers`` (repeated stamps), ``stations`` and ``rejected`` rows.
 
     Stamps that occur twice keep no value; rows without a number become gaps once aligned.
     """
-    rows = observations(read(spark, data_path), template)
+    raw = read(spark, data_path)
+    rows = observations(raw, template)
     meta = stations(read(spark, metadata_path), template) if metadata_path else None
     if meta is not None and template.structure == "single_station":
         rows = single_name(rows, meta)
@@ -150,7 +203,7 @@ def import_data(spark: SparkSession, template: Template, data_path: str, metadat
     clean = without_duplicates(rows, "file_order")
     invalid = rows.where("value IS NULL").select(*KEY, "datetime").join(repeated.select(*KEY, "datetime"), [*KEY, "datetime"], "left_anti")
     obs = clean.join(invalid.distinct(), [*KEY, "datetime"], "left_anti")
-    return {"obs": obs, "outliers": repeated, "stations": _known(rows, meta)}
+    return {"obs": obs, "outliers": repeated, "stations": _known(rows, meta), "rejected": rejected(raw, template)}
 
 
 def import_dataset(spark: SparkSession, template: Template, data_path: str, metadata_path: str | None = None, **options) -> dict[str, DataFrame]:
@@ -195,3 +248,43 @@ def model_series(df: DataFrame, modelname: str, bands: dict[str, tuple[str, str]
         for kind, value in (("wind_speed", V.amplitude(u, v)), ("wind_direction", V.direction(u, v))):
             rows.append(F.struct(F.lit(kind).alias("obstype"), F.lit("+".join(vector)).alias("modelvariable"), value.alias("value")))
     return df.select(F.col("name").cast("string").alias("name"), stamp.alias("datetime"), F.explode(F.array(*rows)).alias("x")).select("name", "x.obstype", F.lit(modelname).alias("modelname"), "x.modelvariable", "datetime", "x.value")
+
+
+@dataclass(frozen=True)
+class Raster:
+    """A regular grid: the centre of its first cell and the steps between centres, in degrees, and its step in time."""
+
+    lat: float
+    lon: float
+    lat_step: float
+    lon_step: float
+    time_step: str = "1h"
+
+    def cell(self, lat: Column, lon: Column) -> tuple[Column, Column]:
+        """The cell that holds a place, by arithmetic; a place on a border belongs to the next cell."""
+        return F.floor((lat - self.lat) / self.lat_step + 0.5), F.floor((lon - self.lon) / self.lon_step + 0.5)
+
+
+def sample_model(grid: DataFrame, raster: Raster, stations: DataFrame, modelname: str, bands: dict[str, tuple[str, str]], start: str, end: str, day_column: str | None = None) -> DataFrame:
+    """Model rows (name, obstype, modelname, modelvariable, datetime, value) of the cells that hold the stations.
+
+    ``grid`` has (time, lat, lon, band, value), lat and lon being cell centres;
+    ``bands`` maps a kind to its band and unit.  The period runs from ``start``
+    to one step of time after ``end``, that stamp itself excluded.  With
+    ``day_column``, a date by which the grid is partitioned, only the days of
+    the period are read.  Stations meet cells by their numbers; stations without
+    coordinates, or outside the grid, have no rows.
+    """
+    for _, unit in bands.values():
+        units.parse(unit)
+    first, last = F.lit(start).cast("timestamp"), F.timestamp_micros(T.to_micros(F.lit(end).cast("timestamp")) + T.micros(raster.time_step))
+    wanted = grid.where((F.col("time") >= first) & (F.col("time") < last) & F.col("band").isin(sorted({b for b, _ in bands.values()})))
+    if day_column:
+        wanted = wanted.where(F.col(day_column).between(F.to_date(first), F.to_date(last)))
+    row, column = raster.cell(F.col("lat").cast("double"), F.col("lon").cast("double"))
+    cells = wanted.select("time", "band", F.col("value").cast("double").alias("value"), row.alias("row"), column.alias("column"))
+    places = stations.dropna(subset=["lat", "lon"]).select("name", row.alias("row"), column.alias("column"))
+    found = cells.join(places, ["row", "column"])
+    kinds = F.array(*[F.when(F.col("band") == band, F.struct(F.lit(kind).alias("obstype"), units.convert(F.col("value"), unit, units.KINDS[kind][0]).alias("value"))) for kind, (band, unit) in bands.items()])
+    out = found.withColumn("x", F.explode(F.filter(kinds, lambda k: k.isNotNull())))
+    return out.select("name", "x.obstype", F.lit(modelname).alias("modelname"), F.col("band").alias("modelvariable"), F.col("time").alias("datetime"), "x.value")
