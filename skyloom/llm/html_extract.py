@@ -3,8 +3,9 @@
 A page becomes a tree of elements.  Each paragraph earns points for its length
 and its commas and passes them to its ancestors, discounted by distance; a
 container's points are discounted by the share of its text inside links.  The
-best container is kept with all that stands beside it and isn't mostly links,
-menus, adverts, notices, forms and comments having been taken out before.
+best container is kept with all that stands beside it and isn't mostly links or
+another story, up to the container that holds the headline; menus, adverts,
+notices, forms and comments have been taken out before.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ OWN_KIND = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"tr", "table"
 PARAGRAPH = frozenset("p pre td li blockquote h1 h2 h3 h4 h5 h6 dd dt figcaption".split())
 
 # Words in class, id and role that mark what isn't the article, and what may be.
-UNLIKELY = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus discussion footer gdpr header masthead menu modal nav navbar navigation newsletter notice overlay pagination popup promo promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split())
+UNLIKELY = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs colophon comment comments consent cookie cookies copyright disqus discussion footer gdpr header masthead menu modal nav navbar navigation newsletter notice overlay pagination popup promo promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split())
 UNLIKELY_STARTS = ("advert", "breadcrumb", "comment", "cookie", "navbar", "navigat", "newsletter", "sidebar")
-#: Those that also hold for an article element.
-NO_ARTICLE = frozenset("ad ads comment comments promo related reply sponsored teaser".split())
+#: Those that also hold for an article element, and for what holds one.
+NO_ARTICLE = frozenset("ad ads comment comments disqus promo related replies reply sponsored teaser".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LIKELY = frozenset("article body content entry hentry main page post story text".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</\s*([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?", re.S)
@@ -40,21 +42,24 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "by_name", "points", "chars", "link_chars", "hint")
+    __slots__ = ("tag", "parent", "parts", "dropped", "by_name", "firm", "points", "chars", "link_chars", "hint", "heads", "stories", "headed", "other")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = "", in_section: bool = False):
         self.tag, self.parent, self.parts = tag, parent, []
         self.points, self.chars, self.link_chars, self.hint = 0.0, 0, 0, 0
+        self.heads, self.stories = 0, 0  # kept headlines (h1) and articles in it
+        self.headed = self.other = False  # whether its first text is in a heading; whether it holds an article with a heading of its own
         self.dropped = tag in DROPPED
-        self.by_name = False
+        self.by_name = self.firm = False
         if tag == "header":  # a page's header, not an article's
             self.dropped = not in_section
         if attributes:
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
             names = {w.lower() for k in ("class", "id", "role") for w in _WORD.findall(found.get(k, ""))}
             self.hint = 25 * bool(names & LIKELY)
+            self.firm = bool(names & NO_ARTICLE)
             if tag in ("article", "main"):
-                self.dropped = bool(names & NO_ARTICLE)
+                self.dropped = self.firm
             elif tag not in ("html", "body") and not self.dropped:
                 self.by_name = bool(names & UNLIKELY) or any(n.startswith(UNLIKELY_STARTS) for n in names)
                 self.dropped = self.by_name or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
@@ -124,17 +129,21 @@ def parse(html: str) -> Node:
 
 
 def _spare(root: Node) -> None:
-    """Takes back a drop by name where it would take the story: a frame named after its sidebar, say, that holds an article, or the heading and half of all text.
+    """Takes back a drop by name where it would take the story: a frame named after its sidebar, say, that holds the page's only article, or the heading and half of all text.
+
+    An article inside comments, adverts or teasers is none of the page's own.
 
     Where nothing would be left, it is taken back for elements whose names speak of a story too.
     """
     if not any(isinstance(c, Node) for c in root.parts):
         return
-    order, stack = [], [root]
+    order, stack, clear = [], [(root, False, False)], False
     while stack:
-        node = stack.pop()
+        node, hidden, within = stack.pop()
         order.append(node)
-        stack += [c for c in node.parts if isinstance(c, Node)]
+        hidden, within = hidden or node.dropped, within or node.tag in ("article", "main")
+        clear = clear or within and not hidden and any(isinstance(p, str) and p.strip() for p in node.parts)
+        stack += [(c, hidden, within) for c in node.parts if isinstance(c, Node)]
     if not any(n.by_name for n in order):
         return
     size: dict[int, int] = {}
@@ -143,7 +152,7 @@ def _spare(root: Node) -> None:
     for node in reversed(order):
         inside = [c for c in node.parts if isinstance(c, Node) and (c.by_name or not c.dropped)]
         size[id(node)] = sum(len(p.strip()) for p in node.parts if isinstance(p, str)) + sum(size[id(c)] for c in inside)
-        story[id(node)] = node.tag in ("article", "main") and not node.dropped or any(story[id(c)] for c in inside)
+        story[id(node)] = not clear and not node.firm and (node.tag in ("article", "main") or any(story[id(c)] for c in inside))
         heading[id(node)] = node.tag == "h1" or any(heading[id(c)] for c in inside)
     for node in order:
         if node.by_name and (story[id(node)] or heading[id(node)] and 2 * size[id(node)] >= size[id(root)]):
@@ -177,10 +186,17 @@ def _measure(root: Node) -> list[Node]:
             if isinstance(c, Node) and not c.dropped:
                 node.link_chars += c.link_chars
                 node.chars += c.chars
+                node.heads += c.heads
+                node.stories += c.stories
                 if c.tag not in BLOCK:
                     n, commas = n + own[id(c)][0], commas + own[id(c)][1]
         mine = len(text.strip())
         node.chars += mine
+        node.heads += node.tag == "h1" and node.chars > 0
+        node.stories += node.tag == "article" and node.chars > 0
+        said = next((p for p in node.parts if (p.strip() if isinstance(p, str) else not p.dropped and p.chars)), None)
+        node.headed = said is not None and (node.tag in HEADINGS or isinstance(said, Node) and said.headed)
+        node.other = node.tag == "article" and node.headed or any(c.other for c in node.parts if isinstance(c, Node) and not c.dropped)
         node.link_chars += mine if link else 0
         own[id(node)] = [n, commas]
         passed = node.points / 2
@@ -229,8 +245,24 @@ def _linked(node: Node) -> bool:
     return node.chars > 0 and 2 * node.link_chars >= node.chars
 
 
-def _beside(best: Node) -> list[Node | str]:
-    """The parts of the parent of ``best`` but for those mostly inside links; bare text and inline elements between blocks count as one."""
+def _run(best: Node) -> list[Node]:
+    """The articles side by side that make one story with ``best``: a heading begins a story, an article without one continues the story before it."""
+    runs: list[list[Node]] = [[]]
+    for c in best.parent.parts if best.parent is not None else [best]:
+        if isinstance(c, Node) and c.tag == "article" and not c.dropped and (c is best or not _linked(c)):
+            if c.headed and runs[-1]:
+                runs.append([])
+            runs[-1].append(c)
+    return next(r for r in runs if any(c is best for c in r))
+
+
+def _beside(parent: Node, held: dict[int, Node], articles: bool, before: bool) -> list[Node | str]:
+    """The parts of ``parent`` with those in ``held`` replaced, without those mostly inside links and other stories; bare text and inline elements between blocks count as one.
+
+    With ``articles`` the story is one of articles, so any other article is
+    another story.  With ``before`` only what stands from the headline to the
+    last of ``held`` is kept.
+    """
     kept: list[Node | str] = []
     run: list[Node | str] = []
 
@@ -246,17 +278,56 @@ def _beside(best: Node) -> list[Node | str]:
             kept.extend(run)
         run.clear()
 
-    for c in best.parent.parts:
-        if isinstance(c, str) or c.tag not in BLOCK:
-            run.append(c)
+    last = max(i for i, c in enumerate(parent.parts) if id(c) in held)
+    begin = next((i for i, c in enumerate(parent.parts) if isinstance(c, Node) and not c.dropped and c.heads), len(parent.parts))
+    for i, c in enumerate(parent.parts):
+        if id(c) in held:
+            close()
+            kept.append(held[id(c)])
+        elif before and not begin <= i <= last:
             continue
-        close()
-        if c is best or c.tag == "h1" or not _linked(c):  # a headline may link to its own page
-            kept.append(c)
+        elif isinstance(c, str) or c.tag not in BLOCK:
+            run.append(c)
+        elif not c.dropped:
+            close()
+            if c.tag == "h1" or not _linked(c) and not (c.stories if articles else c.other):  # a headline may link to its own page
+                kept.append(c)
     close()
     return kept
 
 
+def _story(best: Node) -> Node:
+    """``best`` with what belongs to its story: what stands beside it, all of the article around it, and the way up to the headline.
+
+    Of the page's own top level only what stands from the headline to the story
+    is taken, and only if the story doesn't begin with a heading.
+    """
+    articles = best.tag == "article"
+    held = {id(c): c for c in (_run(best) if articles else [best])}
+    heads = sum(c.heads for c in held.values())
+    within, above = [], best.parent  # the ancestors up to the one to climb to
+    first = best.tag not in ("article", "main")
+    goal = 1 if first else 0
+    while above is not None:
+        within.append(above)
+        if above.tag == "article":
+            goal = len(within)
+        if above.heads and not heads:
+            heads = above.heads
+            if above.parent is not None or not any(c.headed for c in held.values()):
+                goal = len(within)
+        above = above.parent
+    whole = best
+    for n, parent in enumerate(within[:goal]):
+        whole = Node("div", None)
+        whole.parts = _beside(parent, held, articles, parent.parent is None and (n > 0 or not first))
+        held = {id(parent): whole}
+    if not goal and articles:
+        whole = Node("div", None)
+        whole.parts = list(held.values())
+    return whole
+
+
 def main_text(html: str | None) -> str:
     """The article of a page as blocks joined by newlines; empty if there is none."""
     if not html:
@@ -268,14 +339,17 @@ def main_text(html: str | None) -> str:
     if not holders:
         return ""
     best = max(holders, key=_score)  # ties: the first in the page
-    whole = Node("div", None)
-    whole.parts = [best]
-    if best.parent is not None and best.tag not in ("article", "main"):
-        whole.parts = _beside(best)
-    elif best.tag == "article":  # a story may be split over several articles side by side
-        whole.parts = [c for c in best.parent.parts if isinstance(c, Node) and c.tag == "article" and (c is best or not _linked(c))]
+    if best.stories and best.tag != "article":  # several stories and one that has most of the text or the headline: that one
+        at, inside = [best], best
+        while at:
+            x = at.pop()
+            if x.tag == "article" and x.chars > (inside.chars if inside is not best else 0):
+                inside = x
+            at += [c for c in reversed(x.parts) if isinstance(c, Node) and not c.dropped and c.stories]
+        if inside.headed and (2 * inside.chars > best.chars or inside.heads and inside.heads == best.heads):
+            best = inside
     out: list[str] = []
-    _blocks(whole, out)
+    _blocks(_story(best), out)
     return "\n".join(out)
 
 
@@ -283,7 +357,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """Rows (page_id, url, text, n_chars) of the whole html of each page.
 
     Null and empty html give an empty text; repeated rows give repeated rows;
-    other columns aren't read.
+    other columns aren't read.  Of containers with equal scores the first in
+    the page is taken.  Pages of any length are parsed whole, in time linear
+    in their length.
     """
 
     def make():

@@ -548,7 +548,28 @@ def test_html_keeps_the_whole_of_the_container():
         assert html_extract.main_text(page).split("\n") == want
 
 
-@pytest.mark.parametrize("page", ["<div>text words here, and more of them, so that it scores" * 20_000, "<p><td>" + "<span>" * 20_000 + "<div></div>" * 20_000, "<div>" * 50_000 + "</b>" * 50_000, "<li><ul>" + "<div>" * 20_000 + "<li></li>" * 20_000, "<header>" * 20_000 + "x" * 40, "word " * 500_000])
+def test_html_story_from_headline_to_end():
+    """The way up to the headline, several articles in a page, comments and notices with articles in them."""
+    long = " ".join(["Some words of a story, told at length, so that it scores."] * 6)
+    other = " ".join(["Another thing was said, by others, in a different place."] * 4)
+    body, second = f"<p>{long}</p>", f"<h3>Other</h3><p>{other}</p>"
+    pages = {
+        f"<main><h1>Head</h1><p>By A</p><article>{body}</article></main>": ["Head", "By A", long],
+        f"<div id=logo>Site</div><div id=wrap><div class=intro><h1>Head</h1><p>Lead text.</p></div><div class=content><div class=text>{body}{body}</div></div><p>End.</p></div><div>bottom</div>": ["Head", "Lead text.", long, long, "End."],
+        f"<article><div class=hd><h1>T</h1></div><div class=bd><div class=text>{body}{body}</div><p>x</p></div><p>note</p></article>": ["T", long, long, "x", "note"],
+        f"<div class=post>{body}</div><section id=comments><article><p>{other}</p></article></section>": [long],
+        f"<div class=post><h1>A</h1>{body}</div><section id=comments><article><h4>Bob</h4><p>{other}{other}</p></article></section>": ["A", long],
+        f"<article>{body}</article><article>{second}</article>": [long],
+        f"<main><article><h1>T</h1>{body}</article><article>{second}</article><article>{second}</article></main>": ["T", long],
+        f"<div id=w><div class=story><h1>T</h1>{body}{body}</div><section class=more><article>{second}</article></section></div>": ["T", long, long],
+        f"<main><h1>T</h1>{body}</main><div class=sidebar><article>{second}</article></div>": ["T", long],
+        f"<div class=post>{body}</div><div class=copyright>(c) 2024 X All rights reserved</div>": [long],
+    }
+    for page, want in pages.items():
+        assert html_extract.main_text(page).split("\n") == want, page
+
+
+@pytest.mark.parametrize("page", ["<div>text words here, and more of them, so that it scores" * 20_000, "<p><td>" + "<span>" * 20_000 + "<div></div>" * 20_000, "<div>" * 50_000 + "</b>" * 50_000, "<li><ul>" + "<div>" * 20_000 + "<li></li>" * 20_000, "<header>" * 20_000 + "x" * 40, "word " * 500_000, "<article>" * 20_000 + "text words " * 9, "<div class=sidebar><article>" * 20_000 + "x" * 50])
 def test_html_time_is_linear_in_depth_and_width(page):
     began = time.process_time()
     html_extract.main_text(page)
