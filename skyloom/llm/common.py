@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -136,10 +136,27 @@ def without(df: DataFrame, column: str, gone: DataFrame, every: DataFrame) -> Da
     return flagged.where("NOT _hit").select(df.columns).unionByName(flagged.where("_hit").select(df.columns).join(gone, same, "left_anti"))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps that are done: it does once the driver has collected the objects that stand for them, which a long loop can't wait for."""
-    gc.collect()
-    spark._jvm.System.gc()
+#: Spark's setting by which a query's shuffle files are deleted on all executors when the query ends.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, each query's shuffle files go when the query ends, so a loop of stored steps holds those of one step on disk.
+
+    Otherwise they stay until the driver happens to collect the objects that
+    stand for them.  Steps must be stored by ``cut`` or as a table: what is run
+    twice is computed twice.  The session's setting is put back afterwards.
+    """
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(CLEAN_SHUFFLES, before)
 
 
 def few(df: DataFrame) -> DataFrame:

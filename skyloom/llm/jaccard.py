@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import folder
-from .common import components, cut, few, map_slices, may_hold, release, small, table, without
+from .common import components, cut, few, map_slices, may_hold, short_shuffles, small, table, without
 from .shingles import Shingler, mix
 
 #: Ratio of the sizes at the two ends of a size group.
@@ -266,7 +266,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     """
     paths: list[str] = []
     try:
-        return _grouped(docs, size, num, den, share, least, paths)[0]
+        with short_shuffles(docs.sparkSession):
+            return _grouped(docs, size, num, den, share, least, paths)[0]
     finally:
         _remove(docs.sparkSession, paths)
 
@@ -331,7 +332,6 @@ def _grouped(docs: DataFrame, size: int, num: int, den: int, share: int, least:
         flip = F.col("a") > F.col("b")
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(flip, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(flip, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b")).distinct()
 
-    release(docs.sparkSession)
     tested = None
     while True:
         met = rows = labelled(met)  # a segment within one component stays so
@@ -345,9 +345,7 @@ def _grouped(docs: DataFrame, size: int, num: int, den: int, share: int, least:
         if found.isEmpty():
             break
         component = joined(found)
-        release(docs.sparkSession)
 
-    release(docs.sparkSession)
     # what is still apart: all pairs of different components that share a segment; the largest component's rows meet the others' only
     open_ = cut(rows.select("segment", "o", "c"))
     largest = open_.groupBy("segment", "c").count().groupBy("segment").agg(F.max_by("c", F.struct("count", "c")).alias("most"))
@@ -379,7 +377,8 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, shar
     """
     paths: list[str] = []
     try:
-        groups, classes = _grouped(docs, size, num, den, share, least, paths)
+        with short_shuffles(docs.sparkSession):
+            groups, classes = _grouped(docs, size, num, den, share, least, paths)
         every = groups.where("doc_id IS NOT NULL").select("doc_id")
         repeated = cut(every.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"))
         gone = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())

@@ -190,6 +190,16 @@ def test_jaccard_sketches_bound_the_difference():
             assert 0 < far <= len(np.setxor1d(a, b))
 
 
+def test_short_shuffles_put_the_setting_back(spark):
+    was = spark.conf.get(common.CLEAN_SHUFFLES, None)
+    with pytest.raises(ZeroDivisionError), common.short_shuffles(spark):
+        assert spark.conf.get(common.CLEAN_SHUFFLES) == "true"
+        df = spark.range(1000).groupBy(F.col("id") % 7).count()
+        assert len(df.collect()) == len(df.collect()) == 7
+        1 / 0
+    assert spark.conf.get(common.CLEAN_SHUFFLES, None) == was
+
+
 def test_jaccard_keeps_one(spark):
     texts = ["a b c d e f g", None, "q r s t u v w", "a b c d e f g", "", "A B C D E F G"]
     docs = frame(spark, texts)
