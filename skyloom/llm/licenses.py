@@ -2,14 +2,18 @@
 
 The templates' words are put into one automaton.  A text is streamed through
 it; at each word it tells the longest suffix that occurs in some template.
-Long maximal matches that follow each other in text and template are chained,
-and a chain that covers enough of its template labels the text.  Three fixed
-phrases are counted on their own (``BASE``).
+Long maximal matches that follow each other in text and template are chained
+so that each chain covers most of its template; one that covers enough labels
+the text, unless a chain that covers more words lies on the same place.  Three
+fixed phrases are counted on their own (``BASE``).
 """
 
 from __future__ import annotations
 
+from bisect import bisect
+from collections import deque
 from functools import cache
+from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,28 +24,64 @@ from .common import map_slices, table
 # Phrases and labels of the contract.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Notices of well-known public licences, label first.
-TEMPLATES = [
+# Notices and bodies of well-known public licences, label first.
+NOTICES = [
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
-    ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
-    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("cc0-1.0", "has waived all copyright and related or neighboring rights to"),
+    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
     ("lgpl-3.0", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("lgpl-2.1", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
     ("agpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided"),
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
 ]
+# Identifiers of file headers, label first; names in "under the ... license"; parts of the Creative Commons licences.
+IDENTIFIERS = [
+    ("apache-2.0", "apache 2 0"), ("mit", "mit"), ("isc", "isc"), ("zlib", "zlib"), ("unlicense", "unlicense"), ("wtfpl", "wtfpl"),
+    ("bsl-1.0", "bsl 1 0"), ("mpl-2.0", "mpl 2 0"), ("epl-2.0", "epl 2 0"), ("bsd-2-clause", "bsd 2 clause"), ("bsd-3-clause", "bsd 3 clause"),
+    ("cc0-1.0", "cc0 1 0"), ("gpl-2.0", "gpl 2 0"), ("gpl-3.0", "gpl 3 0"), ("lgpl-2.1", "lgpl 2 1"), ("lgpl-3.0", "lgpl 3 0"), ("agpl-3.0", "agpl 3 0"),
+]
+NAMES = [("mit", "mit"), ("isc", "isc"), ("zlib", "zlib"), ("apache-2.0", "apache 2 0"), ("bsd-2-clause", "bsd 2 clause"), ("bsd-3-clause", "bsd 3 clause")]
+CC_KINDS = ["by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd"]
+CC_PARTS = {"by": ["attribution"], "nc": ["noncommercial", "non commercial"], "sa": ["sharealike", "share alike"], "nd": ["noderivatives", "noderivs", "no derivatives"]}
+CC_VERSIONS = {"4.0": "international", "3.0": "unported"}
+
+
+def _templates() -> list[tuple[str, str]]:
+    """The notices, and short ones made from identifiers, names and the parts of the Creative Commons licences."""
+    out = list(NOTICES)
+    for label, name in IDENTIFIERS:
+        endings = ["", " only", " or later"] if "gpl" in label else [""]
+        out += [(label, f"spdx license identifier {name}{ending}") for ending in endings]
+    out += [(label, f"under {the}{name} license") for label, name in NAMES for the in ("", "the ")]
+    for kind in CC_KINDS:
+        for version, place in CC_VERSIONS.items():
+            label, number = f"cc-{kind}-{version}", version.replace(".", " ")
+            out.append((label, f"cc {kind.replace('-', ' ')} {number}"))
+            out += [(label, f"creative commons {' '.join(names)} {number} {place} license") for names in product(*(CC_PARTS[part] for part in kind.split("-")))]
+    return out
+
+
+TEMPLATES = _templates()
 #: Words of a match that counts, words that a chain may skip, and share of a template that a chain must cover.
 MIN_MATCH, MAX_GAP, COVERED = 3, 8, 0.8
 
@@ -63,14 +103,14 @@ class Automaton:
             last = 0
             for w in seq:
                 last = self._extend(last, w)
-        #: For each state, the sequences in which its words occur, each with the first place after them.
-        self.ends: list[dict[int, int]] = [{} for _ in self.next]
+        #: For each state of a match that counts, the sequences in which its words occur, each with all places after them.
+        self.ends: list[dict[int, list[int]]] = [{} for _ in self.next]
         for t, seq in enumerate(sequences):
             state = 0
             for i, w in enumerate(seq, 1):
                 state = up = self.next[state][w]
-                while up > 0 and t not in self.ends[up]:
-                    self.ends[up][t] = i
+                while self.length[up] >= MIN_MATCH:
+                    self.ends[up].setdefault(t, []).append(i)
                     up = self.link[up]
 
     def _new(self, length: int, link: int, following: dict[int, int]) -> int:
@@ -129,23 +169,50 @@ class Scanner:
         self.automaton = Automaton(coded)
         self.phrases = [(label, [self.number[w] for w in p]) for label, p in zip(BASE.values(), phrases, strict=True)]
 
-    def chains(self, matches: list[tuple[int, int, int]]) -> dict[str, tuple[float, int, int]]:
-        """For each label the best covered share of a template and its span in the text, over chains of matches in order in text and template."""
-        best: dict[str, tuple[float, int, int]] = {}
-        open_: dict[int, tuple[int, int, int, int]] = {}  # template: text end, template end, words covered, text start
+    def chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Chains (words covered, start, end, template) that cover enough of a template.
+
+        A chain's matches follow each other in text and template, with at most
+        ``MAX_GAP`` words of the text between two.  For each end of a match the
+        chain that covers most words is found from those that ended before it;
+        of equal ones the shortest.  Starts of maximal matches never decrease,
+        so chains that ended too early are forgotten: time is linear in the text.
+        """
+        out = []
+        ended: dict[int, deque[tuple[int, int, int, int]]] = {}  # by template: text end, template end, words covered, text start
         for end, size, state in matches:
-            for t, at in self.automaton.ends[state].items():
-                text_end, template_end, covered, start = open_.get(t, (-(10**9), 0, 0, 0))
-                begin = at - size
-                if end - size - text_end > MAX_GAP or at <= template_end or end <= text_end:
-                    open_[t] = (end, at, size, end - size)
-                else:
-                    overlap = max(0, template_end - begin, text_end - (end - size))
-                    open_[t] = (end, at, covered + max(0, size - overlap), start)
-                label, share = TEMPLATES[t][0], min(1.0, open_[t][2] / self.sizes[t])
-                if share > best.get(label, (0.0, 0, 0))[0]:
-                    best[label] = (share, open_[t][3], end)
-        return best
+            begin = end - size
+            for t, places in self.automaton.ends[state].items():
+                before = ended.setdefault(t, deque())
+                while before and before[0][0] + MAX_GAP < begin:
+                    before.popleft()
+                found = []
+                for at in places:
+                    best = size, begin
+                    for text_end, template_end, covered, start in before:
+                        if template_end < at:
+                            best = max(best, (covered + size - max(0, template_end - at + size, text_end - begin), start))
+                    found.append((end, at, *best))
+                before += found
+                most, start = max(x[2:] for x in found)
+                if most >= COVERED * self.sizes[t]:
+                    out.append((most, start, end, t))
+        return out
+
+    def settled(self, chains: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Those chains that stand, by their start: the one of most words first, no other that lies on it by more than half of its own length.
+
+        Of equal ones the more complete, the shorter, the earlier one stands.
+        """
+        kept: list[tuple[int, int, int, int]] = []
+        for chain in sorted(chains, key=lambda c: (-c[0], -c[0] / self.sizes[c[3]], c[2] - c[1], c[1], c[3])):
+            _, a, b, _ = chain
+            i = bisect(kept, a, key=lambda c: c[1])
+            # kept spans overlap by less than half of theirs, so at most a few reach over a place
+            near = kept[max(0, i - 3) : i] + kept[i : bisect(kept, b, key=lambda c: c[1])]
+            if all(2 * (min(b, y) - max(a, x)) <= b - a for _, x, y, _ in near):
+                kept.insert(i, chain)
+        return kept
 
     def __call__(self, text: str | None) -> tuple:
         found = words(text)
@@ -165,11 +232,11 @@ class Scanner:
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             if b - a >= MIN_MATCH:
                 matches += self.automaton.matches(ids[a:b].tolist(), a)
-        covered = {k: v for k, v in self.chains(matches).items() if v[0] >= COVERED}
-        score = 1.0 if base else max((v[0] for v in covered.values()), default=0.0)
-        spans = ",".join(f"{k}:{a}-{b}" for k, (_, a, b) in sorted(covered.items()))
+        stand = self.settled(self.chains(matches))
+        score = 1.0 if base else max((c / self.sizes[t] for c, _, _, t in stand), default=0.0)
+        spans = ",".join(sorted({f"{TEMPLATES[t][0]}:{a}-{b}" for _, a, b, t in stand}))
         where = np.concatenate(places) if places else None
-        return len(found), 0 if where is None else len(where), None if where is None else int(where.min()), None if where is None else int(where.max()), ",".join(sorted(base)), ",".join(sorted(base | covered.keys())), score, spans
+        return len(found), 0 if where is None else len(where), None if where is None else int(where.min()), None if where is None else int(where.max()), ",".join(sorted(base)), ",".join(sorted(base | {TEMPLATES[t][0] for *_, t in stand})), score, spans
 
 
 @cache

@@ -503,6 +503,69 @@ def test_license_templates_with_changes():
     assert scan("x y z " + " ".join(words) + " and so on")[7] == f"apache-2.0:3-{3 + len(words)}"
 
 
+def test_license_best_chains_by_brute_force(monkeypatch):
+    """Small random automata: for each end of a match, the best of all chains that end there."""
+    monkeypatch.setattr(licenses, "COVERED", 0)
+    r = random.Random(2)
+    for _ in range(60):
+        scan = object.__new__(licenses.Scanner)
+        sequences = [[r.randint(0, 4) for _ in range(r.randint(6, 14))] for _ in range(3)]
+        scan.sizes, scan.automaton = [len(x) for x in sequences], licenses.Automaton(sequences)
+        run = [w for _ in range(3) for w in (lambda x, i: x[i : i + r.randint(3, 7)])(r.choice(sequences), r.randint(0, 6)) + [r.randint(0, 4)] * r.randint(0, 4)]
+        matches = scan.automaton.matches(run, 0)
+        nodes = [(end, size, t, at) for end, size, _ in matches for t, x in enumerate(sequences) for at in range(size, len(x) + 1) if x[at - size : at] == run[end - size : end]]
+
+        def best(node):
+            end, size, t, at = node
+            before = [n for n in nodes if n[2] == t and n[0] < end and n[3] < at and n[0] + licenses.MAX_GAP >= end - size]
+            return max([(size, end - size), *((c + size - max(0, n[3] - at + size, n[0] - end + size), first) for n in before for c, first in [best(n)])])
+
+        want = {}
+        for node in nodes:
+            key = node[0], node[2]
+            want[key] = max(want.get(key, (0, 0)), best(node))
+        assert {(end, t): (covered, start) for covered, start, end, t in scan.chains(matches)} == want
+
+
+def test_license_settled_chains_by_brute_force():
+    r = random.Random(3)
+    scan = object.__new__(licenses.Scanner)
+    scan.sizes = [40, 60, 90]
+    for _ in range(200):
+        chains = [(r.randint(1, n), a, a + n, r.randint(0, 2)) for n, a in ((r.randint(1, 40), r.randint(0, 150)) for _ in range(r.randint(0, 40)))]
+        kept = []
+        for c in sorted(chains, key=lambda c: (-c[0], -c[0] / scan.sizes[c[3]], c[2] - c[1], c[1], c[3])):
+            if all(2 * len(set(range(c[1], c[2])) & set(range(k[1], k[2]))) <= c[2] - c[1] for k in kept):
+                kept.append(c)
+        assert sorted(scan.settled(chains)) == sorted(kept)
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"),
+        ("// SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2.0"),
+        ("Released under MIT license", "mit"),
+        ("CC BY-NC-SA 4.0", "cc-by,cc-by-nc-sa-4.0"),
+        ("a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa-4.0"),
+        ("a Creative Commons Attribution-Share Alike 3.0 Unported License.", "cc-by-sa-3.0"),
+        ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "mit"),
+    ],
+)
+def test_license_short_forms(text, label):
+    assert licenses.scanner()(f"so: {text} and so on")[5] == label
+
+
+def test_license_versions_and_clauses_give_way():
+    """Notices that differ in a word or a clause: only the one that covers more stands, and each of two in one text is found."""
+    scan = licenses.scanner()
+    of = {label: text for label, text in licenses.NOTICES if label in ("gpl-2.0", "bsd-2-clause", "bsd-3-clause", "agpl-3.0")}
+    third = next(t for label, t in licenses.NOTICES if label == "gpl-3.0" and len(t) > 100)
+    assert scan(third)[5] == "gpl,gpl-3.0" and scan(of["gpl-2.0"])[5] == "gpl,gpl-2.0"
+    assert scan(f"{third} {'word ' * 20} {of['gpl-2.0']}")[5] == "gpl,gpl-2.0,gpl-3.0"
+    assert scan(of["bsd-2-clause"])[5] == "bsd-2-clause" and scan(of["bsd-3-clause"])[5] == "bsd-3-clause"
+
+
 def test_license_full_notices_are_told_apart():
     """Every template is found in a text of its own with its span, and none of the others that are no part of it."""
     scan = licenses.scanner()
