@@ -107,21 +107,40 @@ def net_pairs(net: SafetyNet, stations: DataFrame) -> DataFrame:
     """The pairs of stations of a safety net."""
     if net.category not in stations.columns:
         raise MissingError(f"no station column {net.category!r}")
-    return with_enough(pairs(stations, net.radius_m, net.category, net.max_altitude_difference), net.min_sample_size)
+    return pairs(stations, net.radius_m, net.category, net.max_altitude_difference)
 
 
-def saved_by(net: SafetyNet, found: DataFrame, obs: DataFrame, stations: DataFrame, near: DataFrame | None = None) -> DataFrame:
-    """The flagged rows (name, obstype, datetime) that a safety net clears; ``near`` are its pairs, if they are known."""
+def net_verdicts(net: SafetyNet, found: DataFrame, obs: DataFrame, stations: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """What a safety net says of flagged rows: (name, obstype, datetime, saved, message).
+
+    A row is compared with its station's buddies of the same category, the
+    station itself excluded.  ``message`` says why a row stays: too few
+    buddies, too few of them with a value, or too far from them; null if it is
+    saved.  ``near`` are the net's pairs, if they are known.
+    """
     near = net_pairs(net, stations) if near is None else near
-    asked = found.select(*KEY, "datetime", "value").distinct().join(near.select("name", "buddy"), "name")
+    own = [*KEY, "datetime"]
+    asked = found.select(*own, "value").distinct()
+    sizes = near.groupBy("name").agg(F.count("*").alias("k"))
     others = obs.where("value IS NOT NULL").select(F.col("name").alias("buddy"), "obstype", "datetime", F.col("value").alias("v"))
-    met = asked.join(others, ["buddy", "obstype", "datetime"])
-    own = [*KEY, "datetime", "value"]
-    # the station itself belongs to its sample
-    sample = met.select(*own, "v").union(asked.select(*own).distinct().withColumn("v", F.col("value")))
-    stats = sample.groupBy(*own).agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.count("v").alias("n")).where(F.col("n") >= net.min_sample_size)
+    met = asked.join(near.select("name", "buddy"), "name").join(others, ["buddy", "obstype", "datetime"])
+    stats = met.groupBy(*own).agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.count("v").alias("n"))
+    rows = asked.join(sizes, "name", "left").join(stats, own, "left").withColumns({"k": F.coalesce("k", F.lit(0)), "n": F.coalesce("n", F.lit(0))})
     sd = F.when(F.col("sd") < net.min_std, F.lit(float(net.min_std))).otherwise(F.col("sd"))
-    return stats.where(F.abs(F.col("value") - F.col("mean")) / sd <= net.z_threshold).select(*KEY, "datetime")
+    few, gaps = F.col("k") < net.min_sample_size, F.col("n") < net.min_sample_size
+    rows = rows.withColumn("z", F.abs(F.col("value") - F.col("mean")) / sd)
+    rows = rows.withColumn("saved", F.coalesce(~few & ~gaps & (F.col("z") <= net.z_threshold), F.lit(False)))
+    says = lambda text, *values: F.format_string(f"{net.category} net: {text}", *values)
+    least = F.lit(net.min_sample_size)
+    # rounded first to what sums in any order agree on
+    far = says("not saved (z=%.2f)", F.round(F.round("z", 6), 2))
+    message = F.when(F.col("saved"), None).when(few, says("too few buddies (%d of %d)", F.col("k"), least)).when(gaps, says("too few values (%d of %d)", F.col("n"), least))
+    return rows.select(*own, "saved", message.when(F.col("z").isNull(), says("not saved (no spread)")).otherwise(far).alias("message"))
+
+
+def saved_by(net: SafetyNet, found: DataFrame, obs: DataFrame, stations: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """The flagged rows (name, obstype, datetime) that a safety net clears; ``near`` are its pairs, if they are known."""
+    return net_verdicts(net, found, obs, stations, near).where("saved").select(*KEY, "datetime")
 
 
 def buddy_check(
@@ -141,7 +160,8 @@ def buddy_check(
 
     Each iteration hides the outliers found so far, flags the worst member of
     each group and stamp, and lets safety nets (in order) and the white list clear some;
-    those are tested again in the next iteration.
+    those are tested again in the next iteration.  ``details`` say for each
+    net why it left a row flagged.
     """
     if n_iter < 1:
         raise ArgumentError("at least one iteration")
@@ -160,7 +180,8 @@ def buddy_check(
         left = values if out is None else values.join(out.select(*KEY, "datetime").distinct(), [*KEY, "datetime"], "left_anti")
         found = group_outliers(left, members, z_threshold, min_sample_size, min_std)
         for net, own in nets:
-            found = found.join(saved_by(net, found, left, stations, own), [*KEY, "datetime"], "left_anti")
+            said = net_verdicts(net, found, left, stations, own).where("NOT saved").drop("saved")
+            found = found.join(said, [*KEY, "datetime"]).withColumn("details", F.concat_ws("; ", "details", "message")).drop("message")
         if white is not None:
             found = without_white(found, white)
         found = cut(found.withColumn("details", F.concat("details", F.lit(f" (iteration {i}/{n_iter})"))))

@@ -292,18 +292,21 @@ def _station_stats(by: str) -> str:
 
 def _iteration(i: int, net: str, saved: str = "", white: str = "FALSE") -> str:
     """CTEs of one iteration of the buddy check over ``net``: found{i}, and left{i}, what it leaves."""
-    cleared = f" AND (name, us) NOT IN (SELECT (name, us) FROM saved{i})" if saved else ""
+    judged = f" JOIN (SELECT name, us, message FROM verdict{i} WHERE message IS NOT NULL) USING (name, us)" if saved else ""
+    message = "'; ' || message" if saved else "''"
     return f"""stat{i} AS (SELECT group_id, us, AVG(value) AS mean, CASE WHEN stddev_samp(value) < 1 THEN 1.0 ELSE stddev_samp(value) END AS sd, COUNT(value) AS n FROM {net} JOIN members USING (name) GROUP BY group_id, us HAVING COUNT(value) >= 4),
 worst{i} AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY group_id, us ORDER BY chi DESC, name) AS r FROM (SELECT group_id, us, name, value, mean, sd, n, abs(value - mean) / sd AS chi FROM {net} JOIN members USING (name) JOIN stat{i} USING (group_id, us)) WHERE chi > 1.8) WHERE r = 1),
-{saved.format(i=i, net=net)}found{i} AS (SELECT name, us, format('outlier in buddy group of {{}}: chi={{}}, mean={{}}, std={{}}, n={{}} (iteration {i}/2)', group_id, {', '.join(f'CAST(round(CAST(round({c}, 6) AS DECIMAL(18, 6)), 2) AS VARCHAR)' for c in ('chi', 'mean', 'sd'))}, n) AS details FROM worst{i} WHERE NOT {white}{cleared}),
+{saved.format(i=i, net=net)}found{i} AS (SELECT name, us, format('outlier in buddy group of {{}}: chi={{}}, mean={{}}, std={{}}, n={{}}{{}} (iteration {i}/2)', group_id, {', '.join(f'CAST(round(CAST(round({c}, 6) AS DECIMAL(18, 6)), 2) AS VARCHAR)' for c in ('chi', 'mean', 'sd'))}, n, {message}) AS details FROM worst{i}{judged} WHERE NOT {white}),
 left{i} AS (SELECT * FROM {net} WHERE (name, us) NOT IN (SELECT (name, us) FROM found{i}))"""
 
 
-_SAME = f"same AS (SELECT * FROM (SELECT a.name, b.name AS buddy, COUNT(*) OVER (PARTITION BY a.name) AS k FROM stations a JOIN stations b ON a.name <> b.name AND a.category = b.category WHERE {HAVERSINE} <= 20000) WHERE k >= 3)"
-_SAVED = """asked{i} AS (SELECT DISTINCT name, us, value FROM worst{i} WHERE name IN (SELECT name FROM same)),
-sample{i} AS (SELECT a.name, a.us, a.value, n.value AS v FROM asked{i} a JOIN same s ON s.name = a.name JOIN {net} n ON n.name = s.buddy AND n.us = a.us UNION ALL SELECT name, us, value, value FROM asked{i}),
-saved{i} AS (SELECT name, us FROM sample{i} GROUP BY name, us, value HAVING COUNT(*) >= 3 AND abs(value - AVG(v)) / CASE WHEN stddev_samp(v) < 1 THEN 1.0 ELSE stddev_samp(v) END <= 1.5),
+_SAME = f"same AS (SELECT a.name, b.name AS buddy FROM stations a JOIN stations b ON a.name <> b.name AND a.category = b.category WHERE {HAVERSINE} <= 20000)"
+_SAVED = """verdict{i} AS (SELECT *, CASE WHEN k < 3 THEN format('category net: too few buddies ({{}} of 3)', k) WHEN m < 3 THEN format('category net: too few values ({{}} of 3)', m) WHEN z IS NULL THEN 'category net: not saved (no spread)'
+  WHEN z > 1.5 THEN format('category net: not saved (z={{}})', CAST(round(CAST(round(z, 6) AS DECIMAL(18, 6)), 2) AS VARCHAR)) END AS message
+  FROM (SELECT w.name, w.us, COUNT(s.buddy) AS k, COUNT(n.value) AS m, abs(ANY_VALUE(w.value) - AVG(n.value)) / CASE WHEN stddev_samp(n.value) < 1 THEN 1.0 ELSE stddev_samp(n.value) END AS z
+    FROM (SELECT DISTINCT name, us, value FROM worst{i}) w LEFT JOIN same s ON s.name = w.name LEFT JOIN {net} n ON n.name = s.buddy AND n.us = w.us GROUP BY w.name, w.us)),
 """
+_VERDICTS = [_SAME, _SAVED.format(i="", net="net").rstrip().rstrip(",")]
 
 
 def _checked(label: str) -> str:
@@ -346,13 +349,8 @@ ORACLES = {
     "category_pairs": with_(STATIONS, then=_PAIRS.format(h=HAVERSINE, r=30000) + " AND a.category = b.category AND abs(a.altitude - b.altitude) <= 150"),
     "buddy_groups": with_(STATIONS, GROUPS, then="SELECT group_id, name FROM members", recursive=True),
     "buddy_check_iter1": with_(OBS, STATIONS, GROUPS, NETWORK, WORST, then=f"SELECT name, 'value' AS obstype, {ts('us')} AS datetime, value, group_id, round(chi, 6) AS chi FROM worst", recursive=True),
-    "safety_net": with_(
-        OBS, STATIONS, GROUPS, NETWORK, WORST,
-        f"same AS (SELECT * FROM (SELECT a.name, b.name AS buddy, COUNT(*) OVER (PARTITION BY a.name) AS k FROM stations a JOIN stations b ON a.name <> b.name AND a.category = b.category WHERE {HAVERSINE} <= 20000) WHERE k >= 3)",
-        "asked AS (SELECT DISTINCT w.name, w.us, w.value FROM worst w WHERE w.name IN (SELECT name FROM same))",
-        "sample AS (SELECT a.name, a.us, a.value, n.value AS v FROM asked a JOIN same s ON s.name = a.name JOIN net n ON n.name = s.buddy AND n.us = a.us UNION ALL SELECT name, us, value, value FROM asked)",
-        then=f"SELECT name, 'value' AS obstype, {ts('us')} AS datetime FROM sample GROUP BY name, us, value HAVING COUNT(*) >= 3 AND abs(value - AVG(v)) / CASE WHEN stddev_samp(v) < 1 THEN 1.0 ELSE stddev_samp(v) END <= 1.5", recursive=True,
-    ),
+    "safety_net": with_(OBS, STATIONS, GROUPS, NETWORK, WORST, *_VERDICTS, then=f"SELECT name, 'value' AS obstype, {ts('us')} AS datetime FROM verdict WHERE message IS NULL", recursive=True),
+    "safety_net_messages": with_(OBS, STATIONS, GROUPS, NETWORK, WORST, *_VERDICTS, then=f"SELECT name, 'value' AS obstype, {ts('us')} AS datetime, message IS NULL AS saved, message FROM verdict", recursive=True),
     "lapse_correction": with_(OBS, STATIONS, NETWORK, then=f"SELECT name, 'value' AS obstype, {ts('us')} AS datetime, round(value - (altitude - (SELECT MIN(altitude) FROM stations)) * 0.0065::DOUBLE, 6) AS value FROM net JOIN stations USING (name)"),
     "pivot_wide": with_(WIDE, then="SELECT name, datetime, round(click, 6) AS click, round(error, 6) AS error, round(purchase, 6) AS purchase, round(signup, 6) AS signup, round(view, 6) AS view FROM wide"),
     "time_derivatives": f"SELECT event_id, year(ts)::INT AS year, month(ts)::INT AS month, hour(ts)::INT AS hour, minute(ts)::INT AS minute, second(ts)::INT AS second, dayofyear(ts)::INT AS day_of_year, {SEASON.format(d='dayofyear(ts)')} AS season FROM events",

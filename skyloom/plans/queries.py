@@ -282,6 +282,13 @@ def safety_net(spark, sf_dir):
     return buddy.saved_by(NETS[0], found, obs, where)
 
 
+def safety_net_messages(spark, sf_dir):
+    """What the net says of each row that groups flag."""
+    obs, where = _network(spark, sf_dir)
+    found = buddy.group_outliers(obs, _members(spark, sf_dir), 1.8, 4, 1.0)
+    return buddy.net_verdicts(NETS[0], found, obs, where)
+
+
 def buddy_check_safetynets(spark, sf_dir):
     obs, where = _network(spark, sf_dir)
     white = where.where("category = 4").select("name")
@@ -698,5 +705,6 @@ QUERIES = {
         union_of_frames, shared_keys, only_left_keys, update_dimension, landcover_absent, interpolate_pchip, interpolate_akima,
         interpolate_krogh, interpolate_smoothing, landcover_partial, landcover_buffers, filter_expression, unit_compound,
         aggregate_callable, aggregate_percentile, import_files_in_order, rejected_rows, model_grid,
+        safety_net_messages,
     )
 }

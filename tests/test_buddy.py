@@ -104,3 +104,20 @@ def test_pairs_by_hand_near_the_poles(spark):
         want = {(f"s{i}", f"s{j}") for i, p in enumerate(places) for j, q in enumerate(places) if i != j and distance(p, q) <= radius}
         got = [(x.name, x.buddy) for x in buddy.pairs(frame, radius).collect()]
         assert set(got) == want and len(got) == len(want) > 50
+
+
+def test_net_verdicts_by_hand(spark):
+    """A station is no buddy of its own: 20 against 10, 11 and 12 alone; few buddies, few values and far ones say so."""
+    where = stations(spark, [("a", 50.0, 0.0, "x"), ("b", 50.01, 0.0, "x"), ("c", 50.02, 0.0, "x"), ("d", 50.03, 0.0, "x"), ("e", 50.0, 0.0, "y"), ("f", 50.01, 0.0, "y"), ("g", 50.0, 0.0, None)])
+    obs = spark.createDataFrame([(n, "temp", START, v) for n, v in (("a", 20.0), ("b", 10.0), ("c", 11.0), ("d", 12.0), ("e", 1.0), ("f", 2.0), ("g", 3.0))], "name string, obstype string, datetime timestamp, value double")
+
+    def verdicts(net, rows=obs):
+        return {r.name: (r.saved, r.message) for r in buddy.net_verdicts(net, obs, rows, where).collect()}
+
+    out = verdicts(buddy.SafetyNet("category", 20_000, 8.9, 3))
+    assert out["a"] == (False, "category net: not saved (z=9.00)")  # mean 11, spread 1
+    assert out["b"][0] and out["b"][1] is None and verdicts(buddy.SafetyNet("category", 20_000, 9.0, 3))["a"] == (True, None)
+    assert out["e"] == (False, "category net: too few buddies (1 of 3)") and out["g"] == (False, "category net: too few buddies (0 of 3)")
+    assert verdicts(buddy.SafetyNet("category", 20_000, 9.0, 3), obs.where("name <> 'c'"))["a"] == (False, "category net: too few values (2 of 3)")
+    assert verdicts(buddy.SafetyNet("category", 20_000, 9.0, 1))["e"] == (False, "category net: not saved (no spread)")
+    assert not verdicts(buddy.SafetyNet("category", 20_000, 9.0, 1)).keys() ^ set("abcdefg") and buddy.net_verdicts(buddy.SafetyNet("category", 1.0, 1.0, 1), obs.limit(0), obs, where).count() == 0
