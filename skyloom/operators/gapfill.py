@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
-from ..errors import AmbiguousError, ArgumentError
+from ..errors import AmbiguousError, ArgumentError, UnitError
 from ..functions import time as T
+from ..functions import units
 from ..functions.values import clip
 from ..labels import FAILED, FILLS
 from . import scan
@@ -21,6 +22,8 @@ from .align import KEY
 
 GAP = [*KEY, "gap_id"]
 DAY_US = 86400 * T.SECOND
+#: Pairs of kind and unit that a model may have.
+MOST_UNITS = 1000
 
 
 def _us(column: str = "datetime") -> Column:
@@ -369,9 +372,36 @@ def fill_weighted_diurnal(gaps: DataFrame, obs: DataFrame, model: DataFrame, max
     return _fill(gaps, model, "weighted_diurnal_debiased", bias, [*GAP, "h", "m", "s"], max_gap, clip(value, low, high))
 
 
-def fill_with_model(method: str, gaps: DataFrame, obs: DataFrame, model: DataFrame, **options) -> DataFrame:
-    """Fill by the named method: raw, debiased, diurnal_debiased or weighted_diurnal_debiased."""
+def in_standard_units(model: DataFrame, standards: dict[str, str] | None = None) -> DataFrame:
+    """``model`` without its column ``unit``, values turned from it into the kinds' standard units.
+
+    ``standards`` adds kinds, or other units for known ones.  A unit that is
+    unknown, missing or of another dimension raises, and so does a kind without
+    a standard.
+    """
+    known = {kind: unit for kind, (unit, _) in units.KINDS.items()} | (standards or {})
+    kinds = model.select("obstype", "unit").distinct().limit(MOST_UNITS + 1).collect()
+    if len(kinds) > MOST_UNITS:
+        raise UnitError(f"more than {MOST_UNITS} pairs of kind and unit")
+    value = F.lit(None).cast("double")
+    for kind, unit in sorted(kinds, key=str):
+        if kind not in known:
+            raise UnitError(f"{kind!r} has no standard unit")
+        if unit is None:
+            raise UnitError(f"a model row of {kind!r} has no unit")
+        value = F.when((F.col("obstype") == kind) & (F.col("unit") == unit), units.convert(F.col("value"), unit, known[kind])).otherwise(value)
+    return model.withColumn("value", value).drop("unit")
+
+
+def fill_with_model(method: str, gaps: DataFrame, obs: DataFrame, model: DataFrame, standards: dict[str, str] | None = None, **options) -> DataFrame:
+    """Fill by the named method: raw, debiased, diurnal_debiased or weighted_diurnal_debiased.
+
+    Where ``model`` has a column ``unit``, its values are turned into the
+    standard units of their kinds first, see ``in_standard_units``.
+    """
     require_single_model(model)
+    if "unit" in model.columns:
+        model = in_standard_units(model, standards)
     if method == "raw":
         return fill_raw(gaps, model, **options)
     methods = {"debiased": fill_debiased, "diurnal_debiased": fill_diurnal, "weighted_diurnal_debiased": fill_weighted_diurnal}

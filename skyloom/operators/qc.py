@@ -218,6 +218,22 @@ def without_white(found: DataFrame, white: DataFrame) -> DataFrame:
     return found.join(white, levels, "left_anti")
 
 
+def outlier_view(*found: DataFrame) -> DataFrame:
+    """Outliers of several checks in one view (name, obstype, datetime, value, label, details), the checks in their order.
+
+    A row that several checks flag has the first one's label; ``details`` are
+    empty where a check has none.
+    """
+    if not found:
+        raise ArgumentError("no outliers to show")
+    rows = None
+    for i, f in enumerate(found):
+        details = F.coalesce(F.col("details"), F.lit("")) if "details" in f.columns else F.lit("")
+        part = f.select(*KEY, "datetime", F.struct(F.lit(i).alias("i"), "value", "label", details.alias("details")).alias("x"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy(*KEY, "datetime").agg(F.min("x").alias("x")).select(*KEY, "datetime", "x.value", "x.label", "x.details")
+
+
 def long_view(ok: DataFrame, outlier_rows: DataFrame, gap_rows: DataFrame) -> DataFrame:
     """One row for each stamp of (name, obstype, datetime, value, label): a gap hides an outlier, an outlier a good row."""
     ranked = ok.withColumn("rank", F.lit(0)).unionByName(outlier_rows.withColumn("rank", F.lit(1))).unionByName(gap_rows.withColumn("rank", F.lit(2)))

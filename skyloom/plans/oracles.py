@@ -313,6 +313,13 @@ def _checked(label: str) -> str:
     return f"SELECT f.name, 'value' AS obstype, {ts('f.us')} AS datetime, net.value, '{label}' AS label, f.details FROM (SELECT name, us, string_agg(details, ' | ' ORDER BY details) AS details FROM (SELECT * FROM found1 UNION SELECT * FROM found2) GROUP BY name, us) f JOIN net ON net.name = f.name AND net.us = f.us"
 
 
+#: A raster made of order lines, and its cells that hold stations.
+_CELLS = (
+    "cells AS (SELECT make_timestamp((1704067200 + (l_orderkey % 240) * 3600) * 1000000) AS datetime, l_partkey % 11 AS i, l_suppkey % 3 AS j, CASE WHEN l_linenumber % 2 = 0 THEN 't2m' ELSE 'sp' END AS band, l_quantity + 250 AS v FROM lineitem)",
+    "found AS (SELECT * FROM cells c JOIN stations s ON round((s.lat - 50) * 10) = c.i AND round((s.lon - 4) * 10) = c.j WHERE datetime >= TIMESTAMP '2024-01-02' AND datetime < TIMESTAMP '2024-01-04 01:00:00')",
+)
+
+
 ORACLES = {
     "gross_value": flags("gross_value", "value < 1 OR value > 39"),
     "duplicated_timestamp": with_(then=f"SELECT CAST(user_id AS VARCHAR) AS name, 'value' AS obstype, {ts(f'epoch_us(ts) - epoch_us(ts) % {6 * H}')} AS datetime, arg_min(value, event_id) AS value, '{CHECKS['duplicated_timestamp']}' AS label FROM events GROUP BY ALL HAVING COUNT(*) > 1").removeprefix("WITH \n"),
@@ -339,6 +346,7 @@ ORACLES = {
     "interpolate_time": _interpolated("(us - t0)::DOUBLE / (t1 - t0)", "time"),
     "interpolate_linear": _interpolated("place::DOUBLE / (n + 1)", "linear", f" AND lo - t0 <= {6 * H}"),
     "fill_raw_model": with_(OBS, ALIGNED, GAPS, MODEL, at_model("gaps", "gap_m"), then=filled("raw", f"CASE WHEN hi - lo <= {12 * H} THEN CASE WHEN mv < 5 THEN 5 WHEN mv > 30 THEN 30 ELSE mv END END", f"CASE WHEN hi - lo > {12 * H} THEN 'gap too long' WHEN mv IS NULL THEN 'no model value' ELSE 'model value' END") + " FROM gap_m JOIN spans USING (name, gap_id)"),
+    "fill_raw_units": with_(OBS, ALIGNED, GAPS, MODEL, at_model("gaps", "gap_m"), "converted AS (SELECT gap_m.* EXCLUDE (mv), CASE WHEN gap_m.name::INT % 2 = 0 THEN (mv - 32) / 1.8::DOUBLE ELSE mv - 273.15::DOUBLE END AS mv FROM gap_m)", then=filled("raw", f"CASE WHEN hi - lo <= {12 * H} THEN mv END", f"CASE WHEN hi - lo > {12 * H} THEN 'gap too long' WHEN mv IS NULL THEN 'no model value' ELSE 'model value' END") + " FROM converted JOIN spans USING (name, gap_id)"),
     "fill_debiased": _debiased("debiased", 48 * H, "bias AS (SELECT name, gap_id, AVG(bias) AS bias FROM dev WHERE (name, gap_id) IN (SELECT (name, gap_id) FROM near_gap GROUP BY name, gap_id HAVING COUNT(*) FILTER (side = 'lead') >= 2 AND COUNT(*) FILTER (side = 'trail') >= 2) AND (name, gap_id) IN (SELECT (name, gap_id) FROM covered) GROUP BY name, gap_id)", "name gap_id", "mv - bias"),
     "fill_diurnal": _debiased("diurnal_debiased", 120 * H, "bias AS (SELECT name, gap_id, clock, AVG(bias) AS bias FROM dev WHERE (name, gap_id) IN (SELECT (name, gap_id) FROM near_gap GROUP BY name, gap_id HAVING COUNT(*) FILTER (side = 'lead') >= 3 AND COUNT(*) FILTER (side = 'trail') >= 3) AND (name, gap_id) IN (SELECT (name, gap_id) FROM covered) GROUP BY name, gap_id, clock HAVING COUNT(*) >= 3)", "name gap_id clock", "mv - bias"),
     "fill_weighted_diurnal": _debiased("weighted_diurnal_debiased", 120 * H, "bias AS (SELECT name, gap_id, clock, AVG(bias) FILTER (side = 'lead') AS bl, AVG(bias) FILTER (side = 'trail') AS bt FROM dev WHERE (name, gap_id) IN (SELECT (name, gap_id) FROM covered) GROUP BY name, gap_id, clock HAVING COUNT(*) FILTER (side = 'lead') >= 1 AND COUNT(*) FILTER (side = 'trail') >= 1)", "name gap_id clock", "mv - ((1 - (us - lo)::DOUBLE / nullif(hi - lo, 0)) * bl + ((us - lo)::DOUBLE / nullif(hi - lo, 0)) * bt)"),
@@ -371,11 +379,15 @@ SELECT name, 'temp' AS obstype, datetime, round(arg_min(value, event_id), 6) AS
     "rejected_rows": """SELECT CASE WHEN o_orderkey % 30 = 0 THEN 'no stamp' ELSE 'no name' END AS reason, '{' || CASE WHEN o_orderkey % 70 <> 0 THEN '"station":"s' || o_custkey || '",' ELSE '' END || '"when":"' || CASE WHEN o_orderkey % 30 = 0 THEN '31/02' ELSE '2024-01-01 00:00:00' END || '","t":"' || o_orderkey || '"}' AS text
 FROM orders WHERE o_orderkey % 10 = 0 AND (o_orderkey % 30 = 0 OR o_orderkey % 70 = 0)""",
     "model_grid": with_(
-        STATIONS,
-        "cells AS (SELECT make_timestamp((1704067200 + (l_orderkey % 240) * 3600) * 1000000) AS datetime, l_partkey % 11 AS i, l_suppkey % 3 AS j, CASE WHEN l_linenumber % 2 = 0 THEN 't2m' ELSE 'sp' END AS band, l_quantity + 250 AS v FROM lineitem)",
-        "found AS (SELECT * FROM cells c JOIN stations s ON round((s.lat - 50) * 10) = c.i AND round((s.lon - 4) * 10) = c.j WHERE datetime >= TIMESTAMP '2024-01-02' AND datetime < TIMESTAMP '2024-01-04 01:00:00')",
+        STATIONS, *_CELLS,
         then="\nUNION ALL ".join(f"SELECT name, '{kind}' AS obstype, 'm' AS modelname, band AS modelvariable, datetime, round({value}, 6) AS value FROM found WHERE band = '{band}'" for kind, band, value in (("temp", "t2m", "v - 273.15::DOUBLE"), ("pressure", "sp", "v * 10"), ("pressure_at_sea_level", "sp", "v * 33.86388640341::DOUBLE"))),
     ),
+    "model_source": with_(
+        STATIONS, *_CELLS,
+        "wind AS (SELECT name, datetime, u, w FROM (SELECT name, datetime, MAX(v) FILTER (band = 't2m') AS u, MAX(v) FILTER (band = 'sp') AS w FROM found GROUP BY ALL) WHERE u IS NOT NULL AND w IS NOT NULL)",
+        then="SELECT name, 'temp' AS obstype, 'm' AS modelname, band AS modelvariable, datetime, round(v - 273.15::DOUBLE, 6) AS value FROM found WHERE band = 't2m' UNION ALL SELECT name, 'snow', 'm', band, datetime, round(v * 1000, 6) FROM found WHERE band = 'sp'"
+        " UNION ALL SELECT name, 'wind_speed', 'm', 't2m+sp', datetime, round(sqrt(u * u + w * w) / 3.6::DOUBLE, 6) FROM wind UNION ALL SELECT name, 'wind_direction', 'm', 't2m+sp', datetime, round(degrees(atan2(u, w)), 6) FROM wind",
+    ),
     "diurnal_cycle": with_(WIDE, STATIONS, _CYCLE, then=f"SELECT category, hour, minute, second, round(value, 6) AS value, {_FAKE} AS fake_datetime FROM cycle"),
     "diurnal_cycle_wide": with_(WIDE, STATIONS, _CYCLE, then=f"SELECT {_FAKE} AS fake_datetime, {', '.join(f'round(MAX(value) FILTER (category = {i}), 6) AS c{i}' for i in range(5))} FROM cycle GROUP BY ALL"),
     "diurnal_vs_reference": with_(WIDE, STATIONS, then="SELECT category, hour(w.datetime)::INT AS hour, minute(w.datetime)::INT AS minute, second(w.datetime)::INT AS second, round(AVG(w.view - r.view), 6) AS value FROM wide w LEFT JOIN wide r ON r.name = '1' AND r.datetime = w.datetime JOIN stations ON stations.name = w.name GROUP BY ALL"),
@@ -439,3 +451,6 @@ FROM orders WHERE o_orderkey % 10 = 0 AND (o_orderkey % 30 = 0 OR o_orderkey % 7
     "buddy_check": with_(OBS, STATIONS, GROUPS.replace("<= 10000)", "<= 10000 AND abs(a.altitude - b.altitude) <= 200)"), NETWORK, "net0 AS (SELECT name, us, value - (altitude - (SELECT MIN(altitude) FROM stations)) * -0.0065::DOUBLE AS value FROM net JOIN stations USING (name))", _iteration(1, "net0"), _iteration(2, "left1"), then=_checked("buddy check outlier"), recursive=True),
     "buddy_check_safetynets": with_(OBS, STATIONS, GROUPS, NETWORK, _SAME, _iteration(1, "net", _SAVED, "name IN (SELECT name FROM stations WHERE category = 4)"), _iteration(2, "left1", _SAVED, "name IN (SELECT name FROM stations WHERE category = 4)"), then=_checked("buddy check (with safetynets) outlier"), recursive=True),
 }
+ORACLES["outlier_view"] = f"""SELECT name, obstype, datetime, arg_min(value, i) AS value, arg_min(label, i) AS label, arg_min(details, i) AS details FROM (
+SELECT name, obstype, datetime, value, label, '' AS details, 0 AS i FROM ({ORACLES["gross_value"]}) UNION ALL SELECT name, obstype, datetime, value, label, '', 1 FROM ({ORACLES["step"]})
+UNION ALL SELECT name, obstype, datetime, value, label, details, 2 FROM ({ORACLES["buddy_check_safetynets"]})) GROUP BY name, obstype, datetime"""

@@ -14,7 +14,7 @@ from ..functions import values as V
 from ..labels import CHECKS, OK
 from ..operators import align, analysis, buddy, gapfill, ingest, landcover, merge, qc
 from ..operators.align import KEY
-from ..sources import readers, sinks
+from ..sources import models, readers, sinks
 from ..sources.template import Template
 
 SIX_HOURS = 6 * 3600 * T.SECOND
@@ -647,11 +647,32 @@ def rejected_rows(spark, sf_dir):
     return readers.rejected(readers.read(spark, path), template).select("reason", "text")
 
 
+def _grid(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.timestamp_seconds(F.lit(1704067200) + (F.col("l_orderkey") % 240) * 3600).alias("time"), (F.lit(50.0) + (F.col("l_partkey") % 11) * 0.1).alias("lat"), (F.lit(4.0) + (F.col("l_suppkey") % 3) * 0.1).alias("lon"), F.when(F.col("l_linenumber") % 2 == 0, "t2m").otherwise("sp").alias("band"), (F.col("l_quantity") + 250).alias("value"))
+
+
 def model_grid(spark, sf_dir):
     """A raster of cells sampled at stations."""
-    li = table(spark, sf_dir, "lineitem")
-    grid = li.select(F.timestamp_seconds(F.lit(1704067200) + (F.col("l_orderkey") % 240) * 3600).alias("time"), (F.lit(50.0) + (F.col("l_partkey") % 11) * 0.1).alias("lat"), (F.lit(4.0) + (F.col("l_suppkey") % 3) * 0.1).alias("lon"), F.when(F.col("l_linenumber") % 2 == 0, "t2m").otherwise("sp").alias("band"), (F.col("l_quantity") + 250).alias("value"))
-    return _rounded(readers.sample_model(grid, readers.Raster(50.0, 4.0, 0.1, 0.1), stations(spark, sf_dir), "m", {"temp": ("t2m", "K"), "pressure": ("sp", "kPa"), "pressure_at_sea_level": ("sp", "inHg")}, "2024-01-02 00:00:00", "2024-01-04 00:00:00"))
+    return _rounded(readers.sample_model(_grid(spark, sf_dir), readers.Raster(50.0, 4.0, 0.1, 0.1), stations(spark, sf_dir), "m", {"temp": ("t2m", "K"), "pressure": ("sp", "kPa"), "pressure_at_sea_level": ("sp", "inHg")}, "2024-01-02 00:00:00", "2024-01-04 00:00:00"))
+
+
+def model_source(spark, sf_dir):
+    """The same grid by a table of kinds: a temperature, a kind of the user's own, and a wind from two bands."""
+    model = models.Model("m", readers.Raster(50.0, 4.0, 0.1, 0.1)).add("temp", "t2m", "K").add("snow", "sp", "kg/m**2", "g/m**2").add_vector("wind", "t2m", "sp", "km/h").add("pressure", "unused", "hPa")
+    return _rounded(model.sample(_grid(spark, sf_dir), stations(spark, sf_dir), "2024-01-02 00:00:00", "2024-01-04 00:00:00", ["temp", "snow", "wind"]))
+
+
+def outlier_view(spark, sf_dir):
+    """Outliers of three checks in one view, with details."""
+    return qc.outlier_view(gross_value(spark, sf_dir), step(spark, sf_dir), buddy_check_safetynets(spark, sf_dir))
+
+
+def fill_raw_units(spark, sf_dir):
+    """A model of two units, turned into the kind's own before it fills."""
+    gaps, _, model = _parts(spark, sf_dir)
+    model = model.withColumn("unit", F.when(F.col("name").cast("int") % 2 == 0, "degF").otherwise("K"))
+    return _rounded(gapfill.fill_with_model("raw", gaps, None, model, {"value": "degC"}))
 
 
 def invalid_rows(spark, sf_dir):
@@ -705,6 +726,6 @@ QUERIES = {
         union_of_frames, shared_keys, only_left_keys, update_dimension, landcover_absent, interpolate_pchip, interpolate_akima,
         interpolate_krogh, interpolate_smoothing, landcover_partial, landcover_buffers, filter_expression, unit_compound,
         aggregate_callable, aggregate_percentile, import_files_in_order, rejected_rows, model_grid,
-        safety_net_messages,
+        safety_net_messages, model_source, outlier_view, fill_raw_units,
     )
 }

@@ -277,14 +277,19 @@ def sample_model(grid: DataFrame, raster: Raster, stations: DataFrame, modelname
     """
     for _, unit in bands.values():
         units.parse(unit)
+    found = sampled(grid, raster, stations, sorted({b for b, _ in bands.values()}), start, end, day_column)
+    kinds = F.array(*[F.when(F.col("band") == band, F.struct(F.lit(kind).alias("obstype"), units.convert(F.col("value"), unit, units.KINDS[kind][0]).alias("value"))) for kind, (band, unit) in bands.items()])
+    out = found.withColumn("x", F.explode(F.filter(kinds, lambda k: k.isNotNull())))
+    return out.select("name", "x.obstype", F.lit(modelname).alias("modelname"), F.col("band").alias("modelvariable"), F.col("time").alias("datetime"), "x.value")
+
+
+def sampled(grid: DataFrame, raster: Raster, stations: DataFrame, bands: list[str], start: str, end: str, day_column: str | None = None) -> DataFrame:
+    """Rows (name, time, band, value) of the cells that hold the stations; bands and period as ``sample_model`` takes them."""
     first, last = F.lit(start).cast("timestamp"), F.timestamp_micros(T.to_micros(F.lit(end).cast("timestamp")) + T.micros(raster.time_step))
-    wanted = grid.where((F.col("time") >= first) & (F.col("time") < last) & F.col("band").isin(sorted({b for b, _ in bands.values()})))
+    wanted = grid.where((F.col("time") >= first) & (F.col("time") < last) & F.col("band").isin(bands))
     if day_column:
         wanted = wanted.where(F.col(day_column).between(F.to_date(first), F.to_date(last)))
     row, column = raster.cell(F.col("lat").cast("double"), F.col("lon").cast("double"))
     cells = wanted.select("time", "band", F.col("value").cast("double").alias("value"), row.alias("row"), column.alias("column"))
     places = stations.dropna(subset=["lat", "lon"]).select("name", row.alias("row"), column.alias("column"))
-    found = cells.join(places, ["row", "column"])
-    kinds = F.array(*[F.when(F.col("band") == band, F.struct(F.lit(kind).alias("obstype"), units.convert(F.col("value"), unit, units.KINDS[kind][0]).alias("value"))) for kind, (band, unit) in bands.items()])
-    out = found.withColumn("x", F.explode(F.filter(kinds, lambda k: k.isNotNull())))
-    return out.select("name", "x.obstype", F.lit(modelname).alias("modelname"), F.col("band").alias("modelvariable"), F.col("time").alias("datetime"), "x.value")
+    return cells.join(places, ["row", "column"]).select("name", "time", "band", "value")
