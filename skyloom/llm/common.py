@@ -91,17 +91,26 @@ def _marks(column: str) -> tuple[Column, Column]:
     return F.pmod(h, F.lit(BLOOM_WORDS)), bit(50).bitwiseOR(bit(56))
 
 
-def _flagged(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """``df`` with ``_hit``: whether ``column`` may be among ``ids`` (one column); false only for those that are not.
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, or the first longer one that is no column of ``frames``."""
+    held = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def _flagged(df: DataFrame, column: str, ids: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with one more column, and its name: whether ``column`` may be among ``ids`` (one column); false only for those that are not.
 
     The filter is a broadcast table of at most ``BLOOM_WORDS`` rows however
     many ids there are; more ids let more others through.
     """
     (name,) = ids.columns
+    hit, at_word, held = (fresh(n, df) for n in ("_hit", "_word", "_bits"))
     word, bits = _marks(name)
-    words = ids.select(word.alias("_word"), bits.alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    words = ids.select(word.alias(at_word), bits.alias(held)).groupBy(at_word).agg(F.bit_or(held).alias(held))
     at, own = _marks(column)
-    return df.join(F.broadcast(words), at == F.col("_word"), "left").withColumn("_hit", F.coalesce(F.col(column).isNotNull() & (F.col("_bits").bitwiseAND(own) == own), F.lit(False))).drop("_word", "_bits")
+    return df.join(F.broadcast(words), at == F.col(at_word), "left").withColumn(hit, F.coalesce(F.col(column).isNotNull() & (F.col(held).bitwiseAND(own) == own), F.lit(False))).drop(at_word, held), hit
 
 
 def may_hold(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
@@ -109,8 +118,10 @@ def may_hold(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     (name,) = ids.columns
     known = small(ids)
     if known is not ids:
-        return df.join(known.withColumnRenamed(name, "_id"), F.col(column) == F.col("_id"), "left_semi")
-    return _flagged(df, column, ids).where("_hit").drop("_hit")
+        own = fresh("_id", df)
+        return df.join(known.withColumnRenamed(name, own), F.col(column) == F.col(own), "left_semi")
+    flagged, hit = _flagged(df, column, ids)
+    return flagged.where(F.col(hit)).drop(hit)
 
 
 def without(df: DataFrame, column: str, gone: DataFrame, every: DataFrame) -> DataFrame:
@@ -121,19 +132,20 @@ def without(df: DataFrame, column: str, gone: DataFrame, every: DataFrame) -> Da
     ``every`` and broadcast.  Only if those are too many, the rows it holds are
     shuffled; the others never are.
     """
-    (name,) = gone.columns
-    gone = gone.withColumnRenamed(name, "_gone")
-    known, same = small(gone), F.col(column) == F.col("_gone")
+    (name,), (own,) = gone.columns, every.columns
+    left, kept, stays = (fresh(n, df) for n in ("_gone", "_kept", "_stays"))
+    gone = gone.withColumnRenamed(name, left)
+    known, same = small(gone), F.col(column) == F.col(left)
     if known is not gone:
         return df.join(known, same, "left_anti")
-    (own,) = every.columns
-    mistaken = cut(_flagged(every.withColumnRenamed(own, "_kept"), "_kept", gone).where("_hit").select("_kept").distinct().join(gone, F.col("_kept") == F.col("_gone"), "left_anti"))
-    flagged = _flagged(df, column, gone)
+    asked, hit = _flagged(every.withColumnRenamed(own, kept), kept, gone)
+    mistaken = cut(asked.where(F.col(hit)).select(kept).distinct().join(gone, F.col(kept) == F.col(left), "left_anti"))
+    flagged, hit = _flagged(df, column, gone)
     few = small(mistaken)
     if few is not mistaken:
-        stays = flagged.join(few.withColumn("_stays", F.lit(True)), F.col(column) == F.col("_kept"), "left")
-        return stays.where(~F.col("_hit") | F.coalesce("_stays", F.lit(False))).select(df.columns)
-    return flagged.where("NOT _hit").select(df.columns).unionByName(flagged.where("_hit").select(df.columns).join(gone, same, "left_anti"))
+        marked = flagged.join(few.withColumn(stays, F.lit(True)), F.col(column) == F.col(kept), "left")
+        return marked.where(~F.col(hit) | F.coalesce(stays, F.lit(False))).select(df.columns)
+    return flagged.where(~F.col(hit)).select(df.columns).unionByName(flagged.where(F.col(hit)).select(df.columns).join(gone, same, "left_anti"))
 
 
 #: Spark's setting by which a query's shuffle files are deleted on all executors when the query ends.

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import folder
-from .common import components, cut, few, map_slices, may_hold, short_shuffles, small, table, without
+from .common import components, cut, few, fresh, map_slices, may_hold, short_shuffles, small, table, without
 from .shingles import Shingler, mix
 
 #: Ratio of the sizes at the two ends of a size group.
@@ -379,17 +379,18 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, shar
     try:
         with short_shuffles(docs.sparkSession):
             groups, classes = _grouped(docs, size, num, den, share, least, paths)
+        own, key, name, group = (fresh(n, docs) for n in ("_id", "_k", "_least", "_group"))
         every = groups.where("doc_id IS NOT NULL").select("doc_id")
-        repeated = cut(every.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"))
-        gone = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
+        repeated = cut(every.groupBy(F.col("doc_id").alias(own)).count().where("count > 1").select(own))
+        gone = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct())
         if repeated.isEmpty():
             return without(docs, "doc_id", gone, every)
         left = without(docs, "doc_id", cut(gone.union(repeated).distinct()), every)
-        keyed = may_hold(docs, "doc_id", repeated).join(small(repeated), F.col("doc_id") == F.col("_id"), "left_semi").withColumn("_k", _class_of(size)(F.col("text").cast("string")))
-        blank = keyed.where("_k IS NULL").drop("_k").dropDuplicates(["doc_id", "text"])
-        known = keyed.where("_k IS NOT NULL").dropDuplicates(["doc_id", "_k"])
-        known = known.join(classes.select(F.col("k").alias("_k"), F.col("least").alias("_least"), F.col("group").alias("_group")), "_k").where(F.col("doc_id") == F.col("_least"))
-        return cut(left.unionByName(blank).unionByName(known.dropDuplicates(["doc_id", "_group"]).select(*docs.columns)))
+        keyed = may_hold(docs, "doc_id", repeated).join(small(repeated), F.col("doc_id") == F.col(own), "left_semi").withColumn(key, _class_of(size)(F.col("text").cast("string")))
+        blank = keyed.where(F.col(key).isNull()).drop(key).dropDuplicates(["doc_id", "text"])
+        known = keyed.where(F.col(key).isNotNull()).dropDuplicates(["doc_id", key])
+        known = known.join(classes.select(F.col("k").alias(key), F.col("least").alias(name), F.col("group").alias(group)), key).where(F.col("doc_id") == F.col(name))
+        return cut(left.unionByName(blank).unionByName(known.dropDuplicates(["doc_id", group]).select(*docs.columns)))
     finally:
         _remove(docs.sparkSession, paths)
 

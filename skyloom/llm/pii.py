@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from functools import cache
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StructType
 
-from .common import BROADCAST_ROWS, cut, map_slices, map_whole_rows, table
+from .common import BROADCAST_ROWS, cut, fresh, map_slices, map_whole_rows, table
 
 KEY = b"surrogates-1"
 #: Rounds in which colliding surrogates are drawn again in the same form; in each later one they are longer by one more character.
@@ -48,6 +49,9 @@ TITLES = {
 }
 #: Words after which two capitalised words or more are a person's name, whatever they are.
 _CONTEXT = ["my name is", "my name's", "full name:", "name:", "signed by", "contact person:", "attn:", "mein name ist", "ich heiße", "je m'appelle", "mon nom est", "me llamo", "mi nombre es", "nombre:", "nom:"]
+#: Closings of a letter, before a line that is a name; and words that no person's name has there.
+_CLOSINGS = ["best regards", "kind regards", "warm regards", "regards", "sincerely", "yours sincerely", "yours truly", "yours faithfully", "best wishes", "mit freundlichen grüßen", "viele grüße", "cordialement", "bien à vous", "atentamente", "saludos cordiales", "un saludo"]
+_NO_PERSON = "The|Your|Our|All|Team|Customer|Support|Service|Services|Sales|Office|Department|Desk|Help|News|Group|Company|Press|From|To|Cc|Contact|Email|Mail|Write"
 _CALLED = ["call", "phone", "tel", "telephone", "fax", "mobile", "cell", "dial", "telefon", "téléphone", "teléfono", "llame al", "appelez le"]
 #: Letters that replace one another, by script and sound: a letter's class keeps the sound of a word.
 _CLASSES = ["bcdfghjklmnpqrstvwxz", "aeiouy", "àáâãäåèéêëìíîïòóôõöøùúûüæ", "çñðþ", "бвгджзклмнпрстфхцчшщ", "аеёиоуыэюя"]
@@ -71,6 +75,8 @@ PATTERNS = [
     ("secret", re.compile(r"(?<![A-Za-z0-9])(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])(?P<v>[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])"), None),
     ("email", re.compile(r"(?P<v>[A-Za-z0-9À-ɏ](?:[A-Za-z0-9À-ɏ._%+\-]*[A-Za-z0-9À-ɏ_%+\-])?@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24})(?![A-Za-z0-9])"), ("@",)),
     ("ipv4", re.compile(r"(?<![\d.])(?P<v>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\d]|\.\d)"), None),
+    ("ipv6", re.compile(r"(?<![\w:.])(?P<v>(?:[0-9A-Fa-f]{1,4}::?){2,7}[0-9A-Fa-f]{1,4})(?![\w:]|\.\d)"), None),
+    ("id", re.compile(r"(?i:\b(?:passport|reisepass|passeport|pasaporte|driver'?s licen[cs]e|national id|tax id|identity card|personalausweis)\b[ \t]*(?:(?:number|no|nr|num|id|is)\b\.?[ \t]*){0,2}[:#]?[ \t]*)(?P<v>(?=[A-Z]*\d)[A-Z0-9]{6,14})(?![\w-])"), ("pass", "pasaporte", "licen", "national id", "tax id", "identity card", "ausweis")),
     ("iban", re.compile(r"\b(?P<v>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)\b"), None),
     ("ssn", re.compile(r"(?<![\d-])(?P<v>\d{3}-\d{2}-\d{4})(?![\d-])"), None),
     ("phone", re.compile(r"(?<![\w+])(?P<v>\+\d{1,3}@(?:\(\d{1,4}\)@)?\d{2,4}(?:@\d{2,4}){1,4}|\(\d{3}\)@\d{3}[.\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\w])".replace("@", _BETWEEN)), None),
@@ -80,6 +86,8 @@ PATTERNS = [
     ("name", re.compile(rf"\b(?P<t>{'|'.join(_TITLE_GENDER)})\b\.?{_GAP}(?P<v>(?:{_SURNAME}|{_CAPITALS})(?:{_GAP}(?:{_SURNAME}|{_CAPITALS}))?)"), None),
     ("name", re.compile(rf"\b(?P<v>(?:{'|'.join(_GIVEN_GENDER)}){_GAP}{_SURNAME})\b"), None),
     ("name", re.compile(rf"\b(?P<v>(?:{'|'.join(n.upper() for n in _GIVEN_GENDER)}){_GAP}{_CAPITALS})\b"), None),
+    ("name", re.compile(rf"(?i:^|(?<=\n))[ \t]*(?i:{'|'.join(_CLOSINGS)}),?[ \t]*\r?\n[ \t]*(?P<v>(?!(?:{_NO_PERSON})\b){_SURNAME}(?:{_GAP}(?!(?:{_NO_PERSON})\b){_SURNAME}){{1,2}})[ \t]*(?=[\r\n,]|$)"), tuple(_CLOSINGS)),
+    ("name", re.compile(rf"(?<![\w-])(?P<v>(?!(?:{_NO_PERSON})\b){_SURNAME}(?:{_GAP}(?!(?:{_NO_PERSON})\b){_SURNAME}){{1,2}})(?=[ \t]*<\x00)"), ("@",)),
     ("name", re.compile(rf"\b(?i:{'|'.join(_CONTEXT)})\s*(?P<v>{_SURNAME}(?:{_GAP}{_SURNAME}){{1,2}})"), ("name", "nom", "signed by", "contact person", "attn", "heiße", "je m", "llamo")),
 ]
 _DIGIT = re.compile(r"\d")
@@ -124,6 +132,8 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
             value = m["v"]
             if kind == "iban" and not _iban_ok(value):
                 continue
+            if kind == "ipv6" and not _ipv6_ok(value):
+                continue
             if kind == "phone" and not 7 <= sum(c.isdigit() for c in value) <= 15:
                 continue
             if kind == "name":
@@ -169,6 +179,31 @@ def _iban_ok(value: str) -> bool:
     return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
 
+def _ipv6_ok(value: str) -> bool:
+    """An address with all groups, or with some left out and a digit in it (unlike scopes in program text)."""
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return False
+    return "::" not in value or any(c.isdigit() for c in value)
+
+
+def _groups(value: str, key: bytes, *tweak: object) -> str:
+    """A compressed IPv6 address with other digits, compressed too: its first digit, zero groups and all lengths stay, by a keyed permutation of this form."""
+    choice = [value[0]]
+    for before, c in zip(value, value[1:], strict=False):
+        choice.append(c if c == ":" or (before, c) == (":", "0") else "123456789abcdef" if before == ":" else "0123456789abcdef")
+    number, size = 0, 1
+    for c, x in zip(value, choice, strict=True):
+        number, size = number * len(x) + x.index(c), size * len(x)
+    form = "".join(x if len(x) == 1 else "x" if x[0] == "0" else "y" for x in choice)
+    number, out = permute(number, size, key, form, *tweak), []
+    for x in reversed(choice):
+        number, r = divmod(number, len(x))
+        out.append(x[r])
+    return "".join(reversed(out))
+
+
 def _refill(value: str, digits: str) -> str:
     """``value`` with its digits replaced one by one."""
     it = iter(digits)
@@ -237,6 +272,9 @@ def _draw(kind: str, value: str, key: bytes, attempt: int) -> str:
         while not plain and 2**24 <= out < 224 * 2**24:
             out = permute(out, 2**32, key, kind, plain, attempt)
         return ".".join(map(str, out.to_bytes(4, "big")))
+    if kind == "ipv6":
+        # where the forms are full, any global unicast address, spelt out
+        return _groups(value, key, kind, attempt) if not more else ipaddress.IPv6Address(2**125 + _hash(key, kind, value, attempt) % 2**125).exploded
     if kind == "iban":
         body = _letters(value[4:], key, kind, value[:2], attempt)
         check = 98 - int("".join(str(int(c, 36)) for c in body + value[:2] + "00")) % 97
@@ -264,6 +302,8 @@ def _canonical(kind: str, value: str) -> str:
         return ("+" if value.startswith("+") else "") + "".join(c for c in value if c in "0123456789")
     if kind == "iban":
         return value.replace(" ", "")
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(value).compressed
     if kind == "name" or kind.startswith("given"):
         return value.title() if value.isupper() else value
     return value
@@ -279,6 +319,8 @@ def _written(kind: str, value: str, made: str) -> str:
         return "".join(c if c == " " else next(it) for c in value)
     if kind == "email" and len(made) == len(value):
         return "".join(c.upper() if o.isupper() else c for c, o in zip(made, value, strict=True))
+    if kind == "ipv6":
+        return made.upper() if value.isupper() else made
     if kind in ("email", "name") or kind.startswith("given"):
         return made.upper() if value.isupper() else made
     return made
@@ -373,15 +415,17 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     found = cut(found_entities(docs))
     later = cut(collisions(found, key))
     rest = docs.drop("n_entities")
+    own_list = fresh("_later", rest)
     few = later.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     sent = None
     if few:
         sent = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["value"]): r["attempt"] for r in later.toLocalIterator()})
     else:
-        rest = cut(rest.withColumn("_row", F.monotonically_increasing_id()))
-        mentions = rest.select("_row", F.explode(_mentions()(F.col("text").cast("string"))).alias("e")).select("_row", "e.kind", "e.value").distinct()
-        listed = mentions.join(later, ["kind", "value"]).groupBy("_row").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_later"))
-        rest = rest.join(listed, "_row", "left").drop("_row")
+        row = fresh("_row", rest)
+        rest = cut(rest.withColumn(row, F.monotonically_increasing_id()))
+        mentions = rest.select(F.col(row).alias("row"), F.explode(_mentions()(F.col("text").cast("string"))).alias("e")).select("row", "e.kind", "e.value").distinct()
+        listed = mentions.join(later, ["kind", "value"]).groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("kind", "value", "attempt")).alias(own_list))
+        rest = rest.join(listed, row, "left").drop(row)
     out = StructType([f for f in docs.schema if f.name != "n_entities"]).add("n_entities", IntegerType())
     arrow = to_arrow_schema(out)
 
@@ -394,7 +438,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             if few:
                 rows = [_replace(t, sent.value, key, kept) for t in texts]
             else:
-                rows = [_replace(t, {(x["kind"], x["value"]): x["attempt"] for x in own or []}, key, {}) for t, own in zip(texts, columns["_later"].to_pylist(), strict=True)]
+                rows = [_replace(t, {(x["kind"], x["value"]): x["attempt"] for x in own or []}, key, {}) for t, own in zip(texts, columns[own_list].to_pylist(), strict=True)]
             columns |= {"text": pa.array([r[0] for r in rows], arrow.field("text").type), "n_entities": pa.array([r[1] for r in rows], pa.int32())}
             return pa.RecordBatch.from_arrays([columns[f.name] for f in arrow], schema=arrow)
 

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out accuracy, with the awkward inputs of each."""
 
 import hashlib
+import ipaddress
 import random
 import re
 import time
@@ -456,6 +457,51 @@ def test_pii_late_draws_are_longer():
     assert len(late) == 10_000 and all(re.fullmatch(r"\+352 \d\d \d{4}", x) for x in late)
 
 
+@pytest.mark.parametrize(
+    ("text", "values"),
+    [
+        ("host 2001:db8::1, and 2001:0db8:0:0:0:0:0:1 too", ["2001:db8::1", "2001:0db8:0:0:0:0:0:1"]),
+        ("at 12:30:45 in std::vector, a::b, dead::beef, 1:2:3", []),
+        ("passport C01X00T47; Passport No: AB1234567; pass the passport Please", ["C01X00T47", "AB1234567"]),
+        ("Bye.\nBest regards,\nOlaf Scholz\nwith Scholz's car", ["Olaf", "Scholz", "Scholz"]),
+        ("Kind regards,\nThe Team\n", []),
+        ("From: Priya Patel <p@x.org>, Customer Support <help@x.org>", ["Priya", "Patel", "p@x.org", "help@x.org"]),
+    ],
+)
+def test_pii_found_by_context(text, values):
+    found = pii.entities(text)
+    assert [v for *_, v in found] == values and all(text[a:b] == v for a, b, _, v in found)
+    out = pii._replace(text, {}, pii.KEY, {})[0]
+    assert not any(v in out for v in values)
+
+
+def test_pii_addresses_of_six():
+    """One address in two spellings is one entity; surrogates are addresses of the same form, distinct, and late ones are spelt out."""
+    out = pii._replace("host 2001:db8::1, and 2001:0db8:0:0:0:0:0:1 too, FE80::AB1", {}, pii.KEY, {})[0]
+    one, two, big = re.findall(r"[0-9A-Fa-f]*:[0-9A-Fa-f:]*", out)
+    assert one == two and re.fullmatch("2[0-9a-f]{3}:[1-9a-f][0-9a-f]{2}::[1-9a-f]", one) and re.fullmatch("F[0-9A-F]{3}::[0-9A-F]{3}", big)
+    made = {pii.surrogate("ipv6", f"2001::{i:x}:0:5") for i in range(1, 3000)}
+    assert len(made) == 2999 and all(str(ipaddress.IPv6Address(x)) == x and x.split(":")[-2] == "0" for x in made)
+    assert len(pii.surrogate("ipv6", "1::2:3", attempt=pii.ROUNDS + 1)) == 39
+
+
+@pytest.mark.parametrize("rows", [common.BROADCAST_ROWS, 0])
+def test_columns_with_clashing_names_pass_through(spark, monkeypatch, rows):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", rows)
+    names = ["_row", "_LATER", "_hit", "_word", "_bits", "_id", "_k", "_least", "_group", "_gone", "_kept", "_stays", "kind", "value"]
+    copies = "one two three four five six seven"
+    texts = [(1, copies), (2, copies), (3, "mail a@b.co, Mrs Alice Miller"), (3, "another text of the same id, long enough"), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, *[f"{n}{i}" for n in names]) for i, t in texts], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = jaccard.keep_one(docs).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3, 3, 4, 5] and all(r[n] == f"{n}{r.doc_id}" for r in kept for n in names)
+    out = pii.pseudonymise(docs)
+    assert out.columns == [*docs.columns, "n_entities"] and all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)
+    gone = spark.createDataFrame([(1,), (5,)], "g long")
+    left = common.without(docs, "doc_id", gone, docs.select("doc_id")).collect()
+    assert sorted(r.doc_id for r in left) == [2, 3, 3, 4] and all(r[n] == f"{n}{r.doc_id}" for r in left for n in names)
+
+
 @pytest.mark.parametrize("size", [10, 97, 1000])
 def test_pii_permutation(size):
     assert sorted(pii.permute(i, size, b"k") for i in range(size)) == list(range(size))
