@@ -121,3 +121,24 @@ def test_net_verdicts_by_hand(spark):
     assert verdicts(buddy.SafetyNet("category", 20_000, 9.0, 3), obs.where("name <> 'c'"))["a"] == (False, "category net: too few values (2 of 3)")
     assert verdicts(buddy.SafetyNet("category", 20_000, 9.0, 1))["e"] == (False, "category net: not saved (no spread)")
     assert not verdicts(buddy.SafetyNet("category", 20_000, 9.0, 1)).keys() ^ set("abcdefg") and buddy.net_verdicts(buddy.SafetyNet("category", 1.0, 1.0, 1), obs.limit(0), obs, where).count() == 0
+
+
+def chain_pairs(spark, n):
+    """Stations in a row, each a buddy of the two next to it: each waits for the one before."""
+    names = [f"{i:03d}" for i in range(n)]
+    near = [(a, b) for i, a in enumerate(names) for b in names[max(i - 2, 0) : i + 3] if a != b]
+    return near, spark.createDataFrame(near, "name string, buddy string")
+
+
+@pytest.mark.parametrize("block", [7, 50, 1 << 21])
+def test_groups_in_blocks(spark, block):
+    near, frame = chain_pairs(spark, 40)
+    assert sorted(map(tuple, buddy.groups(frame, block).collect())) == greedy(near)
+
+
+def test_groups_of_long_chains_take_few_rounds(spark, monkeypatch):
+    near, frame = chain_pairs(spark, 60)
+    steps = []
+    monkeypatch.setattr(buddy, "cut", lambda df, cut=buddy.cut: steps.append(1) or cut(df))
+    assert sorted(map(tuple, buddy.groups(frame).collect())) == greedy(near)
+    assert len(steps) < 10  # a round for each link of the chain took more than twenty
