@@ -129,3 +129,12 @@ def test_station_statistics(spark):
     }
     assert {r.qc_check: r.n_labeled for r in qc.station_statistics(out, ["gross_value"], []).collect()} == {"ok": 1, "gap": 2, "gross value outlier": 1}
     assert [r.datetime for r in qc.invalid_rows(rows.union(series(spark, [(4, None), (9, None)]))).orderBy("datetime", "name").collect()] == [at(1), at(9)]
+
+
+def test_window_variation_limit_is_rounded_once(spark):
+    """A spread that is exactly rate times seconds is no outlier, nor is one a last digit below it."""
+    limit = 0.0006 * 86400
+    assert limit != 0.0006 * 86400_000_000 / 1_000_000  # what the limit was
+    obs = series(spark, [(0, 0.0), (60, 1.0), (120, limit)])
+    found = lambda more: qc.windowed_outliers(obs.withColumn("value", F.when(F.col("value") == limit, limit + more).otherwise(F.col("value"))), qc.window_variation, "window_variation", "24h", regular=False, min_records=3, max_increase_per_second=0.0006, max_decrease_per_second=-0.0007).count()
+    assert found(0.0) == 0 and found(1e-9) == 3
