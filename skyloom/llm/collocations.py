@@ -6,7 +6,8 @@ phrase's hash bucket, filled in the pass before, reached the least count (PCY).
 In the same pass the phrases of k + 1 words whose two halves are still alive
 are counted into buckets for the next one (DHP).  Filters are bitmaps of fixed
 size, so what is broadcast doesn't grow with the corpus; a full bitmap lets more
-through to the exact count, never less.
+through to the exact count, never less.  Texts are cut into words once, in the
+first pass, which stores them as blocks of word numbers for the others.
 
 A piece is text between ``[.,;:!?\\x0A-\\x0D]``, words are ``[^\\x20\\x09]+`` in it,
 lower-cased over A-Z.
@@ -157,6 +158,26 @@ def _by_language(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[tupl
 
 
 _FOUND = "lang string, phrase binary, n long, chunk int, counts binary"
+#: What the first pass finds, and blocks of texts: ``n`` word numbers with the words and their hashes.
+_FIRST = _FOUND + ", names binary, hashes binary, numbers binary"
+
+
+def _with_blocks(found: pa.RecordBatch) -> pa.RecordBatch:
+    """Found rows with the columns of blocks, empty."""
+    return pa.RecordBatch.from_arrays([*found.columns, *[pa.nulls(found.num_rows, pa.binary())] * 3], names=[*found.schema.names, "names", "hashes", "numbers"])
+
+
+def _block(lang: str, words: Words, hashes: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
+    """Texts as the numbers ``t``, told anew among the words that occur here; the end of a piece stays 0."""
+    here = np.zeros(len(words.names), bool)
+    here[0] = here[t] = True
+    (own,) = np.nonzero(here)
+    place = np.zeros(len(here), "<i4")
+    place[own] = np.arange(len(own))
+    names = _MARK.join([words.names[i] for i in own[1:].tolist()])
+    numbers = pa.compress(place[t].tobytes(), codec="zstd", asbytes=True)
+    blobs = [pa.array([b], pa.binary()) for b in (names, hashes[own].astype("<u8").tobytes(), numbers)]
+    return pa.RecordBatch.from_arrays([pa.array([lang]), pa.nulls(1, pa.binary()), pa.array([len(t)], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), *blobs], names=["lang", "phrase", "n", "chunk", "counts", "names", "hashes", "numbers"])
 
 
 def _found(lang: str | None, phrases: list[bytes], n: list[int]) -> pa.RecordBatch:
@@ -170,7 +191,7 @@ def _filled(counters: Counters) -> Iterator[pa.RecordBatch]:
 
 
 def _first_pass(buckets: int, least: int, flush: int) -> Callable:
-    """Counts words, and pairs of words into buckets."""
+    """Counts words, and pairs of words into buckets; stores the texts as blocks of numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = Counters(buckets, least)
@@ -181,7 +202,7 @@ def _first_pass(buckets: int, least: int, flush: int) -> Callable:
                 for at in range(1, len(words.names), 50_000):
                     part = counts[at : at + 50_000]
                     (seen,) = np.nonzero(part)
-                    yield _found(lang, [words.names[at + i] for i in seen.tolist()], part[seen].tolist())
+                    yield _with_blocks(_found(lang, [words.names[at + i] for i in seen.tolist()], part[seen].tolist()))
             tables.clear()
 
         for lang, texts in _by_language(batches, flush):
@@ -190,33 +211,32 @@ def _first_pass(buckets: int, least: int, flush: int) -> Callable:
             new = np.bincount(t, minlength=len(words.names))
             new[: len(counts)] += counts
             tables[lang] = words, new
-            h = np.array(words.hashes, np.uint64)[t]
+            hashes = np.array(words.hashes, np.uint64)
+            yield _block(lang, words, hashes, t)
+            h = hashes[t]
             pairs = _longer(mix(h + _seed(lang)), h, 2)
             counters.add(pairs[(t[:-1] > 0) & (t[1:] > 0)])
             if sum(len(w) for w, _ in tables.values()) > VOCABULARY:
                 yield from handed_on()
         yield from handed_on()
-        yield from _filled(counters)
+        yield from map(_with_blocks, _filled(counters))
 
     return run
 
 
-def _next_pass(k: int, last: bool, full: Broadcast, shorter: Broadcast, buckets: int, least: int, flush: int) -> Callable:
-    """Counts phrases of k words that pass the filters, and those of k + 1 with two such parts into buckets."""
+def _next_pass(k: int, last: bool, full: Broadcast, shorter: Broadcast, buckets: int, least: int) -> Callable:
+    """Counts phrases of k words in blocks (lang, n, names, hashes, numbers) that pass the filters, and those of k + 1 with two such parts into buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = None if last else Counters(buckets, least)
         full_bits, shorter_bits = np.unpackbits(full.value).view(bool), np.unpackbits(shorter.value).view(bool)
         low = np.uint64(buckets - 1)
-        tables: dict[str, Words] = {}
-        for lang, texts in _by_language(batches, flush):
-            if sum(map(len, tables.values())) > VOCABULARY:
-                tables.clear()
-            words = tables.setdefault(lang, Words())
-            t = words.numbers(texts)
-            if len(t) < k:
+        for lang, size, blob, hashes, numbers in (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            if size < k:
                 continue
-            one = np.array(words.hashes, np.uint64)[t]
+            t = np.frombuffer(pa.decompress(numbers, 4 * size, codec="zstd"), "<i4").astype(np.int64)
+            names = [_MARK, *blob.split(_MARK)]
+            one = np.frombuffer(hashes, "<u8")[t]
             h = mix(one + _seed(lang))
             for j in range(2, k):
                 h = _longer(h, one, j)
@@ -233,13 +253,13 @@ def _next_pass(k: int, last: bool, full: Broadcast, shorter: Broadcast, buckets:
                 both = both[at[both] + k + 1 <= end[np.searchsorted(end, at[both])]]
                 counters.add(mix(own[both] * _PRIME + one[at[both] + k]))
             # numbers of words as digits: no two phrases of a language have the same key
-            key, digit, bound = np.zeros(len(at), np.int64), len(words.names), 1
+            key, digit, bound = np.zeros(len(at), np.int64), len(names), 1
             for j in range(k):
                 if bound * digit >= 1 << 62:
                     key, bound = np.unique(key, return_inverse=True)[1], len(at)
                 key, bound = key * digit + t[at + j], bound * digit
             _, first, n = np.unique(key, return_index=True, return_counts=True)
-            names, place = words.names, at[first]
+            place = at[first]
             for i in range(0, len(place), 50_000):
                 cols = [t[place[i : i + 50_000] + j].tolist() for j in range(k)]
                 yield _found(lang, [b" ".join([names[w] for w in row]) for row in zip(*cols, strict=True)], n[i : i + 50_000].tolist())
@@ -280,14 +300,15 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     """
     if buckets & (buckets - 1) or buckets < 8:
         raise ValueError("buckets must be a power of two, 8 at least")
-    found = cut(small_batches(docs).mapInArrow(_first_pass(buckets, least, flush), _FOUND))
+    found = cut(small_batches(docs).mapInArrow(_first_pass(buckets, least, flush), _FIRST))
+    blocks = small_batches(found.where("numbers IS NOT NULL").select("lang", "n", "names", "hashes", "numbers"))
     words = cut(_counted(found))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     levels = [words.where(F.col("f") >= least)]
     for k in range(2, longest + 1):
         full = _bitmap(found.where("chunk IS NOT NULL").select("chunk", "counts"), buckets, least)
         shorter = _bitmap(_hashed(levels[-1], buckets, least), buckets, least)
-        found = cut(small_batches(docs).mapInArrow(_next_pass(k, k == longest, full, shorter, buckets, least, flush), _FOUND))
+        found = cut(blocks.mapInArrow(_next_pass(k, k == longest, full, shorter, buckets, least), _FOUND))
         levels.append(cut(_counted(found).where(F.col("f") >= least)))
         full.destroy()
         shorter.destroy()

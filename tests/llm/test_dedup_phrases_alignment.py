@@ -194,3 +194,22 @@ def test_cuts_are_where_nothing_merges():
     assert both.segments("a b") == ["a", "b"] and both.segments(" a  b\n c ") == [" a", " b\n c", ""]
     with pytest.raises(ValueError, match="byte-level"):
         token_alignment.TwoTokenizers(public_tokenizers.path("word_bpe_49k.json"), token_alignment.vocabularies()[1])
+
+
+def test_first_pass_stores_texts_as_word_numbers():
+    """Later passes read blocks of numbers, so texts are cut into words once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from skyloom.llm import collocations as c
+
+    texts = [b"A b, a\tB. \xc3\xa4", b"", b"c", b"b b\n\nc"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"] * 4), pa.array(texts, pa.binary())], names=["lang", "text"])
+    blocks = [row for out in c._first_pass(64, 2, 12)(iter([batch])) for row in out.to_pylist() if row["numbers"] is not None]
+    words = []
+    for row in blocks:
+        t = np.frombuffer(pa.decompress(row["numbers"], 4 * row["n"], codec="zstd"), "<i4").tolist()
+        names = [b"|", *row["names"].split(c._MARK)]
+        assert len(row["hashes"]) == 8 * len(names) and row["lang"] == "x" and row["phrase"] is None and row["chunk"] is None
+        words += [names[i] for i in t]
+    assert len(blocks) > 1 and b" ".join(words) == b"a b | a b | \xc3\xa4 | c | b b | | c |"
