@@ -9,6 +9,10 @@ size, so what is broadcast doesn't grow with the corpus; a full bitmap lets more
 through to the exact count, never less.  Texts are cut into words once, in the
 first pass, which stores them as blocks of word numbers for the others.
 
+Counts of buckets and of phrases travel together, one row for each task and
+part of the hashes, not one for each phrase: a part's rows meet in one task,
+which sums both and knows the part's bits of the two next filters.
+
 A piece is text between ``[.,;:!?\\x0A-\\x0D]``, words are ``[^\\x20\\x09]+`` in it,
 lower-cased over A-Z.
 """
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +29,8 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..checkpoints import cut
 from .common import small, small_batches, table
@@ -37,8 +44,10 @@ LONGEST = 5
 TOP = 2000
 #: Hash buckets of each pass, a power of two: 2 MB as a bitmap.
 BUCKETS = 1 << 24
-#: Counters that travel together.
+#: Counters that travel together, and the phrases whose hashes fall on them; their places fit into two bytes.
 CHUNK = 1 << 16
+#: Phrases that a task gathers, or sums in a chunk; then it hands their counts on and starts anew.
+HELD = 1 << 19
 #: Bytes of text a task works on at once.
 FLUSH_BYTES = 8 << 20
 #: Words a task numbers; then it hands their counts on and starts anew.
@@ -49,6 +58,7 @@ SALTS = 16
 #: Fixed values of the contract: what ends a piece, and what parts words.
 _ENDS, _TAB = b".,;:!?\n\x0b\x0c\r", b"\t"
 _MARK = b"\xff"  # stands in no UTF-8 text
+_AFTER_LANG = b"\xfe"  # nor does this
 _TABLE = bytes.maketrans(_ENDS + _TAB, _MARK * len(_ENDS) + b" ")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,48 +108,116 @@ class Counters:
         for number, part in enumerate(self.counts.reshape(-1, size)):
             (at,) = np.nonzero(part)
             if len(at):
-                yield number, at.astype("<u4").tobytes() + part[at].astype("<u4").tobytes()
+                yield number, at.astype("<u2").tobytes() + part[at].tobytes()
+
+
+class Phrases:
+    """Phrases of one task with counts and hashes, until they are handed on in rows."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.names, self.n, self.hashes = buckets, [], [], []
+
+    def add(self, lang: str, phrases: list[bytes], n: np.ndarray, hashes: np.ndarray) -> None:
+        before = lang.encode() + _AFTER_LANG
+        self.names += [before + p for p in phrases]
+        self.n.append(n.astype("<i8"))
+        self.hashes.append(hashes)
+
+    def rows(self, columns: list[str]) -> Iterator[pa.RecordBatch]:
+        """One row for each chunk of buckets on which phrases fall; afterwards none are held."""
+        if not self.names:
+            return
+        n, chunk = np.concatenate(self.n), (np.concatenate(self.hashes) & np.uint64(self.buckets - 1)) // np.uint64(min(CHUNK, self.buckets))
+        order = np.argsort(chunk, kind="stable")
+        numbers, first = np.unique(chunk[order], return_index=True)
+        parts = np.split(order, first[1:])
+        blobs = [_MARK.join([self.names[i] for i in part.tolist()]) for part in parts]
+        yield _batch(columns, chunk=numbers.astype(np.int32), phrases=blobs, counts=[n[part].tobytes() for part in parts])
+        self.names, self.n, self.hashes = [], [], []
+
 
+_TYPES = {"chunk": pa.int32(), "filled": pa.binary(), "phrases": pa.binary(), "counts": pa.binary(), "lang": pa.string(), "n": pa.int64(), "names": pa.binary(), "hashes": pa.binary(), "numbers": pa.binary()}
+#: What a pass finds: counts of buckets, and phrases with theirs.
+_FOUND = ["chunk", "filled", "phrases", "counts"]
+#: Blocks of texts: ``n`` word numbers with the words and their hashes.
+_BLOCK = ["lang", "n", "names", "hashes", "numbers"]
+_FIRST = _FOUND + _BLOCK
 
-def _merged(chunks: DataFrame, buckets: int, least: int) -> DataFrame:
-    """Counts of (chunk, counts) summed, first over parts of the tasks, then over all."""
-    size = min(CHUNK, buckets)
+
+def _schema(columns: list[str]) -> StructType:
+    return from_arrow_schema(pa.schema([(c, _TYPES[c]) for c in columns]))
+
+
+def _batch(columns: list[str], **held) -> pa.RecordBatch:
+    """Rows with these columns, null where nothing is given."""
+    m = len(next(iter(held.values())))
+    return pa.RecordBatch.from_arrays([pa.array(held[c], _TYPES[c]) if c in held else pa.nulls(m, _TYPES[c]) for c in columns], names=columns)
+
+
+def _summed(found: DataFrame, buckets: int, least: int) -> DataFrame:
+    """Counts of chunks summed, each chunk in one task: rows (lang, phrase, n), (lang, n) of all phrases, and (chunk, full, alive).
+
+    ``full`` are the bits of buckets that reached the least count, ``alive``
+    those of frequent phrases.  Of a chunk with more than ``HELD`` phrases all
+    are handed on with their counts so far, and their bits are set.
+    """
+    size, low = min(CHUNK, buckets), np.uint64(buckets - 1)
+    item = Counters(8, least).counts.dtype
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at, n = np.frombuffer(blob, "<u4").reshape(2, -1)
-                if number not in total:
-                    total[number] = np.zeros(size, np.uint32)
-                total[number][at] = np.minimum(total[number][at] + n, least)
-        for number, counts in total.items():
-            (at,) = np.nonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([at.astype("<u4").tobytes() + counts[at].astype("<u4").tobytes()], pa.binary())], names=["chunk", "counts"])
-
-    n = min(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // size)
-    part = small_batches(chunks.repartition(4 * n, "chunk", F.spark_partition_id() % 16)).mapInArrow(run, "chunk int, counts binary")
-    return small_batches(part.repartition(n, "chunk")).mapInArrow(run, "chunk int, counts binary")
-
-
-def _bitmap(chunks: DataFrame, buckets: int, least: int) -> Broadcast:
-    """The buckets that reached the least count, one bit each, as a broadcast of ``buckets`` / 8 bytes."""
-    size = min(CHUNK, buckets)
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for blob in batch.column(1).to_pylist():
-                at, n = np.frombuffer(blob, "<u4").reshape(2, -1)
-                full = np.zeros(size, bool)
-                full[at[n >= least]] = True
-                out.append(np.packbits(full).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["chunk", "bits"])
-
-    whole = np.zeros(buckets // 8, np.uint8)
-    for row in _merged(chunks, buckets, least).mapInArrow(bits, "chunk int, bits binary").toLocalIterator():
-        whole[row.chunk * size // 8 : (row.chunk + 1) * size // 8] = np.frombuffer(row.bits, np.uint8)
-    return chunks.sparkSession.sparkContext.broadcast(whole)
+        words: dict[str, int] = {}
+        n: dict[bytes, int] = {}
+
+        def handed_on(alive: np.ndarray, from_: int) -> Iterator[pa.RecordBatch]:
+            by: dict[str, list[bytes]] = {}
+            for key, count in n.items():
+                lang = key[: key.index(_AFTER_LANG)].decode()
+                words[lang] = words.get(lang, 0) + count
+                if count >= from_:
+                    by.setdefault(lang, []).append(key)
+            for lang, keys in by.items():
+                for i in range(0, len(keys), 50_000):
+                    phrases = [key[len(lang.encode()) + 1 :] for key in keys[i : i + 50_000]]
+                    alive[_hashes(lang, phrases) & low & np.uint64(size - 1)] = True
+                    yield _result([lang] * len(phrases), phrases, [n[key] for key in keys[i : i + 50_000]])
+            n.clear()
+
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for number, of_chunk in groupby(rows, lambda row: row[0]):
+            total, alive, from_ = np.zeros(size, np.uint32), np.zeros(size, bool), least
+            for _, filled, phrases, counts in of_chunk:
+                if filled is not None:
+                    m = len(filled) // (2 + item.itemsize)
+                    at = np.frombuffer(filled, "<u2", m)
+                    total[at] = np.minimum(total[at] + np.frombuffer(filled, item, m, 2 * m), least)
+                    continue
+                for key, count in zip(phrases.split(_MARK), np.frombuffer(counts, "<i8").tolist(), strict=True):
+                    n[key] = n.get(key, 0) + count
+                if len(n) > HELD:
+                    from_ = 0
+                    yield from handed_on(alive, from_)
+            yield from handed_on(alive, from_)
+            yield _result([None], [None], [None], [number], [np.packbits(total >= least).tobytes()], [np.packbits(alive).tobytes()])
+        yield _result(list(words), [None] * len(words), list(words.values()))
+
+    n = min(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // size)
+    dealt = found.select(*_FOUND).repartition(n, "chunk").sortWithinPartitions("chunk")
+    return small_batches(dealt).mapInArrow(run, "lang string, phrase binary, n long, chunk int, full binary, alive binary")
+
+
+def _result(lang: list, phrase: list, n: list, chunk: list | None = None, full: list | None = None, alive: list | None = None) -> pa.RecordBatch:
+    rest = [pa.nulls(len(lang), t) if c is None else pa.array(c, t) for c, t in ((chunk, pa.int32()), (full, pa.binary()), (alive, pa.binary()))]
+    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()), pa.array(n, pa.int64()), *rest], names=["lang", "phrase", "n", "chunk", "full", "alive"])
+
+
+def _bitmaps(summed: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bits ``full`` and ``alive`` of all chunks, ``buckets`` / 8 bytes each."""
+    size = min(CHUNK, buckets) // 8
+    full, alive = np.zeros(buckets // 8, np.uint8), np.zeros(buckets // 8, np.uint8)
+    for row in summed.where("chunk IS NOT NULL").select("chunk", "full", "alive").collect():
+        at = slice(row.chunk * size, (row.chunk + 1) * size)
+        full[at], alive[at] = np.frombuffer(row.full, np.uint8), np.frombuffer(row.alive, np.uint8)
+    return full, alive
 
 
 def _by_language(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[tuple[str, list[bytes]]]:
@@ -157,16 +235,6 @@ def _by_language(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[tupl
     yield from held.items()
 
 
-_FOUND = "lang string, phrase binary, n long, chunk int, counts binary"
-#: What the first pass finds, and blocks of texts: ``n`` word numbers with the words and their hashes.
-_FIRST = _FOUND + ", names binary, hashes binary, numbers binary"
-
-
-def _with_blocks(found: pa.RecordBatch) -> pa.RecordBatch:
-    """Found rows with the columns of blocks, empty."""
-    return pa.RecordBatch.from_arrays([*found.columns, *[pa.nulls(found.num_rows, pa.binary())] * 3], names=[*found.schema.names, "names", "hashes", "numbers"])
-
-
 def _block(lang: str, words: Words, hashes: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
     """Texts as the numbers ``t``, told anew among the words that occur here; the end of a piece stays 0."""
     here = np.zeros(len(words.names), bool)
@@ -176,34 +244,28 @@ def _block(lang: str, words: Words, hashes: np.ndarray, t: np.ndarray) -> pa.Rec
     place[own] = np.arange(len(own))
     names = _MARK.join([words.names[i] for i in own[1:].tolist()])
     numbers = pa.compress(place[t].tobytes(), codec="zstd", asbytes=True)
-    blobs = [pa.array([b], pa.binary()) for b in (names, hashes[own].astype("<u8").tobytes(), numbers)]
-    return pa.RecordBatch.from_arrays([pa.array([lang]), pa.nulls(1, pa.binary()), pa.array([len(t)], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), *blobs], names=["lang", "phrase", "n", "chunk", "counts", "names", "hashes", "numbers"])
-
+    return _batch(_FIRST, lang=[lang], n=[len(t)], names=[names], hashes=[hashes[own].astype("<u8").tobytes()], numbers=[numbers])
 
-def _found(lang: str | None, phrases: list[bytes], n: list[int]) -> pa.RecordBatch:
-    m = len(phrases)
-    return pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), pa.array(phrases, pa.binary()), pa.array(n, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=["lang", "phrase", "n", "chunk", "counts"])
 
-
-def _filled(counters: Counters) -> Iterator[pa.RecordBatch]:
-    for number, blob in counters.chunks():
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([number], pa.int32()), pa.array([blob], pa.binary())], names=["lang", "phrase", "n", "chunk", "counts"])
+def _filled(counters: Counters, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    chunks = list(counters.chunks())
+    if chunks:
+        yield _batch(columns, chunk=[number for number, _ in chunks], filled=[blob for _, blob in chunks])
 
 
 def _first_pass(buckets: int, least: int, flush: int) -> Callable:
     """Counts words, and pairs of words into buckets; stores the texts as blocks of numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = Counters(buckets, least)
+        counters, phrases = Counters(buckets, least), Phrases(buckets)
         tables: dict[str, tuple[Words, np.ndarray]] = {}
 
         def handed_on():
             for lang, (words, counts) in tables.items():
-                for at in range(1, len(words.names), 50_000):
-                    part = counts[at : at + 50_000]
-                    (seen,) = np.nonzero(part)
-                    yield _with_blocks(_found(lang, [words.names[at + i] for i in seen.tolist()], part[seen].tolist()))
+                seen = np.flatnonzero(counts[1:]) + 1
+                phrases.add(lang, [words.names[i] for i in seen.tolist()], counts[seen], mix(np.array(words.hashes, np.uint64)[seen] + _seed(lang)))
             tables.clear()
+            yield from phrases.rows(_FIRST)
 
         for lang, texts in _by_language(batches, flush):
             words, counts = tables.get(lang, (Words(), np.zeros(0, np.int64)))
@@ -219,7 +281,7 @@ def _first_pass(buckets: int, least: int, flush: int) -> Callable:
             if sum(len(w) for w, _ in tables.values()) > VOCABULARY:
                 yield from handed_on()
         yield from handed_on()
-        yield from map(_with_blocks, _filled(counters))
+        yield from _filled(counters, _FIRST)
 
     return run
 
@@ -228,7 +290,7 @@ def _next_pass(k: int, last: bool, full: Broadcast, shorter: Broadcast, buckets:
     """Counts phrases of k words in blocks (lang, n, names, hashes, numbers) that pass the filters, and those of k + 1 with two such parts into buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = None if last else Counters(buckets, least)
+        counters, phrases = None if last else Counters(buckets, least), Phrases(buckets)
         full_bits, shorter_bits = np.unpackbits(full.value).view(bool), np.unpackbits(shorter.value).view(bool)
         low = np.uint64(buckets - 1)
         for lang, size, blob, hashes, numbers in (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
@@ -261,36 +323,25 @@ def _next_pass(k: int, last: bool, full: Broadcast, shorter: Broadcast, buckets:
             _, first, n = np.unique(key, return_index=True, return_counts=True)
             place = at[first]
             for i in range(0, len(place), 50_000):
-                cols = [t[place[i : i + 50_000] + j].tolist() for j in range(k)]
-                yield _found(lang, [b" ".join([names[w] for w in row]) for row in zip(*cols, strict=True)], n[i : i + 50_000].tolist())
+                some = slice(i, i + 50_000)
+                cols = [t[place[some] + j].tolist() for j in range(k)]
+                phrases.add(lang, [b" ".join([names[w] for w in row]) for row in zip(*cols, strict=True)], n[some], own[first[some]])
+                if len(phrases.names) > HELD:
+                    yield from phrases.rows(_FOUND)
+        yield from phrases.rows(_FOUND)
         if counters:
-            yield from _filled(counters)
+            yield from _filled(counters, _FOUND)
 
     return run
 
 
-def _hashed(frequent: DataFrame, buckets: int, least: int) -> DataFrame:
-    """Rows (chunk, counts) in which the buckets of the phrases are full."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = Counters(buckets, least)
-        for batch in batches:
-            at = []
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h, *more = (np.array([xxhash.xxh64_intdigest(w)], np.uint64) for w in phrase.split(b" "))
-                h = mix(h + _seed(lang))
-                for w in more:
-                    h = mix(h * _PRIME + w)
-                at.append(int(h[0]) & buckets - 1)
-            counters.counts[np.array(at, np.int64)] = least
-        for number, blob in counters.chunks():
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([blob], pa.binary())], names=["chunk", "counts"])
-
-    return small_batches(frequent.select("lang", "phrase")).mapInArrow(run, "chunk int, counts binary")
-
-
-def _counted(found: DataFrame) -> DataFrame:
-    return found.where("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+def _hashes(lang: str, phrases: list[bytes]) -> np.ndarray:
+    """Hashes of phrases that have equally many words."""
+    words = np.array([xxhash.xxh64_intdigest(w) for p in phrases for w in p.split(b" ")], np.uint64).reshape(len(phrases), -1)
+    h = mix(words[:, 0] + _seed(lang))
+    for more in words.T[1:]:
+        h = mix(h * _PRIME + more)
+    return h
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, buckets: int = BUCKETS, flush: int = FLUSH_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -300,20 +351,22 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     """
     if buckets & (buckets - 1) or buckets < 8:
         raise ValueError("buckets must be a power of two, 8 at least")
-    found = cut(small_batches(docs).mapInArrow(_first_pass(buckets, least, flush), _FIRST))
-    blocks = small_batches(found.where("numbers IS NOT NULL").select("lang", "n", "names", "hashes", "numbers"))
-    words = cut(_counted(found))
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    levels = [words.where(F.col("f") >= least)]
-    for k in range(2, longest + 1):
-        full = _bitmap(found.where("chunk IS NOT NULL").select("chunk", "counts"), buckets, least)
-        shorter = _bitmap(_hashed(levels[-1], buckets, least), buckets, least)
-        found = cut(blocks.mapInArrow(_next_pass(k, k == longest, full, shorter, buckets, least), _FOUND))
-        levels.append(cut(_counted(found).where(F.col("f") >= least)))
-        full.destroy()
-        shorter.destroy()
-        if levels[-1].isEmpty():
+    context = docs.sparkSession.sparkContext
+    stored = cut(small_batches(docs).mapInArrow(_first_pass(buckets, least, flush), _schema(_FIRST)))
+    blocks = small_batches(stored.where("numbers IS NOT NULL").select(*_BLOCK))
+    found, filters, levels, totals = stored.where("chunk IS NOT NULL"), [], [], None
+    for k in range(1, longest + 1):
+        summed = cut(_summed(found, buckets, least))
+        for used in filters:
+            used.destroy()
+        if k == 1:
+            totals = summed.where("lang IS NOT NULL AND phrase IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
+        levels.append(summed.where("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
+        full, alive = _bitmaps(summed, buckets)
+        if k == longest or not (full.any() and alive.any()):
             break
+        filters = [context.broadcast(full), context.broadcast(alive)]
+        found = blocks.mapInArrow(_next_pass(k + 1, k + 1 == longest, *filters, buckets, least), _schema(_FOUND))
     every = reduce(DataFrame.unionByName, [level.select("lang", F.lit(k).alias("k"), "phrase", "f") for k, level in enumerate(levels, 1)])
     return cut(every), cut(totals)
 

@@ -105,6 +105,19 @@ def test_collocations_equal_plain_counts(spark, monkeypatch, buckets, flush, voc
     assert sorted(map(tuple, got.collect())) == plain_collocations(rows, 7, 25)
 
 
+@pytest.mark.parametrize("held", [3, 1 << 19])
+def test_counts_of_many_phrases_travel_in_few_rows(spark, monkeypatch, held):
+    """A task's rows are as many as chunks, not as phrases; chunks with more phrases than are held hand on parts of counts, which are summed."""
+    from skyloom.checkpoints import cut
+
+    monkeypatch.setattr(collocations, "HELD", held)
+    rows, made = phrases(5), []
+    monkeypatch.setattr(collocations, "cut", lambda df: made.append(cut(df)) or made[-1])
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    assert sorted(map(tuple, collocations.collocations(docs, least=7, buckets=8).collect())) == plain_collocations(rows, 7, 2000)
+    assert made[0].where("numbers IS NULL").count() <= 4  # two parts, each with a row of words and one of buckets
+
+
 def test_scores_pass_64_bits(spark):
     big = 9 * 10**14
     phrases = spark.createDataFrame([("en", 1, b"a", big), ("en", 1, b"b", big + 1), ("en", 2, b"a b", big - 3)], "lang string, k int, phrase binary, f long")
