@@ -63,23 +63,28 @@ def nearest_records(gaps: DataFrame, obs: DataFrame, n_leading: int, n_trailing:
     the gap (inclusive).  Records are numbered in their series, so gaps meet
     them by number, not by time.
     """
-    spans = _spans(gaps)
+    return _nearest(gaps, obs, n_leading, n_trailing, max_lead, max_trail).select(*GAP, "side", "datetime", "value")
+
+
+def _nearest(gaps: DataFrame, obs: DataFrame, n_leading: int, n_trailing: int, max_lead: str | None, max_trail: str | None) -> DataFrame:
+    """``nearest_records`` with the gap's first and last stamp, gap_lo and gap_hi."""
+    ends = ["gap_lo", "gap_hi"]
     valid = obs.where("value IS NOT NULL").select(*KEY, "datetime", "value", _us().alias("ts"))
-    marks = spans.select(*GAP, F.explode(F.array(F.struct(F.lit("lead").alias("side"), (F.col("gap_lo") - 1).alias("ts")), F.struct(F.lit("trail").alias("side"), F.col("gap_hi").alias("ts")))).alias("m")).select(*GAP, "m.*")
-    numbered = scan.numbered(valid, KEY, "number").withColumn("ts", _us())
+    marks = _spans(gaps).select(*GAP, *ends, F.explode(F.array(F.struct(F.lit("lead").alias("side"), (F.col("gap_lo") - 1).alias("ts")), F.struct(F.lit("trail").alias("side"), F.col("gap_hi").alias("ts")))).alias("m")).select(*GAP, *ends, "m.*")
+    numbered = cut(scan.numbered(valid, KEY, "number").withColumn("ts", _us()))
     # how many records lie up to each mark: those of earlier pieces, and of its own
     both = scan.in_pieces(numbered.select(*KEY, "datetime", "number").unionByName(marks.withColumn("datetime", T.to_timestamp(F.col("ts"))).drop("ts"), allowMissingColumns=True))
     own = F.max("number").over(scan.rows_of(KEY).orderBy("ts", F.col("number").isNull()).rowsBetween(Window.unboundedPreceding, 0))
     carried = scan.with_carry(both.withColumn("_own", own), KEY, {"_last": F.max("number")}, {"_before": F.max("_last").over(scan.earlier(KEY))})
-    seen = carried.where("side IS NOT NULL").withColumn("seen", F.coalesce("_own", "_before", F.lit(0).cast("long"))).select(*GAP, "side", "seen")
+    seen = carried.where("side IS NOT NULL").withColumn("seen", F.coalesce("_own", "_before", F.lit(0).cast("long"))).select(*GAP, *ends, "side", "seen")
     lead = F.col("side") == "lead"
     wanted = F.when(lead, F.sequence(F.col("seen") - (n_leading - 1), F.col("seen"))).otherwise(F.sequence(F.col("seen") + 1, F.col("seen") + n_trailing))
-    found = seen.select(*GAP, "side", F.explode(wanted).alias("number")).join(numbered, [*KEY, "number"]).join(spans.select(*GAP, "gap_lo", "gap_hi"), GAP)
+    found = seen.select(*GAP, *ends, "side", F.explode(wanted).alias("number")).join(numbered, [*KEY, "number"])
     if max_lead:
         found = found.where(~lead | (F.col("gap_lo") - F.col("ts") <= T.micros(max_lead)))
     if max_trail:
         found = found.where(lead | (F.col("ts") - F.col("gap_hi") <= T.micros(max_trail)))
-    return found.select(*GAP, "side", "datetime", "value")
+    return found.select(*GAP, *ends, "side", "datetime", "value")
 
 
 def _anchored(gaps: DataFrame, obs: DataFrame, n_leading: int, n_trailing: int, max_lead: str | None, max_trail: str | None) -> DataFrame:
@@ -266,19 +271,19 @@ def _between(method: str, x: Column, t: list[Column], v: list[Column], i: int) -
 
 def _interpolate_anchors(gaps, obs, method, order, max_gap, n_leading, n_trailing, max_lead, max_trail, smoothing) -> DataFrame:
     """Interpolation by all anchors of a gap; a gap is one row until its stamps are written."""
-    near = nearest_records(gaps, obs, n_leading, n_trailing, max_lead, max_trail)
-    spans = _spans(gaps).select(*GAP, "gap_lo", "gap_hi")
-    sides = near.groupBy(*GAP).agg(F.count_if(F.col("side") == "lead").alias("nl"), F.count_if(F.col("side") == "trail").alias("nt"), F.array_sort(F.collect_list(F.struct(_us().alias("t"), F.col("value").cast("double").alias("v")))).alias("known"))
+    near = _nearest(gaps, obs, n_leading, n_trailing, max_lead, max_trail)
+    sides = near.groupBy(*GAP, "gap_lo", "gap_hi").agg(F.count_if(F.col("side") == "lead").alias("nl"), F.count_if(F.col("side") == "trail").alias("nt"), F.array_sort(F.collect_list(F.struct(_us().alias("t"), F.col("value").cast("double").alias("v")))).alias("known"))
     # fewer points than the order needs lower it for cubicspline, and fail else
-    native = method in (*LOCAL, *WHOLE)
-    enough = native or n_leading + n_trailing > order or method == "cubicspline"
+    # a spline of one piece is the polynomial through all anchors
+    native = method in (*LOCAL, *WHOLE) or method in SPLINES and n_leading + n_trailing <= order + 1
+    enough = method in (*LOCAL, *WHOLE) or n_leading + n_trailing > order or method == "cubicspline"
     fits = F.lit(enough) & (F.col("nl") >= n_leading) & (F.col("nt") >= n_trailing) & (F.col("gap_hi") - F.col("gap_lo") <= T.micros(max_gap))
-    known = spans.join(sides, GAP, "left").select(*GAP, F.when(fits, F.col("known")).alias("known"))
+    known = sides.where(fits).select(*GAP, "known")
     if native:
-        rows = gaps.select(*GAP, "datetime").join(known, GAP)
+        rows = gaps.select(*GAP, "datetime").join(known, GAP, "left")
         seconds = lambda us: (us - F.col("known")[0]["t"]) / T.SECOND
         points = range(n_leading + n_trailing)
-        done = rows.withColumn("value", F.when(F.col("known").isNotNull(), _between(method, seconds(_us()), [seconds(F.col("known")[i]["t"]) for i in points], [F.col("known")[i]["v"] for i in points], n_leading - 1)))
+        done = rows.withColumn("value", F.when(F.col("known").isNotNull(), _between(method if method in LOCAL else WHOLE[0], seconds(_us()), [seconds(F.col("known")[i]["t"]) for i in points], [F.col("known")[i]["v"] for i in points], n_leading - 1)))
     else:
 
         @F.pandas_udf("array<double>")
@@ -288,7 +293,7 @@ def _interpolate_anchors(gaps, obs, method, order, max_gap, n_leading, n_trailin
             return pd.Series([None if x is None else curve((x - x[0]) / 1e6, y, (z - x[0]) / 1e6) for x, y, z in zip(t, v, at, strict=True)])
 
         # stamps are gathered of gaps that fit, which max_gap bounds
-        fitting = gaps.select(*GAP, "datetime").join(known.where("known IS NOT NULL"), GAP)
+        fitting = gaps.select(*GAP, "datetime").join(known, GAP)
         lists = fitting.groupBy(*GAP).agg(F.array_sort(F.collect_list(_us())).alias("at"), F.first("known").alias("known"))
         part = lambda c: F.transform("known", lambda x: x[c])
         filled = lists.withColumn("fill", through(part("t"), part("v"), "at")).select(*GAP, F.explode(F.arrays_zip("at", "fill")).alias("x")).select(*GAP, T.to_timestamp(F.col("x.at")).alias("datetime"), F.col("x.fill").alias("value"))

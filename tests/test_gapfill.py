@@ -110,3 +110,17 @@ def test_interpolation_methods(spark):
     for method in ("no-such-method", "Time", ""):
         with pytest.raises(ArgumentError):
             gapfill.interpolate(g, obs, method)
+
+
+def test_a_spline_of_one_piece_is_native_and_equals_the_fitted_one(spark):
+    points = [(0, 3), (7, -1), (50, 8), (90, 2)]
+    out = gapfill.interpolate(gaps(spark, {1: [20, 30]}), series(spark, points), "cubicspline", "1h", n_leading=2, n_trailing=2)
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().toString()
+    want = gapfill.spline([60 * t for t, _ in points], [v for _, v in points], [1200, 1800])
+    assert [v for v, _ in filled(out)] == pytest.approx(want.tolist())
+
+
+def test_records_are_numbered_once_for_the_nearest(spark):
+    near = gapfill.nearest_records(gaps(spark, {1: [20, 30]}), series(spark, [(0, 3), (7, -1), (50, 8), (90, 2)]), 2, 1)
+    assert "row_number" not in near._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.side, r.value) for r in near.collect()) == [("lead", -1), ("lead", 3), ("trail", 8)]
