@@ -165,14 +165,19 @@ def spline(x, y, at, order: int = 3):
 def period(gaps: DataFrame, obs: DataFrame, lead: str, trail: str) -> DataFrame:
     """Valid records near gaps: (…, gap_id, side, datetime, value) with side ``lead`` or ``trail``, bounds included.
 
-    A range join made equal by days, so that a long series is not paired with each of its gaps.
+    A range join made equal by bins of time, so that a long series is not paired with each of its gaps.
     """
+    return _period(gaps, obs.select(*KEY, "datetime", "value"), lead, trail)
+
+
+def _period(gaps: DataFrame, obs: DataFrame, lead: str, trail: str) -> DataFrame:
+    """``period`` with all columns of ``obs``; a bin is a day, or as long as the longer side, so that a side lies in two of them at most."""
     spans = _spans(gaps)
     windows = spans.select(*GAP, F.explode(F.array(F.struct(F.lit("lead").alias("side"), (F.col("gap_lo") - T.micros(lead)).alias("lo"), (F.col("gap_lo") - 1).alias("hi")), F.struct(F.lit("trail").alias("side"), (F.col("gap_hi") + 1).alias("lo"), (F.col("gap_hi") + T.micros(trail)).alias("hi")))).alias("w")).select(*GAP, "w.*")
-    day = lambda c: F.floor(F.col(c) / F.lit(DAY_US))
-    windows = windows.where("hi >= lo").withColumn("day", F.explode(F.sequence(day("lo"), day("hi"))))
-    rows = obs.where("value IS NOT NULL").select(*KEY, "datetime", "value", _us().alias("ts")).withColumn("day", day("ts"))
-    return windows.join(rows, [*KEY, "day"]).where("ts BETWEEN lo AND hi").select(*GAP, "side", "datetime", "value")
+    at = lambda c: F.floor(F.col(c) / F.lit(max(DAY_US, T.micros(lead), T.micros(trail))))
+    windows = windows.where("hi >= lo").withColumn("bin", F.explode(F.sequence(at("lo"), at("hi"))))
+    rows = obs.where("value IS NOT NULL").withColumn("ts", _us()).withColumn("bin", at("ts"))
+    return windows.join(rows, [*KEY, "bin"]).where("ts BETWEEN lo AND hi").select(*GAP, "side", *[c for c in obs.columns if c not in KEY])
 
 
 def _jumps(knots, order: int):
@@ -325,14 +330,13 @@ def fill_raw(gaps: DataFrame, model: DataFrame, max_gap: str = "12h", low: float
     return _labelled(df, "raw", F.when(~fits, "gap too long").when(F.col("value").isNull(), "no model value").otherwise("model value"))
 
 
-def _biases(near: DataFrame, model: DataFrame, extra: list[Column]) -> DataFrame:
-    """Deviations of the model from the records near gaps."""
-    return at_stamps(model, near).where("model_value IS NOT NULL").select(*GAP, "side", (F.col("model_value") - F.col("value")).alias("bias"), *extra)
+def _deviations(obs: DataFrame, model: DataFrame) -> DataFrame:
+    """Valid records with ``bias``, the model's deviation at their stamp (null outside the model), found once for each, not for each gap near it."""
+    return at_stamps(model, obs.where("value IS NOT NULL").select(*KEY, "datetime", "value")).withColumn("bias", F.col("model_value") - F.col("value")).drop("model_value")
 
 
-def _enough(near: DataFrame, min_lead: int, min_trail: int) -> DataFrame:
-    """The gaps with as many records near them on both sides."""
-    return near.groupBy(*GAP).agg(F.count_if(F.col("side") == "lead").alias("nl"), F.count_if(F.col("side") == "trail").alias("nt")).where((F.col("nl") >= min_lead) & (F.col("nt") >= min_trail)).select(*GAP)
+def _sides() -> list[Column]:
+    return [F.count_if(F.col("side") == side).alias(name) for side, name in (("lead", "nl"), ("trail", "nt"))]
 
 
 def _clock() -> list[Column]:
@@ -340,41 +344,44 @@ def _clock() -> list[Column]:
 
 
 def _covered(gaps: DataFrame, model: DataFrame, lead: str, trail: str) -> DataFrame:
-    """Gap spans whose leading and trailing periods lie inside the model series."""
+    """Gap spans, and whether their leading and trailing periods lie inside the model series."""
     ends = model.where("value IS NOT NULL").groupBy(*KEY).agg(F.min(_us()).alias("m_lo"), F.max(_us()).alias("m_hi"))
-    return _spans(gaps).join(ends, KEY).where((F.col("m_lo") <= F.col("gap_lo") - T.micros(lead)) & (F.col("m_hi") >= F.col("gap_hi") + T.micros(trail))).select(*GAP, "gap_lo", "gap_hi")
+    inside = (F.col("m_lo") <= F.col("gap_lo") - T.micros(lead)) & (F.col("m_hi") >= F.col("gap_hi") + T.micros(trail))
+    return _spans(gaps).join(ends, KEY, "left").select(*GAP, "gap_lo", "gap_hi", F.coalesce(inside, F.lit(False)).alias("covered"))
 
 
-def _fill(gaps: DataFrame, model: DataFrame, method: str, bias: DataFrame, keys: list[str], max_gap: str, value: Column) -> DataFrame:
-    df = at_stamps(model, gaps.select(*GAP, "datetime")).select("*", *_clock()).join(_spans(gaps), GAP)
+def _fill(gaps: DataFrame, model: DataFrame, method: str, bias: DataFrame, keys: list[str], max_gap: str, lead: str, trail: str, value: Column) -> DataFrame:
+    df = at_stamps(model, gaps.select(*GAP, "datetime")).select("*", *_clock()).join(_covered(gaps, model, lead, trail), GAP)
     df = df.join(bias, keys, "left")
     fits = F.col("gap_hi") - F.col("gap_lo") <= T.micros(max_gap)
-    df = df.withColumn("value", F.when(fits, value))
+    df = df.withColumn("value", F.when(fits & F.col("covered"), value))
     return _labelled(df, method, F.when(~fits, "gap too long").when(F.col("value").isNull(), "no model value or too few records for a bias").otherwise("debiased model value"))
 
 
 def fill_debiased(gaps: DataFrame, obs: DataFrame, model: DataFrame, max_gap: str = "12h", lead: str = "24h", trail: str = "24h", min_lead: int = 60, min_trail: int = 60, low: float | None = None, high: float | None = None) -> DataFrame:
     """Model minus its mean deviation from the records before and after the gap."""
-    near = cut(period(gaps, obs, lead, trail))
-    bias = _biases(near, model, []).groupBy(*GAP).agg(F.avg("bias").alias("bias")).join(_enough(near, min_lead, min_trail), GAP, "left_semi").join(_covered(gaps, model, lead, trail), GAP, "left_semi")
-    return _fill(gaps, model, "debiased", bias, GAP, max_gap, clip(F.col("model_value") - F.col("bias"), low, high))
+    by = _period(gaps, _deviations(obs, model), lead, trail).groupBy(*GAP).agg(F.avg("bias").alias("bias"), *_sides())
+    bias = by.where((F.col("nl") >= min_lead) & (F.col("nt") >= min_trail)).select(*GAP, "bias")
+    return _fill(gaps, model, "debiased", bias, GAP, max_gap, lead, trail, clip(F.col("model_value") - F.col("bias"), low, high))
 
 
 def fill_diurnal(gaps: DataFrame, obs: DataFrame, model: DataFrame, max_gap: str = "12h", lead: str = "24h", trail: str = "24h", min_sample: int = 6, low: float | None = None, high: float | None = None) -> DataFrame:
     """Model minus its mean deviation at the same time of day around the gap."""
-    near = cut(period(gaps, obs, lead, trail))
-    bias = _biases(near, model, _clock()).groupBy(*GAP, "h", "m", "s").agg(F.avg("bias").alias("bias"), F.count("*").alias("n")).where(F.col("n") >= min_sample).drop("n").join(_enough(near, min_sample, min_sample), GAP, "left_semi").join(_covered(gaps, model, lead, trail), GAP, "left_semi")
-    return _fill(gaps, model, "diurnal_debiased", bias, [*GAP, "h", "m", "s"], max_gap, clip(F.col("model_value") - F.col("bias"), low, high))
+    near = _period(gaps, _deviations(obs, model).select("*", *_clock()), lead, trail)
+    by = cut(near.groupBy(*GAP, "h", "m", "s").agg(F.avg("bias").alias("bias"), F.count("bias").alias("n"), *_sides()))
+    enough = by.groupBy(*GAP).agg(F.sum("nl").alias("nl"), F.sum("nt").alias("nt")).where((F.col("nl") >= min_sample) & (F.col("nt") >= min_sample)).select(*GAP)
+    bias = by.where(F.col("n") >= min_sample).select(*GAP, "h", "m", "s", "bias").join(enough, GAP, "left_semi")
+    return _fill(gaps, model, "diurnal_debiased", bias, [*GAP, "h", "m", "s"], max_gap, lead, trail, clip(F.col("model_value") - F.col("bias"), low, high))
 
 
 def fill_weighted_diurnal(gaps: DataFrame, obs: DataFrame, model: DataFrame, max_gap: str = "12h", lead: str = "24h", trail: str = "24h", min_lead: int = 2, min_trail: int = 2, low: float | None = None, high: float | None = None) -> DataFrame:
     """Like ``fill_diurnal`` with a bias of each side, the nearer side weighing more; a gap of one stamp has no weights and fails."""
-    deviations = _biases(period(gaps, obs, lead, trail), model, _clock())
-    by = deviations.groupBy(*GAP, "h", "m", "s").agg(*[f(F.when(F.col("side") == s, F.col("bias"))).alias(f"{n}_{s}") for s in ("lead", "trail") for n, f in (("bias", F.avg), ("n", F.count))])
-    bias = by.where((F.col("n_lead") >= min_lead) & (F.col("n_trail") >= min_trail)).join(_covered(gaps, model, lead, trail), GAP, "left_semi")
+    near = _period(gaps, _deviations(obs, model).select("*", *_clock()), lead, trail)
+    by = near.groupBy(*GAP, "h", "m", "s").agg(*[f(F.when(F.col("side") == s, F.col("bias"))).alias(f"{n}_{s}") for s in ("lead", "trail") for n, f in (("bias", F.avg), ("n", F.count))])
+    bias = by.where((F.col("n_lead") >= min_lead) & (F.col("n_trail") >= min_trail))
     weight = 1 - (_us() - F.col("gap_lo")) / F.nullif(F.col("gap_hi") - F.col("gap_lo"), F.lit(0))
     value = F.col("model_value") - (weight * F.col("bias_lead") + (1 - weight) * F.col("bias_trail"))
-    return _fill(gaps, model, "weighted_diurnal_debiased", bias, [*GAP, "h", "m", "s"], max_gap, clip(value, low, high))
+    return _fill(gaps, model, "weighted_diurnal_debiased", bias, [*GAP, "h", "m", "s"], max_gap, lead, trail, clip(value, low, high))
 
 
 def in_standard_units(model: DataFrame, standards: dict[str, str] | None = None) -> DataFrame:

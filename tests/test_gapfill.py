@@ -112,6 +112,16 @@ def test_interpolation_methods(spark):
             gapfill.interpolate(g, obs, method)
 
 
+@pytest.mark.parametrize("fill", [gapfill.fill_debiased, gapfill.fill_diurnal, gapfill.fill_weighted_diurnal])
+def test_model_meets_each_record_once_not_once_for_each_gap_near_it(spark, monkeypatch, fill):
+    met, real = [], gapfill.at_stamps
+    monkeypatch.setattr(gapfill, "at_stamps", lambda model, targets: met.append(targets.count()) or real(model, targets))
+    obs = series(spark, [(60 * h, h) for h in range(48) if h % 4])
+    model = series(spark, [(60 * h, h + 1) for h in range(-48, 97)])
+    fill(gaps(spark, {i: [240 * i] for i in range(1, 12)}), obs, model, lead="24h", trail="24h")
+    assert met == [36, 11]  # records, then stamps to fill
+
+
 def test_a_spline_of_one_piece_is_native_and_equals_the_fitted_one(spark):
     points = [(0, 3), (7, -1), (50, 8), (90, 2)]
     out = gapfill.interpolate(gaps(spark, {1: [20, 30]}), series(spark, points), "cubicspline", "1h", n_leading=2, n_trailing=2)
