@@ -138,3 +138,11 @@ def test_window_variation_limit_is_rounded_once(spark):
     obs = series(spark, [(0, 0.0), (60, 1.0), (120, limit)])
     found = lambda more: qc.windowed_outliers(obs.withColumn("value", F.when(F.col("value") == limit, limit + more).otherwise(F.col("value"))), qc.window_variation, "window_variation", "24h", regular=False, min_records=3, max_increase_per_second=0.0006, max_decrease_per_second=-0.0007).count()
     assert found(0.0) == 0 and found(1e-9) == 3
+
+
+def test_long_view_of_a_labelled_frame(spark):
+    """Its rows with another label are the outliers; a gap hides both."""
+    rows = [("a", "temp", at(0), 1.0, "ok"), ("a", "temp", at(1), 2.0, "ok"), ("a", "temp", at(1), 3.0, "bad"), ("a", "temp", at(2), 4.0, "bad")]
+    frame = spark.createDataFrame(rows, "name string, obstype string, datetime timestamp, value double, label string")
+    gap = frame.where("value = 4").withColumn("value", F.lit(None).cast("double")).withColumn("label", F.lit("gap"))
+    assert [(r.value, r.label) for r in qc.long_view(frame, None, gap).orderBy("datetime").collect()] == [(1.0, "ok"), (3.0, "bad"), (None, "gap")]
