@@ -146,3 +146,11 @@ def test_long_view_of_a_labelled_frame(spark):
     frame = spark.createDataFrame(rows, "name string, obstype string, datetime timestamp, value double, label string")
     gap = frame.where("value = 4").withColumn("value", F.lit(None).cast("double")).withColumn("label", F.lit("gap"))
     assert [(r.value, r.label) for r in qc.long_view(frame, None, gap).orderBy("datetime").collect()] == [(1.0, "ok"), (3.0, "bad"), (None, "gap")]
+
+
+def test_a_chain_is_dealt_over_as_many_tasks_as_its_rows_need(spark, monkeypatch):
+    monkeypatch.setattr(qc, "TASK_ROWS", 5)
+    obs = series(spark, [(i, i % 7) for i in range(60)])
+    out = qc.chain(obs, [("gross_value", qc.gross_value(1, 5)), ("repetitions", qc.repetitions(3))])
+    assert out.rdd.getNumPartitions() == 13
+    assert out.count() == 60
