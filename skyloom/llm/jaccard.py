@@ -19,8 +19,10 @@ Copies are one vertex: documents with equal sets share a class.  A group of
 near copies is not expanded into its pairs: in rounds, each class is tested
 with the outermost classes of other components in its segments, two in each,
 until a round links nothing.  Only pairs that are still in different components are
-tested after that, all of them.  Parity sketches inside the joins bound a
-pair's difference from below, so hardly any false pair leaves them.
+tested after that, all that a segment of few classes holds.  Where many meet,
+they are told apart by what sets them off from one pivot (``_crowd``).  Parity
+sketches inside the joins bound a pair's difference from below, so hardly any
+false pair leaves them.
 """
 
 from __future__ import annotations
@@ -46,6 +48,8 @@ FRAGMENTS, SKETCH_BITS = 8, 2048
 SHARE, FREQUENT, MOST_FREQUENT = 16, 4, 1_000_000
 #: One long numbers a class and one of its size groups, of which it has fewer than so many.
 GROUPS = 16
+#: In segments of at most so many classes those still apart meet in pairs; in larger ones by their differences from a pivot.
+CROWD = 64
 
 
 class Cuts:
@@ -217,18 +221,24 @@ def _may_link(num: int, den: int) -> Column:
     return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (far * (den + num) <= (n1 + n2) * (den - num))
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Those of the stored pairs (a, b, n_a, n_b) of classes that are links, by partial overlaps summed over fragments.
+def _sets_of(needed: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """The fragments of the ``needed`` classes (k), and perhaps of some others; a class may come more than once.
 
     Texts are read again for the classes at hand only; sets move, texts don't.
     """
-    needed = few(cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()))
     one = few(cut(classes.join(small(needed), "k", "left_semi").select("doc_id").distinct()))
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     sets = _fragments(may_hold(rows, "doc_id", one.where("doc_id IS NOT NULL")), size)
     if not one.where("doc_id IS NULL").isEmpty():  # classes of rows without ids only: their sets are among those of all such rows
         nameless = _fragments(rows.where("doc_id IS NULL"), size).join(small(needed), "k", "left_semi")
         sets = sets.unionByName(nameless).groupBy("k", "fragment").agg(F.first("hashes").alias("hashes"))
+    return sets
+
+
+def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Those of the stored pairs (a, b, n_a, n_b) of classes that are links, by partial overlaps summed over fragments."""
+    needed = few(cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()))
+    sets = _sets_of(needed, classes, docs, size)
     # the same exchange of the sets serves both joins
     each = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
     left = each.join(sets.select(F.col("k").alias("a"), "fragment", F.col("hashes").alias("ha")), ["a", "fragment"])
@@ -239,6 +249,49 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, nu
     return overlap.where(F.col("i") * den >= (F.col("n_a") + F.col("n_b") - F.col("i")) * num).select("a", "b")
 
 
+def _crowd(members: DataFrame, classes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Pairs (o_a, o_b) of different components, every link among the members of each pivot included.
+
+    Rows of ``members``: (p, q, n_q, top), a pivot's number, class, size and
+    component, and (o, k, n, c), a member's.  All links with pivots must be known.
+
+    Let A be the n-grams that only one of a and the pivot has, m_a their number,
+    and B those of b: a and b differ in m_a + m_b - 2|A & B|.  With
+    r = (den - num) / (den + num), sets of n_a and n_b are linked if they differ
+    in at most r (n_a + n_b).  Of a pair at least one, say a, is in another
+    component than the pivot, so m_a > r (n_a + n_q).  Therefore
+
+    * 2|A & B| > m_b - r (n_b - n_q), which is not negative: b shares half of
+      what sets it off, or more;
+    * |A & B| >= m_a - d, where d is the most in which a may differ from a
+      linked set.
+
+    Sets that share t elements share one among the first m - t + 1 of each in
+    any common order, so a's first d + 1 meet b's first half.  Rare ones come
+    first: a change that one text alone has meets nothing.  The first shared
+    element leaves only as many for the overlap as come after it in both.
+    """
+    least, most = den - num, den + num
+    needed = few(cut(members.select(F.explode(F.array("k", "q")).alias("k")).distinct()))
+    sets = _sets_of(needed, classes, docs, size).join(small(needed), "k", "left_semi").groupBy("k", "fragment").agg(F.first("hashes").alias("hashes"))
+    each = members.select("p", "q", "o", "k", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
+    both = each.join(sets.withColumnRenamed("hashes", "own"), ["k", "fragment"], "left").join(sets.select(F.col("k").alias("q"), "fragment", F.col("hashes").alias("its")), ["q", "fragment"], "left")
+    own, its = (F.coalesce(x, F.array().cast("array<long>")) for x in ("own", "its"))
+    changes = cut(both.select("p", "o", F.explode(F.concat(F.array_except(own, its), F.array_except(its, own))).alias("h")))
+    held = changes.groupBy("p", "h").agg(F.count("*").alias("f")).where("f > 1")  # what one member alone has comes first, and meets none
+    ranked = changes.join(held, ["p", "h"], "left").groupBy("p", "o").agg(F.count("*").alias("m"), F.sort_array(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("f", "h")))).alias("shared"))
+    lists = ranked.join(members.select("p", "o", "n_q", "top", "n", "c"), ["p", "o"])
+    away = F.expr(f"(n + n * {den} div {num}) * {least} div {most}") + 1
+    half = F.col("m") - F.expr(f"(m * {most} - (n - n_q) * {least}) div {2 * most}")
+    lists = lists.select("p", "o", "c", "n", "m", F.when(F.col("c") != F.col("top"), away).otherwise(0).alias("outer"), half.alias("inner"), (F.col("m") - F.size("shared")).alias("alone"), F.posexplode("shared").alias("i", "e"))
+    listed = cut(lists.withColumn("i", F.col("i") + F.col("alone")).where(F.col("i") < F.greatest("outer", "inner")).select("p", F.col("e.h").alias("h"), "o", "c", "n", "m", "i", "outer", "inner"))
+    a = listed.where("i < outer").select("p", "h", *(F.col(x).alias(f"{x}_a") for x in ("o", "c", "n", "m", "i")))
+    b = listed.where("i < inner").select("p", "h", *(F.col(x).alias(f"{x}_b") for x in ("o", "c", "n", "m", "i")))
+    near = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
+    enough = 2 * most * F.least(F.col("m_a") - F.col("i_a"), F.col("m_b") - F.col("i_b")) >= (F.col("m_a") + F.col("m_b")) * most - (F.col("n_a") + F.col("n_b")) * least
+    return a.join(b, ["p", "h"]).where((F.col("c_a") != F.col("c_b")) & near & enough).select("o_a", "o_b").distinct()
+
+
 def _stored(df: DataFrame, paths: list[str]) -> DataFrame:
     """``df`` as a table in the shared checkpoint folder, so that later steps read only the columns they need; ``paths`` gets its path."""
     spark = df.sparkSession
@@ -333,11 +386,15 @@ def _grouped(docs: DataFrame, size: int, num: int, den: int, share: int, least:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(flip, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(flip, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b")).distinct()
 
     tested = None
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        """Stored pairs, without those of earlier rounds."""
+        return few(cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")))
+
     while True:
         met = rows = labelled(met)  # a segment within one component stays so
         stars = rows.where("c <> x.c").select(F.col("o").alias("o_a"), F.col("x.o").alias("o_b")).union(rows.where("c <> y.c").select(F.col("o").alias("o_a"), F.col("y.o").alias("o_b"))).distinct()
-        likely = ordered(sides(stars).where(_may_link(num, den)))
-        likely = few(cut(likely if tested is None else likely.join(tested, ["a", "b"], "left_anti")))
+        likely = untested(ordered(sides(stars).where(_may_link(num, den))))
         if likely.isEmpty():
             break
         found = few(cut(_linked(likely, classes, docs, size, num, den)))
@@ -346,16 +403,37 @@ def _grouped(docs: DataFrame, size: int, num: int, den: int, share: int, least:
             break
         component = joined(found)
 
-    # what is still apart: all pairs of different components that share a segment; the largest component's rows meet the others' only
-    open_ = cut(rows.select("segment", "o", "c"))
+    # what is still apart: in segments of many classes, by their differences from a pivot, the class with which most such segments can be compared
+    open_ = cut(rows.select("segment", "o"))
+    many = few(cut(open_.groupBy("segment").count().where(F.col("count") > CROWD).select("segment")))
+    apart = None
+    if not many.isEmpty():
+        crowd = cut(open_.join(small(many), "segment"))
+        pivots = crowd.join(crowd.groupBy("o").count(), "o").groupBy("segment").agg(F.max_by("o", F.struct("count", "o")).alias("p"))
+        members = few(cut(crowd.join(pivots, "segment").where("o <> p").select("p", "o").distinct()))
+        likely = untested(ordered(sides(members.select(F.col("o").alias("o_a"), F.col("p").alias("o_b"))).where(_may_link(num, den))))
+        if not likely.isEmpty():
+            found = few(cut(_linked(likely, classes, docs, size, num, den)))
+            tested = likely.select("a", "b") if tested is None else tested.union(likely.select("a", "b"))
+            component = component if found.isEmpty() else joined(found)
+        known = sketches.select("o", "k", "n").join(component.select("k", "c"), "k")
+        heads = known.select(F.col("o").alias("p"), F.col("k").alias("q"), F.col("n").alias("n_q"), F.col("c").alias("top"))
+        members = cut(members.join(known, "o").join(heads, "p"))
+        split = members.where("c <> top").select("p").distinct()
+        members = few(cut(members.join(small(split), "p", "left_semi")))
+        if not members.isEmpty():
+            apart = ordered(sides(_crowd(members, classes, docs, size, num, den)).where(_may_link(num, den)))
+        open_ = open_.join(small(many), "segment", "left_anti")
+
+    # in the other segments, all pairs of different components; the largest component's rows meet the others' only
+    open_ = cut(labelled(open_).select("segment", "o", "c"))
     largest = open_.groupBy("segment", "c").count().groupBy("segment").agg(F.max_by("c", F.struct("count", "c")).alias("most"))
     carried = open_.join(sketches, "o")
     a = carried.join(largest, "segment").where("c <> most").select("segment", "most", F.col("o").alias("o_a"), F.col("c").alias("c_a"), F.col("k").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"))
     b = carried.select("segment", F.col("o").alias("o_b"), F.col("c").alias("c_b"), F.col("k").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"))
     once = (F.col("c_b") == F.col("most")) | (F.col("o_a") < F.col("o_b"))
-    apart = a.join(b, "segment").where((F.col("c_a") != F.col("c_b")) & once & _may_link(num, den))
-    rest = ordered(apart)
-    rest = few(cut(rest if tested is None else rest.join(tested, ["a", "b"], "left_anti")))
+    pairs = ordered(a.join(b, "segment").where((F.col("c_a") != F.col("c_b")) & once & _may_link(num, den)))
+    rest = untested(pairs if apart is None else pairs.union(apart).distinct())
     if not rest.isEmpty():
         found = few(cut(_linked(rest, classes, docs, size, num, den)))
         component = component if found.isEmpty() else joined(found)

@@ -136,6 +136,51 @@ def test_jaccard_is_exact(spark, seed, size, num, share, least):
     assert got(jaccard.near_duplicates(frame(spark, texts), size, num, 100, share, least)) == components_by_hand(texts, size, num, 100)
 
 
+@pytest.mark.parametrize("seed, size, num, crowd", [(11, 3, 90, 1), (12, 5, 80, 2), (13, 1, 50, 1), (14, 2, 60, 3)])
+def test_jaccard_pivots_are_exact(spark, monkeypatch, seed, size, num, crowd):
+    """Where even few classes count as many, all that is still apart is told by its differences from pivots."""
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    texts = [*variants(random.Random(seed), 140), *AWKWARD]
+    assert got(jaccard.near_duplicates(frame(spark, texts), size, num, 100, 1, 3)) == components_by_hand(texts, size, num, 100)
+
+
+def edited(r, n):
+    """Near copies of one text, each with one to seven words changed: many differ too much to be linked with most others."""
+    base = [f"w{r.randint(0, 10**6)}" for _ in range(150)]
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for at in r.sample(range(150), r.choice([1, 2, 3, 4, 4, 5, 7])):
+            words[at] = f"x{r.randint(0, 10**9)}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_jaccard_does_not_pair_a_crowd(spark):
+    """Joins of near copies that can't all be linked make rows in proportion to the copies, not to their square."""
+    made = {}
+    for n in (150, 600):
+        texts = edited(random.Random(n), n)
+        store = spark._jsparkSession.sharedState().statusStore()
+        begun = store.executionsCount()
+        assert got(jaccard.near_duplicates(frame(spark, texts), 5, 80)) == components_by_hand(texts, 5, 80, 100)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = []
+        runs = store.executionsList()
+        for i in range(runs.size()):
+            run = runs.apply(i).executionId()
+            if run < begun:
+                continue
+            values = store.executionMetrics(run)
+            nodes = store.planGraph(run).allNodes()
+            for node in (nodes.apply(k) for k in range(nodes.size())):
+                for m in (node.metrics().apply(k) for k in range(node.metrics().size())) if "Join" in node.name() else ():
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        found.append((int(values.apply(m.accumulatorId()).replace(",", "")), node.desc()[:150]))
+        made[n] = max(found)
+    assert made[600][0] <= 6 * made[150][0], made
+
+
 def test_jaccard_without_broadcasts(spark, monkeypatch):
     """Beyond the size of a broadcast the rows are the same, and no text is shuffled."""
     texts = [*variants(random.Random(9), 120), *AWKWARD]
