@@ -49,7 +49,7 @@ SHARE, FREQUENT, MOST_FREQUENT = 16, 4, 1_000_000
 #: One long numbers a class and one of its size groups, of which it has fewer than so many.
 GROUPS = 16
 #: In segments of at most so many classes those still apart meet in pairs; in larger ones by their differences from a pivot.
-CROWD = 64
+CROWD = 256
 
 
 class Cuts:
@@ -279,8 +279,8 @@ def _crowd(members: DataFrame, classes: DataFrame, docs: DataFrame, size: int, n
     own, its = (F.coalesce(x, F.array().cast("array<long>")) for x in ("own", "its"))
     changes = cut(both.select("p", "o", F.explode(F.concat(F.array_except(own, its), F.array_except(its, own))).alias("h")))
     held = changes.groupBy("p", "h").agg(F.count("*").alias("f")).where("f > 1")  # what one member alone has comes first, and meets none
-    ranked = changes.join(held, ["p", "h"], "left").groupBy("p", "o").agg(F.count("*").alias("m"), F.sort_array(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("f", "h")))).alias("shared"))
-    lists = ranked.join(members.select("p", "o", "n_q", "top", "n", "c"), ["p", "o"])
+    shared = changes.join(held, ["p", "h"]).groupBy("p", "o").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("shared"))
+    lists = changes.groupBy("p", "o").agg(F.count("*").alias("m")).join(shared, ["p", "o"]).join(members.select("p", "o", "n_q", "top", "n", "c"), ["p", "o"])
     away = F.expr(f"(n + n * {den} div {num}) * {least} div {most}") + 1
     half = F.col("m") - F.expr(f"(m * {most} - (n - n_q) * {least}) div {2 * most}")
     lists = lists.select("p", "o", "c", "n", "m", F.when(F.col("c") != F.col("top"), away).otherwise(0).alias("outer"), half.alias("inner"), (F.col("m") - F.size("shared")).alias("alone"), F.posexplode("shared").alias("i", "e"))

@@ -156,8 +156,9 @@ def edited(r, n):
     return out
 
 
-def test_jaccard_does_not_pair_a_crowd(spark):
+def test_jaccard_does_not_pair_a_crowd(spark, monkeypatch):
     """Joins of near copies that can't all be linked make rows in proportion to the copies, not to their square."""
+    monkeypatch.setattr(jaccard, "CROWD", 64, raising=False)
     made = {}
     for n in (150, 600):
         texts = edited(random.Random(n), n)
